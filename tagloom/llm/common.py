@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,12 @@ def fold(key: str | Column, folds: int, which: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shipped(spark: SparkSession, thing: Any) -> Broadcast:
+    """``thing`` broadcast with the code of its class; of a bounded size, which the caller checks."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def unpacked(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)

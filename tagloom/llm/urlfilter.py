@@ -13,13 +13,15 @@ that clash with the result's names are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped, unpacked
+
 Rule = tuple[str, str, str]
 
 #: Rules up to this number travel to the executors as one trie; more are joined.
@@ -83,11 +85,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     split = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if len(rules) > max_trie_rules:
         return _joined(split, rules, default)
-    trie = split.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    sent = shipped(split.sparkSession, UrlTrie(rules))
 
     @F.pandas_udf("rule string, verdict string")
-    def judged(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([trie.value.match(h, p) or (None, default) for h, p in zip(hosts, paths)], columns=["rule", "verdict"])
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        trie = unpacked(sent)
+        for hosts, paths in batches:
+            yield pd.DataFrame([trie.match(h, p) or (None, default) for h, p in zip(hosts, paths)], columns=["rule", "verdict"])
 
     return split.withColumn("found", judged("host", "path")).select(*kept, "host", "path", "found.rule", "found.verdict")
 
