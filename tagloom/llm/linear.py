@@ -26,13 +26,14 @@ def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 150) -> np
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights of a logistic regression (labels 0 and 1) by Newton's method. ``x`` has a last column of ones."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 60, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic regression (labels 0 and 1) by Newton's method, drawn to ``prior``. ``x`` has a last column of ones."""
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.copy()
     ridge = np.full(x.shape[1], reg)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) / len(y) + ridge * w
+        slope = x.T @ (p - y) / len(y) + ridge * (w - prior)
         curve = (x.T * (p * (1 - p))) @ x / len(y) + np.diag(ridge)
         change = np.linalg.solve(curve, slope)
         w -= change

@@ -39,12 +39,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit, score
+    from .toxicity import SIGNALS, fit, score
 
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 4, 2)
     found = score(docs, fit(docs, labels, ~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "abusive", "abusive_misspelled", "quoted", "quoted_misspelled")
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", *SIGNALS)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

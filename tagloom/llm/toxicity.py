@@ -1,37 +1,45 @@
 """Toxicity: misspelled lexicon terms by Levenshtein automata, weighed by their context.
 
-The lexicon is a trie. A word's Levenshtein automaton of radius 1 walks down the
-trie, kept as two bit sets (places reached without and with one edit), and ends
-in the terms it accepts. Words that share neither half with any term of their
-length cannot be within one edit and are not walked; results are remembered for a
-bounded number of words.
+The lexicon is a trie of terms, and of stems learned from labelled texts (a stem
+fits every word that starts with it). A word's Levenshtein automaton of radius 1
+walks down the trie, kept as two bit sets (places reached without and with one
+edit), and ends in the terms it accepts; digits and signs put for letters, and
+two letters that changed places, also count as a misspelling. Words that share
+neither half with any term of their length cannot be within one edit and are not
+walked; results are remembered for a bounded number of words. Terms of fewer than
+five letters, and those whose misspellings are words of clean labelled texts, must
+match exactly.
 
 Each hit is weighed in a window of ``WINDOW`` words to both sides: address and
 emphasis (you, are, !) count as abuse, quotation marks around it, reporting verbs
 and meta words (said, called, "word", quote) as quotation. A document's signals
-are the abusive and the quoted hits, exact and misspelled, their density and
-whether there are any; a logistic regression fitted on at most about ``SAMPLE``
-labelled rows turns them into a score.
+are its abusive and quoted hits of each kind, their density and which kinds there
+are. A logistic regression, drawn to ``PRIOR`` where the labels say nothing, turns
+them into a score. Stems, excluded terms and weights are learned on a sample of at
+most about ``SAMPLE`` labelled rows; nothing else is bounded.
 
 Only the text is given to the score. Every word of every text is looked at, with
 no shuffle.
 
 Defined cases: a null or empty text has no hits and the score of any text without
 hits; a label that is null is not learned; a document labelled twice counts as
-toxic if one label says so; with no labels or only one kind, fixed weights are
+toxic if one label says so; with no labels or only one kind, the prior weights are
 used; repeated rows are scored each for itself; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped, unpacked, written
 from .linear import logistic
 
 #: Insults and slurs of everyday use.
@@ -46,26 +54,37 @@ REPORT = ("said", "says", "say", "called", "calls", "wrote", "quote", "quoted",
 
 WINDOW = 6
 THRESHOLD = 0.3
-SAMPLE = 20_000
+SAMPLE = 12_000
 REMEMBERED = 300_000
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&…«»„“”‘’-–—"
 QUOTES = "\"«»„“”‘’'"
 
-SIGNALS = ("abusive", "abusive_misspelled", "quoted", "quoted_misspelled", "density", "any_hit")
-#: Used where no labels can be learned from.
-DEFAULT_WEIGHTS = (1.5, 0.8, 0.3, 0.1, 1.0, 1.0, -2.5)
+KINDS = ("term", "misspelled", "stem")
+SIGNALS = (*(f"abusive_{k}" for k in KINDS), *(f"quoted_{k}" for k in KINDS), *(f"any_{k}" for k in KINDS), "density")
+#: Weights without labels, in the order of SIGNALS, then the bias.
+PRIOR = (2.0, 2.0, 1.0, -1.0, -1.0, 0.0, 1.0, 1.0, 1.0, 0.3, -2.5)
+
+#: A learned stem: its letters, and the evidence (log likelihood ratio) and share of toxic documents it needs.
+STEM_LETTERS = range(3, 9)
+STEM_EVIDENCE = 15.0
+STEM_SHARE = 0.6
+MAX_STEMS = 2_000
+#: Signs put for letters.
+SIGNS = str.maketrans("013457@$", "oieastas")
 
 
 class Lexicon:
-    def __init__(self, terms: tuple[str, ...] = LEXICON):
-        self.terms = terms
+    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: frozenset[str] = frozenset(), exact_only: frozenset[str] = frozenset()):
+        self.exact, self.stems = frozenset(terms), stems
+        self.stem_sizes = sorted({len(t) for t in stems})
+        terms = tuple(t for t in terms if len(t) > 4 and t not in exact_only)
+        self.letters = {"".join(sorted(t)) for t in terms}
         self.trie: dict = {}
-        for n, term in enumerate(terms):
+        for term in terms:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = n
-        self.exact = {t: n for n, t in enumerate(terms)}
+            node[""] = term
         self.halves: dict[int, tuple[list, list, list]] = {}
         for term in terms:
             h, odd = divmod(len(term), 2)
@@ -93,12 +112,28 @@ class Lexicon:
         return any(word[:n] in s for n, s in heads) or any(word[-n:] in s for n, s in tails) or any((word[:n], word[-n:]) in s for n, s in both)
 
     def find(self, word: str) -> int:
-        """0 if no term is within one edit, 1 for a term itself, 2 for a misspelling."""
+        """0 if nothing fits, 1 for a term itself, 2 for a misspelling, 3 for a word with a learned stem."""
         if word in self.exact:
             return 1
-        return 2 if self._possible(word) and self._accepts(word) else 0
-
-    def _accepts(self, word: str) -> bool:
+        if any(word[:n] in self.stems for n in self.stem_sizes):
+            return 3
+        plain = word if word.isalpha() else word.translate(SIGNS)
+        if plain != word and plain in self.exact:
+            return 2
+        return 2 if self.nearest(plain) is not None else 0
+
+    def nearest(self, word: str) -> str | None:
+        """A term within one edit or one exchange of neighbours."""
+        if self._possible(word) and (term := self._accepts(word)) is not None:
+            return term
+        if len(word) in self.halves and "".join(sorted(word)) in self.letters:
+            for i in range(len(word) - 1):
+                swapped = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+                if swapped in self.exact:
+                    return swapped
+        return None
+
+    def _accepts(self, word: str) -> str | None:
         """Walk the trie with the word's automaton; bit i stands for i letters read."""
         places: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -109,14 +144,14 @@ class Lexicon:
             for c, below in node.items():
                 if c == "":
                     if one & last:
-                        return True
+                        return below
                     continue
                 at = places.get(c, 0)
                 exact = (none & at) << 1
                 edited = ((one & at) << 1 | none << 1 | none | exact << 1 | exact) & (2 * last - 1)
                 if edited:
                     stack.append((below, exact, edited))
-        return False
+        return None
 
 
 class Finder(dict):
@@ -147,54 +182,108 @@ def abuse(words: list[str], at: int, hits: list[int]) -> float:
 def signals_of(text: str | None, finder: Finder) -> tuple[float, ...]:
     words = (text or "").lower().split()
     hits = list(map(finder.__getitem__, words))
-    sums = np.zeros(4)
+    sums, seen = np.zeros(6), np.zeros(3)
     if any(hits):
         for at, kind in enumerate(hits):
             if kind:
                 share = abuse(words, at, hits)
                 sums[kind - 1] += share
-                sums[kind + 1] += 1 - share
-    n = float(sums.sum())
-    return (*np.log1p(sums).tolist(), float(np.log1p(100 * n / max(1, len(words)))), float(n > 0))
+                sums[kind + 2] += 1 - share
+                seen[kind - 1] = 1
+    return (*np.log1p(sums).tolist(), *seen.tolist(), float(np.log1p(100 * sums.sum() / max(1, len(words)))))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: tuple[str, ...] = LEXICON) -> DataFrame:
+def signals(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the columns ``SIGNALS``) of every document."""
+    sent = shipped(docs.sparkSession, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(Lexicon(terms))
+        finder = Finder(unpacked(sent))
         for batch in batches:
             found = []
             for text in batch.column(1):
                 if len(finder) > REMEMBERED:
                     finder.clear()
                 found.append(signals_of(text.as_py(), finder))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in zip(*found))] if found else [batch.column(0), *[pa.array([], pa.float64())] * len(SIGNALS)], ["doc_id", *SIGNALS])
+            columns = zip(*found) if found else [()] * len(SIGNALS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["doc_id", *SIGNALS])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long" + "".join(f", {s} double" for s in SIGNALS))
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long" + "".join(f", {s} double" for s in SIGNALS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[float, ...]:
-    """Weights, the last a bias, from about ``sample`` of the labelled rows with ``train`` (a condition on doc_id)."""
+class Toxicity(NamedTuple):
+    lexicon: Lexicon
+    weights: tuple[float, ...]
+
+
+def _learned(labelled: DataFrame, terms: tuple[str, ...]) -> Lexicon:
+    """The lexicon with the stems and exclusions that labelled texts (toxic, text) show."""
+    plain = Lexicon(terms)
+    sent = shipped(labelled.sparkSession, plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, counts = unpacked(sent), Counter()
+        for batch in batches:
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = {w.strip(MARKS) for w in (text or "").lower().split()}
+                kinds = {w: lexicon.find(w) for w in words}
+                stems = {w[:n] for w, kind in kinds.items() if not kind for n in STEM_LETTERS if len(w) >= n}
+                near = {lexicon.nearest(w) for w, kind in kinds.items() if kind == 2} - {None}
+                has_term = any(kind == 1 for kind in kinds.values())
+                counts.update(("stem", x, toxic) for x in stems if not has_term)
+                counts.update(("near", x, toxic) for x in near if not has_term)
+                counts["all", "", toxic] += not has_term
+            if len(counts) > 2_000_000:
+                yield told(counts)
+                counts.clear()
+        yield told(counts)
+
+    def told(counts: Counter) -> pa.RecordBatch:
+        kind, word, toxic = zip(*counts) if counts else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(toxic, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["kind", "word", "toxic", "n"])
+
+    counted = labelled.select("toxic", "text").mapInArrow(run, "kind string, word string, toxic int, n long")
+    counted = counted.groupBy("kind", "word").agg(F.coalesce(F.sum(F.when(F.col("toxic") > 0, F.col("n"))), F.lit(0)).alias("bad"), F.sum("n").alias("n"))
+    counted = counted.filter("kind <> 'stem' OR bad >= 5").cache()
+    total = counted.filter("kind = 'all'").first()
+    stems: set[str] = set()
+    if total is not None and 0 < total.bad < total.n:
+        base, p = total.bad / total.n, F.col("bad") / F.col("n")
+        evidence = F.col("bad") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("bad")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+        good = counted.filter("kind = 'stem'").filter((p >= STEM_SHARE) & (evidence >= STEM_EVIDENCE)).orderBy(F.desc(evidence), "word").limit(MAX_STEMS)
+        for word in sorted((r.word for r in good.collect()), key=lambda w: (len(w), w)):
+            if not any(word[:n] in stems for n in range(1, len(word))):
+                stems.add(word)
+    misled = {r.word for r in counted.filter("kind = 'near' AND 2 * bad < n AND n >= 2").limit(MAX_STEMS).collect()}
+    counted.unpersist()
+    return Lexicon(terms, frozenset(stems), frozenset(misled))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: tuple[str, ...] = LEXICON) -> Toxicity:
+    """Learn from about ``sample`` of the labelled rows with ``train`` (a condition on doc_id)."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = sample / max(1, known.count())
+    share = min(1.0, sample / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id", "left_semi")
-    rows = signals(chosen).join(F.broadcast(known), "doc_id").drop("doc_id").limit(4 * sample).collect()
+    chosen = written(_texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").limit(4 * sample), "labelled")
+    lexicon = _learned(chosen, terms)
+    rows = signals(chosen, lexicon).join(chosen.select("doc_id", "toxic").distinct(), "doc_id").drop("doc_id").collect()
     y = np.array([r.toxic for r in rows], float)
     if not 0 < y.sum() < len(y):
-        return DEFAULT_WEIGHTS
+        return Toxicity(lexicon, PRIOR)
     x = np.array([[*(r[s] for s in SIGNALS), 1.0] for r in rows])
-    return tuple(logistic(x, (y > 0).astype(float)).tolist())
+    return Toxicity(lexicon, tuple(logistic(x, (y > 0).astype(float), reg=3 / len(y), prior=np.array(PRIOR)).tolist()))
 
 
-def score(docs: DataFrame, weights: tuple[float, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, the signals) of every document."""
-    found = signals(docs, id_col, text_col)
-    total = F.lit(float(weights[-1]))
-    for name, w in zip(SIGNALS, weights):
+    found = signals(docs, model.lexicon, id_col, text_col)
+    total = F.lit(float(model.weights[-1]))
+    for name, w in zip(SIGNALS, model.weights):
         total = total + F.col(name) * F.lit(float(w))
     found = found.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-total)))
     return found.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *SIGNALS)
