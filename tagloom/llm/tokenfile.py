@@ -12,9 +12,8 @@ A shard is a range of doc_ids, sorted and written by one task; it appears under
 its final name by a rename after it is complete, so a repeated task only writes
 the same bytes again. Nothing but one line per shard reaches the driver.
 
-Each worker tokenizes a piece of text between spaces once and remembers it for a
-bounded number of pieces. That is exact where no token crosses a space:
-``SplitTokenizer`` holds for tokenizers that replace spaces and drop them, which
+Each worker tokenizes a piece of text between spaces once and remembers it, for a
+bounded number of pieces. That is exact where no token crosses a space, which
 ``checked`` verifies on the tokenizer's own description; others encode whole texts.
 
 Defined cases: a null or empty text is just the end id; rows with equal doc_ids
@@ -25,6 +24,7 @@ gives no shards and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,42 +45,76 @@ BATCH_ROWS = 64
 REMEMBERED = 300_000  # pieces of text in a worker
 
 
-class SplitTokenizer:
-    """Ids of whole texts, by way of the pieces between ASCII spaces."""
+#: Fixed value: a pattern of words under which a run of letters is one word, and a run of these marks after it another.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Such pieces in Latin-1, whose letters no normal form changes.
+PLAIN_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*$#|]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for the letters from 256 on."""
+    rest = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
+class SplitTokenizer(dict):
+    """Pieces of text between ASCII spaces -> their ids as bytes of ``kind``.
+
+    The library's normalizer, pre-tokenizer and model do the work, once per piece
+    and once per word in it; they are called one by one as that skips the offsets.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_piece = checked(self.tokenizer)
-        self.known: dict[str, list[int]] = {}
+        super().__init__()
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.by_piece, self.plain = checked(t)
+        self.kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.as_bytes = [i.to_bytes(self.kind.itemsize, "little") for i in range(t.get_vocab_size(with_added_tokens=True))]
+        self.letters = byte_letters()
+        if self.by_piece:
+            self.normalize, self.split, self.model = t.normalizer.normalize_str, t.pre_tokenizer.pre_tokenize_str, t.model.tokenize
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = b"".join([self.as_bytes[t.id] for t in self.model(word)])
+        return ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.plain and (found := PLAIN_PIECE.fullmatch(piece)):
+            word, marks = found.groups()
+            ids = self._word(word.lower().encode().decode("latin-1").translate(self.letters)) + (self._word(marks) if marks else b"")
+        elif any(a in piece for a in self.added):
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            ids = b"".join([self._word(w) for w, _ in self.split(self.normalize(piece))])
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_piece:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.words.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, re.split("[ \t\n\r]+", text))), self.kind)
 
-    def vocabulary(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_piece:
-            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [re.split("[ \t\n\r]+", t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        return [[i for p in pieces for i in known[p]] for pieces in split]
-
-
-def checked(tokenizer) -> bool:
-    """Whether spaces only part words in this tokenizer, by its description."""
+def checked(tokenizer) -> tuple[bool, bool]:
+    """Whether spaces only part words in this tokenizer, by its description; and whether its words follow ``WORD_PATTERN`` in lower case."""
     d = json.loads(tokenizer.to_str())
     norm = [n.get("type") for n in (d["normalizer"] or {}).get("normalizers", [d["normalizer"] or {}])]
     pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"] or {}])
-    drops = bool(pre) and pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and r"[^\s" in pre[0]["pattern"].get("Regex", "")
-    added = all(not (t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in d["added_tokens"])
+    drops = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and r"[^\s" in pre[0]["pattern"].get("Regex", "")
+    added = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in d["added_tokens"])
     prefix = any(p.get("add_prefix_space") for p in pre)
-    return bool(drops and added and not prefix and set(norm) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"} and not d.get("truncation") and not d.get("padding"))
+    by_piece = bool(drops and added and not prefix and set(norm) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"} and not d.get("truncation") and not d.get("padding"))
+    return by_piece, by_piece and pre[0]["pattern"]["Regex"] == WORD_PATTERN and "Lowercase" in norm and [p["type"] for p in pre] == ["Split", "ByteLevel"]
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -103,8 +137,7 @@ class ShardWriter:
         self.held: list[np.ndarray] = []
         self.n_held = 0
 
-    def add(self, doc_ids: pa.Array, ids: list[list[int]]) -> None:
-        flat = [np.array(x, self.kind) for x in ids]
+    def add(self, doc_ids: pa.Array, flat: list[np.ndarray]) -> None:
         sizes = np.fromiter(map(len, flat), np.int64, len(flat))
         first = self.total + np.cumsum(sizes) - sizes
         self.doc_out.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(first), pa.array(sizes)], schema=self.doc_schema))
@@ -149,10 +182,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, order: list
                 part = batch.slice(at, 256)
                 if writer is None:
                     words = SplitTokenizer(tokenizer)
-                    kind = np.uint16 if words.vocabulary() <= 1 << 16 else np.uint32
-                    writer = ShardWriter(folder, task.partitionId(), width, kind, f"{task.taskAttemptId()}.tmp")
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                writer.add(part.column(0), [ids + [end_id] for ids in words.encode(texts)])
+                    writer = ShardWriter(folder, task.partitionId(), width, words.kind, f"{task.taskAttemptId()}.tmp")
+                    end = np.array([end_id], words.kind)
+                writer.add(part.column(0), [np.r_[words.encode(t.as_py() or ""), end] for t in part.column(1)])
         if writer is not None:
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n": [writer.close()]}, pa.schema([("shard", pa.int32()), ("n", pa.int64())]))
 
