@@ -23,6 +23,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import score
+
+    held_out = fold("doc_id", 7, 2)
+    found = score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -79,4 +87,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_exact_topk, op4_language_id, op5_toxicity, op6_simhash, op7_quality, op8_decontaminate, op9_token_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_hpylm, op3_exact_topk, op4_language_id, op5_toxicity, op6_simhash, op7_quality, op8_decontaminate, op9_token_files, op10_url_filter)}
