@@ -1,19 +1,498 @@
-"""The named queries of the library and the SQL they are held against."""
+"""The named queries of the library and the SQL they are held against.
+
+The driver's tables hold no reads: ``sources.derived`` makes them from order lines,
+in Spark here and in SQL there. Where it can, the SQL takes another way than Spark.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import bases as B
+from .operators import analysis, barcodes, cells, consensus, correction, match, neighbours, qc, sampling, tables
+from .sources.derived import READS_SQL, reads
+from .storage import written
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+ERROR = 4.67e-3
+LAYOUT = "NNNNNNNNNNNNtACGTac"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_READS = f"WITH reads AS ({READS_SQL})"
+_COUNTS = _READS + ", counts AS (SELECT sample_id, umi AS key, count(*) AS cnt FROM reads GROUP BY ALL)"
+_BIN = "CAST(least(floor(log2({0}) + 1e-9), 16) AS INT)"
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return barcodes.barcode_counts(reads(spark, sf_dir))
+
+
+@_query(READS_SQL)
+def derived_reads(spark, sf_dir):
+    return reads(spark, sf_dir)
+
+
+@_query(_COUNTS + " SELECT * FROM counts")
+def barcode_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+@_query(_COUNTS + f" SELECT sample_id, CAST(1 << {_BIN.format('cnt')} AS BIGINT) AS mig_size, CAST(sum(cnt) AS BIGINT) AS reads, count(*) AS units FROM counts GROUP BY 1, 2")
+def coverage_histogram(spark, sf_dir):
+    return barcodes.coverage_histogram(_counts(spark, sf_dir))
+
+
+@_query(_COUNTS + " SELECT sample_id, CAST(sum(cnt) AS BIGINT) AS reads, count(*) AS umis, round(sum(cnt) / count(*), 6) AS mean_reads_per_umi, CAST(coalesce(sum(cnt) FILTER (cnt >= 8), 0) AS BIGINT) AS reads_in_migs_ge5, sum(cnt) >= 5 * count(*) AS over_sequenced FROM counts GROUP BY 1")
+def library_summary(spark, sf_dir):
+    return barcodes.library_summary(_counts(spark, sf_dir))
+
+
+_COMPOSITION = _COUNTS + """, places AS (SELECT sample_id, key, unnest(range(1, 13)) AS position FROM counts),
+comp AS (SELECT sample_id, CAST(position AS INT) AS position, count(*) FILTER (substr(key, position, 1) = 'A') AS A, count(*) FILTER (substr(key, position, 1) = 'C') AS C,
+  count(*) FILTER (substr(key, position, 1) = 'G') AS G, count(*) FILTER (substr(key, position, 1) = 'T') AS T, CAST(count(*) AS DOUBLE) AS n FROM places GROUP BY ALL),
+info AS (SELECT sample_id, position, A, C, G, T, -(coalesce(A / n * log2(nullif(A, 0) / n), 0) + coalesce(C / n * log2(nullif(C, 0) / n), 0) + coalesce(G / n * log2(nullif(G, 0) / n), 0) + coalesce(T / n * log2(nullif(T, 0) / n), 0)) AS h,
+  (A * A + C * C + G * G + T * T) / (n * n) AS m FROM comp)"""
+
+
+@_query(_COMPOSITION + " SELECT sample_id, position, A, C, G, T, round(h, 6) AS entropy_bits, round(2 - h, 6) AS information_bits, round(m, 6) AS collision FROM info")
+def barcode_composition(spark, sf_dir):
+    return _rounded(barcodes.composition(_counts(spark, sf_dir)))
+
+
+_SPACE = _COMPOSITION + """, spaces AS (SELECT sample_id, count(*) AS len, sum(h) AS h, exp(sum(-ln(m))) AS space, sum(-ln(m)) / ln(4) AS eff, sum((1 - m) / m) AS ratio FROM info GROUP BY 1),
+sizes AS (SELECT sample_id, count(*) AS n FROM counts GROUP BY 1)"""
+
+
+@_query(_SPACE + " SELECT sample_id, len AS barcode_length, round(h, 6) AS total_entropy, round(2 * len - h, 6) AS total_information, round(eff, 6) AS effective_length, round(space, 1) AS effective_space, round(ratio, 6) AS mismatch_ratio FROM spaces")
+def barcode_information(spark, sf_dir):
+    return _rounded(barcodes.information(barcodes.composition(_counts(spark, sf_dir)))).withColumn("effective_space", F.round("effective_space", 1))
+
+
+@_query(_SPACE + """, lam AS (SELECT sample_id, n, len, space, n / space AS occ, -ln(1 - n / space) AS l FROM spaces JOIN sizes USING (sample_id))
+ SELECT sample_id, n AS umis, pow(4, len) AS nominal_space, round(space, 1) AS effective_space, round(occ, 6) AS occupancy, occ >= 0.9 AS saturated, round(l, 6) AS lambda, round(space * l, 3) AS molecules, round(space * l - n, 3) AS hidden,
+   round((1 - exp(-l) - l * exp(-l)) / (1 - exp(-l)), 6) AS p_multi, round((space * l - n) / (space * l), 6) AS bias_loss FROM lam""")
+def barcode_space(spark, sf_dir):
+    df = _rounded(barcodes.barcode_space(_counts(spark, sf_dir)))
+    return df.withColumns({"effective_space": F.round("effective_space", 1), "molecules": F.round("molecules", 3), "hidden": F.round("hidden", 3)})
+
+
+_PHRED = _READS + ", q AS (SELECT sample_id, ascii(substr(umi_qual, i, 1)) - 33 AS phred FROM (SELECT sample_id, umi_qual, unnest(range(1, 13)) AS i FROM reads))"
+
+
+@_query(_PHRED + " SELECT sample_id, CAST(phred AS INT) AS phred, count(*) AS bases, round(pow(10, -phred / 10.0), 6) AS error_probability FROM q GROUP BY 1, 2, 4")
+def umi_phred_histogram(spark, sf_dir):
+    return _rounded(barcodes.phred_histogram(reads(spark, sf_dir)))
+
+
+@_query(_READS + ", l AS (SELECT sample_id, CAST(length(seq) AS INT) AS payload_length, count(*) AS reads FROM reads GROUP BY ALL) SELECT a.sample_id, a.payload_length, a.reads, CAST(sum(b.reads) AS BIGINT) AS at_least FROM l a JOIN l b ON a.sample_id = b.sample_id AND b.payload_length >= a.payload_length GROUP BY ALL")
+def payload_length_histogram(spark, sf_dir):
+    return barcodes.payload_lengths(reads(spark, sf_dir))
+
+
+@_query(_SPACE + f""", errs AS (SELECT sample_id, avg(pow(10, -(ascii(substr(umi_qual, i, 1)) - 33) / 10.0)) AS e FROM (SELECT sample_id, umi_qual, unnest(range(1, 13)) AS i FROM reads) GROUP BY 1)
+ SELECT sample_id, round(e, 6) AS mean_error, CAST(round({barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, 6) AS DOUBLE) AS polymerase_error, round(e + {barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, 6) AS predicted, round(1 - pow(1 - e - {barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, len), 6) AS barcode_error, round(least(1, n / space), 6) AS neighbour_occupancy, n / space > 0.05 AS unreliable FROM errs JOIN spaces USING (sample_id) JOIN sizes USING (sample_id)""")
+def error_budget(spark, sf_dir):
+    return _rounded(barcodes.error_budget(reads(spark, sf_dir)))
+
+
+_PAIRS = """, cand AS (SELECT sample_id, key, cnt, i AS pos, concat(substr(key, 1, i - 1), b, substr(key, i + 1)) AS other FROM counts, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE substr(key, i, 1) <> b),
+pairs AS (SELECT x.sample_id, x.key AS child, y.key AS parent, x.cnt AS c, y.cnt AS p, CAST(x.pos AS INT) AS pos FROM cand x JOIN counts y ON x.sample_id = y.sample_id AND x.other = y.key)"""
+
+
+@_query(_COUNTS + _PAIRS + " SELECT sample_id, pos, child AS a, parent AS b FROM pairs")
+def neighbour_pairs(spark, sf_dir):
+    return neighbours.neighbour_pairs(_counts(spark, sf_dir)).select("sample_id", "pos", F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+
+@_query(_COUNTS + _PAIRS + " SELECT sample_id, count(*) // 2 AS pairs FROM pairs GROUP BY 1")
+def distance1_census(spark, sf_dir):
+    return neighbours.census(_counts(spark, sf_dir))
+
+
+@_query()
+def umi_error_estimate(spark, sf_dir):
+    return neighbours.error_rate(_counts(spark, sf_dir))
+
+
+_POST = _SPACE + _PAIRS + f""", gated AS (SELECT * FROM pairs WHERE p > c AND c <= 0.5 * p),
+pmf AS (SELECT sample_id, cnt AS c, greatest(count(*) / any_value(n), 1 / (any_value(n) + 1.0)) AS p_size FROM counts JOIN sizes USING (sample_id) GROUP BY 1, 2),
+terms AS (SELECT g.*, n / space * p_size AS ind, p * {ERROR} / 3 AS mean, c / CAST(c + p AS DOUBLE) AS f, least(0.9, 1e-5 * 25 * 12) AS rho FROM gated g JOIN sizes USING (sample_id) JOIN spaces USING (sample_id) JOIN pmf USING (sample_id, c)),
+likely AS (SELECT *, (1 - rho) * exp(-mean + c * ln(mean) - lgamma(c + 1)) + rho * CASE WHEN f <= 0.5 AND p > 1 THEN 1 / (f * f) / (p + 1 - 2) * p / CAST((c + p) * (c + p) AS DOUBLE) ELSE 0 END AS err FROM terms),
+post AS (SELECT sample_id, child, parent, c, p, pos, err / (err + ind) AS posterior FROM likely)"""
+
+
+def _posteriors(spark, sf_dir):
+    return correction.posteriors(_counts(spark, sf_dir), correction.Correction(error=ERROR))
+
+
+@_query(_POST + " SELECT sample_id, child, parent, c AS c_child, p AS c_parent, pos, round(posterior, 6) AS posterior FROM post")
+def correction_posterior(spark, sf_dir):
+    return _rounded(_posteriors(spark, sf_dir))
+
+
+_PARENTS = _POST.replace("WITH reads", "WITH RECURSIVE reads", 1) + """, best AS (SELECT sample_id, child, parent, posterior FROM post QUALIFY row_number() OVER (PARTITION BY sample_id, child ORDER BY posterior DESC, pos, parent) = 1),
+chosen AS (SELECT * FROM best WHERE posterior >= 0.95),
+chain AS (SELECT sample_id, child, parent AS root, 1 AS depth FROM chosen UNION ALL SELECT k.sample_id, k.child, c.parent, k.depth + 1 FROM chain k JOIN chosen c ON k.sample_id = c.sample_id AND k.root = c.child),
+roots AS (SELECT sample_id, child, arg_max(root, depth) AS root FROM chain GROUP BY 1, 2)"""
+
+
+def _roots(spark, sf_dir):
+    return correction.roots(correction.parents(_posteriors(spark, sf_dir)))
+
+
+@_query(_PARENTS + " SELECT * FROM roots")
+def correction_roots(spark, sf_dir):
+    return _roots(spark, sf_dir)
+
+
+_TABLE = _PARENTS + """, rooted AS (SELECT sample_id, key, cnt, coalesce(root, key) AS root FROM counts c LEFT JOIN roots r USING (sample_id) WHERE FALSE),
+tab0 AS (SELECT c.sample_id, c.key, c.cnt, coalesce(r.root, c.key) AS root FROM counts c LEFT JOIN roots r ON c.sample_id = r.sample_id AND c.key = r.child),
+tab AS (SELECT a.sample_id, a.key, a.cnt, CAST(coalesce(t.total, 0) AS BIGINT) AS corrected, a.root FROM tab0 a LEFT JOIN (SELECT sample_id, root, sum(cnt) AS total FROM tab0 GROUP BY 1, 2) t ON a.sample_id = t.sample_id AND a.key = t.root)"""
+_TABLE = _TABLE.replace(""", rooted AS (SELECT sample_id, key, cnt, coalesce(root, key) AS root FROM counts c LEFT JOIN roots r USING (sample_id) WHERE FALSE)""", "")
+
+
+def _table(spark, sf_dir):
+    return written(correction.barcode_table(_counts(spark, sf_dir), _roots(spark, sf_dir)), "table")
+
+
+@_query(_TABLE + " SELECT * FROM tab")
+def barcode_table(spark, sf_dir):
+    return _table(spark, sf_dir)
+
+
+@_query(_PARENTS + " SELECT src_index, a.sample_id, a.umi, coalesce(r.root, a.umi) AS corrected_umi, r.root IS NOT NULL AS umi_corrected FROM reads a LEFT JOIN roots r ON a.sample_id = r.sample_id AND a.umi = r.child")
+def corrected_reads(spark, sf_dir):
+    return correction.corrected_reads(reads(spark, sf_dir), _roots(spark, sf_dir)).select("src_index", "sample_id", "umi", "corrected_umi", "umi_corrected")
+
+
+@_query()
+def molecule_estimates(spark, sf_dir):
+    return _rounded(correction.molecule_estimates(_counts(spark, sf_dir), _roots(spark, sf_dir)))
+
+
+@_query()
+def payload_clonality(spark, sf_dir):
+    return _rounded(correction.clonality(correction.evidence(reads(spark, sf_dir))))
+
+
+@_query()
+def refined_roots(spark, sf_dir):
+    """Correction with payloads, the barcodes' own qualities and the estimated rate."""
+    seen = written(correction.evidence(reads(spark, sf_dir)), "evidence")
+    scored = correction.posteriors(seen, rates=neighbours.error_rate(seen), agreement=correction.clonality(seen))
+    return correction.roots(correction.parents(scored))
+
+
+@_query(_TABLE + " SELECT sample_id, corrected AS size, round(ln(1 + corrected), 6) AS log1p_size, count(*) AS molecules, CAST(sum(corrected) AS BIGINT) AS reads FROM tab WHERE corrected > 0 GROUP BY 1, 2")
+def size_spectrum(spark, sf_dir):
+    return _rounded(tables.size_spectrum(_table(spark, sf_dir)))
+
+
+@_query(_TABLE + f""", own AS (SELECT sample_id, {_BIN.format('cnt')} AS bin, count(*) AS barcodes, CAST(sum(cnt) AS BIGINT) AS reads, count(*) FILTER (corrected = 0) AS merged FROM tab GROUP BY 1, 2),
+kept AS (SELECT sample_id, {_BIN.format('corrected')} AS bin, count(*) AS molecules FROM tab WHERE corrected > 0 GROUP BY 1, 2)
+ SELECT sample_id, CAST(1 << bin AS BIGINT) AS min_reads, CAST((2 << bin) - 1 AS BIGINT) AS max_reads, coalesce(barcodes, 0) AS barcodes, coalesce(reads, 0) AS reads, coalesce(merged, 0) AS merged, round(coalesce(merged / barcodes, 0), 6) AS fraction_erroneous, coalesce(molecules, 0) AS molecules FROM own FULL JOIN kept USING (sample_id, bin)""")
+def size_bins(spark, sf_dir):
+    return _rounded(tables.size_bins(_table(spark, sf_dir)))
+
+
+@_query(_TABLE + f""", s AS (SELECT sample_id, key, corrected FROM tab WHERE corrected > 0), bad AS (SELECT DISTINCT x.sample_id, x.key FROM s x JOIN pairs ON x.sample_id = pairs.sample_id AND x.key = child JOIN s y ON y.sample_id = x.sample_id AND y.key = parent WHERE y.corrected >= 20 * x.corrected)
+ SELECT sample_id, CAST(1 << bin AS BIGINT) AS min_reads, CAST((2 << bin) - 1 AS BIGINT) AS max_reads, count(*) AS molecules, count(b) AS suspected_residual, round(count(b) / count(*), 6) AS residual_fdr FROM (SELECT s.sample_id, {_BIN.format('corrected')} AS bin, bad.key AS b FROM s LEFT JOIN bad ON s.sample_id = bad.sample_id AND s.key = bad.key) GROUP BY 1, bin""")
+def residual_fdr(spark, sf_dir):
+    return _rounded(tables.residual_fdr(_table(spark, sf_dir)))
+
+
+@_query(_TABLE + """, kids AS (SELECT c.sample_id, c.parent AS key, count(*) AS kids, sum(t.cnt) AS kid_reads FROM chosen c JOIN counts t ON c.sample_id = t.sample_id AND c.child = t.key GROUP BY 1, 2),
+d AS (SELECT tab.sample_id, tab.cnt AS parent_reads, count(*) AS parents, CAST(coalesce(sum(kids), 0) AS BIGINT) AS child_barcodes, CAST(coalesce(sum(kid_reads), 0) AS BIGINT) AS child_reads FROM tab LEFT JOIN kids ON tab.sample_id = kids.sample_id AND tab.key = kids.key WHERE corrected > 0 GROUP BY 1, 2)
+ SELECT sample_id, parent_reads, parents, child_barcodes, child_reads, round(child_barcodes / parents, 6) AS children_per_parent, round(-3.0 / parent_reads * ln(1 - child_barcodes / parents / 36), 6) AS error_from_variants, round(child_reads / parents / (parent_reads * 12), 6) AS error_from_reads FROM d""")
+def umi_errors_by_depth(spark, sf_dir):
+    scored = _posteriors(spark, sf_dir)
+    chosen = written(correction.parents(scored), "parents")
+    table = correction.barcode_table(_counts(spark, sf_dir), correction.roots(chosen))
+    return _rounded(tables.errors_by_depth(table, chosen))
+
+
+@_query(_TABLE + """, r AS (SELECT sample_id, corrected, row_number() OVER (PARTITION BY sample_id ORDER BY corrected DESC, key) AS rank, sum(corrected) OVER (PARTITION BY sample_id ORDER BY corrected DESC, key ROWS UNBOUNDED PRECEDING) AS upto, sum(corrected) OVER (PARTITION BY sample_id) AS total, count(*) OVER (PARTITION BY sample_id) AS n FROM tab WHERE corrected > 0),
+grid AS (SELECT CAST(1 AS BIGINT) AS g UNION ALL SELECT greatest(g + 1, (g * 105) // 100) FROM grid WHERE g < 100000000)
+ SELECT DISTINCT sample_id, rank, corrected AS reads, CAST(upto AS BIGINT) AS cumulative_reads, round(upto / total, 6) AS cumulative_fraction FROM r WHERE rank IN (SELECT g FROM grid) OR rank = n""")
+def molecule_rank(spark, sf_dir):
+    return _rounded(tables.molecule_rank(_table(spark, sf_dir)))
+
+
+_CELLS = _READS + ", cells AS (SELECT sample_id, cell, count(DISTINCT umi) AS molecules FROM reads GROUP BY 1, 2)"
+
+
+@_query(_CELLS + " SELECT * FROM cells")
+def cell_molecules(spark, sf_dir):
+    return cells.cell_molecules(reads(spark, sf_dir))
+
+
+_CALLED = _CELLS + """, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY molecules DESC, cell) AS rank, count(*) OVER (PARTITION BY sample_id) AS n FROM cells),
+t AS (SELECT sample_id, greatest(1, molecules // 10) AS least FROM o WHERE rank = floor(0.01 * least(3000, n)) + 1),
+called AS (SELECT o.sample_id, cell, molecules, rank, molecules >= t.least AS called FROM o JOIN t ON o.sample_id = t.sample_id)"""
+
+
+@_query(_CALLED + " SELECT sample_id, cell, molecules, called FROM called")
+def cell_calls(spark, sf_dir):
+    return cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))
+
+
+@_query(_CALLED + " SELECT sample_id, rank, molecules AS umis, called, CAST(sum(molecules) OVER (PARTITION BY sample_id ORDER BY rank) AS BIGINT) AS cumulative_umis, round(sum(molecules) OVER (PARTITION BY sample_id ORDER BY rank) / sum(molecules) OVER (PARTITION BY sample_id), 6) AS cumulative_fraction FROM called")
+def cell_rank(spark, sf_dir):
+    return _rounded(cells.cell_rank(cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))))
+
+
+@_query()
+def cell_knee(spark, sf_dir):
+    return cells.knee(cells.cell_rank(cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))))
+
+
+def _snapped(spark, sf_dir):
+    """Cells with a letter changed in every seventh barcode-error read, against a list of the true cells."""
+    r = reads(spark, sf_dir)
+    listed = r.select("cell").distinct()
+    moved = F.concat(F.translate(F.substring("cell", 1, 1), "ACGT", "CGTA"), F.substring("cell", 2, 15))
+    seen = r.withColumn("cell", F.when(F.col("src_index") % 7 == 0, moved).otherwise(F.col("cell")))
+    return cells.snap(cells.observed_cells(seen), listed)
+
+
+_SNAPPED = _READS + """, listed AS (SELECT DISTINCT cell FROM reads), obs AS (SELECT cell, count(*) AS reads FROM (SELECT CASE WHEN src_index % 7 = 0 THEN concat(translate(substr(cell, 1, 1), 'ACGT', 'CGTA'), substr(cell, 2)) ELSE cell END AS cell FROM reads) GROUP BY 1)"""
+
+
+@_query(_SNAPPED + " SELECT cell, reads, CASE WHEN cell IN (SELECT cell FROM listed) THEN 'exact' WHEN EXISTS (SELECT 1 FROM listed l WHERE hamming(l.cell, obs.cell) = 1) THEN 'near' ELSE 'far' END AS status FROM obs")
+def whitelist_reach(spark, sf_dir):
+    s = _snapped(spark, sf_dir)
+    return s.select("cell", "reads", F.when(F.col("status").isin("corrected", "off_list"), "near").otherwise(F.col("status")).alias("status"))
+
+
+@_query()
+def whitelist_snap(spark, sf_dir):
+    return _rounded(_snapped(spark, sf_dir))
+
+
+@_query(_READS + " SELECT src_index, sample_id, umi FROM reads QUALIFY row_number() OVER (PARTITION BY sample_id, umi ORDER BY src_index) <= 3")
+def read_cap(spark, sf_dir):
+    return consensus.capped(reads(spark, sf_dir), ("sample_id", "umi"), 3).select("src_index", "sample_id", "umi")
+
+
+_COLUMNS = _READS + """, v AS (SELECT sample_id, umi_true, CAST(i AS INT) AS position, substr(seq, i, 1) AS b, greatest(least(pow(10, -(ascii(substr(qual, i, 1)) - 33) / 10.0), 0.75), 1e-7) AS e FROM (SELECT *, unnest(range(1, 33)) AS i FROM reads)),
+s AS (SELECT sample_id, umi_true, position, sum(CASE WHEN b = 'A' THEN ln(1 - e) ELSE ln(e / 3) END) AS a, sum(CASE WHEN b = 'C' THEN ln(1 - e) ELSE ln(e / 3) END) AS c, sum(CASE WHEN b = 'G' THEN ln(1 - e) ELSE ln(e / 3) END) AS g, sum(CASE WHEN b = 'T' THEN ln(1 - e) ELSE ln(e / 3) END) AS t, count(*) AS n FROM v GROUP BY 1, 2, 3),
+m AS (SELECT *, greatest(a, c, g, t) AS top FROM s), w AS (SELECT *, greatest(exp(a - top) + exp(c - top) + exp(g - top) + exp(t - top) - 1, 0) AS rest FROM m),
+cons AS (SELECT sample_id, umi_true, position, n, CASE WHEN a >= top - 1e-9 THEN 'A' WHEN c >= top - 1e-9 THEN 'C' WHEN g >= top - 1e-9 THEN 'G' ELSE 'T' END AS base, rest / (1 + rest) AS p, CAST(greatest(2, least(round(-10 * log10(rest / (1 + rest) + 1e-4)), 40)) AS INT) AS phred FROM w)"""
+
+
+@_query(_COLUMNS + " SELECT sample_id, umi_true, position, base, round(p, 6) AS p_error, n, phred FROM cons")
+def consensus_columns(spark, sf_dir):
+    return _rounded(consensus.columns(reads(spark, sf_dir), ("sample_id", "umi_true")))
+
+
+@_query(_COLUMNS + ", d AS (SELECT sample_id, umi_true, count(*) AS reads FROM reads GROUP BY 1, 2) SELECT sample_id, umi_true, reads, string_agg(base, '' ORDER BY position) AS seq, string_agg(chr(33 + phred), '' ORDER BY position) AS qual, round(avg(p), 6) AS mean_error, round(avg(phred), 6) AS mean_quality FROM cons JOIN d USING (sample_id, umi_true) GROUP BY 1, 2, 3")
+def consensus_records(spark, sf_dir):
+    return _rounded(consensus.records(reads(spark, sf_dir), ("sample_id", "umi_true")))
+
+
+@_query(_READS + ", v AS (SELECT sample_id, umi_true, seq, count(*) AS n FROM reads GROUP BY 1, 2, 3) SELECT sample_id, umi_true, CAST(sum(n) AS BIGINT) AS reads, max(n) AS support, arg_min(seq, (-n, seq)) AS seq FROM v GROUP BY 1, 2")
+def consensus_fast(spark, sf_dir):
+    return consensus.fast(reads(spark, sf_dir), ("sample_id", "umi_true"))
+
+
+@_query(_COLUMNS + """, d AS (SELECT sample_id, umi_true, count(*) AS reads FROM reads GROUP BY 1, 2), rec AS (SELECT sample_id, umi_true, floor(log2(reads) + 1e-9) AS bin, CAST(floor(avg(phred) + 0.5) AS INT) AS q FROM cons JOIN d USING (sample_id, umi_true) GROUP BY 1, 2, 3)
+ SELECT sample_id, CAST(pow(2, bin) AS BIGINT) AS min_reads, CAST(pow(2, bin + 1) - 1 AS BIGINT) AS max_reads, count(*) AS molecules, min(q) AS q_min, quantile_disc(q, 0.25) AS q_p25, quantile_disc(q, 0.5) AS q_median, quantile_disc(q, 0.75) AS q_p75, max(q) AS q_max, round(avg(q), 6) AS q_mean FROM rec GROUP BY sample_id, bin""")
+def quality_by_depth(spark, sf_dir):
+    return _rounded(consensus.quality_by_depth(consensus.quality_grid(consensus.records(reads(spark, sf_dir), ("sample_id", "umi_true")))))
+
+
+def _raw(spark, sf_dir):
+    """Reads as sequenced: barcode, adapter, payload."""
+    adapter = F.when(F.col("src_index") % 5 == 0, "TACCTAC").when(F.col("src_index") % 11 == 0, "GGGGGGG").otherwise("TACGTAC")
+    r = reads(spark, sf_dir)
+    q = F.substring("qual", 1, 1)
+    return r.select("src_index", F.concat("umi", adapter, "seq").alias("seq"), F.concat("umi_qual", *[q] * 7, "qual").alias("qual"))
+
+
+_RAW = _READS + ", raw AS (SELECT src_index, concat(umi, CASE WHEN src_index % 5 = 0 THEN 'TACCTAC' WHEN src_index % 11 = 0 THEN 'GGGGGGG' ELSE 'TACGTAC' END, seq) AS seq, concat(umi_qual, repeat(substr(qual, 1, 1), 7), qual) AS qual FROM reads)"
+
+
+def _sql_score(layout: str) -> str:
+    from .plans.layout import compile_layout
+
+    terms = []
+    for i, p in enumerate(compile_layout(layout).positions, 1):
+        if p.kind == "scored":
+            e = f"pow(10, -(ascii(substr(qual, {i}, 1)) - 33) / 10.0)"
+            terms.append(f"CASE WHEN substr(seq, {i}, 1) = '{p.bases}' THEN log2(4 * (1 - {e})) ELSE {p.weight} * log2(4 * greatest({e}, 1e-6) / 3) END")
+    return " + ".join(terms)
+
+
+@_query(_RAW + f", m AS (SELECT *, {_sql_score(LAYOUT)} AS s FROM raw) SELECT src_index, round(s, 6) AS score, substr(seq, 1, 12) AS umi, CAST(19 AS INT) AS payload_begin FROM m WHERE s >= log2(100)")
+def pattern_match_anchored(spark, sf_dir):
+    m = match.match(_raw(spark, sf_dir), LAYOUT, 0).filter("match.found")
+    return _rounded(m.select("src_index", F.col("match.score").alias("score"), "match.umi", "match.payload_begin"))
+
+
+@_query()
+def pattern_match_scan(spark, sf_dir):
+    raw = _raw(spark, sf_dir).withColumn("seq", F.concat(F.lit("GC"), F.col("seq"))).withColumn("qual", F.concat(F.lit("II"), F.col("qual")))
+    m = match.match(raw, LAYOUT, 4).filter("match.found")
+    return _rounded(m.select("src_index", "match.offset", F.col("match.score").alias("score"), F.col("match.margin").alias("margin"), "match.umi"))
+
+
+@_query()
+def sample_assignment(spark, sf_dir):
+    got = match.assign(_raw(spark, sf_dir), {"one": LAYOUT, "two": "NNNNNNNNNNNNtACCTac"}, 0)
+    return got.select("src_index", "status", "sample", "match.umi")
+
+
+@_query()
+def strand_normalise(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    turned = F.col("src_index") % 2 == 1
+    raw = raw.select("src_index", F.when(turned, B.reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"), F.when(turned, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+    return match.either_strand(raw, LAYOUT, 0).select("src_index", "strand", "match.umi")
+
+
+@_query()
+def quality_calibration(spark, sf_dir):
+    return _rounded(match.fit_calibration(match.calibration(_raw(spark, sf_dir), LAYOUT, 0)))
+
+
+def _indexed(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.col("event_id")
+    i7 = F.when(n % 3 == 0, "ACGT").otherwise("TTGC")
+    i5 = F.when(n % 97 == 0, "CCCC").when(n % 3 == 0, "GGAA").otherwise("CCTT")
+    name = F.concat_ws(":", F.lit("M"), F.lit("1"), F.lit("FC"), (n % 2 + 1).cast("string"), (1100 + n % 7).cast("string"), F.lit("10"), n.cast("string"))
+    return e.select(F.concat(F.lit("1:N:0:"), i7, F.lit("+"), i5).alias("comment"), name.alias("name"))
+
+
+@_query("""WITH p AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'ACGT' ELSE 'TTGC' END AS i7, CASE WHEN event_id % 97 = 0 THEN 'CCCC' WHEN event_id % 3 = 0 THEN 'GGAA' ELSE 'CCTT' END AS i5 FROM events),
+c AS (SELECT i7, i5, count(*) AS reads FROM p GROUP BY 1, 2), s AS (SELECT i7, i5, reads, reads / sum(reads) OVER (PARTITION BY i7) AS a, reads / sum(reads) OVER (PARTITION BY i5) AS b FROM c)
+SELECT i7, i5, reads, round(a, 6) AS share_of_i7, round(b, 6) AS share_of_i5, a >= 0.05 AND b >= 0.05 AS declared FROM s""")
+def index_pairs(spark, sf_dir):
+    return _rounded(qc.index_pairs(_indexed(spark, sf_dir)))
+
+
+@_query()
+def index_hopping(spark, sf_dir):
+    return _rounded(qc.hopping(qc.index_pairs(_indexed(spark, sf_dir))))
+
+
+@_query("SELECT CAST(event_id % 2 + 1 AS INT) AS lane, CAST(1100 + event_id % 7 AS INT) AS tile, count(*) AS reads, round(count(*) / sum(count(*)) OVER (PARTITION BY event_id % 2), 6) AS share_of_lane FROM events GROUP BY event_id % 2, event_id % 7")
+def tile_yield(spark, sf_dir):
+    return _rounded(qc.tile_yield(_indexed(spark, sf_dir)))
+
+
+@_query(_RAW + """, p AS (SELECT CAST(i AS INT) AS cycle, substr(seq, i, 1) AS b, ascii(substr(qual, i, 1)) - 33 AS q FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM raw)),
+n AS (SELECT cycle, count(*) FILTER (b = 'A') AS A, count(*) FILTER (b = 'C') AS C, count(*) FILTER (b = 'G') AS G, count(*) FILTER (b = 'T') AS T, CAST(count(*) AS DOUBLE) AS n, avg(q) AS q FROM p GROUP BY 1)
+SELECT cycle, A, C, G, T, CAST(0 AS BIGINT) AS other, round(q, 6) AS mean_phred, round(-(coalesce(A / n * log2(nullif(A, 0) / n), 0) + coalesce(C / n * log2(nullif(C, 0) / n), 0) + coalesce(G / n * log2(nullif(G, 0) / n), 0) + coalesce(T / n * log2(nullif(T, 0) / n), 0)), 6) AS entropy_bits,
+ round((A * A + C * C + G * G + T * T) / (n * n), 6) AS collision, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS consensus, round((abs(A / n - 0.25) + abs(C / n - 0.25) + abs(G / n - 0.25) + abs(T / n - 0.25)) / 2, 6) AS deviation FROM n""")
+def cycle_profile(spark, sf_dir):
+    return _rounded(qc.cycle_profile(_raw(spark, sf_dir)))
+
+
+@_query()
+def kmer_enrichment(spark, sf_dir):
+    return _rounded(qc.kmer_enrichment(_raw(spark, sf_dir)))
+
+
+@_query()
+def subsample_by_hash(spark, sf_dir):
+    return sampling.subsample(reads(spark, sf_dir), 2500, "umi").select("src_index", "sample_id", "umi")
+
+
+@_query(_READS + ", f AS (SELECT umi, min(src_index) AS first FROM reads GROUP BY 1), c AS (SELECT first FROM f ORDER BY first LIMIT 1 OFFSET 500) SELECT src_index, umi FROM reads WHERE src_index < (SELECT first FROM c)")
+def intake_limit(spark, sf_dir):
+    return sampling.first_barcodes(reads(spark, sf_dir), 500).select("src_index", "umi")
+
+
+@_query(_READS + """, k AS (SELECT concat(sample_id, umi_true) AS t, concat(sample_id, umi) AS f FROM reads), c AS (SELECT t, f, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT t, sum(n) AS a, count(*) AS parts FROM c GROUP BY 1), q AS (SELECT f, sum(n) AS b, count(*) AS parts FROM c GROUP BY 1),
+v AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS both_, (SELECT sum(a * (a - 1) / 2) FROM r) AS x, (SELECT sum(b * (b - 1) / 2) FROM q) AS y, (SELECT count(*) FROM k) AS n, (SELECT sum(a) FROM r WHERE parts > 1) AS s, (SELECT coalesce(sum(b), 0) FROM q WHERE parts > 1) AS m)
+SELECT n AS reads, round((both_ - x * y / (n * (n - 1) / 2)) / ((x + y) / 2 - x * y / (n * (n - 1) / 2)), 6) AS adjusted_rand, round(s / n, 6) AS split_share, round(m / n, 6) AS merged_share FROM v""")
+def grouping_ari(spark, sf_dir):
+    r = reads(spark, sf_dir).select(F.concat("sample_id", "umi_true").alias("t"), F.concat("sample_id", "umi").alias("f"))
+    return _rounded(analysis.grouping_agreement(r, "t", "f"))
+
+
+def _intervals(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    start = F.col("o_orderkey") * 37 % 200_000
+    return o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 3).cast("string")).alias("chrom"), start.alias("start"), (start + 50 + F.col("o_custkey") % 400).alias("end"), F.col("o_orderkey").alias("molecule"))
+
+
+@_query("""WITH m AS (SELECT concat('chr', CAST(o_custkey % 3 AS VARCHAR)) AS chrom, o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e, o_orderkey AS molecule FROM orders),
+t AS (SELECT concat('chr', CAST(s_suppkey % 3 AS VARCHAR)) AS chrom, s_suppkey * 1009 % 200000 AS s, s_suppkey * 1009 % 200000 + 300 AS e, s_suppkey AS target FROM supplier)
+SELECT target, count(DISTINCT molecule) AS molecules FROM t LEFT JOIN m ON t.chrom = m.chrom AND m.s < t.e AND m.e > t.s GROUP BY 1""")
+def molecules_per_target(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    at = F.col("s_suppkey") * 1009 % 200_000
+    targets = s.select(F.concat(F.lit("chr"), (F.col("s_suppkey") % 3).cast("string")).alias("chrom"), at.alias("start"), (at + 300).alias("end"), F.col("s_suppkey").alias("target"))
+    return analysis.per_target(_intervals(spark, sf_dir), targets)
+
+
+@_query("""WITH b AS (SELECT concat('chr', CAST(o_custkey % 3 AS VARCHAR)) AS grp, o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders WHERE o_orderkey % 40 = 0)
+SELECT grp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM b y WHERE y.grp = x.grp AND (y.s < x.s OR y.s = x.s AND y.e < x.e) AND y.e > x.s)) AS components FROM (SELECT DISTINCT * FROM b) x GROUP BY 1""")
+def overlap_components(spark, sf_dir):
+    return analysis.overlap_components(_intervals(spark, sf_dir).filter("molecule % 40 = 0").withColumnRenamed("chrom", "grp"))
+
+
+_CLUSTERS = "SELECT event_id AS id, CAST(event_id % 2 + 1 AS INT) AS lane, CAST(1100 + event_id % 7 AS INT) AS tile, user_id % 50 AS umi, event_id * 7919 % 3000 AS x, event_id * 104729 % 3000 AS y FROM events"
+
+
+@_query(f"WITH c AS ({_CLUSTERS}) SELECT a.lane, a.tile, count(*) AS pairs FROM c a JOIN c b ON a.lane = b.lane AND a.tile = b.tile AND a.umi = b.umi AND a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 10000 GROUP BY 1, 2")
+def optical_duplicates(spark, sf_dir):
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    return analysis.optical_duplicates(e.select(n.alias("id"), (n % 2 + 1).cast("int").alias("lane"), (1100 + n % 7).cast("int").alias("tile"), (F.col("user_id") % 50).alias("umi"), (n * 7919 % 3000).alias("x"), (n * 104729 % 3000).alias("y")))
+
+
+@_query("""WITH k AS (SELECT l_partkey % 50 AS pos, l_suppkey % 20 AS chrom, l_linenumber % 4 AS alt, l_quantity FROM lineitem), c AS (SELECT DISTINCT chrom, pos, alt FROM k WHERE l_quantity > 40), t AS (SELECT DISTINCT chrom, pos, alt FROM k WHERE l_quantity < 10)
+SELECT (SELECT count(*) FROM (SELECT * FROM c INTERSECT SELECT * FROM t)) AS tp, (SELECT count(*) FROM (SELECT * FROM c EXCEPT SELECT * FROM t)) AS fp, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM c)) AS fn""")
+def variant_score(spark, sf_dir):
+    k = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 50).alias("pos"), (F.col("l_suppkey") % 20).alias("chrom"), (F.col("l_linenumber") % 4).alias("alt"), "l_quantity")
+    return analysis.variant_score(k.filter("l_quantity > 40"), k.filter("l_quantity < 10"))
+
+
+@_query(_CELLS + " SELECT count(*) FILTER (a.cell IS NOT NULL AND b.cell IS NOT NULL) AS shared, count(*) FILTER (b.cell IS NULL) AS only_left, count(*) FILTER (a.cell IS NULL) AS only_right FROM (SELECT DISTINCT cell FROM cells WHERE sample_id = 'S1') a FULL JOIN (SELECT DISTINCT cell FROM cells WHERE molecules > 40) b ON a.cell = b.cell")
+def cell_set_overlap(spark, sf_dir):
+    c = cells.cell_molecules(reads(spark, sf_dir))
+    return analysis.set_overlap(c.filter("sample_id = 'S1'"), c.filter("molecules > 40"))
+
+
+@_query()
+def limit_of_detection(spark, sf_dir):
+    rows = [(n, k, round(analysis.detection_limit(n, k), 9)) for n in (100, 1000, 10_000, 100_000) for k in (1, 2, 3)]
+    return spark.createDataFrame(rows, "molecules int, needed int, fraction double")
+
+
+@_query()
+def independence(spark, sf_dir):
+    return _rounded(analysis.independence(_counts(spark, sf_dir)), 9)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["coverage_histogram"](spark, sf_dir)
+    return coverage_histogram(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
