@@ -1,56 +1,17 @@
-"""What the operators share: the shared folder, written intermediate tables, folds, text columns."""
+"""What the operators share: written intermediate tables, folds, objects for the executors."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from typing import Any
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from ..storage import discard, scratch, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is unset, a local master gets a temporary folder and a
-    cluster its warehouse folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-        return _local[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/tagloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This cuts the lineage; the files outlive any executor.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["discard", "fold", "scratch", "shared_dir", "shipped", "table", "unpacked", "written"]
 
 
 def fold(key: str | Column, folds: int, which: int) -> Column:
