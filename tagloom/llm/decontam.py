@@ -151,13 +151,16 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 SCHEMA = "doc_id long, contaminated boolean, item_id long, equal_tokens int, item_share double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: whether it holds benchmark text, and of which item the most.
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: whether it holds benchmark text, and of which item the most."""
+    return _judged(docs, benchmark, id_col, text_col, ())
 
-    ``carry`` names further columns of ``docs`` to hand through.
-    """
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, hand: tuple[str, ...]) -> DataFrame:
+    """With the columns of ``hand`` as _h0, _h1 ..., so that no name can clash."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
+    carry = tuple(f"_h{i}" for i in range(len(hand)))
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(h) for c, h in zip(hand, carry)))
     handed = [f for f in rows.schema.fields[2:]]
     schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in handed)
 
@@ -193,7 +196,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
-    judged = docs.select(*docs.columns, F.col(text_col).alias("_kept_text"))
-    carry = tuple(c for c in docs.columns if c not in (id_col,))
-    found = contaminated(judged, benchmark, id_col, "_kept_text", carry)
-    return found.filter(~F.col("contaminated")).select(*(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col) if c == id_col else F.col(c) for c in docs.columns))
+    found = _judged(docs, benchmark, id_col, text_col, tuple(docs.columns)).filter(~F.col("contaminated"))
+    return found.select(*(F.col(f"_h{i}").alias(c) for i, c in enumerate(docs.columns)))

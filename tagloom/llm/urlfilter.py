@@ -102,7 +102,7 @@ def _joined(split: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
     listed = listed.groupBy("r_host", "r_path").agg(F.min_by("verdict", F.col("verdict") != "block").alias("r_verdict"))
     lengths = F.array(*[F.lit(n) for n in sorted({len(p) for _, _, p in rules})])
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    suffixes = F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), ".")), F.lit("")))
     rows = split.withColumn("row", F.monotonically_increasing_id())
     wanted = rows.select("row", F.explode(suffixes).alias("r_host"), "path").select(
         "row", "r_host", F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))).alias("r_path")
