@@ -70,7 +70,7 @@ _COMPOSITION = _COUNTS + """, places AS (SELECT sample_id, key, unnest(range(1,
 comp AS (SELECT sample_id, CAST(position AS INT) AS position, count(*) FILTER (substr(key, position, 1) = 'A') AS A, count(*) FILTER (substr(key, position, 1) = 'C') AS C,
   count(*) FILTER (substr(key, position, 1) = 'G') AS G, count(*) FILTER (substr(key, position, 1) = 'T') AS T, CAST(count(*) AS DOUBLE) AS n FROM places GROUP BY ALL),
 info AS (SELECT sample_id, position, A, C, G, T, -(coalesce(A / n * log2(nullif(A, 0) / n), 0) + coalesce(C / n * log2(nullif(C, 0) / n), 0) + coalesce(G / n * log2(nullif(G, 0) / n), 0) + coalesce(T / n * log2(nullif(T, 0) / n), 0)) AS h,
-  (A * A + C * C + G * G + T * T) / (n * n) AS m FROM comp)"""
+  (A / n) * (A / n) + (C / n) * (C / n) + (G / n) * (G / n) + (T / n) * (T / n) AS m FROM comp)"""
 
 
 @_query(_COMPOSITION + " SELECT sample_id, position, A, C, G, T, round(h, 6) AS entropy_bits, round(2 - h, 6) AS information_bits, round(m, 6) AS collision FROM info")
@@ -403,7 +403,7 @@ def tile_yield(spark, sf_dir):
 @_query(_RAW + """, p AS (SELECT CAST(i AS INT) AS cycle, substr(seq, i, 1) AS b, ascii(substr(qual, i, 1)) - 33 AS q FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM raw)),
 n AS (SELECT cycle, count(*) FILTER (b = 'A') AS A, count(*) FILTER (b = 'C') AS C, count(*) FILTER (b = 'G') AS G, count(*) FILTER (b = 'T') AS T, CAST(count(*) AS DOUBLE) AS n, avg(q) AS q FROM p GROUP BY 1)
 SELECT cycle, A, C, G, T, CAST(0 AS BIGINT) AS other, round(q, 6) AS mean_phred, round(-(coalesce(A / n * log2(nullif(A, 0) / n), 0) + coalesce(C / n * log2(nullif(C, 0) / n), 0) + coalesce(G / n * log2(nullif(G, 0) / n), 0) + coalesce(T / n * log2(nullif(T, 0) / n), 0)), 6) AS entropy_bits,
- round((A * A + C * C + G * G + T * T) / (n * n), 6) AS collision, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS consensus, round((abs(A / n - 0.25) + abs(C / n - 0.25) + abs(G / n - 0.25) + abs(T / n - 0.25)) / 2, 6) AS deviation FROM n""")
+ round((A / n) * (A / n) + (C / n) * (C / n) + (G / n) * (G / n) + (T / n) * (T / n), 6) AS collision, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS consensus, round((abs(A / n - 0.25) + abs(C / n - 0.25) + abs(G / n - 0.25) + abs(T / n - 0.25)) / 2, 6) AS deviation FROM n""")
 def cycle_profile(spark, sf_dir):
     return _rounded(qc.cycle_profile(_raw(spark, sf_dir)))
 
