@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases as B
-from .operators import analysis, barcodes, cells, consensus, correction, match, neighbours, qc, sampling, tables
+from .operators import analysis, barcodes, cells, consensus, correction, match, neighbours, qc, reports, sampling, split, tables
 from .sources.derived import READS_SQL, reads
 from .storage import written
 
@@ -486,6 +486,36 @@ def independence(spark, sf_dir):
     return _rounded(analysis.independence(_counts(spark, sf_dir)), 9)
 
 
+@_query(_SPACE + """, lam AS (SELECT sample_id, n, len, eff, space, -ln(1 - n / space) AS l FROM spaces JOIN sizes USING (sample_id)),
+s AS (SELECT sample_id, sum(cnt) / count(*) AS mean, avg(CASE WHEN cnt = 1 THEN 1.0 ELSE 0 END) AS singles FROM counts GROUP BY 1)
+ SELECT sample_id, concat_ws(',', CASE WHEN mean < 5 THEN 'shallow' END, CASE WHEN eff < 0.8 * len THEN 'uneven_barcodes' END, CASE WHEN n / space >= 0.9 THEN 'saturated' END, CASE WHEN (1 - exp(-l) - l * exp(-l)) / (1 - exp(-l)) > 0.05 THEN 'collisions' END,
+   CASE WHEN (space * l - n) / (space * l) > 0.25 THEN 'bias_loss' END, CASE WHEN mean < 3 THEN 'few_reads_per_barcode' END, CASE WHEN singles > 0.5 THEN 'singletons' END) AS warnings FROM lam JOIN s USING (sample_id)""")
+def library_warnings(spark, sf_dir):
+    return reports.library_warnings(_counts(spark, sf_dir))
+
+
+@_query()
+def suggested_layout(spark, sf_dir):
+    found = reports.suggest_layout(qc.cycle_profile(_raw(spark, sf_dir)))
+    rows = [(s["kind"], s["start"], s["end"], s["bases"]) for s in found["segments"]]
+    return spark.createDataFrame(rows, "kind string, start int, end int, bases string")
+
+
+@_query(_READS + """, r2 AS (SELECT *, substr(seq, 17) AS clone FROM reads), p AS (SELECT clone, i AS position, substr(seq, i, 1) AS b FROM (SELECT *, unnest(range(1, 33)) AS i FROM r2)),
+g AS (SELECT clone, count(*) AS n FROM r2 GROUP BY 1 HAVING count(*) >= 6), k AS (SELECT clone, position, count(*) FILTER (b = 'A') AS a, count(*) FILTER (b = 'C') AS c, count(*) FILTER (b = 'G') AS g, count(*) FILTER (b = 'T') AS t FROM p WHERE clone IN (SELECT clone FROM g) GROUP BY 1, 2),
+m AS (SELECT clone, CAST(position AS INT) AS position, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS major, a + c + g + t - greatest(a, c, g, t) AS minor, a + c + g + t AS called FROM k)
+SELECT clone, position, major, minor, CAST(row_number() OVER (PARTITION BY clone ORDER BY minor DESC, position) - 1 AS INT) AS col FROM m WHERE minor >= 2 AND 2 * minor <= called QUALIFY row_number() OVER (PARTITION BY clone ORDER BY minor DESC, position) <= 8""")
+def minor_columns(spark, sf_dir):
+    return split.minor_columns(reads(spark, sf_dir).withColumn("clone", F.substring("seq", 17, 16)), ("clone",))
+
+
+@_query()
+def molecule_split(spark, sf_dir):
+    """Pairs of orders put under one barcode, split again."""
+    r = reads(spark, sf_dir).withColumn("umi", F.concat("sample_id", (F.hash("umi_true") % 900).cast("string")))
+    return _rounded(split.split_records(r))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_histogram(spark, sf_dir)
 

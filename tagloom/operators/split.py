@@ -1,0 +1,102 @@
+"""Two molecules under one barcode, told apart by linked minority bases.
+
+A column is minor where at least two reads, and at most half of those called, do
+not carry its commonest base; a molecule's eight strongest are kept. Two columns
+are linked if their minority bases fall on the same reads, or on complementary
+ones, more often than chance has it (hypergeometric, corrected for the pairs
+tried). A molecule of six reads or more whose best pair passes ``THRESHOLD`` is
+split once, if both parts have two reads.
+
+All steps are grouped aggregates and equi-joins on the molecule's key. Only reads
+that carry a minority base are joined, at most eight rows each.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.bases import BASES
+from ..storage import written
+from .consensus import capped, records
+
+MIN_SPLIT_READS = 6
+MIN_MINOR = 2
+MAX_COLUMNS = 8
+THRESHOLD = 8.68
+
+
+def minor_columns(reads: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, position, major, minor, col): col from 0, strongest first, then by position."""
+    width = reads.groupBy(*keys).agg(F.min(F.length("seq")).alias("_w"), F.count("*").alias("_n")).filter((F.col("_n") >= MIN_SPLIT_READS) & (F.col("_w") > 0))
+    places = reads.join(width, list(keys)).select(*keys, F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("position"), "seq")
+    counts = places.groupBy(*keys, "position").agg(*[F.count_if(F.substring(F.col("seq"), F.col("position"), F.lit(1)) == b).alias(b) for b in BASES])
+    most, called = F.greatest(*BASES), sum((F.col(b) for b in BASES), F.lit(0))
+    major = F.when(F.col("A") == most, "A").when(F.col("C") == most, "C").when(F.col("G") == most, "G").otherwise("T")
+    found = counts.select(*keys, "position", major.alias("major"), (called - most).alias("minor"), called.alias("_called")).filter((F.col("minor") >= MIN_MINOR) & (2 * F.col("minor") <= F.col("_called")))
+    order = Window.partitionBy(*keys).orderBy(F.desc("minor"), "position")
+    return found.withColumn("col", F.row_number().over(order) - 1).filter(F.col("col") < MAX_COLUMNS).drop("_called")
+
+
+def _log_choose(n: Column, k: Column) -> Column:
+    """Sum of log((n-k+i)/i) over i = 1..k."""
+    some = F.filter(F.sequence(F.lit(0).cast("long"), k.cast("long")), lambda i: i > 0)
+    return F.aggregate(some, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
+
+
+def tail(c: Column, n: Column, a: Column, b: Column) -> Column:
+    """-log10 P(X >= c), X hypergeometric: of n reads, a carry one mark and b the other."""
+    first = _log_choose(b, c) + _log_choose(n - b, a - c) - _log_choose(n, a)
+    later = F.filter(F.sequence(c.cast("long"), F.least(a, b).cast("long")), lambda x: x < F.least(a, b))
+    rest = F.aggregate(
+        later,
+        F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
+        lambda s, x: F.struct((s["sum"] + s["term"] * (b - x) * (a - x) / ((x + 1) * (n - a - b + x + 1))).alias("sum"), (s["term"] * (b - x) * (a - x) / ((x + 1) * (n - a - b + x + 1))).alias("term")),
+        lambda s: s["sum"],
+    )
+    return -(first + F.log(rest)) / math.log(10)
+
+
+def linked(reads: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """((keys, src_index, col): reads that carry a minority base; (keys, x, y, score, flip): each molecule's best pair of columns)."""
+    columns = written(minor_columns(reads, keys), "columns")
+    base = F.substring(F.col("seq"), F.col("position"), F.lit(1))
+    marked = reads.select(*keys, "src_index", "seq").join(columns, list(keys)).filter(base.isin(*BASES) & (base != F.col("major"))).select(*keys, "src_index", "col")
+    marked = written(marked, "marked")
+    n = reads.groupBy(*keys).agg(F.count("*").alias("n"))
+    sums = marked.groupBy(*keys, "col").agg(F.count("*").alias("marks"))
+    both = marked.withColumnRenamed("col", "x").join(marked.withColumnRenamed("col", "y"), [*keys, "src_index"]).filter("x < y").groupBy(*keys, "x", "y").agg(F.count("*").alias("c11"))
+    pairs = sums.select(*keys, F.col("col").alias("x"), F.col("marks").alias("a")).join(sums.select(*keys, F.col("col").alias("y"), F.col("marks").alias("b")), list(keys)).filter("x < y")
+    pairs = pairs.join(both, [*keys, "x", "y"], "left").join(n, list(keys)).withColumn("c11", F.coalesce("c11", F.lit(0)))
+    tried = columns.groupBy(*keys).agg((F.count("*") * (F.count("*") - 1) / 2).alias("tried"))
+    a, b, c, total = F.col("a"), F.col("b"), F.col("c11"), F.col("n")
+    same = F.when(c >= 2, tail(c, total, a, b)).otherwise(0.0)
+    opposite = F.when(a - c >= 2, tail(a - c, total, a, total - b)).otherwise(0.0)
+    # A generator of one row, so that the sums are not copied into each expression that reads them.
+    scored = pairs.join(tried, list(keys)).select(*keys, "x", "y", "tried", F.explode(F.array(F.struct(same.alias("same"), opposite.alias("opposite")))).alias("t"))
+    score = F.greatest("t.same", "t.opposite") - F.log10(F.col("tried")) - math.log10(2)
+    scored = scored.select(*keys, "x", "y", score.alias("score"), (F.col("t.opposite") > F.col("t.same")).alias("flip"))
+    best = scored.groupBy(*keys).agg(F.max_by(F.struct("x", "y", "score", "flip"), F.struct(F.round("score", 9), -F.col("x"), -F.col("y"))).alias("p")).select(*keys, "p.*")
+    return marked, written(best, "linked")
+
+
+def molecules(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), threshold: float = THRESHOLD) -> DataFrame:
+    """``reads``, as far as they vote, with molecule (1, or 2 for the smaller part) and linkage."""
+    reads = capped(reads, keys)
+    marked, best = linked(reads, keys)
+    chosen = best.filter(F.col("score") > threshold)
+    bits = marked.join(chosen, list(keys)).groupBy(*keys, "src_index").agg(F.count_if(F.col("col") == F.col("x")).alias("_x"), F.count_if(F.col("col") == F.col("y")).alias("_y"), F.first("flip").alias("_flip"))
+    minor = bits.filter((F.col("_x") == 1) & (F.col("_y") == F.when(F.col("_flip"), 0).otherwise(1))).select(*keys, "src_index", F.lit(2).alias("molecule"))
+    sizes = minor.groupBy(*keys).agg(F.count("*").alias("_m")).join(reads.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys)).filter((F.col("_m") >= MIN_MINOR) & (F.col("_n") - F.col("_m") >= MIN_MINOR)).select(*keys)
+    minor = minor.join(sizes, list(keys), "left_semi")
+    out = reads.join(minor, [*keys, "src_index"], "left").withColumn("molecule", F.coalesce("molecule", F.lit(1)))
+    return out.join(best.select(*keys, F.col("score").alias("linkage")), list(keys), "left").withColumn("linkage", F.greatest(F.coalesce("linkage", F.lit(0.0)), F.lit(0.0)))
+
+
+def split_records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = 1e-4) -> DataFrame:
+    """One consensus per molecule after splitting: (keys, molecule, reads, seq, qual, mean_error, mean_quality, linkage)."""
+    parted = written(molecules(reads, keys), "parted")
+    linkage = parted.groupBy(*keys, "molecule").agg(F.max("linkage").alias("linkage"))
+    return records(parted, (*keys, "molecule"), floor).join(linkage, [*keys, "molecule"])

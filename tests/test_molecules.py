@@ -159,3 +159,63 @@ def test_subsampling_keeps_molecules_whole(spark):
     assert sampling.first_barcodes(r, 50).select("umi").distinct().count() == 50 and sampling.first_reads(r, 10).count() == 10
     with pytest.raises(ValueError):
         sampling.subsample(r, 0)
+
+
+def split_by_hand(reads):
+    """(score, members of the smaller part) of equal-length reads, by the rule as stated."""
+    width, n = min(map(len, reads)), len(reads)
+    cols = []
+    for j in range(width):
+        counts = [sum(r[j] == b for r in reads) for b in "ACGT"]
+        minor = sum(counts) - max(counts)
+        if minor >= 2 and 2 * minor <= sum(counts):
+            cols.append((-minor, j, "ACGT"[counts.index(max(counts))]))
+    cols = sorted(cols)[:8]
+    marks = [[r[j] in "ACGT" and r[j] != m for r in reads] for _, j, m in cols]
+
+    def sf(c, a, b):
+        return -math.log10(sum(math.comb(b, x) * math.comb(n - b, a - x) for x in range(c, min(a, b) + 1)) / math.comb(n, a))
+
+    best = (0.0, None)
+    for x in range(len(cols)):
+        for y in range(x + 1, len(cols)):
+            a, b, c = sum(marks[x]), sum(marks[y]), sum(p and q for p, q in zip(marks[x], marks[y]))
+            same, other = sf(c, a, b) if c >= 2 else 0.0, sf(a - c, a, n - b) if a - c >= 2 else 0.0
+            s = max(same, other) - math.log10(len(cols) * (len(cols) - 1) / 2) - math.log10(2)
+            if s > best[0] + 1e-9:
+                best = (s, [i for i in range(n) if marks[x][i] and marks[y][i] == (other <= same)])
+    return best
+
+
+def test_two_molecules_are_told_apart(spark):
+    from tagloom.operators.split import split_records
+
+    draw, rows, groups = random.Random(11), [], {}
+    for g in range(25):
+        one, two = ("".join(draw.choices("ACGT", k=30)) for _ in range(2))
+        sizes = draw.choice(((20, 20), (30, 12), (40, 0), (5, 0), (25, 25)))
+        for template, n in zip((one, two), sizes):
+            for _ in range(n):
+                read = "".join(draw.choice("ACGT") if draw.random() < 0.01 else c for c in template)
+                groups.setdefault(g, []).append(read)
+                rows.append((len(rows), f"g{g}", read, "I" * 30))
+    got = {}
+    for r in split_records(spark.createDataFrame(rows, "src_index long, umi string, seq string, qual string"), ("umi",)).collect():
+        got.setdefault(r.umi, {})[r.molecule] = (r.reads, r.linkage)
+    for g, reads in groups.items():
+        score, part = split_by_hand(reads) if len(reads) >= 6 else (0.0, None)
+        if score > 8.68:
+            assert got[f"g{g}"][2][0] == len(part) and got[f"g{g}"][1][0] == len(reads) - len(part)
+        else:
+            assert set(got[f"g{g}"]) == {1}
+        assert got[f"g{g}"][1][1] == pytest.approx(score, abs=1e-6)
+    assert sum(len(m) == 2 for m in got.values()) >= 5
+
+
+def test_suggested_layout(spark):
+    from tagloom.operators.qc import cycle_profile
+    from tagloom.operators.reports import suggest_layout
+
+    draw = random.Random(12)
+    rows = [(i, "".join(draw.choices("ACGT", k=6)) + "TACGT" + "".join(draw.choices("AAAAAC", k=4)), "I" * 15) for i in range(3000)]
+    assert suggest_layout(cycle_profile(spark.createDataFrame(rows, "src_index long, seq string, qual string")))["layout"] == "NNNNNNTACGT"
