@@ -15,7 +15,8 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 null language is never learned; with one learned language all other texts get it
 with score 1; with none, all are ``und``; languages without an entry in ``FAMILY``
 are families of their own; repeated rows are predicted each for itself; an empty
-table gives an empty result; other columns are ignored unless named in ``carry``.
+table gives an empty result; other columns are ignored, or handed through by
+``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import shipped, unpacked
 from .linear import svm
 
-FEATURES = 1 << 13
-PER_LANG = 600
-SAMPLE_CHARS = 20_000  # of a training text; predictions read whole texts
+BITS = 12
+FEATURES = 1 << BITS
+PER_LANG = 500
+SAMPLE_CHARS = 5_000  # of a training text; predictions read whole texts
 
 #: Families by ISO 639-1 code.
 FAMILY = {
@@ -55,7 +57,7 @@ def features(text: str, out: np.ndarray) -> None:
     two = a[:-1] * np.uint32(257) + a[1:]
     three = two[:-1] * np.uint32(257) + a[2:]
     for n, grams in enumerate((a, two, three)):
-        bins = ((grams + np.uint32(n * 7919)) * np.uint32(2654435761)) >> np.uint32(32 - 13)
+        bins = ((grams + np.uint32(n * 7919)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
         out += np.bincount(bins, minlength=FEATURES)
     np.sqrt(out, out)
     out /= np.linalg.norm(out) or 1.0
@@ -64,8 +66,7 @@ def features(text: str, out: np.ndarray) -> None:
 class Hierarchy:
     """Families, then languages, each by one-versus-one machines."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        x = np.c_[x, np.ones(len(x), x.dtype)]
+    def __init__(self, x: np.ndarray, langs: list[str]):  # the last column of x is all ones
         family = np.array([FAMILY.get(lang, lang) for lang in langs])
         langs = np.array(langs)
         self.families = sorted(set(family.tolist()))
@@ -79,7 +80,7 @@ class Hierarchy:
         out = np.zeros((len(pairs), x.shape[1]))
         for i, (a, b) in enumerate(pairs):
             some = (y == a) | (y == b)
-            out[i] = svm(x[some].astype(np.float64), np.where(y[some] == a, 1.0, -1.0))
+            out[i] = svm(x[some], np.where(y[some] == a, 1.0, -1.0))
         return out
 
     @staticmethod
@@ -115,18 +116,31 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     share = F.coalesce(*[F.when(F.col(lang_col) == r.l, F.lit(per_lang / r["count"])) for r in known])
     chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.select(F.col(lang_col).alias("l"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).filter(F.col("t").rlike(r"\p{L}")).limit(2 * per_lang * len(known))
-    langs, x = [], []
-    for row in chosen.toLocalIterator():
-        langs.append(row.l)
+    sample = chosen.collect()
+    if not sample:
+        return None
+    x = np.ones((len(sample), FEATURES + 1), np.float32)  # the last column is the bias
+    for at, row in enumerate(sample):
         one = np.zeros(FEATURES)
         features(row.t, one)
-        x.append(one.astype(np.float32))
-    return Hierarchy(np.array(x), langs) if langs else None
+        x[at, :-1] = one
+    return Hierarchy(x, [row.l for row in sample])
+
+
+def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every document."""
+    return _identified(docs, model, id_col, text_col, ())
+
+
+def keep_identified(docs: DataFrame, model: Hierarchy | None, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that are ``und`` or score below ``least``."""
+    found = _identified(docs, model, id_col, text_col, tuple(docs.columns)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*(F.col(f"_h{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
-def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document, and the columns named in ``carry``."""
-    rows = docs.select(F.when(F.col(text_col).cast("string").rlike(r"\p{L}"), F.col(text_col).cast("string")).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
+def _identified(docs: DataFrame, model: Hierarchy | None, id_col: str, text_col: str, hand: tuple[str, ...]) -> DataFrame:
+    """With the columns of ``hand`` as _h0, _h1 ..., so that no name can clash."""
+    rows = docs.select(F.when(F.col(text_col).cast("string").rlike(r"\p{L}"), F.col(text_col).cast("string")).alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"_h{i}") for i, c in enumerate(hand)))
     handed = rows.schema.fields[2:]
     sent = shipped(docs.sparkSession, model)
 

@@ -10,14 +10,15 @@ def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 150) -> np
 
     Accelerated gradient descent; classes weigh alike. ``x`` has a last column of ones.
     """
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    y = y.astype(x.dtype)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
     for _ in range(20):  # the largest curvature
         v = x.T @ (weight * (x @ v))
         size = np.linalg.norm(v) or 1.0
         v /= size
     step = 1 / (2 * size * 1.1 + reg)
-    w, ahead = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, ahead = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         new = ahead - step * (reg * ahead - 2 * x.T @ (weight * y * slack))
