@@ -6,7 +6,7 @@ all. In a round in which the sources have m_1 ... m_n blocks, M in all, block k
 source j is released at floor((k-1) M / m_j) and due at ceil(k M / m_j). Every
 slot goes to the released block with the earliest deadline (ties to the source
 that sorts first). Pfair scheduling keeps each source within less than one block
-of its share of the slots at every time.
+of its share m_j / M of the slots at every time.
 
 All rounds with the same blocks are alike: m_j is c_j until a source has fewer
 left, so there are at most two patterns more per source. Only these patterns are
@@ -42,7 +42,7 @@ ADDED = ("weight", "block", "release", "deadline", "slot", "slot_row")
 
 
 def _sources(docs: DataFrame, source: str, weights: Mapping[str, float] | None, block_rows: int, resolution: int) -> DataFrame:
-    """(_source, rows, weight, share, blocks): one row per source."""
+    """(_source, _g, rows, weight, share, blocks): one row per source; _g numbers them as they sort."""
     counted = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("rows"))
     if weights is None:  # halfway, on a log scale, between even and proportional
         counted = counted.withColumn("w", F.sqrt("rows"))
@@ -55,17 +55,18 @@ def _sources(docs: DataFrame, source: str, weights: Mapping[str, float] | None,
     everything = Window.partitionBy(F.lit(1))
     counted = counted.withColumn("weight", F.col("w") / F.sum("w").over(everything))
     share = F.greatest(F.lit(1), F.round(F.col("weight") * resolution)).cast("long")
-    return counted.select("_source", "rows", "weight", share.alias("share"), F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"))
+    number = F.row_number().over(everything.orderBy(F.asc_nulls_first("_source")))
+    return counted.select("_source", number.alias("_g"), "rows", "weight", share.alias("share"), F.ceil(F.col("rows") / block_rows).cast("long").alias("blocks"))
 
 
 def _patterns(sources: DataFrame) -> DataFrame:
     """(first_round, base, slots, members): runs of rounds with the same blocks; base is the first slot of the first round."""
-    entry = F.struct(F.col("_source").isNotNull().alias("named"), "_source", "share", "blocks")
+    entry = F.struct("_g", "share", "blocks")
     listed = sources.agg(F.array_sort(F.collect_list(entry)).alias("s"))
     full = F.transform("s", lambda e: F.floor(e.blocks / e.share).cast("long"))
     starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), full, F.transform(full, lambda r: r + 1))))
     runs = listed.select("s", F.explode(starts).alias("first_round"))
-    left = F.transform("s", lambda e: F.struct(e["_source"].alias("source"), F.greatest(F.lit(0).cast("long"), F.least(e.share, e.blocks - F.col("first_round") * e.share)).alias("m")))
+    left = F.transform("s", lambda e: F.struct(e["_g"].alias("g"), F.greatest(F.lit(0).cast("long"), F.least(e.share, e.blocks - F.col("first_round") * e.share)).alias("m")))
     base = F.aggregate("s", F.lit(0).cast("long"), lambda a, e: a + F.least(e.blocks, F.col("first_round") * e.share))
     runs = runs.select("first_round", base.alias("base"), F.filter(left, lambda e: e.m > 0).alias("members"))
     slots = F.aggregate("members", F.lit(0).cast("long"), lambda a, e: a + e.m)
@@ -73,7 +74,7 @@ def _patterns(sources: DataFrame) -> DataFrame:
 
 
 def _timetable(patterns: DataFrame) -> DataFrame:
-    """(first_round, base, slots, source, k, release, deadline, at): one row per slot of each pattern, by earliest deadline first."""
+    """(first_round, base, slots, _tg, k, release, deadline, at): one row per slot of each pattern, by earliest deadline first."""
 
     def released(j, done, m, t):
         return F.when((done < m) & (F.floor(done * F.col("slots") / m) <= t), F.struct(F.ceil((done + 1) * F.col("slots") / m).alias("due"), j.alias("j")))
@@ -92,7 +93,7 @@ def _timetable(patterns: DataFrame) -> DataFrame:
     at = patterns.select("first_round", "base", "slots", "members", F.posexplode(run).alias("at", "p"))
     m = F.get("members", F.col("p.j"))
     return at.select(
-        "first_round", "base", "slots", m["source"].alias("_source"), F.col("p.k").alias("k"),
+        "first_round", "base", "slots", m["g"].alias("_tg"), F.col("p.k").alias("k"),
         F.floor(F.col("p.k") * F.col("slots") / m["m"]).cast("long").alias("_release"), F.ceil((F.col("p.k") + 1) * F.col("slots") / m["m"]).cast("long").alias("_deadline"), F.col("at").cast("long").alias("at"),
     )
 
@@ -113,21 +114,21 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     if (2 * n_sources + 1) * n_slots <= MAX_BROADCAST_SLOTS:
         timetable = F.broadcast(timetable)
 
-    known = sources.select(F.col("_source"), "rows", "weight", "share")
+    known = sources.select("_source", "_g", "rows", "weight", "share")
     dealt = docs.join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_h", F.xxhash64(id_col))
     dealt = dealt.withColumn("_bucket", F.pmod(F.col("_h"), F.ceil(4 * F.sqrt("rows")).cast("long")))
-    sizes = dealt.groupBy(F.col("_source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_s", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", id_col)) - 1)
-    dealt = dealt.join(sizes, (F.col("_bucket") == F.col("_b")) & F.col("_source").eqNullSafe(F.col("_s")))
+    sizes = dealt.groupBy("_g", "_bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_g", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_g", "_bucket").orderBy("_h", id_col)) - 1)
+    dealt = dealt.join(sizes, ["_g", "_bucket"])  # dealt out as for the ranks: documents are not shuffled again
     rank = F.col("_before") + F.col("_in")
     dealt = dealt.withColumn("block", F.floor(rank / block_rows).cast("long")).withColumn("slot_row", (rank % block_rows).cast("int"))
     round_ = F.floor(F.col("block") / F.col("share")).cast("long")
     dealt = dealt.withColumn("_round", round_).withColumn("_k", F.col("block") % F.col("share"))
     dealt = dealt.withColumn("_first", F.array_max(F.filter(starts, lambda r: r <= F.col("_round"))))
-    timed = timetable.select(F.col("_source").alias("_t"), F.col("k").alias("_tk"), F.col("first_round").alias("_tf"), "base", "slots", "_release", "_deadline", "at")
-    placed = dealt.join(timed, (F.col("_k") == F.col("_tk")) & (F.col("_first") == F.col("_tf")) & F.col("_source").eqNullSafe(F.col("_t")))
+    timed = timetable.select("_tg", F.col("k").alias("_tk"), F.col("first_round").alias("_tf"), "base", "slots", "_release", "_deadline", "at")
+    placed = dealt.join(timed, (F.col("_k") == F.col("_tk")) & (F.col("_first") == F.col("_tf")) & (F.col("_g") == F.col("_tg")))
     start = F.col("base") + (F.col("_round") - F.col("_first")) * F.col("slots")
     return placed.select(
         *docs.columns, "weight", "block", (start + F.col("_release")).alias("release"), (start + F.col("_deadline")).alias("deadline"), (start + F.col("at")).alias("slot"), "slot_row"
