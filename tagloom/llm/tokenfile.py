@@ -42,11 +42,13 @@ from .common import scratch
 END_ID = 1
 WIDTH = 2048
 BATCH_ROWS = 64
-REMEMBERED = 300_000  # pieces of text in a worker
+REMEMBERED = 200_000  # pieces of text in a worker, and twice as many words
 
 
 #: Fixed value: a pattern of words under which a run of letters is one word, and a run of these marks after it another.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters at which Python's split parts words but the tokenizers' white space does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Such pieces in Latin-1, whose letters no normal form changes.
 PLAIN_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*$#|]*)")
 
@@ -58,7 +60,7 @@ def byte_letters() -> dict[int, int]:
 
 
 class SplitTokenizer(dict):
-    """Pieces of text between ASCII spaces -> their ids as bytes of ``kind``.
+    """Pieces of text between spaces -> their ids as bytes of ``kind``.
 
     The library's normalizer, pre-tokenizer and model do the work, once per piece
     and once per word in it; they are called one by one as that skips the offsets.
@@ -88,7 +90,10 @@ class SplitTokenizer(dict):
     def __missing__(self, piece: str) -> bytes:
         if self.plain and (found := PLAIN_PIECE.fullmatch(piece)):
             word, marks = found.groups()
-            ids = self._word(word.lower().encode().decode("latin-1").translate(self.letters)) + (self._word(marks) if marks else b"")
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids = self._word(word) + self._word(marks) if marks else self._word(word)
         elif any(a in piece for a in self.added):
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
         else:
@@ -101,8 +106,10 @@ class SplitTokenizer(dict):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         if len(self) > REMEMBERED:
             self.clear()
+        if len(self.words) > 2 * REMEMBERED:
             self.words.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, re.split("[ \t\n\r]+", text))), self.kind)
+        pieces = text.split() if SEPARATORS.search(text) is None else re.split("[ \t\n\r]+", text)
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), self.kind)
 
 
 def checked(tokenizer) -> tuple[bool, bool]:

@@ -25,7 +25,7 @@ def test_round_trip(spark, docs, rows):
 
 
 def test_pieces_are_the_whole(rows):
-    odd = ["", "a <|endoftext|> b<|endoftext|>c", " İstanbul ΑΣ x\x0by é é ́a don't I'LL 12½３ ", "a b  \n", "\u0085x", "naïve%%% Straße*** ÇA,ça", "«q» word||| 'S 's", "ﬁ Ⅷ ①²"]
+    odd = ["", "a <|endoftext|> b<|endoftext|>c", " İstanbul ΑΣ x\x0by é é ́a don't I'LL 12½３ ", "a b  \n", "\u0085x", "naïve%%% Straße*** ÇA,ça", "«q» word||| 'S 's", "ﬁ Ⅷ ①²", "a\x1cb \x1d c", "a\u00a0b\u2003c\x0bd"]
     s, t = SplitTokenizer(PATH), Tokenizer.from_file(PATH)
     assert s.by_piece and s.plain
     for text in [*odd, *(r.text or "" for r in rows)]:
