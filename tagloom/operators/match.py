@@ -13,8 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bases import BASES, PHRED_MAX, phred
-from ..plans.layout import Layout, compile_layout
+from ..functions.bases import BASES, PHRED_MAX, phred, phreds
+from ..plans.layout import MAX_CAPTURE, Layout, compile_layout
 
 ALPHA = 0.01
 SAMPLE_MARGIN = 5.0
@@ -162,3 +162,44 @@ def fit_calibration(tallied: DataFrame) -> DataFrame:
     slope = F.when((F.col("qualities") >= 2) & (d > 0), (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / d)
     slope = F.greatest(slope, F.lit(0.0))
     return s.select(slope.alias("slope"), F.greatest((F.col("sy") - slope * F.col("sx")) / F.col("sw"), F.lit(0.0)).alias("intercept"), "qualities")
+
+
+def dual(pairs: DataFrame, master: Layout | str, slave: Layout | str, max_offset: int = -1, min_margin: float = 0.0) -> DataFrame:
+    """``pairs`` (seq, qual, seq2, qual2) with the match of two layouts, one on each mate.
+
+    Both must be found. The barcode is the master's, then the slave's; the cell is
+    the master's. Together they capture 32 bases at most.
+    """
+    master, slave = (compile_layout(x) if isinstance(x, str) else x for x in (master, slave))
+    captured = len(master.places("umi")) + len(master.places("cell")) + len(slave.places("umi"))
+    if captured > MAX_CAPTURE:
+        raise ValueError(f"the layouts capture {captured} bases together; at most {MAX_CAPTURE} fit")
+    out = match(pairs, master, max_offset, name="_m")
+    out = match(out, slave, max_offset, min_margin, name="_s", seq="seq2", qual="qual2")
+    both = F.col("_m.found") & F.col("_s.found")
+    fields = {
+        "offset": F.col("_m.offset"), "score": F.col("_m.score"), "margin": F.col("_m.margin"), "umi": F.concat("_m.umi", "_s.umi"), "umi_qual": F.concat("_m.umi_qual", "_s.umi_qual"),
+        "cell": F.col("_m.cell"), "cell_qual": F.col("_m.cell_qual"), "payload_begin": F.col("_m.payload_begin"),
+    }
+    return out.select(*pairs.columns, F.struct(both.alias("found"), *[F.when(both, v).alias(k) for k, v in fields.items()]).alias("match"))
+
+
+def verdicts(matched: DataFrame, min_umi_quality: int = 0, min_payload: int = 0, reject_n: bool = False) -> DataFrame:
+    """``matched`` with a verdict: unmatched, bad_umi, short_payload or kept.
+
+    A barcode is judged by its worst base. The payload is what the read has after
+    the layout, with the whole of the mate where there is one.
+    """
+    m = F.col("match")
+    bad = (F.array_min(phreds("match.umi_qual")) < min_umi_quality) | (F.lit(reject_n) & F.contains(m["umi"], F.lit("N")))
+    payload = F.length("seq") - m["payload_begin"]
+    if "seq2" in matched.columns:
+        payload = payload + F.length(F.coalesce("seq2", F.lit("")))
+    verdict = F.when(~m["found"], "unmatched").when(F.coalesce(bad, F.lit(False)), "bad_umi").when(payload < min_payload, "short_payload").otherwise("kept")
+    return matched.withColumn("verdict", verdict)
+
+
+def trimmed(matched: DataFrame) -> DataFrame:
+    """``matched`` with seq and qual cut to the payload."""
+    begin = F.col("match.payload_begin") + 1
+    return matched.withColumns({c: F.when(F.col("match.found"), F.substring(F.col(c), begin, F.length(c))).otherwise(F.col(c)) for c in ("seq", "qual")})

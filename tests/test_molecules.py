@@ -219,3 +219,16 @@ def test_suggested_layout(spark):
     draw = random.Random(12)
     rows = [(i, "".join(draw.choices("ACGT", k=6)) + "TACGT" + "".join(draw.choices("AAAAAC", k=4)), "I" * 15) for i in range(3000)]
     assert suggest_layout(cycle_profile(spark.createDataFrame(rows, "src_index long, seq string, qual string")))["layout"] == "NNNNNNTACGT"
+
+
+def test_dual_layouts_and_verdicts(spark):
+    rows = [(0, "AAAATACGTGGG", "I" * 12, "CCTTGCAAG", "I" * 9), (1, "AAAATACGTGGG", "I" * 12, "CCAAAAAAA", "I" * 9), (2, "NAAATACGT", "#IIIIIIII", "CCTTGCA", "I" * 7)]
+    df = spark.createDataFrame(rows, "src_index long, seq string, qual string, seq2 string, qual2 string")
+    both = match.dual(df, "NNNNTACGT", "NNTTGCA", 0)
+    got = {r.src_index: r.match for r in both.collect()}
+    assert got[0].found and got[0].umi == "AAAACC" and got[0].umi_qual == "IIIIII" and not got[1].found and got[1].umi is None
+    assert {r.src_index: r.verdict for r in match.verdicts(both, min_umi_quality=10).collect()} == {0: "kept", 1: "unmatched", 2: "bad_umi"}
+    assert {r.src_index: r.verdict for r in match.verdicts(both, min_payload=8).collect()} == {0: "kept", 1: "unmatched", 2: "short_payload"}
+    assert [r.seq for r in match.trimmed(both).orderBy("src_index").collect()] == ["GGG", "AAAATACGTGGG", ""]
+    with pytest.raises(ValueError):
+        match.dual(df, "N" * 20 + "TACGT", "N" * 20 + "T")
