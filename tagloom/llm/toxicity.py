@@ -269,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
-    chosen = written(_texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").limit(4 * sample), "labelled")
+    chosen = written(_texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").limit(4 * sample).repartition("doc_id"), "labelled")
     lexicon = _learned(chosen, terms)
     rows = signals(chosen, lexicon).join(chosen.select("doc_id", "toxic").distinct(), "doc_id").drop("doc_id").collect()
     y = np.array([r.toxic for r in rows], float)
