@@ -8,7 +8,8 @@ Pairwise margins become probabilities by a logistic, are summed over opponents,
 and the score is the family's share times the language's share in it.
 
 The machines are fitted on the driver on at most about ``PER_LANG`` labelled rows
-a language (chosen by a hash of doc_id): that sample is the only bounded part.
+a language (chosen by a hash of doc_id): that sample is the only bounded part. The
+whole texts of the sample are counted in Spark tasks; the driver gets counts only.
 Prediction reads every whole text, needs no shuffle, and is given only the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
@@ -34,8 +35,7 @@ from .linear import svm
 
 BITS = 12
 FEATURES = 1 << BITS
-PER_LANG = 500
-SAMPLE_CHARS = 5_000  # of a training text; predictions read whole texts
+PER_LANG = 600
 
 #: Families by ISO 639-1 code.
 FAMILY = {
@@ -115,18 +115,30 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return None
     share = F.coalesce(*[F.when(F.col(lang_col) == r.l, F.lit(per_lang / r["count"])) for r in known])
     chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
-    chosen = chosen.select(F.col(lang_col).alias("l"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).filter(F.col("t").rlike(r"\p{L}")).limit(2 * per_lang * len(known))
-    sample = chosen.collect()
+    chosen = chosen.select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t")).filter(F.col("t").rlike(r"\p{L}"))
+    sample = chosen.mapInArrow(_counted, "l string, bins binary, counts binary").limit(2 * per_lang * len(known)).collect()
     if not sample:
         return None
-    x = np.ones((len(sample), FEATURES + 1), np.float32)  # the last column is the bias
-    for at, row in enumerate(sample):
-        one = np.zeros(FEATURES)
-        features(row.t, one)
-        x[at, :-1] = one
+    x = np.zeros((len(sample), FEATURES + 1), np.float32)
+    x[:, -1] = 1  # the bias
+    for one, row in zip(x, sample):
+        one[np.frombuffer(row.bins, np.uint16)] = np.frombuffer(row.counts, np.float32)
     return Hierarchy(x, [row.l for row in sample])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, bins, counts) of (language, whole text): the bins that are not empty."""
+    for batch in batches:
+        bins, counts = [], []
+        for text in batch.column(1):
+            one = np.zeros(FEATURES)
+            features(text.as_py(), one)
+            some = np.flatnonzero(one)
+            bins.append(some.astype(np.uint16).tobytes())
+            counts.append(one[some].astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], ["l", "bins", "counts"])
+
+
 def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
     return _identified(docs, model, id_col, text_col, ())
