@@ -453,6 +453,11 @@ def overlap_components(spark, sf_dir):
     return analysis.overlap_components(_intervals(spark, sf_dir).filter("molecule % 40 = 0").withColumnRenamed("chrom", "grp"))
 
 
+@_query()
+def overlap_components_whole(spark, sf_dir):
+    return analysis.overlap_components(_intervals(spark, sf_dir).withColumnRenamed("chrom", "grp"))
+
+
 _CLUSTERS = "SELECT event_id AS id, CAST(event_id % 2 + 1 AS INT) AS lane, CAST(1100 + event_id % 7 AS INT) AS tile, user_id % 50 AS umi, event_id * 7919 % 3000 AS x, event_id * 104729 % 3000 AS y FROM events"
 
 

@@ -51,11 +51,25 @@ def per_target(molecules: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("target").distinct().join(counted, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("molecules"))
 
 
-def overlap_components(blocks: DataFrame) -> DataFrame:
-    """(grp, components): islands of overlapping half-open blocks in each group."""
-    order = Window.partitionBy("grp").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.withColumn("_new", (reach.isNull() | (F.col("start") >= reach)).cast("long")).groupBy("grp").agg(F.sum("_new").alias("components"))
+def overlap_components(blocks: DataFrame, width: int = 10_000) -> DataFrame:
+    """(grp, components): islands of overlapping half-open blocks in each group.
+
+    A group is dealt to bins of its starts, one row per start, so a task's bin has at most
+    ``width`` rows at whole coordinates; one row per bin hands the reach of the bins before on.
+    Blocks that repeat count once; those without a start or a length overlap only what reaches over them.
+    """
+    longer = F.coalesce(F.col("end") > F.col("start"), F.lit(False))
+    starts = blocks.select("grp", "start", "end").distinct().groupBy("grp", "start").agg(
+        (F.count_if(~longer) + F.max(longer.cast("long"))).alias("_n"), F.max(F.when(F.col("start").isNotNull(), F.col("end"))).alias("_end")
+    )
+    starts = starts.withColumn("_bin", F.floor(F.col("start") / width))
+    bins = starts.groupBy(F.col("grp").alias("_g"), F.col("_bin").alias("_b")).agg(F.max("_end").alias("_most"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_carried", F.max("_most").over(before.partitionBy("_g").orderBy("_b")))
+    placed = starts.join(bins, F.col("grp").eqNullSafe(F.col("_g")) & F.col("_bin").eqNullSafe(F.col("_b")))
+    reach = F.greatest("_carried", F.max("_end").over(before.partitionBy("grp", "_bin").orderBy("start")))
+    placed = placed.withColumn("_new", F.when(F.coalesce(F.col("start") >= reach, F.lit(True)), F.col("_n")).otherwise(0))
+    return placed.groupBy("grp").agg(F.sum("_new").alias("components"))
 
 
 def optical_duplicates(clusters: DataFrame, radius: int = 100) -> DataFrame:
