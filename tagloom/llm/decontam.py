@@ -4,9 +4,11 @@ A seed is a fixed mask over neighbouring tokens: marked places count, the others
 are ignored, so a hit survives substituted tokens. The masks' hashes of all
 benchmark items form an index. Every window of every document is looked up in
 it, and each hit names an item and a diagonal (place in the document minus place
-in the item). On that diagonal the tokens are compared outward: an overlap is the
-stretch with the most matches in which every part from its start or its end has
-at least ``MIN_SIMILARITY`` of its tokens equal (matches count 1, others -4).
+in the item). The overlap of a diagonal is, of all its stretches with at least
+``MIN_SIMILARITY`` of their tokens equal (places compared one by one), the one with
+the most equal tokens. The masks are four of five tokens, whichever is left out: of
+a stretch with at most a fifth of its places changed, cut into fives, one five has at
+most one change, so every overlap of five tokens or more has a seed hit.
 
 A document is contaminated if an overlap has ``MIN_MATCHES`` equal tokens, or
 covers ``MIN_SIMILARITY`` of an item with at least five tokens.
@@ -37,12 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import shipped, unpacked
 
-#: Fixed masks. The first, without gaps, is five words; each of the others bears a substitution at its gaps.
-MASKS = ("11111", "111011", "110111", "1101011", "1011101", "11100111")
+#: Fixed masks: all of five words but one, the first or last for the first mask.
+MASKS = ("1111", "10111", "11011", "11101")
 MIN_SIMILARITY = 0.8
 MIN_MATCHES = 10
 PART_TOKENS = 2_000_000
 TOKENS_AT_ONCE = 1 << 18
+COMPARED_AT_ONCE = 1 << 21
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»„“”‘’¿¡-–—"
 
@@ -103,30 +106,51 @@ class SeedIndex:
             others.append(at[np.repeat(low, n) + step])
         return np.concatenate(places), np.concatenate(others)
 
-    def overlap(self, codes: np.ndarray, item: int, diagonal: int) -> tuple[int, int]:
-        """(equal tokens, length) of the best stretch on a diagonal of one document."""
+    def equal(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+        """Equal tokens on whole diagonals of the documents at ``starts`` to ``ends``: no overlap has more."""
+        low, high = np.maximum(0, diagonals), np.minimum(ends - starts, diagonals + self.sizes[items])
+        n, out = high - low, np.zeros(len(items), np.int64)
+        part = np.cumsum(n) // COMPARED_AT_ONCE
+        for at in np.split(np.arange(len(items)), np.flatnonzero(np.diff(part)) + 1):
+            step = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            here, there = starts[at] + low[at], self.starts[items[at]] + low[at] - diagonals[at]
+            same = codes[np.repeat(here, n[at]) + step] == self.flat[np.repeat(there, n[at]) + step]
+            out[at] = np.bincount(np.repeat(np.arange(len(at)), n[at])[same], minlength=len(at))
+        return out
+
+    def overlap(self, codes: np.ndarray, item: int, diagonal: int) -> int:
+        """Equal tokens of the best stretch on a diagonal of one document."""
         start, size = int(self.starts[item]), int(self.sizes[item])
         low, high = max(0, diagonal), min(len(codes), diagonal + size)
         same = codes[low:high] == self.flat[start + low - diagonal : start + high - diagonal]
-        score = np.where(same, 1, -4)
-        total = np.r_[0, np.cumsum(score)]
-        floor = np.minimum.accumulate(total)
-        end = int(np.argmax(total - floor))
-        begin = end - int(np.argmax(total[: end + 1][::-1] == floor[end]))
-        return int(same[begin:end].sum()), end - begin
+        total = np.r_[0, np.cumsum(np.where(same, 1, -4))]  # rises or stays over a stretch with four of five equal
+        count = np.r_[0, np.cumsum(same)]
+        begin = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place from which it does
+        return int((count - count[begin]).max())
 
     def judge(self, texts: list[list[str]]) -> list[tuple[int | None, int, float, bool]]:
         """(item_id, equal tokens, share of the item, contaminated) of each document."""
         get = self.words.get
-        sizes = np.array([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         codes = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(sizes.sum()))
+        best: list[tuple[int | None, int, float, bool]] = [(None, 0, 0.0, False)] * len(texts)
         places, others = self.hits(codes)
+        if not len(places):
+            return best
         items, doc = self.item_of[others], np.searchsorted(ends, places, "right")
         diagonals = places - (ends - sizes)[doc] - (others - self.starts[items])
-        best: list[tuple[int | None, int, float, bool]] = [(None, 0, 0.0, False)] * len(texts)
-        for d, item, diagonal in np.unique(np.stack([doc, items, diagonals], axis=1), axis=0).tolist():
-            n, length = self.overlap(codes[ends[d] - sizes[d] : ends[d]], item, diagonal)
+        least, span = int(diagonals.min()), int(diagonals.max() - diagonals.min()) + 1
+        key, diagonals = np.divmod(np.unique((doc * len(self.sizes) + items) * span + diagonals - least), span)
+        doc, items = np.divmod(key, len(self.sizes))
+        diagonals += least
+        most = self.equal(codes, (ends - sizes)[doc], ends[doc], items, diagonals)
+        may = (most >= MIN_MATCHES) | (most / self.sizes[items] >= MIN_SIMILARITY)
+        order = np.lexsort((-most, ~may))
+        for d, item, diagonal, bound, bad in zip(*(x[order].tolist() for x in (doc, items, diagonals, most, may))):
+            if (bad, bound) < (best[d][3], best[d][1]):
+                continue
+            n = self.overlap(codes[ends[d] - sizes[d] : ends[d]], item, diagonal)
             share = n / int(self.sizes[item])
             found = (int(self.ids[item]), n, share, n >= MIN_MATCHES or share >= MIN_SIMILARITY)
             if n and (found[3], n, -found[0]) > (best[d][3], best[d][1], -(best[d][0] if best[d][0] is not None else found[0] + 1)):
@@ -161,6 +185,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, h
     spark = docs.sparkSession
     carry = tuple(f"_h{i}" for i in range(len(hand)))
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(h) for c, h in zip(hand, carry)))
+    sent = [shipped(spark, SeedIndex(part)) for part in _parts(benchmark, item_col="item_id", text_col="text")] or [shipped(spark, SeedIndex([]))]
+    if len(sent) > 1:
+        rows = rows.withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
     handed = [f for f in rows.schema.fields[2:]]
     schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in handed)
 
@@ -183,14 +210,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, h
 
         return rows.mapInArrow(run, schema)
 
-    found = [passed(shipped(spark, SeedIndex(part))) for part in _parts(benchmark, item_col="item_id", text_col="text")]
-    if not found:
-        found = [passed(shipped(spark, SeedIndex([])))]
+    found = [passed(index) for index in sent]
     if len(found) == 1:
         return found[0]
     every = reduce(DataFrame.unionByName, [f.withColumn("_part", F.lit(i)) for i, f in enumerate(found)])
     best = F.max_by(F.struct("contaminated", "item_id", "equal_tokens", "item_share"), F.struct("contaminated", "equal_tokens", -F.col("item_id"))).alias("b")
-    keys = ["doc_id", *carry]
+    keys = ["doc_id", "_key", *carry]  # rows that share all of these have the same text, so the same findings
     return every.groupBy(*keys).agg(best, F.count_if(F.col("_part") == 0).alias("n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "b.contaminated", "b.item_id", "b.equal_tokens", "b.item_share", *carry)
 
 

@@ -79,3 +79,40 @@ def test_odd_rows(odd, none, spark):
     assert left.columns == odd.columns and left.count() == 8
     assert contaminated(none, benchmark).count() == 0
     assert not any(r.contaminated for r in contaminated(odd, benchmark.filter("false")).collect())
+
+
+def plain(t, u):
+    """Whether some diagonal has a stretch with four of five tokens equal that makes up ten tokens or 0.8 of the item."""
+    for diagonal in range(-len(u) + 1, len(t)):
+        same = [t[diagonal + k] == u[k] for k in range(len(u)) if 0 <= diagonal + k < len(t)]
+        for b in range(len(same)):
+            for e in range(b + 1, len(same) + 1):
+                n = sum(same[b:e])
+                if 5 * n >= 4 * (e - b) and (n >= MIN_MATCHES or 5 * n >= 4 * len(u)):
+                    return True
+    return False
+
+
+def test_substituted_passages_against_plain_equality(spark):
+    """Items of 5 to 25 tokens with up to a third of their places changed, and every fifth token changed."""
+    draw = random.Random(4)
+    items, made, truth = [], [], {}
+    sized = [(15, (4, 9)), (12, (4,)), (6, (1,)), (6, (4,)), (5, (2,)), (10, (2, 5)), (20, (4, 9, 14, 19)), (15, (1, 5, 8, 12))]
+    sized += [(n, tuple(draw.sample(range(n), draw.randint(1, n // 3)))) for n in (draw.randint(5, 25) for _ in range(150))]
+    for i, (n, changed) in enumerate(sized):
+        item = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(item)))
+        text = [f"f{draw.randrange(500)}" for _ in range(12)]
+        text[6:6] = ["other" if k in changed else w for k, w in enumerate(item)]
+        made.append((i, " ".join(text)))
+        truth[i] = plain(text, item)
+    assert all(truth[i] for i in range(7)) and not truth[7] and 20 < sum(truth.values()) < 150
+    docs, benchmark = spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r.contaminated for r in contaminated(docs, benchmark).collect()} == truth
+
+
+def test_parts_tell_texts_of_one_id_apart(spark, monkeypatch):
+    docs, benchmark, truth = planted(spark)
+    monkeypatch.setattr(decontam, "PART_TOKENS", 200)
+    found = contaminated(docs.selectExpr("7L AS doc_id", "text"), benchmark).collect()
+    assert sum(r.contaminated for r in found) == sum(truth.values()) and len(found) == 240
