@@ -27,8 +27,8 @@ folder in each round.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; texts with fewer words than a shingle hash as one; repeated rows come out
-as often as they came in; a null doc_id is kept, and is no component's id unless
-all its members are null; an empty table gives an empty result.
+as often as they came in; a null doc_id is kept and links like any other, and is no
+component's id unless all its members are null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ from .common import written
 LINK_BITS = 4
 SEED = 42  # of XXH64
 SHINGLES_AT_ONCE = 1 << 16
+HOT_ROWS = 100_000  # rows of one fingerprint that go to one task
 PAIRED = 16  # groups up to this size are compared pair by pair, larger ones walked
 
 #: Fixed value: the Golay code's generator x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -77,17 +78,17 @@ def fingerprint(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, the long columns ``carry``): fp is the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
 
-    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, "doc_id long, fp long")
+    one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return one.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carry))
 
 
 def golay_indices() -> tuple[np.ndarray, np.ndarray]:
@@ -173,30 +174,38 @@ def group_links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> np.ndarra
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with b < a: verified links among the distinct fingerprints of ``nodes`` (fp, id)."""
+    """(a, b) with b < a: verified links among the distinct fingerprints of ``nodes`` (fp)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, _ = golay_indices()
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                fps, ids = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                fps = part.column(0).to_numpy(zero_copy_only=False)
                 rows, keys = golay_keys(fps, patterns)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows]), pa.array(ids[rows])], ["key", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "fp"])
+
+    def found(parts: list[pa.RecordBatch], end: int) -> pa.RecordBatch:
+        """The links of whole groups: ``parts`` in order, of the last one ``end`` rows."""
+        parts = [*parts[:-1], parts[-1].slice(0, end)]
+        keys, fps = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(2))
+        links = group_links(keys, fps.view(np.uint64), fps)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held: list[pa.RecordBatch] = []
         for batch in batches:  # sorted by key: the last group may go on in the next batch
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if cut:
-                found = group_links(held[0][:cut], held[1][:cut].view(np.uint64), held[2][:cut])
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            found = group_links(held[0], held[1].view(np.uint64), held[2])
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    keyed = nodes.select("fp", "id").mapInArrow(emit, "key long, fp long, id long")
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut or (len(held) > 1 and held[-2].column(0)[-1].as_py() != keys[-1]):
+                yield found(held, cut)
+                held = [batch.slice(cut)]
+        if held:
+            yield found(held, held[-1].num_rows)
+
+    keyed = nodes.select("fp").mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -226,21 +235,52 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _classes(marked: DataFrame) -> DataFrame:
+    """(fp, root, n): each fingerprint's component, named by one of its fingerprints, and its number of rows."""
+    nodes = written(marked.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes))
+    return nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+
+
+def _spread(marked: DataFrame, classes: DataFrame, *what: str) -> DataFrame:
+    """``marked`` with the columns ``what`` of its fingerprint; rows of a hot fingerprint go to many tasks."""
+    hot = classes.filter(F.col("n") > HOT_ROWS).select("fp", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_pieces"))
+    piece = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.coalesce("_pieces", F.lit(1)))
+    left = marked.join(F.broadcast(hot), "fp", "left").withColumn("_piece", piece.cast("int")).drop("_pieces")  # a row per HOT_ROWS documents at most
+    last = F.greatest(F.ceil(F.col("n") / HOT_ROWS), F.lit(1)).cast("int") - 1
+    return left.join(classes.select("fp", *what, F.explode(F.sequence(F.lit(0), last)).alias("_piece")), ["fp", "_piece"]).drop("_piece")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     marked = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    roots = components(links(nodes.filter(F.col("id").isNotNull())))
-    classes = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(_classes(marked), "classes")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("id")).join(classes, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
+    return _spread(marked, classes.join(least, "root"), "component_id").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near copies: each component's smallest doc_id stays.
+    """``docs`` with one document of each component: that with the smallest doc_id, of those the one whose text's hash is least.
 
-    Rows that repeat that doc_id are reduced to one; rows with a null doc_id stay.
+    Rows are told apart by doc_id and text, so different texts of one doc_id are
+    different documents. Rows that repeat both leave one. A null doc_id loses to any other.
     """
-    found = near_duplicates(docs, words, id_col, text_col)
-    losers = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_loser")).distinct()
-    left = docs.join(losers, F.col(id_col).cast("long") == F.col("_loser"), "left_anti")
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.filter(F.col(id_col).isNull()))
+    hashes = [F.xxhash64(F.lit(i), F.col(text_col).cast("string")) for i in (1, 2)]
+    keyed = docs.select(F.struct(*(F.col(c).alias(f"h{i}") for i, c in enumerate(docs.columns))).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(h.alias(f"k{i}") for i, h in enumerate(hashes)))
+    marked = written(fingerprints(keyed, words, carry=("k0", "k1")), "fingerprints")
+    classes = written(_classes(marked), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")
+    best = marked.groupBy("fp").agg(F.min(order).alias("m")).join(classes, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.k0", "m.k1")
+    repeated = marked.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"))
+    stays = (F.col("_b.doc_id").eqNullSafe(F.col("_r.doc_id"))) & (F.col("_b.k0") == F.col("_r.k0")) & (F.col("_b.k1") == F.col("_r.k1"))
+    judged = written(repeated.alias("_r").join(best.alias("_b"), stays, "left").select("_r.doc_id", "_r.k0", "_r.k1", F.col("_b.k0").isNotNull().alias("kept"), "n"), "judged")
+
+    def those(left: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        """``left`` with or without the documents of ``rows``."""
+        rows = rows.select(F.col("doc_id").alias("_d"), F.col("k0").alias("_k0"), F.col("k1").alias("_k1"))
+        return left.join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k0") == F.col("_k0")) & (F.col("k1") == F.col("_k1")), how)
+
+    # What goes and what is repeated is less than what stays: most documents are not shuffled where that is small.
+    single = those(keyed, judged.filter("NOT kept OR n > 1"), "left_anti").select("_row")
+    several = those(keyed, judged.filter("kept AND n > 1"), "left_semi").groupBy("doc_id", "k0", "k1").agg(F.first("_row").alias("_row")).select("_row")
+    return single.unionByName(several).select(*(F.col(f"_row.h{i}").alias(c) for i, c in enumerate(docs.columns)))

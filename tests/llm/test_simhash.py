@@ -102,3 +102,32 @@ def test_one_of_each(odd, none, spark):
     found = near_duplicates(odd, 5).collect()
     assert len(found) == 9
     assert {r.component_id for r in found if r.doc_id in (1, 2, 6)} == {1}
+
+
+def test_links_through_null_ids(spark, monkeypatch):
+    """Fingerprints 0, 7 and 63, the middle one on a row without an id: it joins the others and takes their smallest id."""
+    from tagloom.llm import simhash
+
+    found = [(5, 0), (None, 7), (3, 63), (9, 1 << 40 | 0xFFF << 48)]
+    marked = spark.createDataFrame(found, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: marked)
+    got = {r.fp: r.component_id for r in near_duplicates(marked).collect()}
+    assert got == {0: 3, 7: 3, 63: 3, found[3][1]: 9}
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randrange(900)}" for _ in range(60)) for _ in range(3)]
+    made = [(1, texts[0], "a"), (1, texts[1], "a"), (2, texts[0], "b"), (1, texts[0], "c"), (None, texts[1], "d"), (None, texts[2], "e")]
+    kept = one_of_each(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r.doc_id), texts.index(r.text)) for r in kept) == [("1", 0), ("1", 1), ("None", 2)]
+
+
+def test_hot_fingerprints_are_dealt_to_many_tasks(spark, monkeypatch):
+    from tagloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    draw = random.Random(9)
+    made = [(i, "one text that many share") for i in range(95)] + [(200 + i, " ".join(f"w{draw.randrange(900)}" for _ in range(60))) for i in range(5)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert found == {i: 0 for i in range(95)} | {200 + i: 200 + i for i in range(5)}
