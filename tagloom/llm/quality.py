@@ -11,10 +11,12 @@ sends ``BINS`` sums. The target model counts the documents among a bounded sampl
 of at most about ``SAMPLE`` labelled ids. The k-th largest key is found by
 histograms that close in on it, never by a sort of all rows.
 
-Defined cases: a null or empty text has no n-grams and log weight 0; equal keys
-are kept or left together; without good labels all log weights are 0 and the
-sample is uniform; a null doc_id draws its noise as one id; repeated rows draw
-the same noise; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no n-grams and log weight 0; exactly the
+share of documents asked for is kept (rounded up), of equal keys those with the
+smaller doc_id, null last; without good labels all log weights are 0 and the
+sample is uniform; a null doc_id draws its noise as one id; repeated rows draw the
+same noise, and as many of them are kept as there is room for; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,24 +90,55 @@ def log_ratios(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
 
 def kth_largest(keyed: DataFrame, key: str, k: int) -> float:
-    """The k-th largest value of a column without nulls, or a value just below it if very many are equal."""
+    """The k-th largest value of a column without nulls."""
     low, high = keyed.agg(F.min(key), F.max(key)).first()
-    while True:
+    while low < high:
         inside = keyed.filter((F.col(key) >= low) & (F.col(key) <= high))
         width = (high - low) / STEPS
-        if width <= 0 or low + width == low:
-            return low
+        at = F.least(F.floor((F.col(key) - low) / width), F.lit(STEPS - 1)).cast("int") if low + width > low else (F.col(key) > low).cast("int")
         counts = np.zeros(STEPS, np.int64)
-        at = F.least(F.floor((F.col(key) - low) / width), F.lit(STEPS - 1)).cast("int").alias("at")
         lows, highs = {}, {}
-        for row in inside.groupBy(at).agg(F.count("*").alias("n"), F.min(key).alias("l"), F.max(key).alias("h")).collect():
+        for row in inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("l"), F.max(key).alias("h")).collect():
             counts[row["at"]], lows[row["at"]], highs[row["at"]] = row.n, row.l, row.h
         upward = np.cumsum(counts[::-1])[::-1]
         found = int(np.flatnonzero(upward >= k)[-1])
         k -= int(upward[found] - counts[found])
         low, high = lows[found], highs[found]
-        if counts[found] == 1 or low == high:
-            return low
+    return low
+
+
+def largest(keyed: DataFrame, key: str, k: int) -> DataFrame:
+    """``keyed`` (a written table) with ``selected``: exactly the k largest, of equal keys those with the smaller doc_id.
+
+    Rows alike in key and doc_id are numbered by their place in the table, each task
+    for itself after the rows of the tasks before it.
+    """
+    if k <= 0:
+        return keyed.withColumn("selected", F.lit(False))
+    least = kth_largest(keyed, key, k)
+    wanted = k - keyed.filter(F.col(key) > least).count()
+    tied = keyed.filter(F.col(key) == least)
+    for row in tied.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last("doc_id")).toLocalIterator():  # as a rule one
+        last, left = row.doc_id, wanted
+        wanted -= row.n
+        if wanted <= 0:
+            break
+    first = F.coalesce(F.col("doc_id") < F.lit(last), F.lit(False)) if last is not None else F.col("doc_id").isNotNull()
+    alike = F.col("doc_id").eqNullSafe(F.lit(last).cast("long"))
+    place = F.monotonically_increasing_id()
+    split = 1 << 33  # above it, the task
+    marked = keyed.withColumn("_tied", (F.col(key) == least) & alike)
+    if wanted == 0:
+        return marked.withColumn("selected", (F.col(key) > least) | ((F.col(key) == least) & (first | alike))).drop("_tied")
+    numbered = marked.filter("_tied").withColumn("_at", place)
+    before, counts = 0, {}
+    for row in numbered.groupBy(F.floor(F.col("_at") / split).alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():  # a row per task
+        counts[row.task] = max(0, min(row.n, left - before))
+        before += row.n
+    some = F.create_map(*[F.lit(x) for task, n in counts.items() for x in (task, n)])
+    taken = numbered.withColumn("selected", F.col("_at") % split < some[F.floor(F.col("_at") / split)]).drop("_at")
+    rest = marked.filter("NOT _tied").withColumn("selected", (F.col(key) > least) | ((F.col(key) == least) & first))
+    return rest.unionByName(taken).drop("_tied")
 
 
 def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
@@ -119,7 +152,7 @@ def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, i
     n_good, n_all = marked.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
     if share is None:
         share = n_good / n_all if n_all else 1.0
-    chosen = marked.filter((F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n_good)) * (1 << 30)))).limit(2 * sample)
+    chosen = marked.filter((F.col("quality") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n_good)) * (1 << 30)))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
     good = np.sort(np.array([r.doc_id for r in chosen.select("doc_id").collect()], np.int64))
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(rows, good))
 
@@ -129,13 +162,11 @@ def importance(docs: DataFrame, labels: DataFrame, share: float | None = None, i
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 bins, sizes = ngram_bins(part.column(1).cast(pa.large_binary()).to_pylist(), known)
-                ends = np.cumsum(sizes)
-                total = np.r_[0.0, np.cumsum(ratios.value[bins])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total[ends] - total[ends - sizes])], ["doc_id", "n_features", "log_weight"])
+                weights = np.bincount(np.repeat(np.arange(len(sizes)), sizes), ratios.value[bins], len(sizes)).astype(float)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(weights)], ["doc_id", "n_features", "log_weight"])
 
     weighed = rows.mapInArrow(run, "doc_id long, n_features long, log_weight double")
     even = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     keyed = written(weighed.withColumn("gumbel_key", F.col("log_weight") - F.ln(-F.ln(even))), "weights")
     k = math.ceil(share * keyed.count())
-    least = kth_largest(keyed, "gumbel_key", k) if k else math.inf
-    return keyed.withColumn("selected", F.col("gumbel_key") >= F.lit(least))
+    return largest(keyed, "gumbel_key", k)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa  # noqa: F401
 import xxhash
 
-from tagloom.llm.quality import BINS, BITS, importance, kth_largest, ngram_bins, WordHashes
+from tagloom.llm.quality import BINS, BITS, importance, kth_largest, largest, ngram_bins, WordHashes
 
 
 def slow_bins(text):
@@ -38,6 +38,8 @@ def test_weights_against_plain_counts(spark, docs, rows):
     keys = sorted((r.gumbel_key for r in got.values()), reverse=True)
     least = keys[math.ceil(share * len(rows)) - 1]
     assert all(r.selected == (r.gumbel_key >= least) for r in got.values())
+    again = {r.doc_id: r.log_weight for r in importance(docs.repartition(7), labels).collect()}
+    assert again == {d: r.log_weight for d, r in got.items()}
 
 
 def test_kth_largest(spark):
@@ -76,3 +78,23 @@ def test_odd_rows(odd, none, spark):
     assert all(r.n_features == 0 and r.log_weight == 0 for r in found if r.doc_id in (1, 2, 6))
     assert importance(none, labels).count() == 0
     assert all(r.selected for r in importance(odd, labels.filter("false")).collect())
+
+
+def test_exactly_k_with_ties(spark):
+    """Twenty rows, ten of one id and five without one: half means ten, whoever ties."""
+    made = [(i, "alike words") for i in range(5)] + [(7, "alike words")] * 10 + [(None, "alike words")] * 5
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for share in (0.0, 0.05, 0.3, 0.5, 0.7, 0.95, 1.0):
+        found = importance(df, labels, share=share).collect()
+        assert len(found) == 20 and sum(r.selected for r in found) == math.ceil(20 * share), share
+        kept = [r.gumbel_key for r in found if r.selected]
+        assert not kept or min(kept) >= max([r.gumbel_key for r in found if not r.selected], default=-math.inf)
+
+
+def test_largest_by_id_among_equal_keys(spark):
+    df = spark.createDataFrame([(i % 4 if i % 5 else None, 1.0) for i in range(40)] + [(9, 2.0)], "doc_id long, gumbel_key double")
+    want = sorted([(9, 2.0)] + [(i % 4 if i % 5 else None, 1.0) for i in range(40)], key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+    for k in (0, 1, 2, 9, 10, 33, 35, 41):
+        got = sorted(((r.doc_id, r.gumbel_key) for r in largest(df, "gumbel_key", k).filter("selected").collect()), key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+        assert got == want[:k], k
