@@ -1,51 +1,60 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over neighbouring tokens: marked places count, the others
-are ignored, so a hit survives substituted tokens. The masks' hashes of all
-benchmark items form an index. Every window of every document is looked up in
-it, and each hit names an item and a diagonal (place in the document minus place
-in the item). The overlap of a diagonal is, of all its stretches with at least
-``MIN_SIMILARITY`` of their tokens equal (places compared one by one), the one with
-the most equal tokens. The masks are four of five tokens, whichever is left out: of
-a stretch with at most a fifth of its places changed, cut into fives, one five has at
-most one change, so every overlap of five tokens or more has a seed hit.
-
-A document is contaminated if an overlap has ``MIN_MATCHES`` equal tokens, or
-covers ``MIN_SIMILARITY`` of an item with at least five tokens.
-
-The index goes to the executors in parts of at most ``PART_TOKENS`` benchmark
-tokens, each part in one pass over the documents, so what is broadcast has a fixed
-bound and a benchmark of any size is handled. Documents are not shuffled but for
-one row of findings each where there are several parts.
+are ignored, so a hit survives substituted tokens. The masks are four of five
+tokens, whichever is left out: of a stretch with at most a fifth of its places
+changed, cut into fives, one five has at most one change, so every overlap of five
+tokens or more has a seed in common. Seeds of texts and of items are joined by
+their hash; a text and an item that share one are verified.
+
+An overlap is a stretch on one diagonal (place in the text minus place in the item)
+with at least ``MIN_SIMILARITY`` of its tokens equal, places compared one by one. A
+document is contaminated if an overlap has ``MIN_MATCHES`` equal tokens, or its equal
+tokens are ``MIN_SIMILARITY`` of an item of at least five tokens. Equal tokens are
+first counted by diagonal, and only diagonals with enough of them, and more than the
+best overlap so far, are cut into stretches: a much repeated token costs one count
+per pair of places, never a row.
+
+As a Spark job. The benchmark's tokens and seeds are made in tasks and written. A
+table of ``2^FILTER_BITS`` bits at most, set where a seed's hash falls, tells texts
+which of their seeds to send to the join. Texts are told apart by two 64-bit hashes,
+so copies are verified once. The smaller side of a join is broadcast up to
+``MAX_BROADCAST`` rows, else dealt out ``SALTS`` times, so that a seed, item or text
+that is very common goes to many tasks.
 
 Tokens are lower-cased words without punctuation at their ends.
 
 Defined cases: null and empty texts are clean; items that are null, empty or of
 fewer than five tokens are ignored; of several items the one with the most equal
-tokens is reported, ties to the smaller item_id; repeated documents are judged
-each for itself; an empty benchmark leaves all documents clean; other columns are
-ignored.
+tokens is reported, ties to the smaller item_id, and none for clean documents;
+repeated documents are judged each for itself; an empty benchmark leaves all
+documents clean; other columns are ignored, or handed through by ``clean``, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, unpacked
+from .common import written
 
 #: Fixed masks: all of five words but one, the first or last for the first mask.
 MASKS = ("1111", "10111", "11011", "11101")
 MIN_SIMILARITY = 0.8
 MIN_MATCHES = 10
-PART_TOKENS = 2_000_000
-TOKENS_AT_ONCE = 1 << 18
-COMPARED_AT_ONCE = 1 << 21
+MIN_TOKENS = 5
+FILTER_BITS = 28
+MAX_BROADCAST = 1_000_000
+SALTS = 16
+ITEMS_AT_ONCE = 64
+PAIRS_AT_ONCE = 1 << 21
+REMEMBERED = 300_000
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&…«»„“”‘’¿¡-–—"
 
@@ -54,172 +63,196 @@ def tokens(text: str | None) -> list[str]:
     return [w for w in (x.strip(PUNCTUATION) for x in (text or "").lower().split()) if w]
 
 
-class SeedIndex:
-    """Seeds of some benchmark items; items are (item_id, tokens)."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        items = [(i, t) for i, t in items if len(t) >= 5]
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.words: dict[str, int] = {}
-        coded = [[self.words.setdefault(w, len(self.words) + 1) for w in t] for _, t in items]
-        self.sizes = np.array([len(c) for c in coded], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.array([c for one in coded for c in one], np.int64)
-        self.item_of = np.repeat(np.arange(len(items)), self.sizes)
-        self.seeds = []
-        for mask in MASKS:
-            hashes = self._hash(self.flat, mask)
-            ends = np.arange(len(hashes)) + len(mask) - 1
-            at = np.flatnonzero(self.item_of[: len(hashes)] == self.item_of[ends]) if len(hashes) else np.empty(0, np.int64)
-            at = at[np.argsort(hashes[at], kind="stable")]
-            bits = np.zeros(1 << 22, bool)
-            bits[(hashes[at] >> np.uint64(42)).astype(np.int64)] = True
-            self.seeds.append((mask, hashes[at], at, bits))
-
-    @staticmethod
-    def _hash(codes: np.ndarray, mask: str) -> np.ndarray:
-        n = len(codes) - len(mask) + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        codes = codes.astype(np.uint64)
+class Codes(dict):
+    """Words as they stand in a text -> a 64-bit hash of the token, 0 where punctuation is all."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        token = word.strip(PUNCTUATION)
+        code = self[word] = xxhash.xxh64_intdigest(token) or 1 if token else 0
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        words = (text or "").lower().split()
+        codes = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return codes[codes != 0]
+
+
+def seeds(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes by place) of each mask."""
+    odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(5)]
+    for number, mask in enumerate(MASKS):
+        n = max(0, len(codes) - len(mask) + 1)
+        out = np.full(n, number * 0x632BE59BD9B4E019 % 2**64, np.uint64)
         for i, m in enumerate(mask):
             if m == "1":
-                out = (out + codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-        return out
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``codes``, place in ``flat``) of all seed hits."""
-        places, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        known = np.flatnonzero(codes)
-        if not len(known):
-            return places[0], others[0]
-        for mask, hashes, at, bits in self.seeds:
-            found = self._hash(codes, mask)
-            i = np.flatnonzero(bits[(found >> np.uint64(42)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, found[i], "left"), np.searchsorted(hashes, found[i], "right")
-            n = high - low
-            i, low, n = i[n > 0], low[n > 0], n[n > 0]
-            places.append(np.repeat(i, n))
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            others.append(at[np.repeat(low, n) + step])
-        return np.concatenate(places), np.concatenate(others)
-
-    def equal(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
-        """Equal tokens on whole diagonals of the documents at ``starts`` to ``ends``: no overlap has more."""
-        low, high = np.maximum(0, diagonals), np.minimum(ends - starts, diagonals + self.sizes[items])
-        n, out = high - low, np.zeros(len(items), np.int64)
-        part = np.cumsum(n) // COMPARED_AT_ONCE
-        for at in np.split(np.arange(len(items)), np.flatnonzero(np.diff(part)) + 1):
-            step = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-            here, there = starts[at] + low[at], self.starts[items[at]] + low[at] - diagonals[at]
-            same = codes[np.repeat(here, n[at]) + step] == self.flat[np.repeat(there, n[at]) + step]
-            out[at] = np.bincount(np.repeat(np.arange(len(at)), n[at])[same], minlength=len(at))
-        return out
-
-    def overlap(self, codes: np.ndarray, item: int, diagonal: int) -> int:
-        """Equal tokens of the best stretch on a diagonal of one document."""
-        start, size = int(self.starts[item]), int(self.sizes[item])
-        low, high = max(0, diagonal), min(len(codes), diagonal + size)
-        same = codes[low:high] == self.flat[start + low - diagonal : start + high - diagonal]
-        total = np.r_[0, np.cumsum(np.where(same, 1, -4))]  # rises or stays over a stretch with four of five equal
-        count = np.r_[0, np.cumsum(same)]
-        begin = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place from which it does
-        return int((count - count[begin]).max())
-
-    def judge(self, texts: list[list[str]]) -> list[tuple[int | None, int, float, bool]]:
-        """(item_id, equal tokens, share of the item, contaminated) of each document."""
-        get = self.words.get
-        sizes = np.array([len(t) for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        codes = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(sizes.sum()))
-        best: list[tuple[int | None, int, float, bool]] = [(None, 0, 0.0, False)] * len(texts)
-        places, others = self.hits(codes)
-        if not len(places):
-            return best
-        items, doc = self.item_of[others], np.searchsorted(ends, places, "right")
-        diagonals = places - (ends - sizes)[doc] - (others - self.starts[items])
-        least, span = int(diagonals.min()), int(diagonals.max() - diagonals.min()) + 1
-        key, diagonals = np.divmod(np.unique((doc * len(self.sizes) + items) * span + diagonals - least), span)
-        doc, items = np.divmod(key, len(self.sizes))
-        diagonals += least
-        most = self.equal(codes, (ends - sizes)[doc], ends[doc], items, diagonals)
-        may = (most >= MIN_MATCHES) | (most / self.sizes[items] >= MIN_SIMILARITY)
-        order = np.lexsort((-most, ~may))
-        for d, item, diagonal, bound, bad in zip(*(x[order].tolist() for x in (doc, items, diagonals, most, may))):
-            if (bad, bound) < (best[d][3], best[d][1]):
-                continue
-            n = self.overlap(codes[ends[d] - sizes[d] : ends[d]], item, diagonal)
-            share = n / int(self.sizes[item])
-            found = (int(self.ids[item]), n, share, n >= MIN_MATCHES or share >= MIN_SIMILARITY)
-            if n and (found[3], n, -found[0]) > (best[d][3], best[d][1], -(best[d][0] if best[d][0] is not None else found[0] + 1)):
-                best[d] = found
-        return best
-
-
-def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in parts of a bounded size, one at a time."""
-    part, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    for row in rows.toLocalIterator():
-        part.append((row.i, tokens(row.t)))
-        size += len(part[-1][1])
-        if size >= PART_TOKENS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-SCHEMA = "doc_id long, contaminated boolean, item_id long, equal_tokens int, item_share double"
+                out += codes[i : i + n] * odd[i]
+        yield len(mask), out
+
+
+def overlap(same: np.ndarray) -> int:
+    """Equal tokens of the best stretch of a diagonal on which at least four of five are equal."""
+    total = np.r_[0, np.cumsum(np.where(same, 1, -4))]  # rises or stays over a stretch with four of five equal
+    count = np.r_[0, np.cumsum(same)]
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place from which it does
+    return int((count - count[begin]).max())
+
+
+def best_overlap(text: np.ndarray, item: np.ndarray) -> int:
+    """Equal tokens of the best overlap that makes a text contaminated, 0 without one."""
+    n, m = len(text), len(item)
+    least = min(MIN_MATCHES, -(-4 * m // 5))
+    order = np.argsort(item, kind="stable")
+    ordered, best = item[order], 0
+    step = max(m, PAIRS_AT_ONCE // max(1, m))
+    for start in range(0, n, step):  # diagonals by where they begin: a piece and the item's length after it
+        part = text[max(0, start - m) : start + step + m]
+        base = max(0, start - m)
+        low, high = np.searchsorted(ordered, part, "left"), np.searchsorted(ordered, part, "right")
+        counts = high - low
+        places = np.repeat(np.arange(len(part)), counts)
+        inside = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
+        diagonals = places - order[np.repeat(low, counts) + inside] + m - 1
+        totals = np.bincount(diagonals, minlength=len(part) + m)
+        some = np.flatnonzero(totals >= max(least, best + 1))
+        for diagonal in some[np.argsort(-totals[some], kind="stable")]:
+            if totals[diagonal] <= best:
+                break
+            at = int(diagonal) - m + 1
+            low_, high_ = max(0, at), min(len(part), at + m)
+            best = max(best, overlap(part[low_:high_] == item[low_ - at : high_ - at]))
+        if best == m or base + len(part) >= n:
+            break
+    return best if best >= least else 0
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the written table ``right``, whatever key is common in ``left``."""
+    if right.count() <= MAX_BROADCAST:
+        return left.join(F.broadcast(right), keys, how)
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, codes): item is a number of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for batch in batches:
+            codes = [known.of(t.as_py()).view(np.int64) for t in batch.column(1)]
+            some = [i for i, c in enumerate(codes) if len(c) >= MIN_TOKENS]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([codes[i] for i in some], pa.list_(pa.int64()))], ["item_id", "codes"])
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+    return written(rows.mapInArrow(run, "item_id long, codes array<long>").select(F.monotonically_increasing_id().alias("item"), "item_id", "codes"), "items")
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item), each pair once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, codes in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                found = np.unique(np.concatenate([h for _, h in seeds(np.array(codes, np.int64).view(np.uint64))])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), item))], ["seed", "item"])
+
+    return written(items.select("item", "codes").mapInArrow(run, "seed long, item long"), "seeds")
+
+
+def _filter(item_seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(shift, bytes): a table of bits, set at the seeds' hashes shifted right."""
+    distinct = item_seeds.select("seed").distinct()
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(max(2, distinct.count()))) + 10))
+    at = F.shiftrightunsigned("seed", 64 - bits)
+    words = distinct.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int").bitwiseAND(63))).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return 64 - bits, out.view(np.uint8)
+
+
+def _text_seeds(texts: DataFrame, shift: int, table: np.ndarray) -> DataFrame:
+    """(k0, k1, seed) of texts (k0, k1, text): the seeds that the filter knows."""
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = Codes(), sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                each = [known.of(t.as_py()) for t in part.column(2)]
+                ends, codes = np.cumsum([len(c) for c in each]), np.concatenate(each)
+                docs, found = [], []
+                for length, hashes in seeds(codes):
+                    at = hashes >> np.uint64(shift)
+                    hit = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                    doc = np.searchsorted(ends, hit, "right")
+                    inside = hit + length <= ends[doc]
+                    docs.append(doc[inside])
+                    found.append(hashes[hit[inside]])
+                pairs = np.unique(np.rec.fromarrays([np.concatenate(docs), np.concatenate(found)], names="doc,seed"))
+                doc = pa.array(pairs.doc)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(pairs.seed.view(np.int64))], ["k0", "k1", "seed"])
+
+    return texts.mapInArrow(run, "k0 long, k1 long, seed long")
+
+
+def _verified(rows: DataFrame) -> DataFrame:
+    """(k0, k1, item_id, equal_tokens, item_share) of rows (k0, k1, text, items): the best item of each row that is contaminated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for batch in batches:
+            found = []
+            for k0, k1, text, items in zip(*batch.columns):
+                codes, best = known.of(text.as_py()), None
+                for item in items.as_py():
+                    there = np.array(item["codes"], np.int64).view(np.uint64)
+                    if n := best_overlap(codes, there):
+                        best = max(best, (n, -item["item_id"], len(there))) if best else (n, -item["item_id"], len(there))
+                if best:
+                    found.append((k0.as_py(), k1.as_py(), -best[1], best[0], best[0] / best[2]))
+            if found:
+                columns = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["k0", "k1", "item_id", "equal_tokens", "item_share"])
+
+    return rows.mapInArrow(run, "k0 long, k1 long, item_id long, equal_tokens int, item_share double")
+
+
+def _findings(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(k0, k1, item_id, equal_tokens, item_share): one row per contaminated text, by its hashes."""
+    items = _items(benchmark, "item_id", "text")
+    item_seeds = _item_seeds(items)
+    texts = _keyed(docs, text_col).select("k0", "k1", F.col(text_col).cast("string").alias("text")).filter(F.length("text") > 0)
+    shared = _beside(_text_seeds(texts, *_filter(item_seeds)), item_seeds, ["seed"])
+    pairs = written(shared.select("k0", "k1", "item").distinct(), "candidates")
+    several = written(pairs.groupBy("k0", "k1").agg(F.count("*").alias("n")), "texts")
+    chosen = _beside(texts, several.select("k0", "k1"), ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.first("text").alias("text"))
+    asked = _beside(pairs, items, ["item"]).join(several, ["k0", "k1"])
+    piece = F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / ITEMS_AT_ONCE)).alias("piece")
+    lists = asked.groupBy("k0", "k1", piece).agg(F.collect_list(F.struct("item_id", "codes")).alias("items"))
+    rows = lists.join(chosen, ["k0", "k1"]).select("k0", "k1", "text", "items")
+    best = F.max_by(F.struct("item_id", "equal_tokens", "item_share"), F.struct("equal_tokens", -F.col("item_id"))).alias("b")
+    return written(_verified(rows).groupBy("k0", "k1").agg(best).select("k0", "k1", "b.*"), "findings")
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with two hashes of the text, k0 and k1."""
+    return docs.select("*", *(F.xxhash64(F.lit(i + 1), F.col(text_col).cast("string")).alias(f"k{i}") for i in (0, 1)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: whether it holds benchmark text, and of which item the most."""
-    return _judged(docs, benchmark, id_col, text_col, ())
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, hand: tuple[str, ...]) -> DataFrame:
-    """With the columns of ``hand`` as _h0, _h1 ..., so that no name can clash."""
-    spark = docs.sparkSession
-    carry = tuple(f"_h{i}" for i in range(len(hand)))
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(h) for c, h in zip(hand, carry)))
-    sent = [shipped(spark, SeedIndex(part)) for part in _parts(benchmark, item_col="item_id", text_col="text")] or [shipped(spark, SeedIndex([]))]
-    if len(sent) > 1:
-        rows = rows.withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
-    handed = [f for f in rows.schema.fields[2:]]
-    schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in handed)
-
-    def passed(index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = unpacked(index)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    found, held, n = [], [], 0
-                    for text in part.column(0).to_pylist():
-                        held.append(tokens(text))
-                        n += len(held[-1])
-                        if n >= TOKENS_AT_ONCE:
-                            found, held, n = found + seeds.judge(held), [], 0
-                    found += seeds.judge(held)
-                    item, equal, share, bad = zip(*found)
-                    columns = [part.column(1), pa.array(bad, pa.bool_()), pa.array(item, pa.int64()), pa.array(equal, pa.int32()), pa.array(share, pa.float64()), *part.columns[2:]]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "contaminated", "item_id", "equal_tokens", "item_share", *(f.name for f in handed)])
-
-        return rows.mapInArrow(run, schema)
-
-    found = [passed(index) for index in sent]
-    if len(found) == 1:
-        return found[0]
-    every = reduce(DataFrame.unionByName, [f.withColumn("_part", F.lit(i)) for i, f in enumerate(found)])
-    best = F.max_by(F.struct("contaminated", "item_id", "equal_tokens", "item_share"), F.struct("contaminated", "equal_tokens", -F.col("item_id"))).alias("b")
-    keys = ["doc_id", "_key", *carry]  # rows that share all of these have the same text, so the same findings
-    return every.groupBy(*keys).agg(best, F.count_if(F.col("_part") == 0).alias("n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc_id", "b.contaminated", "b.item_id", "b.equal_tokens", "b.item_share", *carry)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, contaminated, item_id, equal_tokens, item_share) of every document: whether it holds benchmark text, and of which item the most."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    judged = _beside(_keyed(docs, "text").select("doc_id", "k0", "k1"), _findings(docs, benchmark, "text"), ["k0", "k1"], "left")
+    return judged.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.coalesce("equal_tokens", F.lit(0)).alias("equal_tokens"), F.coalesce("item_share", F.lit(0.0)).alias("item_share"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, all columns kept."""
-    found = _judged(docs, benchmark, id_col, text_col, tuple(docs.columns)).filter(~F.col("contaminated"))
-    return found.select(*(F.col(f"_h{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rows = docs.select(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(docs.columns)), F.col(text_col).alias("text"))
+    left = _beside(_keyed(rows, "text").drop("text"), _findings(rows, benchmark, "text").select("k0", "k1"), ["k0", "k1"], "left_anti")
+    return left.select(*(F.col(f"_h{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -1,37 +1,38 @@
 import random
 
+import numpy as np
+
 from tagloom.llm import decontam
 from tagloom.llm.decontam import MIN_MATCHES, clean, contaminated, tokens
 
 
 def slow(text, items):
-    """Best stretch over all items and diagonals, without seeds."""
-    t, best = tokens(text), (False, 0, None)
-    for i, item in items:
-        u = tokens(item)
-        if len(u) < 5:
-            continue
+    """Whether a stretch of some item and diagonal makes the text contaminated, without seeds."""
+    t = np.array([hash(x) for x in tokens(text)])
+    for u in items:
         for diagonal in range(-len(u) + 1, len(t)):
-            run = equal = 0
-            for k in range(len(u)):
-                if 0 <= diagonal + k < len(t):
-                    same = t[diagonal + k] == u[k]
-                    run, equal = (run + 1, equal + 1) if same else (run - 4, equal)
-                    if run <= 0:
-                        run = equal = 0
-                    if run and equal:
-                        bad = equal >= MIN_MATCHES or equal / len(u) >= 0.8
-                        best = max(best, (bad, equal, i), key=lambda b: b[:2])
-    return best[0]
+            low, high = max(0, diagonal), min(len(t), diagonal + len(u))
+            same = t[low:high] == u[low - diagonal : high - diagonal]
+            if same.sum() < 4:
+                continue
+            ends = np.cumsum(same)
+            for b in range(len(same)):
+                n = ends[b:] - (ends[b - 1] if b else 0)
+                if ((5 * n >= 4 * np.arange(1, len(n) + 1)) & ((n >= MIN_MATCHES) | (5 * n >= 4 * len(u)))).any():
+                    return True
+    return False
 
 
 def test_query_against_all_diagonals(spark, small, docs, rows):
+    """All texts of the small table, the long ones too."""
     benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    items = [np.array([hash(x) for x in tokens(r.text)]) for r in benchmark.collect()]
     got = {r.doc_id: r.contaminated for r in contaminated(docs, benchmark).collect()}
-    short = [r for r in rows if len(r.text.split()) < 300]
-    assert len(short) > 50
-    assert all(got[r.doc_id] == slow(r.text, items) for r in short)
+    vocabulary = {w for u in items for w in u.tolist()}
+    asked = [r for r in rows if sum(hash(w) in vocabulary for w in tokens(r.text)) >= 4]
+    assert all(not got[r.doc_id] for r in rows if r not in asked)
+    for r in sorted(asked, key=lambda r: len(r.text or ""))[:120] + [r for r in asked if got[r.doc_id]]:
+        assert got[r.doc_id] == slow(r.text, items)
     assert any(got.values())
 
 
@@ -63,12 +64,37 @@ def test_planted_passages_with_substitutions(spark):
     assert all(found[d].item_id == d % 30 for d, bad in truth.items() if bad)
 
 
-def test_benchmark_in_parts(spark, monkeypatch):
+def test_joins_by_shuffle_and_a_crowded_filter(spark, monkeypatch):
     docs, benchmark, truth = planted(spark)
-    monkeypatch.setattr(decontam, "PART_TOKENS", 200)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 16)
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 1)
     docs = docs.unionByName(docs.limit(10))
     found = contaminated(docs, benchmark).collect()
     assert len(found) == 250 and all(r.contaminated == truth[r.doc_id] for r in found)
+    assert clean(docs, benchmark).count() == sum(not r.contaminated for r in found)
+
+
+def test_one_word_over_and_over(spark):
+    """A long text of one word against an item of that word, and a text and an item of period two that are alike in part."""
+    made = [(1, "same " * 20_000), (2, "a b " * 10_000), (3, "b " * 150 + "c " * 150), (4, "same " * 9), (5, "same x y " * 3000)]
+    items = [(1, "same " * 200), (2, "a c " * 100)]
+    found = {r.doc_id: (r.contaminated, r.item_id, r.equal_tokens) for r in contaminated(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {1: (True, 1, 200), 2: (False, None, 0), 3: (False, None, 0), 4: (False, None, 0), 5: (False, None, 0)}
+
+
+def test_best_overlap_in_pieces(monkeypatch):
+    draw = random.Random(11)
+    monkeypatch.setattr(decontam, "PAIRS_AT_ONCE", 40)
+    for _ in range(300):
+        t, u = ([draw.randrange(4) for _ in range(draw.randint(1, n))] for n in (90, 14))
+        if len(u) >= 5:
+            most = 0
+            for d in range(-len(u) + 1, len(t)):
+                same = [t[d + k] == u[k] for k in range(len(u)) if 0 <= d + k < len(t)]
+                most = max([most, *(sum(same[b:e]) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if 5 * sum(same[b:e]) >= 4 * (e - b))])
+            want = most if most >= MIN_MATCHES or 5 * most >= 4 * len(u) else 0
+            assert decontam.best_overlap(np.array(t, np.uint64), np.array(u, np.uint64)) == want
 
 
 def test_odd_rows(odd, none, spark):
@@ -111,8 +137,7 @@ def test_substituted_passages_against_plain_equality(spark):
     assert {r.doc_id: r.contaminated for r in contaminated(docs, benchmark).collect()} == truth
 
 
-def test_parts_tell_texts_of_one_id_apart(spark, monkeypatch):
+def test_texts_of_one_id_are_told_apart(spark):
     docs, benchmark, truth = planted(spark)
-    monkeypatch.setattr(decontam, "PART_TOKENS", 200)
     found = contaminated(docs.selectExpr("7L AS doc_id", "text"), benchmark).collect()
     assert sum(r.contaminated for r in found) == sum(truth.values()) and len(found) == 240
