@@ -10,8 +10,10 @@ opponent times the language's against its closest in the family: it can reach 1
 however many languages there are, and is about 0.25 at most for a guess among both.
 
 The machines are fitted on the driver on at most about ``PER_LANG`` labelled rows
-a language (chosen by a hash of doc_id): that sample is the only bounded part. The
-whole texts of the sample are counted in Spark tasks; the driver gets counts only.
+a language (chosen by a hash of doc_id), those of families on ``PER_FAMILY`` rows a
+family: that sample is the only bounded part. The whole texts of the sample are
+counted in Spark tasks; the driver gets the bins that are not empty and their counts,
+and spreads them out for one machine at a time.
 Prediction reads every whole text, needs no shuffle, and is given only the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import shipped, unpacked
 from .linear import svm
 
-BITS = 12
+BITS = 13
 FEATURES = 1 << BITS
 PER_LANG = 600
+PER_FAMILY = 1200
 
 #: Families by ISO 639-1 code.
 FAMILY = {
@@ -65,24 +68,46 @@ def features(text: str, out: np.ndarray) -> None:
     out /= np.linalg.norm(out) or 1.0
 
 
+class Rows:
+    """Rows of features, only the bins that are not empty: (bins, values) each."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.rows = rows
+
+    def spread(self, some: np.ndarray) -> np.ndarray:
+        """With a last column of ones, the bias."""
+        out = np.zeros((len(some), FEATURES + 1))
+        out[:, -1] = 1
+        for one, i in zip(out, some.tolist()):
+            bins, values = self.rows[i]
+            one[bins] = values
+        return out
+
+
 class Hierarchy:
     """Families, then languages, each by one-versus-one machines."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):  # the last column of x is all ones
+    def __init__(self, x: Rows, langs: list[str]):
         family = np.array([FAMILY.get(lang, lang) for lang in langs])
         langs = np.array(langs)
         self.families = sorted(set(family.tolist()))
         self.members = {f: sorted(set(langs[family == f].tolist())) for f in self.families}
-        self.top = self._machines(x, family, self.families)
-        self.within = {f: self._machines(x[family == f], langs[family == f], m) for f, m in self.members.items()}
+        place = np.zeros(len(langs), np.int64)  # in its language, so that a family's rows are from all its languages
+        for lang in set(langs.tolist()):
+            place[langs == lang] = np.arange((langs == lang).sum())
+        order = np.argsort(place, kind="stable")
+        few = np.sort(np.concatenate([order[family[order] == f][:PER_FAMILY] for f in self.families]))
+        self.top = self._machines(x, family, self.families, few)
+        self.within = {f: self._machines(x, langs, m, np.flatnonzero(family == f)) for f, m in self.members.items()}
 
     @staticmethod
-    def _machines(x: np.ndarray, y: np.ndarray, names: list[str]) -> np.ndarray:
+    def _machines(x: Rows, y: np.ndarray, names: list[str], rows: np.ndarray) -> np.ndarray:
         pairs = list(combinations(names, 2))
-        out = np.zeros((len(pairs), x.shape[1]))
+        out = np.zeros((len(pairs), FEATURES + 1))
         for i, (a, b) in enumerate(pairs):
-            some = (y == a) | (y == b)
-            out[i] = svm(x[some], np.where(y[some] == a, 1.0, -1.0))
+            some = rows[(y[rows] == a) | (y[rows] == b)]
+            one = x.spread(some)
+            out[i] = svm(one @ one.T, np.where(y[some] == a, 1.0, -1.0)) @ one
         return out
 
     @staticmethod
@@ -119,14 +144,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     share = F.coalesce(*[F.when(F.col(lang_col) == r.l, F.lit(per_lang / r["count"])) for r in known])
     chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t")).filter(F.col("t").rlike(r"\p{L}"))
-    sample = chosen.mapInArrow(_counted, "l string, bins binary, counts binary").limit(2 * per_lang * len(known)).collect()
+    sample = chosen.mapInArrow(_counted, "l string, bins binary, counts binary").orderBy("l", F.xxhash64("bins", "counts")).limit(2 * per_lang * len(known)).collect()
     if not sample:
         return None
-    x = np.zeros((len(sample), FEATURES + 1), np.float32)
-    x[:, -1] = 1  # the bias
-    for one, row in zip(x, sample):
-        one[np.frombuffer(row.bins, np.uint16)] = np.frombuffer(row.counts, np.float32)
-    return Hierarchy(x, [row.l for row in sample])
+    return Hierarchy(Rows([(np.frombuffer(r.bins, np.uint16), np.frombuffer(r.counts, np.float64)) for r in sample]), [r.l for r in sample])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +159,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features(text.as_py(), one)
             some = np.flatnonzero(one)
             bins.append(some.astype(np.uint16).tobytes())
-            counts.append(one[some].astype(np.float32).tobytes())
+            counts.append(one[some].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], ["l", "bins", "counts"])
 
 

@@ -5,23 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 
-def svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights, the last a bias, of a linear support vector machine (squared hinge loss, labels -1 and 1).
+def svm(gram: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 150) -> np.ndarray:
+    """Each row's part in the weights (their sum over rows) of a linear support vector machine (squared hinge loss, labels -1 and 1).
 
-    Accelerated gradient descent; classes weigh alike. ``x`` has a last column of ones.
+    Accelerated gradient descent; classes weigh alike. ``gram`` has the rows' inner products, so that a step costs
+    their number squared, however many features there are.
     """
-    y = y.astype(x.dtype)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    v, size = np.full(len(y), 1 / np.sqrt(len(y))), 1.0
     for _ in range(20):  # the largest curvature
-        v = x.T @ (weight * (x @ v))
+        v = weight * (gram @ v)
         size = np.linalg.norm(v) or 1.0
         v /= size
     step = 1 / (2 * size * 1.1 + reg)
-    w, ahead = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype)
+    w, ahead = np.zeros(len(y)), np.zeros(len(y))
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (reg * ahead - 2 * x.T @ (weight * y * slack))
+        slack = np.maximum(0, 1 - y * (gram @ ahead))
+        new = ahead - step * (reg * ahead - 2 * weight * y * slack)
         ahead = new + k / (k + 3) * (new - w)
         w = new
     return w
