@@ -3,19 +3,21 @@
 The lexicon is a trie of terms, and of stems learned from labelled texts (a stem
 fits every word that starts with it). A word's Levenshtein automaton of radius 1
 walks down the trie, kept as two bit sets (places reached without and with one
-edit), and ends in the terms it accepts; digits and signs put for letters, and
-two letters that changed places, also count as a misspelling. Words that share
-neither half with any term of their length cannot be within one edit and are not
-walked; results are remembered for a bounded number of words. Terms of fewer than
-five letters, and those whose misspellings are words of clean labelled texts, must
-match exactly.
+edit). It ends in the terms it accepts, and in the stems that some beginning of the
+word is within one edit of; digits and signs put for letters, and two letters that
+changed places, also count as a misspelling. Words that share no half of a term or
+stem where one edit leaves it cannot be within one edit and are not walked; results
+are remembered for a bounded number of words. Terms and stems of ``FUZZY`` letters or
+more are met with any edit, terms of four with letters that changed places or were
+doubled. Words of clean labelled texts that are near a term or stem are no misspelling
+of it; other words near it still are.
 
 Each hit is weighed in a window of ``WINDOW`` words to both sides: address and
 emphasis (you, are, !) count as abuse, quotation marks around it, reporting verbs
 and meta words (said, called, "word", quote) as quotation. A document's signals
 are its abusive and quoted hits of each kind, their density and which kinds there
 are. A logistic regression, drawn to ``PRIOR`` where the labels say nothing, turns
-them into a score. Stems, excluded terms and weights are learned on a sample of at
+them into a score. Stems, excluded words and weights are learned on a sample of at
 most about ``SAMPLE`` labelled rows; nothing else is bounded.
 
 Only the text is given to the score. Every word of every text is looked at, with
@@ -23,7 +25,7 @@ no shuffle.
 
 Defined cases: a null or empty text has no hits and the score of any text without
 hits; a label that is null is not learned; a document labelled twice counts as
-toxic if one label says so; with no labels or only one kind, the prior weights are
+toxic if one label says so; of several texts of one labelled id one is learned; with no labels or only one kind, the prior weights are
 used; repeated rows are scored each for itself; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -59,99 +61,102 @@ REMEMBERED = 300_000
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&…«»„“”‘’-–—"
 QUOTES = "\"«»„“”‘’'"
 
-KINDS = ("term", "misspelled", "stem")
+KINDS = ("term", "misspelled", "stem", "misspelled_stem")
 SIGNALS = (*(f"abusive_{k}" for k in KINDS), *(f"quoted_{k}" for k in KINDS), *(f"any_{k}" for k in KINDS), "density")
 #: Weights without labels, in the order of SIGNALS, then the bias.
-PRIOR = (2.0, 2.0, 1.0, -1.0, -1.0, 0.0, 1.0, 1.0, 1.0, 0.3, -2.5)
+PRIOR = (2.0, 2.0, 1.0, 0.5, -1.0, -1.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.5, 0.3, -2.5)
 
 #: A learned stem: its letters, and the evidence (log likelihood ratio) and share of toxic documents it needs.
 STEM_LETTERS = range(3, 9)
 STEM_EVIDENCE = 15.0
 STEM_SHARE = 0.6
-MAX_STEMS = 2_000
+FUZZY = 5
 #: Signs put for letters.
 SIGNS = str.maketrans("013457@$", "oieastas")
 
 
 class Lexicon:
-    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: frozenset[str] = frozenset(), exact_only: frozenset[str] = frozenset()):
-        self.exact, self.stems = frozenset(terms), stems
+    def __init__(self, terms: tuple[str, ...] = LEXICON, stems: frozenset[str] = frozenset(), excluded: frozenset[str] = frozenset()):
+        self.exact, self.stems, self.excluded = frozenset(terms), stems, excluded
         self.stem_sizes = sorted({len(t) for t in stems})
-        terms = tuple(t for t in terms if len(t) > 4 and t not in exact_only)
-        self.letters = {"".join(sorted(t)) for t in terms}
+        self.letters = {"".join(sorted(t)) for t in terms if len(t) >= 4}
+        self.short = {t[: i + 1] + t[i:] for t in terms if len(t) == 4 for i in range(4)}  # one letter doubled
         self.trie: dict = {}
-        for term in terms:
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-        self.halves: dict[int, tuple[list, list, list]] = {}
-        for term in terms:
-            h, odd = divmod(len(term), 2)
-            for n in (len(term) - 1, len(term), len(term) + 1):
-                heads, tails, both = self.halves.setdefault(n, (set(), set(), set()))
-                if odd:
-                    heads.add((h + 1, term[: h + 1]))
-                    tails.add((h + 1, term[-h - 1 :]))
-                    both.add((h, term[:h], term[-h:]))
-                else:
-                    heads.add((h, term[:h]))
-                    tails.add((h, term[-h:]))
-
-        def by_size(found: set) -> list:
-            return [(size, frozenset(x[1:] if len(x) > 2 else x[1] for x in found if x[0] == size)) for size in sorted({x[0] for x in found})]
-
-        self.halves = {n: tuple(map(by_size, found)) for n, found in self.halves.items()}
+        for end, words in (("", [t for t in terms if len(t) >= FUZZY]), ("stem", [t for t in stems if len(t) >= FUZZY])):
+            for word in words:
+                node = self.trie
+                for c in word:
+                    node = node.setdefault(c, {})
+                node[end] = word
+        #: (from the end, first place, letters): what one edit leaves whole of a term, by the word's length, and of a stem.
+        self.halves: dict[int, set[tuple[int, str]]] = {}
+        self.begins: set[tuple[int, str]] = set()
+        for word in (t for t in terms if len(t) >= FUZZY):
+            h = len(word) // 2
+            for n in (len(word) - 1, len(word), len(word) + 1):
+                self.halves.setdefault(n, set()).update(((0, word[:h]), (n - len(word) + h, word[h:])))
+        for word in (t for t in stems if len(t) >= FUZZY):
+            h = len(word) // 2
+            self.begins.update(((0, word[:h]), *((h + move, word[h:]) for move in (-1, 0, 1))))
+        self.places = {n: self._by_place(found) for n, found in self.halves.items()}
+        self.begin_places = self._by_place(self.begins)
+
+    @staticmethod
+    def _by_place(found: set[tuple[int, str]]) -> list[tuple[int, int, frozenset[str]]]:
+        """(first place, place after the last, the letters that may stand there)."""
+        spans = sorted({(at, at + len(w)) for at, w in found})
+        return [(low, high, frozenset(w for at, w in found if (at, at + len(w)) == (low, high))) for low, high in spans]
 
     def _possible(self, word: str) -> bool:
-        """False only if no term is within one edit: one edit leaves a half of an even term whole, and of an odd term the larger half or both smaller ones."""
-        found = self.halves.get(len(word))
-        if found is None:
-            return False
-        heads, tails, both = found
-        return any(word[:n] in s for n, s in heads) or any(word[-n:] in s for n, s in tails) or any((word[:n], word[-n:]) in s for n, s in both)
+        """False only if no term and no stem is within one edit: an edit before the half's end leaves the rest whole, one after it the half."""
+        return any(word[low:high] in s for low, high, s in self.places.get(len(word), ())) or any(word[low:high] in s for low, high, s in self.begin_places)
 
     def find(self, word: str) -> int:
-        """0 if nothing fits, 1 for a term itself, 2 for a misspelling, 3 for a word with a learned stem."""
+        """0 if nothing fits, 1 for a term itself, 2 for a misspelling, 3 for a word with a learned stem, 4 with a misspelled one."""
         if word in self.exact:
             return 1
         if any(word[:n] in self.stems for n in self.stem_sizes):
             return 3
+        if word in self.excluded:
+            return 0
         plain = word if word.isalpha() else word.translate(SIGNS)
-        if plain != word and plain in self.exact:
+        if plain != word:
+            if plain in self.exact:
+                return 2
+            if any(plain[:n] in self.stems for n in self.stem_sizes):
+                return 4
+        return self.nearest(plain)
+
+    def nearest(self, word: str) -> int:
+        """2 if a term is within one edit or one exchange of neighbours, else 4 if a stem is, else 0."""
+        found = self._accepts(word) if self._possible(word) else 0
+        if found == 2 or word in self.short:
+            return 2
+        if "".join(sorted(word)) in self.letters and any(word[:i] + word[i + 1] + word[i] + word[i + 2 :] in self.exact for i in range(len(word) - 1)):
             return 2
-        return 2 if self.nearest(plain) is not None else 0
-
-    def nearest(self, word: str) -> str | None:
-        """A term within one edit or one exchange of neighbours."""
-        if self._possible(word) and (term := self._accepts(word)) is not None:
-            return term
-        if len(word) in self.halves and "".join(sorted(word)) in self.letters:
-            for i in range(len(word) - 1):
-                swapped = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-                if swapped in self.exact:
-                    return swapped
-        return None
-
-    def _accepts(self, word: str) -> str | None:
+        return found
+
+    def _accepts(self, word: str) -> int:
         """Walk the trie with the word's automaton; bit i stands for i letters read."""
         places: dict[str, int] = {}
         for i, c in enumerate(word):
             places[c] = places.get(c, 0) | 1 << i
-        last, stack = 1 << len(word), [(self.trie, 1, 3)]
+        last, stack, found = 1 << len(word), [(self.trie, 1, 3)], 0
         while stack:
             node, none, one = stack.pop()
             for c, below in node.items():
                 if c == "":
                     if one & last:
-                        return below
-                    continue
-                at = places.get(c, 0)
-                exact = (none & at) << 1
-                edited = ((one & at) << 1 | none << 1 | none | exact << 1 | exact) & (2 * last - 1)
-                if edited:
-                    stack.append((below, exact, edited))
-        return None
+                        return 2
+                elif c == "stem":
+                    found = 4
+                else:
+                    at = places.get(c, 0)
+                    exact = (none & at) << 1
+                    edited = ((one & at) << 1 | none << 1 | none | exact << 1 | exact) & (2 * last - 1)
+                    if edited:
+                        stack.append((below, exact, edited))
+        return found
 
 
 class Finder(dict):
@@ -182,13 +187,14 @@ def abuse(words: list[str], at: int, hits: list[int]) -> float:
 def signals_of(text: str | None, finder: Finder) -> tuple[float, ...]:
     words = (text or "").lower().split()
     hits = list(map(finder.__getitem__, words))
-    sums, seen = np.zeros(6), np.zeros(3)
+    kinds = len(KINDS)
+    sums, seen = np.zeros(2 * kinds), np.zeros(kinds)
     if any(hits):
         for at, kind in enumerate(hits):
             if kind:
                 share = abuse(words, at, hits)
                 sums[kind - 1] += share
-                sums[kind + 2] += 1 - share
+                sums[kind - 1 + kinds] += 1 - share
                 seen[kind - 1] = 1
     return (*np.log1p(sums).tolist(), *seen.tolist(), float(np.log1p(100 * sums.sum() / max(1, len(words)))))
 
@@ -232,7 +238,7 @@ def _learned(labelled: DataFrame, terms: tuple[str, ...]) -> Lexicon:
                 words = {w.strip(MARKS) for w in (text or "").lower().split()}
                 kinds = {w: lexicon.find(w) for w in words}
                 stems = {w[:n] for w, kind in kinds.items() if not kind for n in STEM_LETTERS if len(w) >= n}
-                near = {lexicon.nearest(w) for w, kind in kinds.items() if kind == 2} - {None}
+                near = {w for w, kind in kinds.items() if kind == 2}
                 has_term = any(kind == 1 for kind in kinds.values())
                 counts.update(("stem", x, toxic) for x in stems if not has_term)
                 counts.update(("near", x, toxic) for x in near if not has_term)
@@ -254,24 +260,42 @@ def _learned(labelled: DataFrame, terms: tuple[str, ...]) -> Lexicon:
     if total is not None and 0 < total.bad < total.n:
         base, p = total.bad / total.n, F.col("bad") / F.col("n")
         evidence = F.col("bad") * F.log(p / base) + F.when(p < 1, (F.col("n") - F.col("bad")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
-        good = counted.filter("kind = 'stem'").filter((p >= STEM_SHARE) & (evidence >= STEM_EVIDENCE)).orderBy(F.desc(evidence), "word").limit(MAX_STEMS)
+        good = counted.filter("kind = 'stem'").filter((p >= STEM_SHARE) & (evidence >= STEM_EVIDENCE))  # words of the sample
         for word in sorted((r.word for r in good.collect()), key=lambda w: (len(w), w)):
             if not any(word[:n] in stems for n in range(1, len(word))):
                 stems.add(word)
-    misled = {r.word for r in counted.filter("kind = 'near' AND 2 * bad < n AND n >= 2").limit(MAX_STEMS).collect()}
+    misled = {r.word for r in counted.filter("kind = 'near' AND 2 * bad < n").collect()}
     counted.unpersist()
     return Lexicon(terms, frozenset(stems), frozenset(misled))
 
 
+def _misled(labelled: DataFrame, lexicon: Lexicon) -> Lexicon:
+    """``lexicon`` without the words near its stems that are mostly in clean texts without any other hit."""
+    sent = shipped(labelled.sparkSession, lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, found = unpacked(sent), []
+        for batch in batches:
+            for toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+                kinds = {w: lexicon.find(w) for w in {w.strip(MARKS) for w in (text or "").lower().split()}}
+                if not any(kind in (1, 2, 3) for kind in kinds.values()):
+                    found += [(w, toxic) for w, kind in kinds.items() if kind == 4]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())], ["word", "toxic"])
+
+    near = labelled.select("toxic", "text").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("bad"))
+    return Lexicon(tuple(lexicon.exact), lexicon.stems, lexicon.excluded | {r.word for r in near.filter("2 * bad < n").collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, terms: tuple[str, ...] = LEXICON) -> Toxicity:
     """Learn from about ``sample`` of the labelled rows with ``train`` (a condition on doc_id)."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
-    chosen = written(_texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").limit(4 * sample).repartition("doc_id"), "labelled")
-    lexicon = _learned(chosen, terms)
-    rows = signals(chosen, lexicon).join(chosen.select("doc_id", "toxic").distinct(), "doc_id").drop("doc_id").collect()
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
+    texts = _texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = written(texts.repartition("doc_id"), "labelled")
+    lexicon = _misled(chosen, _learned(chosen, terms))
+    rows = signals(chosen, lexicon).join(chosen.select("doc_id", "toxic"), "doc_id").drop("doc_id").collect()
     y = np.array([r.toxic for r in rows], float)
     if not 0 < y.sum() < len(y):
         return Toxicity(lexicon, PRIOR)
