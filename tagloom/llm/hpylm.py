@@ -1,30 +1,33 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Tokens are the lower-cased words of a text and one end. A token's context is the
-class of the token before it: its last ``SUFFIX`` bytes, hashed to ``CLASSES``
-classes (the start of a text is a class of its own). Every class has a restaurant
-whose tables send customers to one restaurant that all share, the unigrams; its
-tables draw from the uniform measure over the V words seen in training and one
-unknown. The number of class restaurants is bounded, that of their dishes, one
-per (class, word) pair, grows with the corpus; all pairs are kept.
-
-Seating is sampled by Gibbs sweeps. In a sweep all pairs seat their customers
-anew, given the tables of the other dishes in their restaurant and the shared
-restaurant's probabilities as of the sweep before (a blocked, parallel Gibbs step
-with a Metropolis test against the old seating); then the shared restaurant seats
-the tables as its customers. Predictive probabilities are averaged over the last
-``KEPT`` of ``SWEEPS`` sweeps. Discounts come from the counts of counts. From the
-``SINGLE``-th customer of a dish on, customers are seated in growing batches.
+whole word before it (the start of a text is a context of its own), told apart by
+hashes into ``CONTEXTS`` restaurants. Every context's restaurant sends a customer for
+each of its tables to one restaurant that all share, the unigrams; its tables draw
+from the uniform measure over the V words seen in training and one unknown. Dishes,
+one per (context, word) pair of the corpus, are all kept, told apart by 64 bits of the
+word and the context's number.
+
+Seating is sampled by Gibbs sweeps. In a sweep all dishes seat their customers anew,
+given the tables of the other dishes in their restaurant and the shared restaurant's
+probabilities as of the sweep before (a blocked, parallel Gibbs step with a Metropolis
+test against the old seating); then the shared restaurant seats the tables as its
+customers. Predictive probabilities are averaged over the last ``KEPT`` of ``SWEEPS``
+sweeps. Discounts come from the counts of counts. From the ``SINGLE``-th customer of a
+dish on, customers are seated in growing batches. Each dish draws its numbers from a
+hash of word, context, sweep and step, so results do not depend on partitions.
 
 As a Spark job. Pieces of the input of about ``CHUNK_BYTES`` become chunks: their
 documents as indices into the chunk's distinct pairs, and these pairs with their
-training counts, dealt to buckets by a hash of the word. A bucket adds up its
-words' counts over all chunks; everything about a word is then in one bucket, so
-sweeps only exchange the class restaurants' table numbers (``CLASSES`` sums) and
-a few totals. At the end each bucket answers each chunk, and chunks add up their
-documents' scores. A hot word or class is one entry per chunk, however often it
-occurs. Each step is a table in the shared folder: a lost executor costs its tasks.
-The number of buckets is the session's ``spark.sql.shuffle.partitions``.
+training counts, dealt to buckets by a hash of the word. There is a bucket per
+``BUCKET_BYTES`` of text, so none grows with the corpus; a word's dishes are at most
+``CONTEXTS``. A bucket adds up its words' counts over all chunks; everything about a
+word is then in one bucket, with the places of each chunk's pairs in it. Sweeps exchange
+sums per context, of which a bucket sends those that are not zero, added up in blocks
+by Spark; their arrays of ``CONTEXTS`` numbers go to all tasks. At the end each bucket
+answers each chunk, and chunks add up their documents' scores. A hot word or context is
+one entry per chunk, however often it occurs. Each step is a table in the shared folder:
+a lost executor costs its tasks.
 
 Defined cases: a null or empty text is just an end; a document with a null id is
 trained on; repeated rows count and are scored each for itself; with no training
@@ -34,24 +37,27 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, scratch
 
-SUFFIX = 2
-CLASSES = 1 << 13
+CONTEXT_BITS = 22
+CONTEXTS = 1 << CONTEXT_BITS
+BLOCK_BITS = 16
 CHUNK_BYTES = 12_000_000
-SWEEPS = 3
-KEPT = 2
-STRENGTH = (1.0, 1.0)  # of the class restaurants and the shared one
-SINGLE = 64
+BUCKET_BYTES = 8_000_000
+SWEEPS = 5
+KEPT = 3
+STRENGTH = (1.0, 1.0)  # of the context restaurants and the shared one
+SINGLE = 1024
 SEED = 5
 END = b" end"  # no word holds a space
 
@@ -75,19 +81,22 @@ class Chunk:
         self.bytes += len(text) + 64
 
     def pairs(self) -> tuple:
-        """(word hashes, classes, training counts) of the distinct pairs, and each token's pair."""
+        """(word hashes, contexts, training counts) of the distinct pairs, and each token's pair."""
         import xxhash
 
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        suffix = np.fromiter((xxhash.xxh32_intdigest(w[-SUFFIX:]) for w in self.words), np.uint32, len(self.words))
-        classes = 1 + (suffix % np.uint32(CLASSES - 1)).astype(np.int64)
+        contexts = context_of(hashes)
         flat, sizes = np.concatenate(self.flat), np.array(self.sizes)
-        first = np.cumsum(sizes) - sizes
-        before = np.r_[0, classes[flat[:-1]]]
-        before[first] = 0
+        before = np.r_[0, contexts[flat[:-1]]]
+        before[np.cumsum(sizes) - sizes] = 0
         pairs, at = np.unique(before * len(hashes) + flat, return_inverse=True)
         counts = np.bincount(at[np.repeat(self.train, sizes)], minlength=len(pairs))
-        return hashes[pairs % len(hashes)], (pairs // len(hashes)).astype(np.int16), counts, at
+        return hashes[pairs % len(hashes)], (pairs // len(hashes)).astype(np.int32), counts, at
+
+
+def context_of(hashes: np.ndarray) -> np.ndarray:
+    """The restaurants of words; 0 is that of the start."""
+    return (1 + (hashes >> np.uint64(17)) % np.uint64(CONTEXTS - 1)).astype(np.int64)
 
 
 def _bytes(x: np.ndarray) -> bytes:
@@ -98,18 +107,8 @@ def _starts(words: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.empty(0, np.int64)
 
 
-def _runs(words: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted words as (each once, how often)."""
-    first = _starts(words)
-    return _bytes(words[first]), _bytes(np.diff(np.r_[first, len(words)]).astype(np.int32))
-
-
-def _unrun(words: bytes, runs: bytes) -> np.ndarray:
-    return np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(runs, np.int32))
-
-
-#: In rows of kind ``docs``, ``words`` has the documents' pairs: each document's sorted, as differences.
-CHUNKS = "kind string, chunk long, bucket int, words binary, runs binary, classes binary, counts binary, ids array<long>, sizes array<int>"
+#: In rows of kind ``docs``, ``words`` has the documents' pairs: each document's sorted, as differences. In those of kind ``pairs``, each word once, and ``runs`` how many pairs it has.
+CHUNKS = "kind string, chunk long, bucket int, words binary, runs binary, contexts binary, counts binary, ids array<long>, sizes array<int>"
 
 
 def _chunks(docs: DataFrame, train: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -118,9 +117,9 @@ def _chunks(docs: DataFrame, train: Column, id_col: str, text_col: str, buckets:
     schema = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))))
 
     def told(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
-        words, classes, counts, at = chunk.pairs()
+        words, contexts, counts, at = chunk.pairs()
         home = (words % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((classes, words, home))
+        order = np.lexsort((contexts, words, home))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))  # pairs are numbered by bucket, in the order sent
         ends = np.cumsum(np.bincount(home, minlength=buckets))
@@ -128,11 +127,12 @@ def _chunks(docs: DataFrame, train: Column, id_col: str, text_col: str, buckets:
         for b, (start, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
             if start < end:
                 o = order[start:end]
-                rows.append(("pairs", number, b, *_runs(words[o]), _bytes(classes[o]), _bytes(counts[o].astype(np.int32)), None, None))
+                first = _starts(words[o])
+                runs = np.diff(np.r_[first, len(o)]).astype(np.int32)
+                rows.append(("pairs", number, b, _bytes(words[o][first]), _bytes(runs), _bytes(contexts[o]), _bytes(counts[o].astype(np.int32)), None, None))
         sizes = np.array(chunk.sizes)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
         at = place[at]
-        at = at[np.lexsort((at, doc))]
+        at = at[np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))]
         steps = np.diff(at, prepend=0)
         first = np.cumsum(sizes) - sizes
         steps[first] = at[first]
@@ -155,116 +155,115 @@ def _chunks(docs: DataFrame, train: Column, id_col: str, text_col: str, buckets:
     return rows.mapInArrow(run, CHUNKS)
 
 
-class Totals(NamedTuple):
-    """What sweeps exchange: sums over all buckets, of bounded size."""
-
-    customers: np.ndarray  # of each class restaurant
-    tables: np.ndarray
-    words: int  # V
-    tokens: int  # N
-    shared_customers: int
-    shared_tables: int
-    discounts: tuple[float, float]
+def _noise(keys: np.ndarray, sweep: int, step: int) -> np.ndarray:
+    """Even numbers between 0 and 1, by splitmix64's mixing of key, sweep and step."""
+    x = keys + np.uint64(((SEED * 1000 + sweep) * 4_000_037 + step) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def seat(counts: np.ndarray, own: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: float, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, log weight) of dishes whose ``counts`` customers sit down one after another.
+def seat(counts: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, log weight) of dishes whose ``counts`` customers, one at least, sit down one after another.
 
     A newcomer opens a table in proportion to ``base + slope * tables``, its dish's
     tables so far, and joins one in proportion to customers - discount * tables.
-    ``own`` is 1 where a dish has customers.
     """
     order = np.argsort(-counts, kind="stable")
-    n, base, slope = counts[order], base[order], slope[order]
-    tables = own[order].astype(np.float64)
-    weight = np.log(np.maximum(base, 1e-300)) * tables
-    live, seated = int((n > 1).sum()), 1
+    n, base, slope, keys = counts[order], base[order], slope[order], keys[order]
+    tables = np.ones(len(n))
+    weight = np.log(np.maximum(base, 1e-300))
+    live, seated, step = int((n > 1).sum()), 1, 1
     while live:
-        batch = 1 if seated < SINGLE else max(1, seated // 16)
+        batch = 1 if seated < SINGLE else seated // 16
         take = np.minimum(batch, n[:live] - seated)
         opens = base[:live] + slope[:live] * tables[:live]
         joins = np.maximum(seated - discount * tables[:live], 1e-12)
         p = opens / (opens + joins)
         weight[:live] += take * np.log(opens + joins)
-        tables[:live] += draw.random(live) < p if batch == 1 else draw.binomial(take, p)
-        seated += batch
+        even = _noise(keys[:live], sweep, step)
+        if batch == 1:
+            tables[:live] += even < p
+        else:  # of so many, about normal
+            normal = np.sqrt(-2 * np.log(1 - even)) * np.cos(2 * np.pi * _noise(keys[:live], sweep, step + 2_000_000))
+            tables[:live] += np.clip(np.rint(take * p + normal * np.sqrt(take * p * (1 - p))), 0, take)
+        seated, step = seated + batch, step + 1
         live = int(np.searchsorted(-n[:live], -seated, "left"))
     out, weights = np.empty(len(n), np.int64), np.empty(len(n))
     out[order], weights[order] = tables.astype(np.int64), weight
     return out, weights
 
 
-STATE = "bucket int, words binary, runs binary, classes binary, counts binary, tables binary, weights binary, own binary, shared_tables binary, shared_weights binary, kept array<binary>"
-STATE_NAMES = [f.split()[0] for f in STATE.split(", ")]
-STATE_SCHEMA = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in STATE_NAMES[1:-1]), ("kept", pa.list_(pa.binary()))])
-
-
-def _counted(pairs: DataFrame) -> DataFrame:
-    """One row per bucket: its pairs, sorted by word and class, with their training counts, each dish at one table."""
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        total = (np.empty(0, np.uint64), np.empty(0, np.int16), np.empty(0, np.int64))
-
-        def add(total: tuple, parts: list) -> tuple:
-            words, classes, counts = (np.concatenate([total[i], *(p[i] for p in parts)]) for i in range(3))
-            order = np.lexsort((classes, words))
-            words, classes, counts = words[order], classes[order], counts[order]
-            first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (classes[1:] != classes[:-1])]) if len(words) else np.empty(0, np.int64)
-            return words[first], classes[first], np.add.reduceat(counts, first) if len(first) else counts
-
-        for batch in batches:
-            for words, runs, classes, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                part = _unrun(words, runs), np.frombuffer(classes, np.int16), np.frombuffer(counts, np.int32)
-                seen = part[2] > 0
-                parts.append(tuple(x[seen] for x in part))
-                size += int(seen.sum())
-                if size > 2_000_000:
-                    total, parts, size = add(total, parts), [], 0
-        words, classes, counts = add(total, parts)
-        bucket = Bucket()
-        bucket.number, bucket.words, bucket.runs = key[0].as_py(), words[_starts(words)], np.diff(np.r_[_starts(words), len(words)])
-        bucket.classes, bucket.counts, bucket.tables = classes, counts, np.ones(len(words))
-        bucket.weights = bucket.own = np.zeros(len(words))
-        bucket.shared_tables, bucket.shared_weights, bucket.kept = np.ones(len(bucket.words)), np.zeros(len(bucket.words)), []
-        yield bucket.row()
-
-    return pairs.select("bucket", "words", "runs", "classes", "counts").groupBy("bucket").applyInArrow(_grouped(run), STATE)
-
+class Totals(NamedTuple):
+    """What sweeps exchange: sums over all buckets, of bounded size."""
 
-def _grouped(run):
-    """``run`` with the type hints by which Spark hands over a group batch by batch."""
+    customers: np.ndarray | None  # of each context's restaurant
+    tables: np.ndarray
+    words: int  # V
+    tokens: int  # N
+    shared_customers: int
+    shared_tables: int
+    discounts: tuple[float, float]
 
-    def grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(key, batches)
 
-    grouped.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return grouped
+ARRAYS = {"words": np.uint64, "runs": np.int32, "contexts": np.int32, "counts": np.int32, "tables": np.int32, "weights": np.float32, "own": np.int32, "shared_tables": np.int32, "shared_weights": np.float32}
+#: Rows of kind ``state`` are buckets, those of kind ``sums`` have numbers ``n`` at the places ``at`` of a block of contexts, or in block -1 the sums that have no context.
+STATE = "kind string, bucket int, name string, block int, at binary, n binary, " + "".join(f"{a} binary, " for a in ARRAYS) + "kept array<binary>, chunks array<long>, places array<binary>"
+STATE_NAMES = [f.split()[0] for f in STATE.split(", ")]
+STATE_SCHEMA = pa.schema(
+    [("kind", pa.string()), ("bucket", pa.int32()), ("name", pa.string()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), *((a, pa.binary()) for a in ARRAYS)]
+    + [("kept", pa.list_(pa.binary())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
+)
 
 
 class Bucket:
-    """One row of the state as arrays."""
+    """The dishes of some words, sorted by word and context, as arrays; dishes that only occur outside training have count 0."""
+
+    def __init__(self, number: int, words: np.ndarray, runs: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
+        self.number, self.words, self.runs, self.contexts, self.counts = number, words, runs, contexts, counts
+        self.tables = (counts > 0).astype(np.int32)
+        self.weights, self.own = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
+        self.kept, self.chunks, self.places = [], [], []
+        self._indexed()
+        self.shared_tables, self.shared_weights = (self.shared > 0).astype(np.int64), np.zeros(len(words))
 
-    KINDS = {"words": np.uint64, "runs": np.int32, "classes": np.int16, "counts": np.int32, "tables": np.int32, "weights": np.float32, "own": np.float32, "shared_tables": np.int32, "shared_weights": np.float32}
+    def _indexed(self) -> None:
+        self.first = np.cumsum(self.runs) - self.runs
+        self.word_of = np.repeat(np.arange(len(self.runs)), self.runs)
+        self.shared = self.per_word(self.tables)
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, i: int) -> Bucket:
-        self = cls()
-        for name, kind in cls.KINDS.items():
+        self = cls.__new__(cls)
+        for name, kind in ARRAYS.items():
             setattr(self, name, np.frombuffer(batch.column(name)[i].as_py(), kind))
-        self.number = batch.column("bucket")[i].as_py()
+        self.number, self.chunks, self.places = (batch.column(n)[i].as_py() for n in ("bucket", "chunks", "places"))
         self.kept = [np.frombuffer(x, np.int32) for x in batch.column("kept")[i].as_py()]
-        self.first = np.cumsum(self.runs) - self.runs
-        self.word_of = np.repeat(np.arange(len(self.runs)), self.runs)
-        self.shared = self._per_word(self.tables)
+        self._indexed()
         return self
 
-    def _per_word(self, x: np.ndarray) -> np.ndarray:
+    def per_word(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x.astype(np.int64), self.first) if len(x) else np.empty(0, np.int64)
 
-    def row(self) -> pa.RecordBatch:
-        row = {"bucket": self.number, "kept": [_bytes(k.astype(np.int32)) for k in self.kept]} | {n: _bytes(np.asarray(getattr(self, n)).astype(k)) for n, k in self.KINDS.items()}
-        return pa.RecordBatch.from_pylist([row], STATE_SCHEMA)
+    def rows(self, *sums: tuple[str, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        """Its state, and the sums (name, context, number) that others need."""
+        out = [{"kind": "state", "bucket": self.number, "kept": [_bytes(k.astype(np.int32)) for k in self.kept], "chunks": self.chunks, "places": self.places}]
+        out[0] |= {n: _bytes(np.asarray(getattr(self, n)).astype(k)) for n, k in ARRAYS.items()}
+        for name, contexts, numbers in sums:
+            at, place = np.unique(contexts, return_inverse=True)
+            n = np.bincount(place, numbers, len(at)).astype(np.int64)
+            cuts = np.searchsorted(at, np.arange((CONTEXTS >> BLOCK_BITS) + 1) << BLOCK_BITS)
+            for block, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if low < high:
+                    out.append({"kind": "sums", "name": name, "block": block, "at": _bytes((at[low:high] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)), "n": _bytes(n[low:high])})
+        pairs, shared = self.counts, self.shared
+        alone = [(shared > 0).sum(), pairs.sum(), shared.sum(), self.shared_tables.sum(), (pairs == 1).sum(), (pairs == 2).sum(), (shared == 1).sum(), (shared == 2).sum()]
+        out.append({"kind": "sums", "name": "one", "block": -1, "at": _bytes(np.arange(len(alone), dtype=np.uint16)), "n": _bytes(np.array(alone, np.int64))})
+        return pa.RecordBatch.from_pylist(out, STATE_SCHEMA)
+
+    def more_tables(self) -> tuple[str, np.ndarray, np.ndarray]:
+        some = self.tables > 1
+        return "more", self.contexts[some], self.tables[some] - 1
 
     def shared_probability(self, t: Totals) -> np.ndarray:
         d, strength = t.discounts[1], STRENGTH[1]
@@ -272,115 +271,166 @@ class Bucket:
         return (self.shared - d * self.shared_tables + spare) / (strength + t.shared_customers)
 
     def sweep(self, t: Totals, number: int, keep: bool) -> None:
-        draw = np.random.default_rng((SEED, number, self.number))
-        if len(self.words):
-            p = self.shared_probability(t)[self.word_of]
-            d = t.discounts[0]
-            others = STRENGTH[0] + d * np.maximum(0, t.tables[self.classes] - self.tables)
-            self.tables, self.weights = self._tested(*seat(self.counts, np.ones(len(self.counts), bool), others * p, d * p, d, draw), self.tables, self.weights, draw, number)
-            self.shared = self._per_word(self.tables)
-            d = t.discounts[1]
-            even = 1 / (t.words + 1)
-            others = STRENGTH[1] + d * np.maximum(0, t.shared_tables - self.shared_tables)
-            self.shared_tables, self.shared_weights = self._tested(*seat(self.shared, self.shared > 0, others * even, np.full(len(self.shared), d * even), d, draw), np.minimum(self.shared_tables, self.shared), self.shared_weights, draw, number)
+        some = np.flatnonzero(self.counts > 1)  # one customer has one table
+        if len(some):
+            p = self.shared_probability(t)[self.word_of[some]]
+            d, contexts = t.discounts[0], self.contexts[some]
+            others = STRENGTH[0] + d * np.maximum(0, t.tables[contexts] - self.tables[some])
+            keys = (self.words[self.word_of[some]] ^ (contexts.astype(np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            tables, weights = self._tested(*seat(self.counts[some], others * p, d * p, d, keys, 2 * number), self.tables[some], self.weights[some], keys, number)
+            self.tables, self.weights = self.tables.copy(), self.weights.copy()
+            self.tables[some], self.weights[some] = tables, weights
+            self.shared = self.per_word(self.tables)
+        some = np.flatnonzero(self.shared > 0)
+        if len(some):
+            d, even = t.discounts[1], 1 / (t.words + 1)
+            others = STRENGTH[1] + d * np.maximum(0, t.shared_tables - self.shared_tables[some])
+            keys = self.words[some] * np.uint64(0xA0761D6478BD642F)
+            old = np.minimum(self.shared_tables[some], self.shared[some])
+            tables, weights = self._tested(*seat(self.shared[some], others * even, np.full(len(some), d * even), d, keys, 2 * number + 1), old, self.shared_weights[some], keys, number)
+            self.shared_tables, self.shared_weights = self.shared_tables.copy(), self.shared_weights.copy()
+            self.shared_tables[some], self.shared_weights[some] = tables, weights
         if keep:
             self.own = self.own + self.tables
             self.kept = [*self.kept, self.shared, self.shared_tables]
 
     @staticmethod
-    def _tested(new: np.ndarray, weight: np.ndarray, old: np.ndarray, old_weight: np.ndarray, draw: np.random.Generator, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _tested(new: np.ndarray, weight: np.ndarray, old: np.ndarray, old_weight: np.ndarray, keys: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
         """The new seating where it passes the Metropolis test; the first sweep has no old one."""
         if number == 0:
             return new, weight
-        take = np.log(draw.random(len(new))) < weight - old_weight
+        take = np.log(1 - _noise(keys, number, 3_000_000)) < weight - old_weight
         return np.where(take, new, old), np.where(take, weight, old_weight)
 
 
+def _grouped(run):
+    """``run`` with the type hints by which Spark hands over a group batch by batch."""
+
+    def grouped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(key, batches)
+
+    grouped.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return grouped
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """The state of every bucket, each dish of training at one table, with the places of each chunk's pairs."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for chunk, words, runs, contexts, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
+                parts.append((chunk, np.frombuffer(words, np.uint64), np.frombuffer(runs, np.int32), np.frombuffer(contexts, np.int32), np.frombuffer(counts, np.int32)))
+        words = np.unique(np.concatenate([p[1] for p in parts]))
+
+        def codes(part: tuple) -> np.ndarray:
+            return np.repeat(np.searchsorted(words, part[1]), part[2]) << CONTEXT_BITS | part[3]
+
+        dishes = np.unique(np.concatenate([codes(p) for p in parts]))
+        counts = np.zeros(len(dishes), np.int64)
+        chunks, places = [], []
+        for part in parts:
+            at = np.searchsorted(dishes, codes(part))
+            counts[at] += part[4]  # a chunk has a pair once
+            chunks.append(part[0])
+            places.append(_bytes(np.diff(at, prepend=0).astype(np.int32)))
+        first = _starts(dishes >> CONTEXT_BITS)
+        contexts = (dishes & (CONTEXTS - 1)).astype(np.int32)
+        bucket = Bucket(key[0].as_py(), words, np.diff(np.r_[first, len(dishes)]).astype(np.int32), contexts, counts)
+        bucket.chunks, bucket.places = chunks, places
+        seen = counts > 0
+        yield bucket.rows(("customers", contexts[seen], counts[seen]), ("dishes", contexts[seen], np.ones(int(seen.sum()))))
+
+    return pairs.select("bucket", "chunk", "words", "runs", "contexts", "counts").groupBy("bucket").applyInArrow(_grouped(run), STATE)
+
+
 def _swept(state: DataFrame, sent, number: int, keep: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = Bucket.read(batch, i)
                 bucket.sweep(Totals(*sent.value), number, keep)
-                yield bucket.row()
+                yield bucket.rows(bucket.more_tables())
 
     return state.mapInArrow(run, STATE)
 
 
-def _totals(state: DataFrame, discounts: tuple[float, float] | None) -> Totals:
-    """Sums over the buckets; each sends ``CLASSES`` sums and a few more, added up by Spark."""
+def _summed_up(sums: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of all buckets by name: blocks are added up in tasks, and make arrays of ``CONTEXTS`` numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {"customers": np.zeros(CLASSES, np.int64), "tables": np.zeros(CLASSES, np.int64), "one": np.zeros(8, np.int64)}
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BLOCK_BITS, np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                b = Bucket.read(batch, i)
-                sums["customers"] += np.bincount(b.classes, b.counts, CLASSES).astype(np.int64)
-                sums["tables"] += np.bincount(b.classes, b.tables, CLASSES).astype(np.int64)
-                pairs, shared = b.counts, b.shared
-                sums["one"] += [len(b.words), pairs.sum(), shared.sum(), b.shared_tables.sum(), (pairs == 1).sum(), (pairs == 2).sum(), (shared == 1).sum(), (shared == 2).sum()]
-        for name, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(x[at])], ["name", "at", "n"])
-
-    out = {"customers": np.zeros(CLASSES, np.int64), "tables": np.zeros(CLASSES, np.int64), "one": np.zeros(8, np.int64)}
-    for row in state.mapInArrow(run, "name string, at long, n long").groupBy("name", "at").agg(F.sum("n").alias("n")).collect():
-        out[row["name"]][row["at"]] = row["n"]
-    words, tokens, shared, shared_tables, p1, p2, s1, s2 = out["one"].tolist()
+            for at, n in zip(*(batch.column(i).to_pylist() for i in (2, 3))):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], ["name", "block", "n"])
+
+    out: dict[str, np.ndarray] = {}
+    for row in sums.select("name", "block", "at", "n").groupBy("name", "block").applyInArrow(_grouped(run), "name string, block int, n binary").toLocalIterator():
+        n = np.frombuffer(row.n, np.int64)
+        if row.block < 0:
+            out[row["name"]] = n[:8]
+        else:
+            out.setdefault(row["name"], np.zeros(CONTEXTS, np.int32))[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = n
+    return out
+
+
+def _totals(sums: dict[str, np.ndarray], before: Totals | None, dishes: np.ndarray | None) -> Totals:
+    none = np.zeros(CONTEXTS, np.int32)
+    words, tokens, shared, shared_tables, p1, p2, s1, s2 = sums.get("one", np.zeros(8, np.int64)).tolist()
 
     def discount(ones: int, twos: int) -> float:
         return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
 
-    return Totals(out["customers"], out["tables"], words, tokens, shared, shared_tables, discounts or (discount(p1, p2), discount(s1, s2)))
+    if before is None:
+        return Totals(sums.get("customers", none), sums.get("dishes", none), words, tokens, shared, shared_tables, (discount(p1, p2), discount(s1, s2)))
+    return before._replace(tables=dishes + sums.get("more", none), shared_customers=shared, shared_tables=shared_tables)
 
 
-ANSWERS = "chunk long, bucket int, counts binary, score binary"
+ANSWERS = "chunk long, bucket int, counts binary, runs binary, score binary"
 
 
-def _answered(pairs: DataFrame, state: DataFrame, kept_totals: list[Totals]) -> DataFrame:
-    """For every row of ``pairs``: its words' training counts and the model's log 10 probabilities."""
-    sent = pairs.sparkSession.sparkContext.broadcast([tuple(t) for t in kept_totals])
-    out = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("score", pa.binary())])
+def _answered(state: DataFrame, kept_totals: list[Totals]) -> DataFrame:
+    """For every chunk with pairs in a bucket: the words' training counts and the model's log 10 probabilities of the pairs."""
+    first = kept_totals[0].customers  # the same in all
+    sent = state.sparkSession.sparkContext.broadcast((first, [tuple(t._replace(customers=None)) for t in kept_totals]))
+    out = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("runs", pa.binary()), ("score", pa.binary())])
 
-    def answer(asked: pa.Table, states: pa.Table) -> pa.Table:
-        kept = [Totals(*k) for k in sent.value]
-        bucket = Bucket.read(states.combine_chunks().to_batches()[0], 0)
-        words, counts = bucket.words, bucket._per_word(bucket.counts)
-        spare = [(STRENGTH[1] + k.discounts[1] * k.shared_tables) / (k.words + 1) for k in kept]
-        above = [(bucket.kept[2 * i] - k.discounts[1] * bucket.kept[2 * i + 1] + spare[i]) / (STRENGTH[1] + k.shared_customers) for i, k in enumerate(kept)]
-        code = bucket.word_of * CLASSES + bucket.classes
-        rows = []
-        for chunk, number, w, runs, c in zip(*(asked.column(n).to_pylist() for n in ("chunk", "bucket", "words", "runs", "classes"))):
-            c, p = np.frombuffer(c, np.int16).astype(np.int64), 0.0
-            once, runs = np.frombuffer(w, np.uint64), np.frombuffer(runs, np.int32)
-            at = np.minimum(np.searchsorted(words, once), max(0, len(words) - 1))
-            known = words[at] == once if len(words) else np.zeros(len(once), bool)
-            n = np.where(known, counts[at], 0) if len(words) else np.zeros(len(once))
-            at, known = np.repeat(at, runs), np.repeat(known, runs)
-            pair = np.minimum(np.searchsorted(code, at * CLASSES + c), max(0, len(code) - 1))
-            met = known & (code[pair] == at * CLASSES + c) if len(code) else known
-            own = np.where(met, bucket.counts[pair] - kept[0].discounts[0] * bucket.own[pair] / len(kept), 0.0) if len(code) else np.zeros(len(c))
-            for k, shared, unknown in zip(kept, above, spare):
-                unknown = unknown / (STRENGTH[1] + k.shared_customers)
-                up = np.where(known, shared[at], unknown) if len(words) else unknown
-                p = p + (own + (STRENGTH[0] + k.discounts[0] * k.tables[c]) * up) / (STRENGTH[0] + k.customers[c])
-            rows.append((chunk, number, _bytes(np.repeat(n, runs).astype(np.int32)), _bytes(np.log10(p / len(kept)).astype(np.float32))))
-        return pa.Table.from_pylist([dict(zip(out.names, r)) for r in rows], out)
-
-    return pairs.select("bucket", "chunk", "words", "runs", "classes").groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(answer, ANSWERS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, kept = sent.value[0], [Totals(*k) for k in sent.value[1]]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = Bucket.read(batch, i)
+                counts = bucket.per_word(bucket.counts)
+                own = np.where(bucket.counts > 0, bucket.counts - kept[0].discounts[0] * bucket.own / len(kept), 0.0)
+                p, c = 0.0, bucket.contexts
+                for j, k in enumerate(kept):
+                    spare = (STRENGTH[1] + k.discounts[1] * k.shared_tables) / (k.words + 1)
+                    above = (bucket.kept[2 * j] - k.discounts[1] * bucket.kept[2 * j + 1] + spare) / (STRENGTH[1] + k.shared_customers)
+                    p = p + (own + (STRENGTH[0] + k.discounts[0] * k.tables[c]) * above[bucket.word_of]) / (STRENGTH[0] + customers[c])
+                score = np.log10(p / len(kept)).astype(np.float32)
+                for chunk, places in zip(bucket.chunks, bucket.places):
+                    at = np.cumsum(np.frombuffer(places, np.int32))
+                    words = bucket.word_of[at]
+                    first = _starts(words)
+                    row = (chunk, bucket.number, _bytes(counts[words[first]].astype(np.int32)), _bytes(np.diff(np.r_[first, len(at)]).astype(np.int32)), _bytes(score[at]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(out.names, row))], out)
+
+    return state.mapInArrow(run, ANSWERS)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _summed(chunk_docs: DataFrame, answers: DataFrame, t: Totals) -> DataFrame:
+def _scored(chunk_docs: DataFrame, answers: DataFrame, t: Totals) -> DataFrame:
     """Each document's sums over its tokens."""
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     tokens, words = t.tokens, t.words
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         parts = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        counts, score = (np.concatenate([np.frombuffer(r[n], k) for r in parts]) for n, k in (("counts", np.int32), ("score", np.float32)))
+        counts = np.concatenate([np.repeat(np.frombuffer(r["counts"], np.int32), np.frombuffer(r["runs"], np.int32)) for r in parts])
+        score = np.concatenate([np.frombuffer(r["score"], np.float32) for r in parts])
         known, base = (counts > 0).astype(np.int64), np.log10((counts + 1.0) / (tokens + words + 1))
         tables = []
         for row in docs.to_pylist():
@@ -395,27 +445,42 @@ def _summed(chunk_docs: DataFrame, answers: DataFrame, t: Totals) -> DataFrame:
     return chunk_docs.select("chunk", "words", "ids", "sizes").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, name: str, spark: SparkSession) -> str:
+    """The path of ``df`` written by kind; its shuffle files go as soon as it is written."""
+    path, old = scratch(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old) if old is not None else spark.conf.unset(CLEANUP)
+    return path
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document, learned from rows with ``train``."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch(spark, "chunks")
-    _chunks(docs, train, id_col, text_col, buckets).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    found = spark.read.schema(CHUNKS).parquet(path)
-    pairs, chunk_docs = found.filter("kind = 'pairs'"), found.filter("kind = 'docs'")
-
-    at = scratch(spark, "state")
-    _counted(pairs).write.option("compression", "zstd").parquet(at)
-    state = spark.read.schema(STATE).parquet(at)
-    totals = _totals(state, None)
-    kept_totals = []
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string")) + 1), F.lit(0))).first()[0]
+    buckets = max(4, math.ceil(size / BUCKET_BYTES))
+    path = _write(_chunks(docs, train, id_col, text_col, buckets), "chunks", spark)
+
+    def kind(path: str, which: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(path).filter(F.col("kind") == which)
+
+    at = _write(_counted(kind(path, "pairs", CHUNKS).repartition(buckets, "bucket")), "state", spark)
+    discard(spark, f"{path}/kind=pairs")
+    sums = _summed_up(kind(at, "sums", STATE))
+    totals = _totals(sums, None, None)
+    dishes, kept_totals = totals.tables, []
     for number in range(sweeps):
         keep = number >= sweeps - kept
-        sent, old, at = spark.sparkContext.broadcast(tuple(totals)), at, scratch(spark, "state")
-        _swept(state, sent, number, keep).write.option("compression", "zstd").parquet(at)
-        state = spark.read.schema(STATE).parquet(at)
-        totals = _totals(state, totals.discounts)
+        sent, old = spark.sparkContext.broadcast(tuple(totals._replace(customers=None))), at
+        at = _write(_swept(kind(old, "state", STATE), sent, number, keep), "state", spark)
+        totals = _totals(_summed_up(kind(at, "sums", STATE)), totals, dishes)
         kept_totals += [totals] * keep
         discard(spark, old)
-    done = _summed(chunk_docs, _answered(pairs, state, kept_totals), totals)
+        sent.destroy()
+    done = _scored(kind(path, "docs", CHUNKS), _answered(kind(at, "state", STATE), kept_totals), totals)
     return done.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))
