@@ -134,11 +134,10 @@ PICKS = "array<struct<i:int,block:bigint,release:bigint,due:bigint>>"
 
 def _timetable(sources: DataFrame, n_slots: int, least_weight: float, frame: int, step: int) -> DataFrame:
     """(_g, block, release, deadline, slot): one row per block."""
-    spark = sources.sparkSession
     longest = min(n_slots, math.ceil(1 / least_weight) + 2)
     frame = max(frame, longest)
-    curves = _curves(sources).withColumn("_one", F.lit(1))
-    frames = spark.range(math.ceil(n_slots / frame)).select((F.col("id") * frame).alias("begin"), F.lit(1).alias("_one")).join(F.broadcast(curves), "_one")
+    frames = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slots - 1), F.lit(frame)))
+    frames = _curves(sources).select("s", "phases", frames.alias("begin")).repartition("begin")
     end = F.least(F.col("begin") + frame, F.lit(n_slots))
     start = F.greatest(F.col("begin") - longest, F.lit(0).cast("long"))
     frames = _started(frames.select("*", start.alias("start"), end.alias("end")))
