@@ -52,8 +52,8 @@ from .common import discard, scratch
 CONTEXT_BITS = 22
 CONTEXTS = 1 << CONTEXT_BITS
 BLOCK_BITS = 16
-CHUNK_BYTES = 12_000_000
-BUCKET_BYTES = 8_000_000
+CHUNK_BYTES = 8_000_000
+BUCKET_BYTES = 6_000_000
 SWEEPS = 5
 KEPT = 3
 STRENGTH = (1.0, 1.0)  # of the context restaurants and the shared one
@@ -206,60 +206,67 @@ class Totals(NamedTuple):
     discounts: tuple[float, float]
 
 
-ARRAYS = {"words": np.uint64, "runs": np.int32, "contexts": np.int32, "counts": np.int32, "tables": np.int32, "weights": np.float32, "own": np.int32, "shared_tables": np.int32, "shared_weights": np.float32}
-#: Rows of kind ``state`` are buckets, those of kind ``sums`` have numbers ``n`` at the places ``at`` of a block of contexts, or in block -1 the sums that have no context.
-STATE = "kind string, bucket int, name string, block int, at binary, n binary, " + "".join(f"{a} binary, " for a in ARRAYS) + "kept array<binary>, chunks array<long>, places array<binary>"
-STATE_NAMES = [f.split()[0] for f in STATE.split(", ")]
-STATE_SCHEMA = pa.schema(
-    [("kind", pa.string()), ("bucket", pa.int32()), ("name", pa.string()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary()), *((a, pa.binary()) for a in ARRAYS)]
-    + [("kept", pa.list_(pa.binary())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
-)
+#: What a bucket has once, and what sweeps change: of the dishes only those of more than one customer, as one customer has one table.
+FIXED = {"runs": np.int32, "contexts": np.int32, "counts": np.int32}
+SEATED = {"words": np.uint64, "singles": np.int32, "many": np.int32, "contexts": np.int32, "counts": np.int32, "tables": np.int32, "weights": np.float32, "own": np.int32, "shared_tables": np.int32, "shared_weights": np.float32}
+#: Rows of kind ``sums`` have numbers ``n`` at the places ``at`` of a block of contexts, or in block -1 the sums that have no context.
+STATE_FIELDS = [
+    ("kind", pa.string()), ("bucket", pa.int32()), ("name", pa.string()), ("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary()),
+    *((a, pa.binary()) for a in {**FIXED, **SEATED}), ("kept", pa.list_(pa.binary())), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())),
+]
+STATE_SCHEMA = pa.schema(STATE_FIELDS)
+_DDL = {pa.string(): "string", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.binary()): "array<binary>", pa.list_(pa.int64()): "array<long>"}
+STATE = ", ".join(f"{name} {_DDL[kind]}" for name, kind in STATE_FIELDS)
+
+
+def _sum_rows(bucket: Bucket, *sums: tuple[str, np.ndarray, np.ndarray], pairs: np.ndarray | None = None) -> list[dict]:
+    """Rows of the sums (name, context, number) that other buckets need, and of those without a context."""
+    out = []
+    for name, contexts, numbers in sums:
+        at, place = np.unique(contexts, return_inverse=True)
+        n = np.bincount(place, numbers, len(at)).astype(np.int32)
+        cuts = np.searchsorted(at, np.arange((CONTEXTS >> BLOCK_BITS) + 1) << BLOCK_BITS)
+        for block, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if low < high:
+                out.append({"kind": "sums", "name": name, "block": block, "at": _bytes((at[low:high] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)), "n": _bytes(n[low:high])})
+    shared = bucket.shared
+    alone = [(shared > 0).sum(), shared.sum(), bucket.shared_tables.sum(), (shared == 1).sum(), (shared == 2).sum()]
+    alone += [pairs.sum(), (pairs == 1).sum(), (pairs == 2).sum()] if pairs is not None else [0, 0, 0]
+    out.append({"kind": "sums", "name": "one", "block": -1, "n": _bytes(np.array(alone, np.int64))})
+    return out
 
 
 class Bucket:
-    """The dishes of some words, sorted by word and context, as arrays; dishes that only occur outside training have count 0."""
-
-    def __init__(self, number: int, words: np.ndarray, runs: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        self.number, self.words, self.runs, self.contexts, self.counts = number, words, runs, contexts, counts
-        self.tables = (counts > 0).astype(np.int32)
-        self.weights, self.own = np.zeros(len(counts)), np.zeros(len(counts), np.int64)
-        self.kept, self.chunks, self.places = [], [], []
+    """The words of a bucket and their dishes of more than one customer, sorted by word and context, as arrays."""
+
+    def __init__(self, number: int, words: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
+        some, n = counts > 1, len(words)
+        self.number, self.words, self.contexts, self.counts = number, words, contexts[some], counts[some]
+        self.singles, self.many = np.bincount(word_of[counts == 1], minlength=n), np.bincount(word_of[some], minlength=n)
+        self.tables, self.weights, self.own = np.ones(len(self.counts), np.int64), np.zeros(len(self.counts)), np.zeros(len(self.counts), np.int64)
+        self.kept: list[np.ndarray] = []
         self._indexed()
-        self.shared_tables, self.shared_weights = (self.shared > 0).astype(np.int64), np.zeros(len(words))
+        self.shared_tables, self.shared_weights = (self.shared > 0).astype(np.int64), np.zeros(n)
 
     def _indexed(self) -> None:
-        self.first = np.cumsum(self.runs) - self.runs
-        self.word_of = np.repeat(np.arange(len(self.runs)), self.runs)
-        self.shared = self.per_word(self.tables)
+        self.word_of = np.repeat(np.arange(len(self.words)), self.many)
+        self._share()
+
+    def _share(self) -> None:
+        """The shared restaurant's customers: one from each table."""
+        self.shared = self.singles + np.bincount(self.word_of, self.tables, len(self.words)).astype(np.int64)
 
     @classmethod
-    def read(cls, batch: pa.RecordBatch, i: int) -> Bucket:
+    def read(cls, row: dict) -> Bucket:
         self = cls.__new__(cls)
-        for name, kind in ARRAYS.items():
-            setattr(self, name, np.frombuffer(batch.column(name)[i].as_py(), kind))
-        self.number, self.chunks, self.places = (batch.column(n)[i].as_py() for n in ("bucket", "chunks", "places"))
-        self.kept = [np.frombuffer(x, np.int32) for x in batch.column("kept")[i].as_py()]
+        for name, kind in SEATED.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        self.number, self.kept = row["bucket"], [np.frombuffer(x, np.int32) for x in row["kept"]]
         self._indexed()
         return self
 
-    def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x.astype(np.int64), self.first) if len(x) else np.empty(0, np.int64)
-
-    def rows(self, *sums: tuple[str, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        """Its state, and the sums (name, context, number) that others need."""
-        out = [{"kind": "state", "bucket": self.number, "kept": [_bytes(k.astype(np.int32)) for k in self.kept], "chunks": self.chunks, "places": self.places}]
-        out[0] |= {n: _bytes(np.asarray(getattr(self, n)).astype(k)) for n, k in ARRAYS.items()}
-        for name, contexts, numbers in sums:
-            at, place = np.unique(contexts, return_inverse=True)
-            n = np.bincount(place, numbers, len(at)).astype(np.int64)
-            cuts = np.searchsorted(at, np.arange((CONTEXTS >> BLOCK_BITS) + 1) << BLOCK_BITS)
-            for block, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if low < high:
-                    out.append({"kind": "sums", "name": name, "block": block, "at": _bytes((at[low:high] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)), "n": _bytes(n[low:high])})
-        pairs, shared = self.counts, self.shared
-        alone = [(shared > 0).sum(), pairs.sum(), shared.sum(), self.shared_tables.sum(), (pairs == 1).sum(), (pairs == 2).sum(), (shared == 1).sum(), (shared == 2).sum()]
-        out.append({"kind": "sums", "name": "one", "block": -1, "at": _bytes(np.arange(len(alone), dtype=np.uint16)), "n": _bytes(np.array(alone, np.int64))})
-        return pa.RecordBatch.from_pylist(out, STATE_SCHEMA)
+    def row(self) -> dict:
+        return {"kind": "state", "bucket": self.number, "kept": [_bytes(k.astype(np.int32)) for k in self.kept]} | {n: _bytes(np.asarray(getattr(self, n)).astype(k)) for n, k in SEATED.items()}
 
     def more_tables(self) -> tuple[str, np.ndarray, np.ndarray]:
         some = self.tables > 1
@@ -271,16 +278,13 @@ class Bucket:
         return (self.shared - d * self.shared_tables + spare) / (strength + t.shared_customers)
 
     def sweep(self, t: Totals, number: int, keep: bool) -> None:
-        some = np.flatnonzero(self.counts > 1)  # one customer has one table
-        if len(some):
-            p = self.shared_probability(t)[self.word_of[some]]
-            d, contexts = t.discounts[0], self.contexts[some]
-            others = STRENGTH[0] + d * np.maximum(0, t.tables[contexts] - self.tables[some])
-            keys = (self.words[self.word_of[some]] ^ (contexts.astype(np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            tables, weights = self._tested(*seat(self.counts[some], others * p, d * p, d, keys, 2 * number), self.tables[some], self.weights[some], keys, number)
-            self.tables, self.weights = self.tables.copy(), self.weights.copy()
-            self.tables[some], self.weights[some] = tables, weights
-            self.shared = self.per_word(self.tables)
+        if len(self.counts):
+            p = self.shared_probability(t)[self.word_of]
+            d = t.discounts[0]
+            others = STRENGTH[0] + d * np.maximum(0, t.tables[self.contexts] - self.tables)
+            keys = (self.words[self.word_of] ^ (self.contexts.astype(np.uint64) << np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            self.tables, self.weights = self._tested(*seat(self.counts, others * p, d * p, d, keys, 2 * number), self.tables, self.weights, keys, number)
+            self._share()
         some = np.flatnonzero(self.shared > 0)
         if len(some):
             d, even = t.discounts[1], 1 / (t.words + 1)
@@ -336,10 +340,12 @@ def _counted(pairs: DataFrame) -> DataFrame:
             places.append(_bytes(np.diff(at, prepend=0).astype(np.int32)))
         first = _starts(dishes >> CONTEXT_BITS)
         contexts = (dishes & (CONTEXTS - 1)).astype(np.int32)
-        bucket = Bucket(key[0].as_py(), words, np.diff(np.r_[first, len(dishes)]).astype(np.int32), contexts, counts)
-        bucket.chunks, bucket.places = chunks, places
-        seen = counts > 0
-        yield bucket.rows(("customers", contexts[seen], counts[seen]), ("dishes", contexts[seen], np.ones(int(seen.sum()))))
+        runs, seen = np.diff(np.r_[first, len(dishes)]).astype(np.int32), counts > 0
+        bucket = Bucket(key[0].as_py(), words, dishes >> CONTEXT_BITS, contexts, counts)
+        fixed = {"kind": "fixed", "bucket": bucket.number, "runs": _bytes(runs), "contexts": _bytes(contexts), "counts": _bytes(counts.astype(np.int32)), "chunks": chunks, "places": places}
+        yield pa.RecordBatch.from_pylist([fixed], STATE_SCHEMA)
+        sums = _sum_rows(bucket, ("customers", contexts[seen], counts[seen]), ("dishes", contexts[seen], np.ones(int(seen.sum()))), pairs=counts)
+        yield pa.RecordBatch.from_pylist([bucket.row(), *sums], STATE_SCHEMA)
 
     return pairs.select("bucket", "chunk", "words", "runs", "contexts", "counts").groupBy("bucket").applyInArrow(_grouped(run), STATE)
 
@@ -348,9 +354,9 @@ def _swept(state: DataFrame, sent, number: int, keep: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket = Bucket.read(batch, i)
+                bucket = Bucket.read(batch.slice(i, 1).to_pylist()[0])
                 bucket.sweep(Totals(*sent.value), number, keep)
-                yield bucket.rows(bucket.more_tables())
+                yield pa.RecordBatch.from_pylist([bucket.row(), *_sum_rows(bucket, bucket.more_tables())], STATE_SCHEMA)
 
     return state.mapInArrow(run, STATE)
 
@@ -359,25 +365,28 @@ def _summed_up(sums: DataFrame) -> dict[str, np.ndarray]:
     """The sums of all buckets by name: blocks are added up in tasks, and make arrays of ``CONTEXTS`` numbers."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BLOCK_BITS, np.int64)
+        total, alone = np.zeros(1 << BLOCK_BITS, np.int32), np.zeros(8, np.int64)
         for batch in batches:
             for at, n in zip(*(batch.column(i).to_pylist() for i in (2, 3))):
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], ["name", "block", "n"])
+                if at is None:
+                    alone += np.frombuffer(n, np.int64)
+                else:
+                    total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
+        n = (alone if key[1].as_py() < 0 else total).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([n])], ["name", "block", "n"])
 
     out: dict[str, np.ndarray] = {}
     for row in sums.select("name", "block", "at", "n").groupBy("name", "block").applyInArrow(_grouped(run), "name string, block int, n binary").toLocalIterator():
-        n = np.frombuffer(row.n, np.int64)
         if row.block < 0:
-            out[row["name"]] = n[:8]
+            out[row["name"]] = np.frombuffer(row.n, np.int64)
         else:
-            out.setdefault(row["name"], np.zeros(CONTEXTS, np.int32))[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = n
+            out.setdefault(row["name"], np.zeros(CONTEXTS, np.int32))[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = np.frombuffer(row.n, np.int32)
     return out
 
 
 def _totals(sums: dict[str, np.ndarray], before: Totals | None, dishes: np.ndarray | None) -> Totals:
     none = np.zeros(CONTEXTS, np.int32)
-    words, tokens, shared, shared_tables, p1, p2, s1, s2 = sums.get("one", np.zeros(8, np.int64)).tolist()
+    words, shared, shared_tables, s1, s2, tokens, p1, p2 = sums.get("one", np.zeros(8, np.int64)).tolist()
 
     def discount(ones: int, twos: int) -> float:
         return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
@@ -390,7 +399,7 @@ def _totals(sums: dict[str, np.ndarray], before: Totals | None, dishes: np.ndarr
 ANSWERS = "chunk long, bucket int, counts binary, runs binary, score binary"
 
 
-def _answered(state: DataFrame, kept_totals: list[Totals]) -> DataFrame:
+def _answered(fixed: DataFrame, state: DataFrame, kept_totals: list[Totals]) -> DataFrame:
     """For every chunk with pairs in a bucket: the words' training counts and the model's log 10 probabilities of the pairs."""
     first = kept_totals[0].customers  # the same in all
     sent = state.sparkSession.sparkContext.broadcast((first, [tuple(t._replace(customers=None)) for t in kept_totals]))
@@ -400,23 +409,28 @@ def _answered(state: DataFrame, kept_totals: list[Totals]) -> DataFrame:
         customers, kept = sent.value[0], [Totals(*k) for k in sent.value[1]]
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket = Bucket.read(batch, i)
-                counts = bucket.per_word(bucket.counts)
-                own = np.where(bucket.counts > 0, bucket.counts - kept[0].discounts[0] * bucket.own / len(kept), 0.0)
-                p, c = 0.0, bucket.contexts
+                row = batch.slice(i, 1).to_pylist()[0]
+                runs, c, n = (np.frombuffer(row[a], FIXED[a]) for a in ("runs", "contexts", "counts"))
+                own, above = np.frombuffer(row["own"], np.int32), [np.frombuffer(x, np.int32) for x in row["kept"]]
+                word_of = np.repeat(np.arange(len(runs)), runs)
+                counts = np.bincount(word_of, n, len(runs)).astype(np.int32)
+                mine = np.where(n > 0, n - kept[0].discounts[0], 0.0)
+                mine[n > 1] = n[n > 1] - kept[0].discounts[0] * own / len(kept)
+                p = np.zeros(len(c))
                 for j, k in enumerate(kept):
                     spare = (STRENGTH[1] + k.discounts[1] * k.shared_tables) / (k.words + 1)
-                    above = (bucket.kept[2 * j] - k.discounts[1] * bucket.kept[2 * j + 1] + spare) / (STRENGTH[1] + k.shared_customers)
-                    p = p + (own + (STRENGTH[0] + k.discounts[0] * k.tables[c]) * above[bucket.word_of]) / (STRENGTH[0] + customers[c])
+                    shared = (above[2 * j] - k.discounts[1] * above[2 * j + 1] + spare) / (STRENGTH[1] + k.shared_customers)
+                    p += (mine + (STRENGTH[0] + k.discounts[0] * k.tables[c]) * shared[word_of]) / (STRENGTH[0] + customers[c])
                 score = np.log10(p / len(kept)).astype(np.float32)
-                for chunk, places in zip(bucket.chunks, bucket.places):
+                for chunk, places in zip(row["chunks"], row["places"]):
                     at = np.cumsum(np.frombuffer(places, np.int32))
-                    words = bucket.word_of[at]
+                    words = word_of[at]
                     first = _starts(words)
-                    row = (chunk, bucket.number, _bytes(counts[words[first]].astype(np.int32)), _bytes(np.diff(np.r_[first, len(at)]).astype(np.int32)), _bytes(score[at]))
-                    yield pa.RecordBatch.from_pylist([dict(zip(out.names, row))], out)
+                    told = (chunk, row["bucket"], _bytes(counts[words[first]]), _bytes(np.diff(np.r_[first, len(at)]).astype(np.int32)), _bytes(score[at]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(out.names, told))], out)
 
-    return state.mapInArrow(run, ANSWERS)
+    both = fixed.select("bucket", "runs", "contexts", "counts", "chunks", "places").join(state.select("bucket", "own", "kept"), "bucket")
+    return both.mapInArrow(run, ANSWERS)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -469,10 +483,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def kind(path: str, which: str, schema: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path).filter(F.col("kind") == which)
 
-    at = _write(_counted(kind(path, "pairs", CHUNKS).repartition(buckets, "bucket")), "state", spark)
+    once = at = _write(_counted(kind(path, "pairs", CHUNKS).repartition(buckets, "bucket")), "state", spark)
     discard(spark, f"{path}/kind=pairs")
-    sums = _summed_up(kind(at, "sums", STATE))
-    totals = _totals(sums, None, None)
+    totals = _totals(_summed_up(kind(at, "sums", STATE)), None, None)
     dishes, kept_totals = totals.tables, []
     for number in range(sweeps):
         keep = number >= sweeps - kept
@@ -480,7 +493,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         at = _write(_swept(kind(old, "state", STATE), sent, number, keep), "state", spark)
         totals = _totals(_summed_up(kind(at, "sums", STATE)), totals, dishes)
         kept_totals += [totals] * keep
-        discard(spark, old)
+        discard(spark, f"{old}/kind=state")
         sent.destroy()
-    done = _scored(kind(path, "docs", CHUNKS), _answered(kind(at, "state", STATE), kept_totals), totals)
+    done = _scored(kind(path, "docs", CHUNKS), _answered(kind(once, "fixed", STATE), kind(at, "state", STATE), kept_totals), totals)
     return done.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))

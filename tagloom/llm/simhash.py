@@ -19,6 +19,11 @@ differing bits fall on the segments in one of two ways:
 
 So every pair within 4 bits shares a key, and all that meet are verified.
 
+``one_of_each`` asks for similar shingles rather than for four bits. There two
+fingerprints of a document are each looked up by two of three segments' indices, which
+finds most pairs with many more bits between them; what meets is verified twice, by the
+bits of both fingerprints and then by the shingles themselves.
+
 Work grows with distinct fingerprints, not copies: equal fingerprints become one
 node first. In a key's group a breadth-first walk keeps a spanning forest of the
 verified links, so a group of m fingerprints gives fewer than m links when it is
@@ -46,6 +51,8 @@ from .common import written
 LINK_BITS = 4
 SEED = 42  # of XXH64
 SHINGLES_AT_ONCE = 1 << 16
+SIMILARITY = 0.8
+NEAR_BITS = 30  # of two fingerprints; at that similarity they differ in 19 on average, with a deviation of 4
 HOT_ROWS = 100_000  # rows of one fingerprint that go to one task
 PAIRED = 16  # groups up to this size are compared pair by pair, larger ones walked
 
@@ -55,40 +62,55 @@ GOLAY = 0b110001110101
 SEGMENTS = ((43, 21), (22, 21), (0, 22))
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The majority of the hashes' bits, 1 where set in over half of them."""
+def _shingles(text: bytes, words: int) -> Iterator[bytes]:
+    found = text.lower().split()
+    if len(found) < words:
+        return iter([b" ".join(found)] if found else [])
+    return map(b" ".join, zip(*(found[i:] for i in range(words))))
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles, by splitmix64's mixing; number 0 leaves them."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int, number: int = 1) -> tuple[int, ...]:
+    """``number`` fingerprints: the majority of the hashes' bits, 1 where set in over half of them."""
     import xxhash
 
-    digest = xxhash.xxh64_digest
-    found = text.lower().split()
-    if not found:
-        return 0
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else iter([b" ".join(found)])
-    total, ones, part = 0, np.zeros(64, np.int64), []
+    digest, total, ones, part = xxhash.xxh64_digest, 0, np.zeros((number, 64), np.int64), []
 
     def count(part: list[bytes]) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        hashes = np.frombuffer(b"".join(part), ">u8").astype(np.uint64)
+        bits = (np.unpackbits(_mixed(hashes, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) for i in range(number))
+        return np.stack([b.sum(axis=0, dtype=np.int64) for b in bits])
 
-    for shingle in shingles:
+    for shingle in _shingles(text, words):
         part.append(digest(shingle, SEED))
         if len(part) == SHINGLES_AT_ONCE:
             ones, total, part = ones + count(part), total + len(part), []
     if part:
         ones, total = ones + count(part), total + len(part)
-    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+    return tuple(int.from_bytes(np.packbits(2 * o > total).tobytes(), "big") for o in ones)
 
 
-def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, the long columns ``carry``): fp is the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), number: int = 1) -> DataFrame:
+    """(doc_id, fp, the long columns ``carry``), with further fingerprints as fp1, fp2 ...: their bits as longs."""
+    names = ["fp", *(f"fp{i}" for i in range(1, number))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
-            found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carry])
+            found = np.array([fingerprint(t.as_py() or b"", words, number) for t in texts], np.uint64).reshape(-1, number).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(number)), *batch.columns[2:]], ["doc_id", *names, *carry])
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    return one.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} long" for c in carry))
+    return one.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in (*names, *carry)))
 
 
 def golay_indices() -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +159,37 @@ def golay_keys(fps: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= LINK_BITS
+def pair_keys(fps: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``fps``, key): two segments' indices each. Fingerprints meet where two segments share an index."""
+    fps = fps.view(np.uint64)
+    found = []
+    for low, width in SEGMENTS:
+        words = ((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        errors = patterns[_syndromes(words)]
+        found.append(np.where(errors >= 0, (words[:, None] ^ errors) >> 11, -1))
+    rows, keys = [], []
+    for tag, (x, y) in enumerate(combinations(range(3), 2)):
+        both = (found[x][:, :, None] >= 0) & (found[y][:, None, :] >= 0)
+        at, i, j = np.nonzero(both)
+        rows.append(at)
+        keys.append((tag << 24) | (found[x][at, i] << 12) | found[y][at, j])
+    return np.concatenate(rows), np.concatenate(keys)
+
 
+def _near(a: np.ndarray, b: np.ndarray, bits: int = LINK_BITS) -> np.ndarray:
+    """Whether fingerprints differ in ``bits`` or fewer; several of a document stand in columns."""
+    differ = np.bitwise_count(a ^ b)
+    return (differ if differ.ndim == 1 else differ.sum(axis=1)) <= bits
 
-def _walk(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links among distinct fingerprints, breadth first."""
+
+def _walk(fps: np.ndarray, bits: int = LINK_BITS) -> list[tuple[int, int]]:
+    """Spanning forest of the links among fingerprints, breadth first."""
     left, links = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = _near(fps[left], fps[at])
+            near = _near(fps[left], fps[at], bits)
             for other in left[near]:
                 links.append((at, other))
             queue.extend(left[near])
@@ -156,39 +197,31 @@ def _walk(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def group_links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Verified links (id, smaller id) among rows with equal keys; ``keys`` is sorted."""
+def group_links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bits: int = LINK_BITS) -> np.ndarray:
+    """Links (id, smaller id) among rows with equal keys; ``keys`` is sorted."""
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[start, len(keys)])
     small, links = np.repeat(sizes <= PAIRED, sizes), []
     for gap in range(1, int(sizes[sizes <= PAIRED].max(initial=1))):
         i = np.flatnonzero((keys[gap:] == keys[:-gap]) & small[gap:])
-        i = i[_near(fps[i], fps[i + gap])]
+        i = i[_near(fps[i], fps[i + gap], bits)]
         links.append(np.stack([ids[i], ids[i + gap]], axis=1))
     for s, n in zip(start[sizes > PAIRED], sizes[sizes > PAIRED]):
-        if pairs := _walk(fps[s : s + n]):
+        if pairs := _walk(fps[s : s + n], bits):
             links.append(ids[s + np.array(pairs)])
     out = np.concatenate(links) if links else np.empty((0, 2), np.int64)
     out = out[out[:, 0] != out[:, 1]]
     return np.unique(np.stack([out.max(axis=1), out.min(axis=1)], axis=1), axis=0)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with b < a: verified links among the distinct fingerprints of ``nodes`` (fp)."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, _ = golay_indices()
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                fps = part.column(0).to_numpy(zero_copy_only=False)
-                rows, keys = golay_keys(fps, patterns)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "fp"])
+def _met(keyed: DataFrame, columns: int, bits: int) -> DataFrame:
+    """(a, b) with b < a among rows (key, id, fp ...) that share a key and differ in ``bits`` or fewer."""
 
     def found(parts: list[pa.RecordBatch], end: int) -> pa.RecordBatch:
         """The links of whole groups: ``parts`` in order, of the last one ``end`` rows."""
         parts = [*parts[:-1], parts[-1].slice(0, end)]
-        keys, fps = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(2))
-        links = group_links(keys, fps.view(np.uint64), fps)
+        keys, ids, *fps = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(2 + columns))
+        links = group_links(keys, np.stack(fps, axis=1).view(np.uint64), ids, bits)
         return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +238,68 @@ def links(nodes: DataFrame) -> DataFrame:
         if held:
             yield found(held, held[-1].num_rows)
 
-    keyed = nodes.select("fp").mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b) with b < a: verified links among the distinct fingerprints of ``nodes`` (fp)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, _ = golay_indices()
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                fps = part.column(0).to_numpy(zero_copy_only=False)
+                rows, keys = golay_keys(fps, patterns)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "id"])
+
+    keyed = nodes.select("fp").mapInArrow(emit, "key long, id long")
+    return _met(keyed.select("key", "id", F.col("id").alias("fp")), 1, LINK_BITS)
+
+
+def similar(nodes: DataFrame, which: int) -> DataFrame:
+    """(a, b) with b < a: nodes (id, fp, fp1) that meet by fingerprint ``which`` and differ in ``NEAR_BITS`` or fewer bits of both."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, _ = golay_indices()
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                rows, keys = pair_keys(part.column(1 + which).to_numpy(zero_copy_only=False), patterns)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(pa.array(rows)) for c in part.columns)], ["key", "id", "fp", "fp1"])
+
+    return _met(nodes.select("id", "fp", "fp1").mapInArrow(emit, "key long, id long, fp long, fp1 long"), 2, NEAR_BITS)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of texts (id, text): the distinct shingles' hashes, 32 bits each, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh32_intdigest
+        for batch in batches:
+            sets = [np.unique(np.fromiter((digest(s, SEED) for s in _shingles(t.as_py() or b"", words)), np.uint32)).tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles binary")
+
+
+def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``edges`` whose sets of shingles share ``least`` of their union or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return edges.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _digest(edges: DataFrame) -> tuple:
     """Equal for equal sets of edges: their number and two sums over their hashes."""
     h = F.xxhash64("a", "b")
@@ -259,18 +350,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     return _spread(marked, classes.join(least, "root"), "component_id").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id, of those the one whose text's hash is least.
+def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the smallest doc_id, of those the one whose text's hash is least.
 
-    Rows are told apart by doc_id and text, so different texts of one doc_id are
-    different documents. Rows that repeat both leave one. A null doc_id loses to any other.
+    Texts are near copies if ``least`` of their distinct shingles' union is in both, or by
+    way of others. Candidates come from two fingerprints, by two segments that share an
+    index of the Golay code, and each is verified on the texts' shingles. Rows are told
+    apart by doc_id and text, so different texts of one doc_id are different documents.
+    Rows that repeat both leave one. A null doc_id loses to any other.
     """
     hashes = [F.xxhash64(F.lit(i), F.col(text_col).cast("string")) for i in (1, 2)]
     keyed = docs.select(F.struct(*(F.col(c).alias(f"h{i}") for i, c in enumerate(docs.columns))).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(h.alias(f"k{i}") for i, h in enumerate(hashes)))
-    marked = written(fingerprints(keyed, words, carry=("k0", "k1")), "fingerprints")
-    classes = written(_classes(marked), "classes")
+    marked = written(fingerprints(keyed, words, carry=("k0", "k1"), number=2), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")
-    best = marked.groupBy("fp").agg(F.min(order).alias("m")).join(classes, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.k0", "m.k1")
+    nodes = written(marked.groupBy(F.col("k0").alias("id")).agg(F.min("fp").alias("fp"), F.min("fp1").alias("fp1"), F.min(order).alias("m")), "nodes")
+    edges = written(similar(nodes, 0), "near").unionByName(written(similar(nodes, 1), "near")).distinct()
+    edges = written(edges, "edges")
+    ends = edges.select(F.col("a").alias("k0")).unionByName(edges.select(F.col("b").alias("k0"))).distinct()
+    texts = keyed.select("k0", "text").join(ends, "k0", "left_semi").groupBy("k0").agg(F.first("text").alias("text"))
+    sets = written(shingle_sets(texts.select(F.col("k0").alias("id"), "text"), words), "shingles")
+    roots = components(alike(edges, sets, least))
+    best = nodes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("m").alias("m")).select("m.doc_id", "m.k0", "m.k1")
     repeated = marked.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"))
     stays = (F.col("_b.doc_id").eqNullSafe(F.col("_r.doc_id"))) & (F.col("_b.k0") == F.col("_r.k0")) & (F.col("_b.k1") == F.col("_r.k1"))
     judged = written(repeated.alias("_r").join(best.alias("_b"), stays, "left").select("_r.doc_id", "_r.k0", "_r.k1", F.col("_b.k0").isNotNull().alias("kept"), "n"), "judged")

@@ -36,7 +36,7 @@ def slow_components(ids_fps):
 
 def test_fingerprints(rows):
     for r in rows:
-        assert fingerprint((r.text or "").encode(), 4) == slow_fingerprint(r.text, 4)
+        assert fingerprint((r.text or "").encode(), 4, 2)[0] == fingerprint((r.text or "").encode(), 4)[0] == slow_fingerprint(r.text, 4)
 
 
 def test_query_against_all_pairs(spark, small, rows):
@@ -131,3 +131,28 @@ def test_hot_fingerprints_are_dealt_to_many_tasks(spark, monkeypatch):
     made = [(i, "one text that many share") for i in range(95)] + [(200 + i, " ".join(f"w{draw.randrange(900)}" for _ in range(60))) for i in range(5)]
     found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert found == {i: 0 for i in range(95)} | {200 + i: 200 + i for i in range(5)}
+
+
+def jaccard(a, b):
+    x, y = ({" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_near_copies_by_similarity(spark):
+    """Pairs at similarities around 0.8, 0.85, 0.9 and 0.95, texts of 60 to 1,500 words with words replaced: what is found, and nothing below 0.8."""
+    draw = random.Random(10)
+    made, pairs = [], []
+    for i in range(600):
+        n, wanted = draw.choice((60, 150, 400, 1500)), (0.8, 0.85, 0.9, 0.95, 0.6)[i % 5]
+        one = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        other = list(one)
+        for at in draw.sample(range(n), round((n - 4) * (0.97 - wanted) / (5 * (1.03 + wanted)))):
+            other[at] = f"x{draw.randrange(5000)}"
+        pairs.append((jaccard(" ".join(one), " ".join(other)), 2 * i, 2 * i + 1))
+        made += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(a in kept for _, a, _ in pairs)
+    assert all(b in kept for j, _, b in pairs if j < 0.8)
+    for low, high, least in ((0.8, 0.86, 0.85), (0.86, 0.92, 0.95), (0.92, 1.01, 0.98)):
+        some = [b not in kept for j, _, b in pairs if low <= j < high]
+        assert len(some) > 60 and sum(some) >= least * len(some), (low, sum(some), len(some))
