@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases as B
-from .operators import analysis, barcodes, cells, consensus, correction, match, neighbours, qc, reports, sampling, split, tables
+from .operators import analysis, barcodes, cells, consensus, contigs, correction, match, neighbours, qc, reports, sampling, split, studies, tables
+from .plans import layout
 from .sources.derived import READS_SQL, reads
 from .storage import written
 
@@ -33,8 +34,9 @@ def _query(sql: str | None = None):
     return add
 
 
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame, places: int = 6, **others: int) -> DataFrame:
+    """Doubles to so many places; ``others`` by column."""
+    return df.select(*[F.round(c, others.get(c, places)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _READS = f"WITH reads AS ({READS_SQL})"
@@ -42,8 +44,18 @@ _COUNTS = _READS + ", counts AS (SELECT sample_id, umi AS key, count(*) AS cnt F
 _BIN = "CAST(least(floor(log2({0}) + 1e-9), 16) AS INT)"
 
 
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads without numbers, which take a shuffle."""
+    return reads(spark, sf_dir, index=False)
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return barcodes.barcode_counts(reads(spark, sf_dir))
+    return barcodes.barcode_counts(_plain(spark, sf_dir))
+
+
+def _kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, for chains that read them several times."""
+    return written(_counts(spark, sf_dir), "counts")
 
 
 @_query(READS_SQL)
@@ -100,18 +112,18 @@ _PHRED = _READS + ", q AS (SELECT sample_id, ascii(substr(umi_qual, i, 1)) - 33
 
 @_query(_PHRED + " SELECT sample_id, CAST(phred AS INT) AS phred, count(*) AS bases, round(pow(10, -phred / 10.0), 6) AS error_probability FROM q GROUP BY 1, 2, 4")
 def umi_phred_histogram(spark, sf_dir):
-    return _rounded(barcodes.phred_histogram(reads(spark, sf_dir)))
+    return _rounded(barcodes.phred_histogram(_plain(spark, sf_dir)))
 
 
 @_query(_READS + ", l AS (SELECT sample_id, CAST(length(seq) AS INT) AS payload_length, count(*) AS reads FROM reads GROUP BY ALL) SELECT a.sample_id, a.payload_length, a.reads, CAST(sum(b.reads) AS BIGINT) AS at_least FROM l a JOIN l b ON a.sample_id = b.sample_id AND b.payload_length >= a.payload_length GROUP BY ALL")
 def payload_length_histogram(spark, sf_dir):
-    return barcodes.payload_lengths(reads(spark, sf_dir))
+    return barcodes.payload_lengths(_plain(spark, sf_dir))
 
 
 @_query(_SPACE + f""", errs AS (SELECT sample_id, avg(pow(10, -(ascii(substr(umi_qual, i, 1)) - 33) / 10.0)) AS e FROM (SELECT sample_id, umi_qual, unnest(range(1, 13)) AS i FROM reads) GROUP BY 1)
  SELECT sample_id, round(e, 6) AS mean_error, CAST(round({barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, 6) AS DOUBLE) AS polymerase_error, round(e + {barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, 6) AS predicted, round(1 - pow(1 - e - {barcodes.POLYMERASE_ERROR * barcodes.PCR_CYCLES}, len), 6) AS barcode_error, round(least(1, n / space), 6) AS neighbour_occupancy, n / space > 0.05 AS unreliable FROM errs JOIN spaces USING (sample_id) JOIN sizes USING (sample_id)""")
 def error_budget(spark, sf_dir):
-    return _rounded(barcodes.error_budget(reads(spark, sf_dir)))
+    return _rounded(barcodes.error_budget(_plain(spark, sf_dir)))
 
 
 _PAIRS = """, cand AS (SELECT sample_id, key, cnt, i AS pos, concat(substr(key, 1, i - 1), b, substr(key, i + 1)) AS other FROM counts, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest(['A', 'C', 'G', 'T']) AS b) WHERE substr(key, i, 1) <> b),
@@ -128,9 +140,17 @@ def distance1_census(spark, sf_dir):
     return neighbours.census(_counts(spark, sf_dir))
 
 
-@_query()
+_RATE = _SPACE.replace("WITH reads", "WITH RECURSIVE reads", 1) + _PAIRS + """, spectrum AS (SELECT sample_id, cnt, count(*) AS m FROM counts GROUP BY 1, 2),
+excess AS (SELECT sample_id, len, coalesce(pairs, 0) AS pairs, n * (n - 1) / 2 * ratio / space AS chance, coalesce(pairs, 0) - n * (n - 1) / 2 * ratio / space AS excess FROM spaces JOIN sizes USING (sample_id) LEFT JOIN (SELECT sample_id, count(*) // 2 AS pairs FROM pairs GROUP BY 1) USING (sample_id)),
+halving AS (SELECT sample_id, len, excess, 0 AS step, ln(1e-8) AS low, ln(0.2) AS high FROM excess
+  UNION ALL SELECT h.sample_id, len, excess, step + 1, CASE WHEN e < excess THEN (low + high) / 2 ELSE low END, CASE WHEN e < excess THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *, 3 * len * (SELECT sum(m * ((1 - exp(-cnt * exp((low + high) / 2) / 3)) + pow(1 - exp(-cnt * exp((low + high) / 2) / 3), 2))) FROM spectrum s WHERE s.sample_id = halving.sample_id) AS e FROM halving WHERE step < 60) h),
+rates AS (SELECT e.sample_id, e.pairs, e.chance, e.excess, CASE WHEN e.excess <= 0 THEN 0 ELSE exp((low + high) / 2) END AS rate FROM excess e JOIN halving h ON e.sample_id = h.sample_id AND step = 60)"""
+
+
+@_query(_RATE + " SELECT sample_id, CAST(pairs AS BIGINT) AS pairs, round(chance, 6) AS chance_pairs, round(excess, 6) AS excess, round(rate, 9) AS umi_error_rate FROM rates")
 def umi_error_estimate(spark, sf_dir):
-    return neighbours.error_rate(_counts(spark, sf_dir))
+    return _rounded(neighbours.error_rate(_kept_counts(spark, sf_dir)), umi_error_rate=9)
 
 
 _POST = _SPACE + _PAIRS + f""", gated AS (SELECT * FROM pairs WHERE p > c AND c <= 0.5 * p),
@@ -171,7 +191,9 @@ _TABLE = _TABLE.replace(""", rooted AS (SELECT sample_id, key, cnt, coalesce(roo
 
 
 def _table(spark, sf_dir):
-    return written(correction.barcode_table(_counts(spark, sf_dir), _roots(spark, sf_dir)), "table")
+    counts = _kept_counts(spark, sf_dir)
+    merged = correction.roots(correction.parents(correction.posteriors(counts, correction.Correction(error=ERROR))))
+    return written(correction.barcode_table(counts, merged), "table")
 
 
 @_query(_TABLE + " SELECT * FROM tab")
@@ -184,22 +206,78 @@ def corrected_reads(spark, sf_dir):
     return correction.corrected_reads(reads(spark, sf_dir), _roots(spark, sf_dir)).select("src_index", "sample_id", "umi", "corrected_umi", "umi_corrected")
 
 
-@_query()
+@_query(_PARENTS + """, moved AS (SELECT c.sample_id, count(*) AS merged, sum(cnt) AS merged_reads FROM counts c JOIN roots r ON c.sample_id = r.sample_id AND c.key = r.child GROUP BY 1),
+est AS (SELECT sample_id, n AS umis, space AS s, coalesce(merged, 0) AS merged, CAST(coalesce(merged_reads, 0) AS BIGINT) AS merged_reads, n - coalesce(merged, 0) AS m FROM sizes JOIN spaces USING (sample_id) LEFT JOIN moved USING (sample_id))
+ SELECT sample_id, umis, merged, merged_reads, m AS molecules_observed, round(CASE WHEN m >= 0.9 * s THEN m ELSE -s * ln(1 - m / s) END, 3) AS molecules_corrected, m >= 0.9 * s OR umis > 0.05 * s AS saturated FROM est""")
 def molecule_estimates(spark, sf_dir):
-    return _rounded(correction.molecule_estimates(_counts(spark, sf_dir), _roots(spark, sf_dir)))
+    return _rounded(correction.molecule_estimates(_kept_counts(spark, sf_dir), _roots(spark, sf_dir)), molecules_corrected=3)
 
 
-@_query()
+_EVIDENCE = """, quals AS (SELECT sample_id, umi AS key, list(list_transform(range(1, 13), lambda i: pow(10, -(ascii(substr(umi_qual, i, 1)) - 33) / 10.0))) AS q, arg_min(seq, src_index) AS payload FROM reads GROUP BY 1, 2),
+ev AS (SELECT sample_id, key, substr(payload, 1, 32) AS payload, list_transform(range(1, 13), lambda i: list_avg(list_transform(q, lambda x: x[i]))) AS pos_err FROM quals),
+ranked AS (SELECT sample_id, payload, row_number() OVER (PARTITION BY sample_id ORDER BY key) - 1 AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM ev),
+strided AS (SELECT *, (SELECT min(1 << k) FROM range(0, 41) t(k) WHERE ceil(n / CAST(1 << k AS DOUBLE)) < 8192) AS s FROM ranked),
+drafts AS (SELECT sample_id, r // s AS i, payload FROM strided WHERE r % s = 0), counted AS (SELECT sample_id, count(*) AS m FROM drafts GROUP BY 1),
+tries AS (SELECT sample_id, m, (t * 7919) % m AS a, ((t * 7919) % m + (m // 977 + 1) * (1 + t % 97)) % m AS b FROM counted, range(0, 20000) x(t) WHERE t < 4 * m AND m >= 3),
+walked AS (SELECT t.sample_id, hamming(x.payload, y.payload) AS mism, length(x.payload) AS cmp FROM tries t JOIN drafts x ON x.sample_id = t.sample_id AND x.i = t.a JOIN drafts y ON y.sample_id = t.sample_id AND y.i = t.b WHERE t.a <> t.b),
+clonal AS (SELECT c.sample_id, coalesce(greatest(same / tried, 1 / (tried + 1)), 1) AS clonality FROM counted c LEFT JOIN (SELECT sample_id, CAST(count(*) FILTER (mism <= 0.05 * cmp) AS DOUBLE) AS same, count(*) AS tried FROM walked GROUP BY 1) w ON c.sample_id = w.sample_id)"""
+
+
+@_query(_READS + _EVIDENCE + " SELECT sample_id, round(clonality, 6) AS clonality FROM clonal")
 def payload_clonality(spark, sf_dir):
-    return _rounded(correction.clonality(correction.evidence(reads(spark, sf_dir))))
+    return _rounded(correction.clonality(written(correction.evidence(reads(spark, sf_dir)), "evidence")))
+
+
+_REFINED = _SPACE.replace("WITH reads", "WITH RECURSIVE reads", 1) + _EVIDENCE + _PAIRS + """, pmf AS (SELECT sample_id, cnt AS c, greatest(count(*) / any_value(n), 1 / (any_value(n) + 1.0)) AS p_size FROM counts JOIN sizes USING (sample_id) GROUP BY 1, 2),
+seen AS (SELECT p.sample_id, child, parent, c, p, pos, x.pos_err[pos] AS e, hamming(x.payload, y.payload) AS d, 32 AS k, clonality FROM pairs p JOIN ev x ON x.sample_id = p.sample_id AND x.key = child JOIN ev y ON y.sample_id = p.sample_id AND y.key = parent JOIN clonal c ON c.sample_id = p.sample_id),
+logs AS (SELECT *, lgamma(k + 1) - lgamma(d + 1) - lgamma(k - d + 1) + d * ln(0.002) + (k - d) * ln(0.998) AS same, lgamma(k + 1) - lgamma(d + 1) - lgamma(k - d + 1) + d * ln(0.75) + (k - d) * ln(0.25) AS other FROM seen),
+lr AS (SELECT *, exp(greatest(-60, least(60, same - ln(clonality * exp(same) + (1 - clonality) * exp(other) + 1e-300)))) AS ratio FROM logs),
+gated AS (SELECT * FROM lr WHERE ratio >= 0.1 AND CASE WHEN ratio > 10 THEN p > c OR p = c AND parent < child ELSE p > c AND c <= 0.5 * p END),
+terms AS (SELECT g.*, n / space * p_size AS ind, p * greatest(least(e, 0.75), 1e-6) / 3 AS mean, c / CAST(c + p AS DOUBLE) AS f, least(0.9, 1e-5 * 25 * 12) AS rho FROM gated g JOIN sizes USING (sample_id) JOIN spaces USING (sample_id) JOIN pmf USING (sample_id, c)),
+likely AS (SELECT *, ratio * ((1 - rho) * exp(-mean + c * ln(mean) - lgamma(c + 1)) + rho * CASE WHEN f <= 0.5 AND p > 1 THEN 1 / (f * f) / (p + 1 - 2) * p / CAST((c + p) * (c + p) AS DOUBLE) ELSE 0 END) AS err FROM terms),
+post AS (SELECT sample_id, child, parent, c, p, pos, err / (err + greatest(ind, 1e-300)) AS posterior FROM likely),
+best AS (SELECT sample_id, child, parent, posterior FROM post QUALIFY row_number() OVER (PARTITION BY sample_id, child ORDER BY posterior DESC, pos, parent) = 1), chosen AS (SELECT * FROM best WHERE posterior >= 0.95),
+chain AS (SELECT sample_id, child, parent AS root, 1 AS depth FROM chosen UNION ALL SELECT k.sample_id, k.child, c.parent, k.depth + 1 FROM chain k JOIN chosen c ON k.sample_id = c.sample_id AND k.root = c.child),
+roots AS (SELECT sample_id, child, arg_max(root, depth) AS root FROM chain GROUP BY 1, 2)"""
 
 
-@_query()
-def refined_roots(spark, sf_dir):
-    """Correction with payloads, the barcodes' own qualities and the estimated rate."""
+def _refined(spark, sf_dir):
     seen = written(correction.evidence(reads(spark, sf_dir)), "evidence")
-    scored = correction.posteriors(seen, rates=neighbours.error_rate(seen), agreement=correction.clonality(seen))
-    return correction.roots(correction.parents(scored))
+    scored = correction.posteriors(seen, agreement=correction.clonality(seen))
+    return seen, correction.parents(scored)
+
+
+@_query(_REFINED + " SELECT * FROM roots")
+def refined_roots(spark, sf_dir):
+    """Correction with payloads and the barcodes' own qualities."""
+    return correction.roots(_refined(spark, sf_dir)[1])
+
+
+@_query(_REFINED + " SELECT b.sample_id, b.child, b.parent, round(b.posterior, 6) AS posterior, x.cnt AS c_child, y.cnt AS c_parent, y.cnt <= x.cnt AS by_payload FROM chosen b JOIN counts x ON x.sample_id = b.sample_id AND x.key = b.child JOIN counts y ON y.sample_id = b.sample_id AND y.key = b.parent")
+def refined_merges(spark, sf_dir):
+    seen, chosen = _refined(spark, sf_dir)
+    return _rounded(correction.merges(seen, chosen))
+
+
+@_query(_REFINED + """, moved AS (SELECT a.*, coalesce(r.root, a.umi) AS mol FROM reads a LEFT JOIN roots r ON a.sample_id = r.sample_id AND a.umi = r.child),
+v AS (SELECT sample_id, mol, CAST(i AS INT) AS position, substr(seq, i, 1) AS b, greatest(least(pow(10, -(ascii(substr(qual, i, 1)) - 33) / 10.0), 0.75), 1e-7) AS e FROM (SELECT *, unnest(range(1, 33)) AS i FROM moved)),
+s AS (SELECT sample_id, mol, position, sum(CASE WHEN b = 'A' THEN ln(1 - e) ELSE ln(e / 3) END) AS a, sum(CASE WHEN b = 'C' THEN ln(1 - e) ELSE ln(e / 3) END) AS c, sum(CASE WHEN b = 'G' THEN ln(1 - e) ELSE ln(e / 3) END) AS g, sum(CASE WHEN b = 'T' THEN ln(1 - e) ELSE ln(e / 3) END) AS t FROM v GROUP BY 1, 2, 3),
+w AS (SELECT *, greatest(a, c, g, t) AS top FROM s), called AS (SELECT sample_id, mol, string_agg(CASE WHEN a >= top - 1e-9 THEN 'A' WHEN c >= top - 1e-9 THEN 'C' WHEN g >= top - 1e-9 THEN 'G' ELSE 'T' END, '' ORDER BY position) AS seq FROM w GROUP BY 1, 2)
+ SELECT sample_id, mol AS umi, reads, seq FROM called JOIN (SELECT sample_id, mol, count(*) AS reads FROM moved GROUP BY 1, 2) USING (sample_id, mol)""")
+def reads_to_consensus(spark, sf_dir):
+    """From reads through correction to consensus, with nothing known but the reads."""
+    r = reads(spark, sf_dir)
+    moved = correction.corrected_reads(r, refined_roots(spark, sf_dir))
+    return consensus.records(moved.withColumn("umi", F.col("corrected_umi"))).select("sample_id", "umi", "reads", "seq")
+
+
+@_query(_REFINED + """, best_true AS (SELECT sample_id, umi AS k, umi_true AS t FROM reads GROUP BY ALL), seen_t AS (SELECT DISTINCT sample_id, k AS t FROM best_true),
+per AS (SELECT b.sample_id, b.k, max(CASE WHEN b.k = b.t THEN 1 ELSE 0 END) AS real, max(CASE WHEN s.t IS NULL THEN 0 ELSE 1 END) AS reach FROM best_true b LEFT JOIN seen_t s ON b.sample_id = s.sample_id AND b.t = s.t GROUP BY 1, 2),
+rights AS (SELECT r.sample_id, child AS k, max(CASE WHEN root = t THEN 1 ELSE 0 END) AS ok FROM roots r JOIN best_true b ON b.sample_id = r.sample_id AND b.k = r.child GROUP BY 1, 2),
+acc AS (SELECT p.sample_id, count(*) FILTER (real = 0) AS children, count(ok) AS merged, count(*) FILTER (real = 0 AND ok = 1) AS good, count(*) FILTER (real = 0 AND reach = 1) AS reachable, count(*) FILTER (real = 1) AS molecules, count(*) FILTER (real = 1 AND ok IS NULL) AS kept FROM per p LEFT JOIN rights r ON p.sample_id = r.sample_id AND p.k = r.k GROUP BY 1)
+ SELECT sample_id, children, merged, round(good / greatest(children, 1), 6) AS recall, round(reachable / greatest(children, 1), 6) AS reachable, round(good / greatest(reachable, 1), 6) AS recall_of_reachable, round(good / greatest(merged, 1), 6) AS precision, round(kept / greatest(molecules, 1), 6) AS molecules_kept FROM acc""")
+def correction_accuracy(spark, sf_dir):
+    return _rounded(studies.correction_accuracy(_plain(spark, sf_dir), refined_roots(spark, sf_dir)))
 
 
 @_query(_TABLE + " SELECT sample_id, corrected AS size, round(ln(1 + corrected), 6) AS log1p_size, count(*) AS molecules, CAST(sum(corrected) AS BIGINT) AS reads FROM tab WHERE corrected > 0 GROUP BY 1, 2")
@@ -224,10 +302,9 @@ def residual_fdr(spark, sf_dir):
 d AS (SELECT tab.sample_id, tab.cnt AS parent_reads, count(*) AS parents, CAST(coalesce(sum(kids), 0) AS BIGINT) AS child_barcodes, CAST(coalesce(sum(kid_reads), 0) AS BIGINT) AS child_reads FROM tab LEFT JOIN kids ON tab.sample_id = kids.sample_id AND tab.key = kids.key WHERE corrected > 0 GROUP BY 1, 2)
  SELECT sample_id, parent_reads, parents, child_barcodes, child_reads, round(child_barcodes / parents, 6) AS children_per_parent, round(-3.0 / parent_reads * ln(1 - child_barcodes / parents / 36), 6) AS error_from_variants, round(child_reads / parents / (parent_reads * 12), 6) AS error_from_reads FROM d""")
 def umi_errors_by_depth(spark, sf_dir):
-    scored = _posteriors(spark, sf_dir)
-    chosen = written(correction.parents(scored), "parents")
-    table = correction.barcode_table(_counts(spark, sf_dir), correction.roots(chosen))
-    return _rounded(tables.errors_by_depth(table, chosen))
+    counts = _kept_counts(spark, sf_dir)
+    chosen = written(correction.parents(correction.posteriors(counts, correction.Correction(error=ERROR))), "parents")
+    return _rounded(tables.errors_by_depth(correction.barcode_table(counts, correction.roots(chosen)), chosen))
 
 
 @_query(_TABLE + """, r AS (SELECT sample_id, corrected, row_number() OVER (PARTITION BY sample_id ORDER BY corrected DESC, key) AS rank, sum(corrected) OVER (PARTITION BY sample_id ORDER BY corrected DESC, key ROWS UNBOUNDED PRECEDING) AS upto, sum(corrected) OVER (PARTITION BY sample_id) AS total, count(*) OVER (PARTITION BY sample_id) AS n FROM tab WHERE corrected > 0),
@@ -242,7 +319,7 @@ _CELLS = _READS + ", cells AS (SELECT sample_id, cell, count(DISTINCT umi) AS mo
 
 @_query(_CELLS + " SELECT * FROM cells")
 def cell_molecules(spark, sf_dir):
-    return cells.cell_molecules(reads(spark, sf_dir))
+    return cells.cell_molecules(_plain(spark, sf_dir))
 
 
 _CALLED = _CELLS + """, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY molecules DESC, cell) AS rank, count(*) OVER (PARTITION BY sample_id) AS n FROM cells),
@@ -252,17 +329,24 @@ called AS (SELECT o.sample_id, cell, molecules, rank, molecules >= t.least AS ca
 
 @_query(_CALLED + " SELECT sample_id, cell, molecules, called FROM called")
 def cell_calls(spark, sf_dir):
-    return cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))
+    return cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir)))
 
 
 @_query(_CALLED + " SELECT sample_id, rank, molecules AS umis, called, CAST(sum(molecules) OVER (PARTITION BY sample_id ORDER BY rank) AS BIGINT) AS cumulative_umis, round(sum(molecules) OVER (PARTITION BY sample_id ORDER BY rank) / sum(molecules) OVER (PARTITION BY sample_id), 6) AS cumulative_fraction FROM called")
 def cell_rank(spark, sf_dir):
-    return _rounded(cells.cell_rank(cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))))
+    return _rounded(cells.cell_rank(cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir)))))
 
 
-@_query()
+@_query(_CALLED + """, ends AS (SELECT sample_id, count(*) AS n, max(molecules) AS top, min(molecules) AS low, avg(molecules) AS mean FROM called GROUP BY 1),
+far AS (SELECT c.sample_id, rank, molecules, mean, (ln(molecules) - ln(top) - ((ln(low) - ln(top)) / ln(n)) * ln(rank)) / sqrt(1 + pow((ln(low) - ln(top)) / ln(n), 2)) AS d FROM called c JOIN ends e ON c.sample_id = e.sample_id)
+ SELECT sample_id, CASE WHEN molecules >= 10 * mean THEN rank ELSE 0 END AS knee_rank, CASE WHEN molecules >= 10 * mean THEN molecules ELSE 0 END AS knee_umis FROM far QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(d, 9) DESC, rank) = 1""")
 def cell_knee(spark, sf_dir):
-    return cells.knee(cells.cell_rank(cells.call_cells(cells.cell_molecules(reads(spark, sf_dir)))))
+    return cells.knee(cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir))))
+
+
+@_query(_CALLED + " SELECT sample_id, count(*) AS cells, count(*) FILTER (called) AS called_cells, CAST(sum(molecules) AS BIGINT) AS molecules, CAST(coalesce(sum(molecules) FILTER (called), 0) AS BIGINT) AS molecules_in_called FROM called GROUP BY 1")
+def called_totals(spark, sf_dir):
+    return cells.called_totals(cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir))))
 
 
 def _snapped(spark, sf_dir):
@@ -283,11 +367,26 @@ def whitelist_reach(spark, sf_dir):
     return s.select("cell", "reads", F.when(F.col("status").isin("corrected", "off_list"), "near").otherwise(F.col("status")).alias("status"))
 
 
-@_query()
+_SNAP = _SNAPPED + f""", near AS (SELECT o.cell, o.reads, l.cell AS candidate, coalesce(x.reads, 0) AS listed_reads FROM obs o JOIN listed l ON hamming(l.cell, o.cell) = 1 LEFT JOIN obs x ON x.cell = l.cell WHERE o.cell NOT IN (SELECT cell FROM listed)),
+far AS (SELECT * FROM obs WHERE cell NOT IN (SELECT cell FROM listed) AND cell NOT IN (SELECT cell FROM near)),
+bg AS (SELECT (SELECT coalesce(sum(reads), 0) FROM far) / (SELECT sum(reads) FROM obs) / (SELECT count(*) FROM obs WHERE cell NOT IN (SELECT cell FROM listed)) AS b, (SELECT coalesce(sum(reads), 0) FROM obs WHERE cell IN (SELECT cell FROM listed)) + (SELECT count(*) FROM listed) AS total),
+scored AS (SELECT cell, reads, candidate, (listed_reads + 1) / total * {cells.DEFAULT_ERROR} / 3 * pow(1 - {cells.DEFAULT_ERROR}, 15) * (1 - b) AS w, b * pow(1 - {cells.DEFAULT_ERROR}, 16) AS b FROM near, bg),
+best AS (SELECT cell, reads, arg_max(candidate, (w, candidate)) AS candidate, max(w) AS w, sum(w) AS whole, max(b) AS b FROM scored GROUP BY 1, 2),
+judged AS (SELECT *, w / (whole + b) AS share FROM best),
+snapped AS (SELECT cell, reads, CASE WHEN w >= b AND share >= {cells.SNAP_POSTERIOR} THEN 'corrected' ELSE 'off_list' END AS status, CASE WHEN w >= b AND share >= {cells.SNAP_POSTERIOR} THEN candidate END AS snapped, round(share, 6) AS posterior FROM judged
+  UNION ALL SELECT cell, reads, 'exact', cell, NULL FROM obs WHERE cell IN (SELECT cell FROM listed) UNION ALL SELECT cell, reads, 'far', NULL, NULL FROM far)"""
+
+
+@_query(_SNAP + " SELECT * FROM snapped")
 def whitelist_snap(spark, sf_dir):
     return _rounded(_snapped(spark, sf_dir))
 
 
+@_query(_SNAP + " SELECT status, count(*) AS barcodes, CAST(sum(reads) AS BIGINT) AS reads FROM snapped GROUP BY 1")
+def whitelist_statistics(spark, sf_dir):
+    return cells.snap_summary(_snapped(spark, sf_dir))
+
+
 @_query(_READS + " SELECT src_index, sample_id, umi FROM reads QUALIFY row_number() OVER (PARTITION BY sample_id, umi ORDER BY src_index) <= 3")
 def read_cap(spark, sf_dir):
     return consensus.capped(reads(spark, sf_dir), ("sample_id", "umi"), 3).select("src_index", "sample_id", "umi")
@@ -309,7 +408,9 @@ def consensus_records(spark, sf_dir):
     return _rounded(consensus.records(reads(spark, sf_dir), ("sample_id", "umi_true")))
 
 
-@_query(_READS + ", v AS (SELECT sample_id, umi_true, seq, count(*) AS n FROM reads GROUP BY 1, 2, 3) SELECT sample_id, umi_true, CAST(sum(n) AS BIGINT) AS reads, max(n) AS support, arg_min(seq, (-n, seq)) AS seq FROM v GROUP BY 1, 2")
+@_query(_READS + """, v AS (SELECT sample_id, umi_true, seq, count(*) AS n FROM reads GROUP BY 1, 2, 3), m AS (SELECT sample_id, umi_true, CAST(sum(n) AS BIGINT) AS reads, max(n) AS support, arg_min(seq, (-n, seq)) AS seq FROM v GROUP BY 1, 2),
+q AS (SELECT m.sample_id, m.umi_true, i, max(ascii(substr(r.qual, i, 1)) - 33) AS q FROM m JOIN reads r ON r.sample_id = m.sample_id AND r.umi_true = m.umi_true AND r.seq = m.seq, range(1, 33) x(i) GROUP BY 1, 2, 3)
+ SELECT m.*, (SELECT string_agg(chr(33 + CAST(greatest(2, least(floor(-10 * log10(pow(10, -q / 10.0) + 1e-4) + 0.5), 40)) AS INT)), '' ORDER BY i) FROM q WHERE q.sample_id = m.sample_id AND q.umi_true = m.umi_true) AS qual FROM m""")
 def consensus_fast(spark, sf_dir):
     return consensus.fast(reads(spark, sf_dir), ("sample_id", "umi_true"))
 
@@ -331,11 +432,9 @@ def _raw(spark, sf_dir):
 _RAW = _READS + ", raw AS (SELECT src_index, concat(umi, CASE WHEN src_index % 5 = 0 THEN 'TACCTAC' WHEN src_index % 11 = 0 THEN 'GGGGGGG' ELSE 'TACGTAC' END, seq) AS seq, concat(umi_qual, repeat(substr(qual, 1, 1), 7), qual) AS qual FROM reads)"
 
 
-def _sql_score(layout: str) -> str:
-    from .plans.layout import compile_layout
-
+def _sql_score(text: str) -> str:
     terms = []
-    for i, p in enumerate(compile_layout(layout).positions, 1):
+    for i, p in enumerate(layout.compile_layout(text).positions, 1):
         if p.kind == "scored":
             e = f"pow(10, -(ascii(substr(qual, {i}, 1)) - 33) / 10.0)"
             terms.append(f"CASE WHEN substr(seq, {i}, 1) = '{p.bases}' THEN log2(4 * (1 - {e})) ELSE {p.weight} * log2(4 * greatest({e}, 1e-6) / 3) END")
@@ -348,20 +447,45 @@ def pattern_match_anchored(spark, sf_dir):
     return _rounded(m.select("src_index", F.col("match.score").alias("score"), "match.umi", "match.payload_begin"))
 
 
-@_query()
+_SCAN_SCORE = _sql_score(LAYOUT).replace("(qual, ", "(qual, o + ").replace("(seq, ", "(seq, o + ")
+
+
+@_query(_RAW + f""", wide AS (SELECT src_index, concat('GC', seq) AS seq, concat('II', qual) AS qual FROM raw), tried AS (SELECT src_index, o, {_SCAN_SCORE} AS s FROM (SELECT *, unnest(range(0, 5)) AS o FROM wide)),
+placed AS (SELECT src_index, o, s, row_number() OVER (PARTITION BY src_index ORDER BY s DESC, o) AS r, lead(s) OVER (PARTITION BY src_index ORDER BY s DESC, o) AS next FROM tried)
+ SELECT src_index, CAST(o AS INT) AS "offset", round(s, 6) AS score, round(s - next, 6) AS margin, substr(w.seq, CAST(o AS INT) + 1, 12) AS umi FROM placed JOIN wide w USING (src_index) WHERE r = 1 AND s >= log2(500)""")
 def pattern_match_scan(spark, sf_dir):
     raw = _raw(spark, sf_dir).withColumn("seq", F.concat(F.lit("GC"), F.col("seq"))).withColumn("qual", F.concat(F.lit("II"), F.col("qual")))
     m = match.match(raw, LAYOUT, 4).filter("match.found")
     return _rounded(m.select("src_index", "match.offset", F.col("match.score").alias("score"), F.col("match.margin").alias("margin"), "match.umi"))
 
 
-@_query()
+OTHER = "NNNNNNNNNNNNtACCTac"
+_ASSIGNED = _RAW + f""", both_ AS (SELECT src_index, substr(seq, 1, 12) AS umi, {_sql_score(LAYOUT)} AS a, {_sql_score(OTHER)} AS b FROM raw),
+ruled AS (SELECT *, a >= log2(200) AS ok_a, b >= log2(200) AS ok_b FROM both_),
+judged AS (SELECT src_index, umi, CASE WHEN NOT ok_a AND NOT ok_b THEN 'unmatched' WHEN ok_a AND ok_b AND abs(a - b) < 5 THEN 'ambiguous' ELSE 'assigned' END AS status, CASE WHEN ok_a AND (NOT ok_b OR a >= b) THEN 'one' ELSE 'two' END AS best FROM ruled)"""
+
+
+def _assigned(spark, sf_dir):
+    return match.assign(_raw(spark, sf_dir), {"one": LAYOUT, "two": OTHER}, 0)
+
+
+@_query(_ASSIGNED + " SELECT src_index, status, CASE WHEN status = 'assigned' THEN best END AS sample, CASE WHEN status = 'assigned' THEN umi END AS umi FROM judged")
 def sample_assignment(spark, sf_dir):
-    got = match.assign(_raw(spark, sf_dir), {"one": LAYOUT, "two": "NNNNNNNNNNNNtACCTac"}, 0)
-    return got.select("src_index", "status", "sample", "match.umi")
+    return _assigned(spark, sf_dir).select("src_index", "status", "sample", "match.umi")
 
 
-@_query()
+@_query(_ASSIGNED + " SELECT status, count(*) AS reads FROM judged GROUP BY 1")
+def assignment_status(spark, sf_dir):
+    return _assigned(spark, sf_dir).groupBy("status").agg(F.count("*").alias("reads"))
+
+
+_TURN = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+
+
+@_query(_RAW + f""", turned AS (SELECT src_index, CASE WHEN src_index % 2 = 1 THEN {_TURN.format('seq')} ELSE seq END AS fs, CASE WHEN src_index % 2 = 1 THEN reverse(qual) ELSE qual END AS fq FROM raw),
+f AS (SELECT src_index, substr(fs, 1, 12) AS fu, {_TURN.format('fs')} AS rs, reverse(fq) AS rq, {_sql_score(LAYOUT).replace('(seq,', '(fs,').replace('(qual,', '(fq,')} AS a FROM turned),
+r AS (SELECT *, substr(rs, 1, 12) AS ru, {_sql_score(LAYOUT).replace('(seq,', '(rs,').replace('(qual,', '(rq,')} AS b FROM f)
+ SELECT src_index, CASE WHEN a >= log2(100) THEN '+' WHEN b >= log2(100) THEN '-' END AS strand, CASE WHEN a >= log2(100) THEN fu WHEN b >= log2(100) THEN ru END AS umi FROM r""")
 def strand_normalise(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     turned = F.col("src_index") % 2 == 1
@@ -369,11 +493,27 @@ def strand_normalise(spark, sf_dir):
     return match.either_strand(raw, LAYOUT, 0).select("src_index", "strand", "match.umi")
 
 
-@_query()
+_TALLY = _RAW + f""", hit AS (SELECT *, {_sql_score(LAYOUT)} AS s FROM raw), sites(position, want) AS (VALUES {', '.join(f"({i}, '{p.bases}')" for i, p in enumerate(layout.compile_layout(LAYOUT).positions) if p.kind == 'scored')}),
+tally AS (SELECT position, ascii(substr(qual, position + 1, 1)) - 33 AS phred, count(*) AS bases, count(*) FILTER (substr(seq, position + 1, 1) <> want) AS mismatches FROM hit, sites WHERE s >= log2(100) GROUP BY 1, 2),
+rates AS (SELECT position, sum(mismatches) / sum(bases) AS rate FROM tally GROUP BY 1 HAVING sum(bases) >= 1000), middle AS (SELECT list_sort(list(rate))[len(list(rate)) // 2 + 1] AS m FROM rates),
+used AS (SELECT phred, sum(bases) AS w, sum(mismatches) / sum(bases) AS y, pow(10, -phred / 10.0) AS x FROM tally WHERE position NOT IN (SELECT position FROM rates, middle WHERE rate > 5 * m) GROUP BY 1 HAVING sum(bases) >= 1000),
+sums AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy, count(*) AS n FROM used),
+slopes AS (SELECT *, CASE WHEN n >= 2 AND sw * sxx - sx * sx > 0 THEN greatest(0, (sw * sxy - sx * sy) / (sw * sxx - sx * sx)) END AS slope FROM sums),
+fit AS (SELECT slope, CASE WHEN slope IS NOT NULL THEN greatest(0, (sy - slope * sx) / sw) END AS intercept, n FROM slopes)"""
+
+
+@_query(_TALLY + " SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, n AS qualities FROM fit")
 def quality_calibration(spark, sf_dir):
     return _rounded(match.fit_calibration(match.calibration(_raw(spark, sf_dir), LAYOUT, 0)))
 
 
+@_query(_TALLY + """ SELECT CAST(phred AS INT) AS phred, CAST(sum(bases) AS BIGINT) AS bases, CAST(sum(mismatches) AS BIGINT) AS mismatches, round(sum(mismatches) / sum(bases), 6) AS observed, round(pow(10, -phred / 10.0), 6) AS nominal,
+ round(coalesce(least(greatest(any_value(slope) * pow(10, -phred / 10.0) + any_value(intercept), 1e-7), 0.75), pow(10, -phred / 10.0)), 6) AS calibrated FROM tally, fit GROUP BY phred""")
+def calibrated_qualities(spark, sf_dir):
+    tallied = written(match.calibration(_raw(spark, sf_dir), LAYOUT, 0), "tally")
+    return _rounded(match.calibrated(tallied, match.fit_calibration(tallied)))
+
+
 def _indexed(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = F.col("event_id")
@@ -390,7 +530,9 @@ def index_pairs(spark, sf_dir):
     return _rounded(qc.index_pairs(_indexed(spark, sf_dir)))
 
 
-@_query()
+@_query("""WITH p AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'ACGT' ELSE 'TTGC' END AS i7, CASE WHEN event_id % 97 = 0 THEN 'CCCC' WHEN event_id % 3 = 0 THEN 'GGAA' ELSE 'CCTT' END AS i5 FROM events),
+c AS (SELECT i7, i5, count(*) AS n, n / sum(n) OVER (PARTITION BY i7) >= 0.05 AND n / sum(n) OVER (PARTITION BY i5) >= 0.05 AS declared FROM p GROUP BY 1, 2)
+ SELECT count(*) FILTER (declared) AS declared_pairs, CAST(sum(n) AS BIGINT) AS reads, CAST(coalesce(sum(n) FILTER (NOT declared), 0) AS BIGINT) AS hopped, round(coalesce(sum(n) FILTER (NOT declared), 0) / sum(n), 6) AS rate, count(DISTINCT i7) >= 2 AND count(DISTINCT i5) >= 2 AS estimable FROM c""")
 def index_hopping(spark, sf_dir):
     return _rounded(qc.hopping(qc.index_pairs(_indexed(spark, sf_dir))))
 
@@ -408,12 +550,29 @@ def cycle_profile(spark, sf_dir):
     return _rounded(qc.cycle_profile(_raw(spark, sf_dir)))
 
 
-@_query()
+_MERS = _RAW + """, mers AS (SELECT src_index, CAST(i AS INT) AS i, substr(seq, i, 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM raw)), total AS (SELECT count(*) AS n, (SELECT count(*) FROM raw) AS scanned FROM mers),
+freq AS (SELECT sum(length(seq) - length(replace(seq, 'A', ''))) / sum(length(seq)) AS a, sum(length(seq) - length(replace(seq, 'C', ''))) / sum(length(seq)) AS c, sum(length(seq) - length(replace(seq, 'G', ''))) / sum(length(seq)) AS g, sum(length(seq) - length(replace(seq, 'T', ''))) / sum(length(seq)) AS t FROM raw),
+found AS (SELECT kmer, count(*) AS n, avg(i) - 1 AS mean_position, count(DISTINCT src_index) AS in_reads FROM mers GROUP BY 1),
+ratios AS (SELECT kmer, f.n AS cnt, total.n * pow(a, 8 - length(replace(kmer, 'A', ''))) * pow(c, 8 - length(replace(kmer, 'C', ''))) * pow(g, 8 - length(replace(kmer, 'G', ''))) * pow(t, 8 - length(replace(kmer, 'T', ''))) AS expected, mean_position, in_reads / scanned AS read_fraction FROM found f, total, freq WHERE f.n >= greatest(20, scanned // 100000))"""
+
+
+@_query(_MERS + ' SELECT kmer, cnt AS "count", round(expected, 6) AS expected, round(cnt / expected, 6) AS ratio, round(mean_position, 6) AS mean_position, round(read_fraction, 6) AS read_fraction FROM ratios ORDER BY round(cnt / expected, 9) DESC, kmer LIMIT 64')
 def kmer_enrichment(spark, sf_dir):
     return _rounded(qc.kmer_enrichment(_raw(spark, sf_dir)))
 
 
-@_query()
+@_query(_MERS + ' SELECT kmer, cnt AS "count", round(cnt / expected, 6) AS ratio FROM (SELECT * FROM ratios ORDER BY round(cnt / expected, 9) DESC, kmer LIMIT 64) WHERE cnt / expected >= 5 AND read_fraction >= 0.01 ORDER BY round(cnt / expected, 9) DESC, kmer LIMIT 10')
+def strong_kmers(spark, sf_dir):
+    return _rounded(qc.strong_kmers(qc.kmer_enrichment(_raw(spark, sf_dir))).select("kmer", "count", "ratio"))
+
+
+_MIX = "CAST((CAST({0} AS UHUGEINT) * {1}) % 18446744073709551616 AS UBIGINT)"
+_SPLITMIX = f"""packed AS (SELECT *, list_sum(list_transform(range(1, 13), lambda i: CAST(instr('ACGT', substr(umi, i, 1)) - 1 AS UBIGINT) << (64 - 2 * i)))::UBIGINT AS x FROM reads),
+z0 AS (SELECT *, CAST((CAST(x AS UHUGEINT) + 11400714819323198485) % 18446744073709551616 AS UBIGINT) AS z FROM packed),
+z1 AS (SELECT * EXCLUDE z, {_MIX.format('xor(z, z >> 30)', '13787848793156543929')} AS z FROM z0), z2 AS (SELECT * EXCLUDE z, {_MIX.format('xor(z, z >> 27)', '10723151780598845931')} AS z FROM z1), z3 AS (SELECT * EXCLUDE z, xor(z, z >> 31) AS z FROM z2)"""
+
+
+@_query(_READS + ", " + _SPLITMIX + " SELECT src_index, sample_id, umi FROM z3 WHERE z % 10000 < 2500")
 def subsample_by_hash(spark, sf_dir):
     return sampling.subsample(reads(spark, sf_dir), 2500, "umi").select("src_index", "sample_id", "umi")
 
@@ -447,15 +606,26 @@ def molecules_per_target(spark, sf_dir):
     return analysis.per_target(_intervals(spark, sf_dir), targets)
 
 
-@_query("""WITH b AS (SELECT concat('chr', CAST(o_custkey % 3 AS VARCHAR)) AS grp, o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders WHERE o_orderkey % 40 = 0)
-SELECT grp, count(*) FILTER (NOT EXISTS (SELECT 1 FROM b y WHERE y.grp = x.grp AND (y.s < x.s OR y.s = x.s AND y.e < x.e) AND y.e > x.s)) AS components FROM (SELECT DISTINCT * FROM b) x GROUP BY 1""")
+_ISLANDS = """WITH b AS (SELECT concat('chr', CAST(o_custkey % 3 AS VARCHAR)) AS grp, o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders),
+r AS (SELECT grp, s, max(e) OVER (PARTITION BY grp ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT * FROM b))
+SELECT grp, count(*) FILTER (reach IS NULL OR s >= reach) AS components FROM r GROUP BY 1"""
+
+
+@_query(_ISLANDS)
 def overlap_components(spark, sf_dir):
-    return analysis.overlap_components(_intervals(spark, sf_dir).filter("molecule % 40 = 0").withColumnRenamed("chrom", "grp"))
+    return analysis.overlap_components(_intervals(spark, sf_dir).withColumnRenamed("chrom", "grp"))
 
 
-@_query()
+@_query(_ISLANDS)
 def overlap_components_whole(spark, sf_dir):
-    return analysis.overlap_components(_intervals(spark, sf_dir).withColumnRenamed("chrom", "grp"))
+    """Kept by its name; ``overlap_components`` reads the whole table too."""
+    return overlap_components(spark, sf_dir)
+
+
+@_query("""WITH b AS (SELECT concat('chr', CAST(o_custkey % 3 AS VARCHAR)) AS grp, o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders)
+SELECT grp, count(*) AS reads, count(DISTINCT s) AS starts, max(s) - min(s) AS range, count(DISTINCT s) = 1 OR count(DISTINCT e) = 1 AS coterminal FROM b GROUP BY 1""")
+def read_start_dispersion(spark, sf_dir):
+    return studies.read_starts(_intervals(spark, sf_dir).withColumnRenamed("chrom", "grp"))
 
 
 _CLUSTERS = "SELECT event_id AS id, CAST(event_id % 2 + 1 AS INT) AS lane, CAST(1100 + event_id % 7 AS INT) AS tile, user_id % 50 AS umi, event_id * 7919 % 3000 AS x, event_id * 104729 % 3000 AS y FROM events"
@@ -476,19 +646,26 @@ def variant_score(spark, sf_dir):
 
 @_query(_CELLS + " SELECT count(*) FILTER (a.cell IS NOT NULL AND b.cell IS NOT NULL) AS shared, count(*) FILTER (b.cell IS NULL) AS only_left, count(*) FILTER (a.cell IS NULL) AS only_right FROM (SELECT DISTINCT cell FROM cells WHERE sample_id = 'S1') a FULL JOIN (SELECT DISTINCT cell FROM cells WHERE molecules > 40) b ON a.cell = b.cell")
 def cell_set_overlap(spark, sf_dir):
-    c = cells.cell_molecules(reads(spark, sf_dir))
+    c = cells.cell_molecules(_plain(spark, sf_dir))
     return analysis.set_overlap(c.filter("sample_id = 'S1'"), c.filter("molecules > 40"))
 
 
-@_query()
+_TARGETS = _SQL["molecules_per_target"]
+
+
+@_query(f"""WITH RECURSIVE per AS ({_TARGETS}), halving AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(200 AS DOUBLE) AS high
+  UNION ALL SELECT step + 1, CASE WHEN 1 - exp(-(low + high) / 2) * (1 + (low + high) / 2) < 0.95 THEN (low + high) / 2 ELSE low END, CASE WHEN 1 - exp(-(low + high) / 2) * (1 + (low + high) / 2) < 0.95 THEN high ELSE (low + high) / 2 END FROM halving WHERE step < 100)
+SELECT target, molecules, round(molecules * 1e-4 / 3, 6) AS background, CASE WHEN molecules > 0 THEN round(least(1, high / molecules), 6) END AS lod FROM per, halving WHERE step = 100""")
 def limit_of_detection(spark, sf_dir):
-    rows = [(n, k, round(analysis.detection_limit(n, k), 9)) for n in (100, 1000, 10_000, 100_000) for k in (1, 2, 3)]
-    return spark.createDataFrame(rows, "molecules int, needed int, fraction double")
+    return _rounded(studies.limits_of_detection(molecules_per_target(spark, sf_dir)))
 
 
-@_query()
+@_query(_COUNTS + """, seen AS (SELECT sample_id, count(*) AS barcodes, sum(CAST(cnt AS DOUBLE) * (cnt - 1)) / (sum(cnt) * (sum(cnt) - 1)) AS observed FROM counts GROUP BY 1),
+places AS (SELECT sample_id, i, sum(cnt) FILTER (substr(key, i, 1) = 'A') AS a, sum(cnt) FILTER (substr(key, i, 1) = 'C') AS c, sum(cnt) FILTER (substr(key, i, 1) = 'G') AS g, sum(cnt) FILTER (substr(key, i, 1) = 'T') AS t, CAST(sum(cnt) AS DOUBLE) AS n FROM (SELECT *, unnest(range(1, 13)) AS i FROM counts) GROUP BY 1, 2),
+product AS (SELECT sample_id, exp(sum(ln(pow(coalesce(a, 0) / n, 2) + pow(coalesce(c, 0) / n, 2) + pow(coalesce(g, 0) / n, 2) + pow(coalesce(t, 0) / n, 2)))) AS expected FROM places GROUP BY 1)
+ SELECT sample_id, barcodes, round(observed, 9) AS collision_observed, round(expected, 9) AS collision_expected, round(observed / expected, 3) AS ratio FROM seen JOIN product USING (sample_id)""")
 def independence(spark, sf_dir):
-    return _rounded(analysis.independence(_counts(spark, sf_dir)), 9)
+    return _rounded(analysis.independence(_counts(spark, sf_dir)), 9, ratio=3)
 
 
 @_query(_SPACE + """, lam AS (SELECT sample_id, n, len, eff, space, -ln(1 - n / space) AS l FROM spaces JOIN sizes USING (sample_id)),
@@ -499,7 +676,13 @@ def library_warnings(spark, sf_dir):
     return reports.library_warnings(_counts(spark, sf_dir))
 
 
-@_query()
+_SEGMENTS = _SQL["cycle_profile"].split("SELECT cycle, A, C, G, T, CAST(0")[0] + """, k AS (SELECT cycle, CASE greatest(A, C, G, T) WHEN A THEN 'A' WHEN C THEN 'C' WHEN G THEN 'G' ELSE 'T' END AS base, CASE WHEN greatest(A, C, G, T) / n >= 0.9 THEN 'constant' WHEN (abs(A / n - 0.25) + abs(C / n - 0.25) + abs(G / n - 0.25) + abs(T / n - 0.25)) / 2 <= 0.18 THEN 'umi' ELSE 'variable' END AS kind FROM n),
+g1 AS (SELECT *, cycle - row_number() OVER (PARTITION BY kind ORDER BY cycle) AS g FROM k), d AS (SELECT cycle, base, CASE WHEN kind = 'umi' AND count(*) OVER (PARTITION BY kind, g) < 3 THEN 'variable' ELSE kind END AS kind FROM g1),
+g2 AS (SELECT *, cycle - row_number() OVER (PARTITION BY kind ORDER BY cycle) AS g FROM d)
+SELECT kind, min(cycle) AS start, max(cycle) AS "end", string_agg(base, '' ORDER BY cycle) AS bases FROM g2 GROUP BY kind, g"""
+
+
+@_query(_SEGMENTS)
 def suggested_layout(spark, sf_dir):
     found = reports.suggest_layout(qc.cycle_profile(_raw(spark, sf_dir)))
     rows = [(s["kind"], s["start"], s["end"], s["bases"]) for s in found["segments"]]
@@ -521,6 +704,296 @@ def molecule_split(spark, sf_dir):
     return _rounded(split.split_records(r))
 
 
+_RECORDS = _SQL["consensus_records"]
+
+
+def _records(spark, sf_dir):
+    return consensus.records(reads(spark, sf_dir), ("sample_id", "umi_true"))
+
+
+@_query(f"SELECT sample_id, count(*) AS molecules, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases, round(sum(mean_quality * length(seq)) / sum(length(seq)), 5) AS mean_quality, round(avg(mean_error), 5) AS mean_consensus_error FROM ({_RECORDS}) GROUP BY 1")
+def run_totals(spark, sf_dir):
+    return _rounded(consensus.run_totals(_records(spark, sf_dir)), 5)
+
+
+@_query(f"SELECT concat(sample_id, '.', umi_true) AS name, concat('RX:Z:', umi_true, chr(9), 'BC:Z:', sample_id, chr(9), 'MI:Z:', sample_id, '.', umi_true, chr(9), 'cD:i:', reads) AS comment FROM ({_RECORDS})")
+def consensus_names(spark, sf_dir):
+    return consensus.named(_records(spark, sf_dir).withColumnRenamed("umi_true", "umi")).select("name", "comment")
+
+
+@_query(_READS + """, g AS (SELECT DISTINCT sample_id, cell, umi FROM reads), places AS (SELECT sample_id, substr(umi, i, 1) AS b, i, count(*) AS n FROM (SELECT *, unnest(range(1, 13)) AS i FROM g) GROUP BY ALL),
+m AS (SELECT sample_id, i, sum(pow(n, 2)) / pow(sum(n), 2) AS m FROM places GROUP BY 1, 2), sp AS (SELECT sample_id, exp(sum(-ln(m))) AS space FROM m GROUP BY 1), n AS (SELECT sample_id, count(*) AS groups FROM g GROUP BY 1),
+o AS (SELECT *, least(0.99, groups / space) AS occ FROM n JOIN sp USING (sample_id))
+ SELECT sample_id, groups, round(space, 1) AS barcode_space, round(occ, 6) AS occupancy, round(-ln(1 - occ) / occ, 6) AS expected_molecules FROM o""")
+def base_usage(spark, sf_dir):
+    return _rounded(consensus.base_usage(_plain(spark, sf_dir)), barcode_space=1)
+
+
+@_query(_READS + """, c AS (SELECT umi AS key, count(*) AS n FROM reads GROUP BY 1)
+ SELECT count(*) AS barcodes, CAST(sum(n) AS BIGINT) AS reads, list_sort(list(n))[count(*) // 2 + 1] AS median_reads, max(n) AS max_reads, array_to_string(list_sort(list(key))[1:5], ',') AS examples FROM c""")
+def kept_barcodes(spark, sf_dir):
+    return sampling.kept_statistics(_plain(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
+
+
+@_query(_READS + " SELECT sample_id, count(*) AS reads, count(*) FILTER (src_index % 13 = 0) AS without FROM reads GROUP BY 1")
+def reads_without_barcode(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    return barcodes.without_barcode(r.withColumn("umi", F.when(F.col("src_index") % 13 != 0, F.col("umi"))))
+
+
+@_query(_RAW + f", m AS (SELECT {_sql_score(LAYOUT)} >= log2(100) AS ok FROM raw) SELECT count(*) AS reads, count(*) FILTER (ok) AS trimmed_reads, CAST(19 * count(*) FILTER (ok) AS BIGINT) AS trimmed_bases FROM m")
+def trimmed_bases(spark, sf_dir):
+    return barcodes.trimmed_bases(match.match(_raw(spark, sf_dir), LAYOUT, 0))
+
+
+@_query(f"SELECT sample_id, min(min_reads) FILTER (residual_fdr <= 0.05) AS threshold, coalesce(max(residual_fdr) FILTER (min_reads = 1), 0) AS fdr_at_one FROM ({_SQL['residual_fdr']}) GROUP BY 1")
+def size_threshold(spark, sf_dir):
+    return _rounded(tables.size_threshold(tables.residual_fdr(_table(spark, sf_dir))))
+
+
+@_query(_REFINED + f""", tab0 AS (SELECT c.sample_id, c.key, c.cnt, coalesce(r.root, c.key) AS root FROM counts c LEFT JOIN roots r ON c.sample_id = r.sample_id AND c.key = r.child), s AS (SELECT sample_id, root AS key, CAST(sum(cnt) AS BIGINT) AS corrected FROM tab0 GROUP BY 1, 2),
+bad AS (SELECT DISTINCT x.sample_id, x.key FROM s x JOIN pairs ON x.sample_id = pairs.sample_id AND x.key = child JOIN s y ON y.sample_id = x.sample_id AND y.key = parent JOIN ev a ON a.sample_id = x.sample_id AND a.key = x.key JOIN ev b ON b.sample_id = y.sample_id AND b.key = y.key JOIN clonal c ON c.sample_id = x.sample_id
+  WHERE y.corrected >= 20 * x.corrected OR y.corrected >= x.corrected AND clonality < 0.5 AND 20 * hamming(a.payload, b.payload) <= 32)
+ SELECT sample_id, CAST(1 << bin AS BIGINT) AS min_reads, CAST((2 << bin) - 1 AS BIGINT) AS max_reads, count(*) AS molecules, count(b) AS suspected_residual, round(count(b) / count(*), 6) AS residual_fdr FROM (SELECT s.sample_id, {_BIN.format('corrected')} AS bin, bad.key AS b FROM s LEFT JOIN bad ON s.sample_id = bad.sample_id AND s.key = bad.key) GROUP BY 1, bin""")
+def residual_fdr_refined(spark, sf_dir):
+    """With payloads, after the correction that uses them."""
+    seen, chosen = _refined(spark, sf_dir)
+    table = written(correction.barcode_table(seen, correction.roots(chosen)), "table")
+    return _rounded(tables.residual_fdr(table, seen, correction.clonality(seen)))
+
+
+@_query(_READS + f""", e AS (SELECT sample_id, umi, count(*) AS cnt, arg_min(seq, src_index) AS payload FROM reads GROUP BY 1, 2), n AS (SELECT sample_id, {_BIN.format('cnt')} AS bin, i, substr(payload, i, 1) AS b, count(*) AS n FROM (SELECT *, unnest(range(1, 33)) AS i FROM e) GROUP BY ALL),
+h AS (SELECT sample_id, bin, i, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM n GROUP BY 1, 2, 3 HAVING sum(n) >= 2) SELECT sample_id, CAST(1 << bin AS BIGINT) AS min_reads, CAST((2 << bin) - 1 AS BIGINT) AS max_reads, round(avg(h), 6) AS payload_entropy_bits FROM h GROUP BY 1, bin""")
+def payload_entropy(spark, sf_dir):
+    return _rounded(tables.payload_entropy(correction.evidence(reads(spark, sf_dir))))
+
+
+@_query(f"SELECT sample_id, round(sum(child_reads) / (sum(parent_reads * parents) * 12), 9) AS error_from_children, round(sum(child_reads) FILTER (parent_reads >= 10) / (sum(parent_reads * parents) FILTER (parent_reads >= 10) * 12), 9) AS error_at_depth FROM ({_SQL['umi_errors_by_depth']}) GROUP BY 1")
+def error_at_depth(spark, sf_dir):
+    return _rounded(tables.error_at_depth(umi_errors_by_depth(spark, sf_dir)).drop("error_phred"), 9)
+
+
+@_query(f"WITH b AS ({_SQL['error_budget']}), r AS ({_SQL['umi_error_estimate']}) SELECT sample_id, predicted, round(umi_error_rate, 6) AS estimated, round(umi_error_rate / predicted, 3) AS ratio, umi_error_rate / predicted > 0.3 AND umi_error_rate / predicted < 3 AS agrees FROM b JOIN r USING (sample_id)")
+def budget_ratio(spark, sf_dir):
+    return _rounded(barcodes.budget_ratio(error_budget(spark, sf_dir), umi_error_estimate(spark, sf_dir)), ratio=3)
+
+
+_PARENT_SEQ = "translate(md5('p7'), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@_query(_READS + f""", fam AS (SELECT {_PARENT_SEQ} AS p), vars AS (SELECT p, concat(substr(p, 1, 3), translate(substr(p, 4, 1), 'ACGT', 'GTAC'), substr(p, 5)) AS v1, concat(substr(p, 1, 6), translate(substr(p, 7, 2), 'ACGT', 'GTAC'), substr(p, 9)) AS v2 FROM fam),
+j AS (SELECT seq, count(*) AS n, hamming(seq, any_value(p)) AS d FROM reads, fam WHERE substr(seq, 21) = substr(p, 21) GROUP BY 1),
+err AS (SELECT j.* FROM j, vars WHERE seq NOT IN (p, v1, v2))
+ SELECT coalesce((SELECT n FROM j WHERE seq = p), 0) AS parent, coalesce((SELECT n FROM j WHERE seq = v1), 0) AS v1, coalesce((SELECT n FROM j WHERE seq = v2), 0) AS v2, coalesce((SELECT max(n) FROM err WHERE d = 1), 0) AS err1, (SELECT count(*) FROM j) AS distinct_junctions,
+  CAST(coalesce((SELECT sum(n) FROM j WHERE d = 1), 0) AS BIGINT) AS n_at_1sub, CAST(coalesce((SELECT sum(n) FROM j WHERE d = 2), 0) AS BIGINT) AS n_at_2sub, round((SELECT n FROM j WHERE seq = p) / (SELECT max(n) FROM err WHERE d = 1), 6) AS parent_err1 FROM vars""")
+def spike_in_ratio(spark, sf_dir):
+    import hashlib
+
+    family = hashlib.md5(b"p7").hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT"))
+    turn = str.maketrans("ACGT", "GTAC")
+    one, two = family[:3] + family[3].translate(turn) + family[4:], family[:6] + family[6:8].translate(turn) + family[8:]
+    found = studies.spike_ratios(studies.junctions(_plain(spark, sf_dir), family), family, one, two)
+    return _rounded(found.select("parent", "v1", "v2", "err1", "distinct_junctions", "n_at_1sub", "n_at_2sub", "parent_err1"))
+
+
+#: Calls, runs and callers made of order lines.
+_CALLS = """calls AS (SELECT concat('chr', l_suppkey % 3) AS chrom, CAST(l_partkey % 40 AS BIGINT) AS pos, substr('ACGT', CAST(l_linenumber % 4 AS INT) + 1, 1) AS ref, substr('ACGT', CAST((l_linenumber + 1 + l_orderkey % 2) % 4 AS INT) + 1, 1 + CAST(l_orderkey % 5 = 0 AS INT)) AS alt,
+ CAST(l_orderkey % 3 + 1 AS INT) AS min_reads, CAST(l_discount AS DOUBLE) + 0.01 AS vaf, CAST(l_suppkey % 12 AS BIGINT) AS run, CAST(l_quantity AS INT) AS depth, concat('caller', l_linenumber % 2) AS caller FROM lineitem),
+design AS (SELECT CAST(r AS BIGINT) AS run, CASE WHEN r % 3 = 0 THEN 'WT' ELSE concat('arm', r % 3) END AS arm FROM range(0, 12) t(r))"""
+
+
+def _calls(spark, sf_dir):
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    alt = F.substring(F.lit("ACGT"), ((F.col("l_linenumber") + 1 + F.col("l_orderkey") % 2) % 4 + 1).cast("int"), 1 + (F.col("l_orderkey") % 5 == 0).cast("int"))
+    return line.select(
+        F.concat(F.lit("chr"), (F.col("l_suppkey") % 3).cast("string")).alias("chrom"), (F.col("l_partkey") % 40).cast("long").alias("pos"), F.substring(F.lit("ACGT"), (F.col("l_linenumber") % 4 + 1).cast("int"), F.lit(1)).alias("ref"), alt.alias("alt"),
+        (F.col("l_orderkey") % 3 + 1).cast("int").alias("min_reads"), (F.col("l_discount").cast("double") + 0.01).alias("vaf"), (F.col("l_suppkey") % 12).cast("long").alias("run"), F.col("l_quantity").cast("int").alias("depth"), F.concat(F.lit("caller"), (F.col("l_linenumber") % 2).cast("string")).alias("caller"),
+    )
+
+
+def _design(spark):
+    return spark.range(12).select(F.col("id").alias("run"), F.when(F.col("id") % 3 == 0, "WT").otherwise(F.concat(F.lit("arm"), (F.col("id") % 3).cast("string"))).alias("arm"))
+
+
+@_query(f"""WITH {_CALLS}, w AS (SELECT chrom, pos, ref, alt, max(vaf) FILTER (min_reads = 1) AS a, max(vaf) FILTER (min_reads = 2) AS b, max(vaf) FILTER (min_reads = 3) AS c FROM calls GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, CASE WHEN a IS NULL THEN NULL WHEN c IS NULL THEN 0 ELSE c / a END AS ratio FROM w)
+SELECT chrom, pos, ref, alt, CASE WHEN a IS NULL THEN 'inconclusive' WHEN ratio >= 0.5 THEN 'real' ELSE 'artifact' END AS verdict, round(ratio, 6) AS ratio FROM r""")
+def artifact_classes(spark, sf_dir):
+    return _rounded(studies.classify_artifacts(_calls(spark, sf_dir), [1, 2, 3]))
+
+
+@_query(f"""WITH {_CALLS}, k AS (SELECT 'p' AS pipeline, caller, 20 AS mapq, min_reads, arm, c.run, chrom, pos, ref, alt, vaf, depth FROM calls c JOIN design d ON c.run = d.run),
+per AS (SELECT caller, min_reads, arm, run, count(*) AS n, count(*) FILTER (length(ref) = 1 AND length(alt) = 1) AS s, max(vaf) FILTER (chrom = 'chr1' AND pos = 7) AS h FROM k GROUP BY 1, 2, 3, 4),
+med AS (SELECT caller, min_reads, arm, list_sort(list(depth))[count(*) // 2 + 1] AS median_depth FROM k GROUP BY 1, 2, 3)
+SELECT caller, min_reads, arm, count(*) AS runs, round(avg(n), 6) AS calls_per_run, round(avg(s), 6) AS substitutions_per_run, count(*) FILTER (h > 0) AS hotspot_detected, round(coalesce(avg(h) FILTER (h > 0), 0), 6) AS hotspot_vaf_mean, any_value(median_depth) AS median_depth FROM per JOIN med USING (caller, min_reads, arm) GROUP BY 1, 2, 3""")
+def caller_table(spark, sf_dir):
+    calls = _calls(spark, sf_dir).join(_design(spark), "run").select("*", F.lit("p").alias("pipeline"), F.lit(20).alias("mapq"))
+    return _rounded(studies.caller_table(calls, "chr1", 7).drop("pipeline", "mapq"))
+
+
+_RUNS = _CALLS + ", mols AS (SELECT CAST(s_suppkey % 12 AS BIGINT) AS run, s_suppkey AS target, CAST(10 + s_suppkey * 37 % 400 AS BIGINT) AS molecules FROM supplier)"
+
+
+def _per_run(spark, sf_dir):
+    sup = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % 12).cast("long").alias("run"), F.col("s_suppkey").alias("target"), (10 + F.col("s_suppkey") * 37 % 400).cast("long").alias("molecules"))
+    return studies.per_run_targets(_design(spark), sup, _calls(spark, sf_dir))
+
+
+_PER_RUN = f"""WITH {_RUNS}, per AS (SELECT run, count(*) AS targets, CAST(sum(molecules) AS BIGINT) AS total, avg(molecules) AS mean, min(molecules) AS weakest, max(molecules) AS strongest FROM mols GROUP BY 1), n AS (SELECT run, count(*) AS calls FROM calls GROUP BY 1),
+rows_ AS (SELECT run, arm, targets, total, mean, weakest, strongest, weakest / mean AS weakest_over_mean, coalesce(calls, 0) AS calls FROM design JOIN per USING (run) LEFT JOIN n USING (run))"""
+
+
+@_query(_PER_RUN + " SELECT run, arm, targets, total, round(mean, 6) AS mean, weakest, strongest, round(weakest_over_mean, 6) AS weakest_over_mean, calls FROM rows_")
+def per_run_targets(spark, sf_dir):
+    return _rounded(_per_run(spark, sf_dir))
+
+
+@_query(_PER_RUN + " SELECT arm, count(*) AS runs, round(avg(calls), 6) AS calls_per_run, min(calls) AS least, max(calls) AS most FROM rows_ GROUP BY 1")
+def call_burden(spark, sf_dir):
+    return _rounded(studies.call_burden(_per_run(spark, sf_dir)))
+
+
+@_query(f"WITH {_CALLS}, h AS (SELECT run, max(vaf) AS vaf FROM calls WHERE chrom = 'chr1' AND pos = 7 GROUP BY 1) SELECT arm, count(*) AS runs, count(*) FILTER (vaf > 0) AS detected, round(avg(coalesce(vaf, 0)), 6) AS mean_vaf FROM design LEFT JOIN h USING (run) GROUP BY 1")
+def hotspot_by_arm(spark, sf_dir):
+    return _rounded(studies.hotspot(_design(spark), _calls(spark, sf_dir), "chr1", 7))
+
+
+@_query(f"WITH {_CALLS}, n AS (SELECT ref, alt, count(*) AS calls FROM calls WHERE run IN (SELECT run FROM design WHERE arm = 'WT') GROUP BY 1, 2) SELECT *, round(calls / sum(calls) OVER (), 6) AS share FROM n")
+def substitution_spectrum(spark, sf_dir):
+    return _rounded(studies.substitution_spectrum(_design(spark), _calls(spark, sf_dir), "WT"))
+
+
+@_query(f"WITH {_CALLS}, w AS (SELECT run FROM design WHERE arm = 'WT') SELECT chrom, pos, ref, alt, count(DISTINCT run) AS runs FROM calls WHERE run IN (SELECT run FROM w) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT run) >= greatest(2, (SELECT count(*) FROM w) // 2)")
+def recurring_calls(spark, sf_dir):
+    return studies.recurring(_design(spark), _calls(spark, sf_dir), "WT")
+
+
+@_query(f"WITH {_RUNS}, t AS (SELECT target, molecules, 0.01 + target % 5 / 100.0 AS vaf, 5.0 + target % 7 AS input_ng FROM mols), l AS (SELECT *, molecules * vaf AS m FROM t) SELECT target, round(input_ng * 1000 / 3.3, 6) AS genome_equivalents, round(m, 6) AS variant_molecules, round(greatest(0, 1 - exp(-m) * (1 + m + m * m / 2)), 6) AS p_enough FROM l")
+def titration(spark, sf_dir):
+    sup, n = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    runs = sup.select(n.alias("target"), (10 + n * 37 % 400).cast("long").alias("molecules"), (0.01 + n % 5 / 100.0).alias("vaf"), (5.0 + n % 7).alias("input_ng"))
+    return _rounded(studies.titration(runs).select("target", "genome_equivalents", "variant_molecules", "p_enough"))
+
+
+@_query(_READS + """, p AS (SELECT sample_id, substr(seq, 1, 4) AS p, count(*) AS n FROM reads GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY sample_id) AS whole FROM p)
+ SELECT sample_id, CAST(any_value(whole) AS BIGINT) AS molecules, count(*) FILTER (n / whole >= 0.01) AS amplicons, round(coalesce(sum(n) FILTER (n / whole >= 0.01), 0) / any_value(whole), 6) AS share FROM s GROUP BY 1""")
+def amplicon_count(spark, sf_dir):
+    return _rounded(studies.amplicons(_plain(spark, sf_dir), "sample_id", prefix=4, least=0.01))
+
+
+@_query(_READS + """, d AS (SELECT sample_id, umi_true, count(*) AS reads FROM reads GROUP BY 1, 2), v AS (SELECT sample_id, umi_true, i, substr(seq, i, 1) AS b, count(*) AS n FROM (SELECT *, unnest(range(1, 33)) AS i FROM reads) GROUP BY ALL),
+t AS (SELECT sample_id, umi_true, i, arg_max(b, n) AS b, max(n) AS top, count(*) AS kinds, list_sort(list(n), 'DESC') AS all_ FROM v GROUP BY 1, 2, 3),
+c AS (SELECT t.sample_id, i, CASE WHEN kinds > 1 AND all_[2] = top THEN 'N' ELSE b END AS b, reads FROM t JOIN d ON t.sample_id = d.sample_id AND t.umi_true = d.umi_true),
+n AS (SELECT sample_id, i, b, count(*) AS n FROM c WHERE b <> 'N' GROUP BY 1, 2, 3), s AS (SELECT sample_id, i, arg_max(b, (n, -ascii(b))) AS major, 1 - max(n) / sum(n) AS minor FROM n GROUP BY 1, 2)
+ SELECT sample_id, CAST(i AS INT) AS position, major, round(minor, 6) AS minor FROM s""")
+def minor_spectrum(spark, sf_dir):
+    called = studies.majority(_plain(spark, sf_dir), ("sample_id", "umi_true"))
+    return _rounded(studies.minor_spectrum(called, "sample_id").drop("molecules"))
+
+
+_CLONES = _READS.replace("WITH reads AS (", "WITH all_reads AS (") + ", reads AS (SELECT * FROM all_reads WHERE substr(seq, 17) = substr(" + _PARENT_SEQ + ", 17))"
+
+
+@_query(_CLONES + """, d AS (SELECT sample_id, umi_true, count(*) AS reads FROM reads GROUP BY 1, 2), v AS (SELECT sample_id, umi_true, i, substr(seq, i, 1) AS b, count(*) AS n FROM (SELECT *, unnest(range(1, 33)) AS i FROM reads) GROUP BY ALL),
+t AS (SELECT sample_id, umi_true, i, arg_max(b, n) AS b, max(n) AS top, list_sort(list(n), 'DESC') AS all_ FROM v GROUP BY 1, 2, 3),
+c AS (SELECT t.sample_id, i, CASE WHEN len(all_) > 1 AND all_[2] = top THEN 'N' ELSE b END AS b, reads FROM t JOIN d ON t.sample_id = d.sample_id AND t.umi_true = d.umi_true),
+n AS (SELECT sample_id, i, b, count(*) AS n FROM c WHERE b <> 'N' GROUP BY 1, 2, 3), s AS (SELECT sample_id, i, arg_max(b, (n, -ascii(b))) AS major, 1 - max(n) / sum(n) AS minor FROM n GROUP BY 1, 2)
+ SELECT c.sample_id, count(*) FILTER (b <> major) AS mismatches, count(*) AS bases, round(count(*) FILTER (b <> major) / count(*), 6) AS rate FROM c JOIN s ON c.sample_id = s.sample_id AND c.i = s.i WHERE b <> 'N' AND reads >= 2 AND minor < 0.2 GROUP BY 1""")
+def quality_floor(spark, sf_dir):
+    import hashlib
+
+    family = hashlib.md5(b"p7").hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT"))
+    called = studies.majority(_plain(spark, sf_dir).filter(F.substring("seq", 17, 16) == family[16:]), ("sample_id", "umi_true"))
+    return _rounded(studies.quality_floor(called, "sample_id", 2, polymorphic=0.2).select("sample_id", "mismatches", "bases", "rate"))
+
+
+@_query(_READS + """, m AS (SELECT DISTINCT cell, substr(seq, i, 21) AS kmer FROM (SELECT *, unnest(range(1, 13)) AS i FROM reads WHERE src_index % 2 = 0)), c AS (SELECT DISTINCT cell, umi_true AS contig, substr(seq, i, 21) AS kmer FROM (SELECT *, unnest(range(1, 13)) AS i FROM reads WHERE src_index % 2 = 1))
+ SELECT c.cell, contig, count(*) AS kmers, count(m.kmer) AS covered, round(count(m.kmer) / count(*), 6) AS share FROM c LEFT JOIN m ON c.cell = m.cell AND c.kmer = m.kmer GROUP BY 1, 2""")
+def contig_kmer_coverage(spark, sf_dir):
+    r = reads(spark, sf_dir)
+    return _rounded(studies.kmer_coverage(r.filter("src_index % 2 = 1").withColumn("contig", F.col("umi_true")), r.filter("src_index % 2 = 0")))
+
+
+@_query(_READS + """, t AS (SELECT concat('r', src_index) AS name, concat(sample_id, umi_true) AS molecule FROM reads), p AS (SELECT concat('r', src_index) AS name, concat(sample_id, umi) AS molecule FROM reads WHERE src_index % 5 <> 0)
+ SELECT count(*) AS reads, count(DISTINCT t.molecule) AS true_groups, count(DISTINCT p.molecule) AS found_groups FROM t JOIN p USING (name)""")
+def truth_by_name(spark, sf_dir):
+    r = reads(spark, sf_dir).withColumn("name", F.concat(F.lit("r"), F.col("src_index").cast("string")))
+    both = studies.truth_by_name(r.withColumn("molecule", F.concat("sample_id", "umi_true")), r.filter("src_index % 5 <> 0").withColumn("molecule", F.concat("sample_id", "umi")))
+    return both.agg(F.count("*").alias("reads"), F.count_distinct("t").alias("true_groups"), F.count_distinct("f").alias("found_groups"))
+
+
+_REFERENCE = "ACGTTGCAAGCTTACGGATCCATGCAATGCCGTTAGCATCGGATTACAGGCTTAACCGGTA"
+
+
+@_query(_READS + f""", s AS (SELECT src_index, substr(seq, 1, 16) AS f, reverse(translate(substr(seq, 1, 16), 'ACGT', 'TGCA')) AS r FROM reads), t AS (SELECT src_index, '+' AS strand, o, hamming(f, substr('{_REFERENCE}', CAST(o AS INT) + 1, 16)) AS m FROM s, range(0, {len(_REFERENCE) - 15}) x(o) UNION ALL SELECT src_index, '-', o, hamming(r, substr('{_REFERENCE}', CAST(o AS INT) + 1, 16)) FROM s, range(0, {len(_REFERENCE) - 15}) x(o))
+ SELECT src_index, strand, CAST(o AS INT) AS "offset", CAST(m AS INT) AS mismatches FROM t QUALIFY row_number() OVER (PARTITION BY src_index ORDER BY m, strand, o) = 1""")
+def ungapped_placement(spark, sf_dir):
+    return studies.placed(reads(spark, sf_dir).select("src_index", F.substring("seq", 1, 16).alias("seq")), _REFERENCE).drop("seq")
+
+
+@_query(_SPACE + """, lam AS (SELECT sample_id, -ln(1 - n / space) AS l FROM spaces JOIN sizes USING (sample_id)), t AS (SELECT sample_id, umi, substr(seq, 17) AS template, count(*) AS n FROM reads GROUP BY 1, 2, 3),
+s AS (SELECT sample_id, umi, count(*) FILTER (n >= 0.2 * whole) AS k FROM (SELECT *, sum(n) OVER (PARTITION BY sample_id, umi) AS whole FROM t) GROUP BY 1, 2)
+ SELECT sample_id, count(*) AS groups, count(*) FILTER (k > 1) AS mixed, round(count(*) FILTER (k > 1) / count(*), 6) AS observed, round(any_value(1 - l * exp(-l) / (1 - exp(-l))), 6) AS expected FROM s JOIN lam USING (sample_id) GROUP BY 1""")
+def barcode_collisions(spark, sf_dir):
+    r = _plain(spark, sf_dir)
+    molecules = r.groupBy("sample_id", "umi", F.substring("seq", 17, 16).alias("template")).agg(F.count("*").alias("reads"))
+    return _rounded(studies.collisions(molecules, barcodes.barcode_space(_counts(spark, sf_dir))))
+
+
+@_query(_ASSIGNED + f", fitted AS (SELECT * FROM ({_SQL['quality_calibration']})), hops AS (SELECT * FROM ({_SQL['index_hopping']}))" + """ SELECT concat_ws(',', CASE WHEN estimable AND rate > 0.01 THEN 'hopping' END, CASE WHEN slope > 2 THEN 'calibration_slope' END, CASE WHEN intercept > 1e-3 THEN 'calibration_intercept' END, CASE WHEN 2 * (SELECT count(*) FROM judged WHERE status = 'assigned') < (SELECT count(*) FROM judged) THEN 'few_assigned' END) AS warnings FROM fitted, hops""")
+def matching_warnings(spark, sf_dir):
+    return reports.matching_warnings(assignment_status(spark, sf_dir), index_hopping(spark, sf_dir), match.fit_calibration(match.calibration(_raw(spark, sf_dir), LAYOUT, 0)))
+
+
+@_query(_REFINED + """, tab0 AS (SELECT c.sample_id, c.key, c.cnt, coalesce(r.root, c.key) AS root FROM counts c LEFT JOIN roots r ON c.sample_id = r.sample_id AND c.key = r.child), k AS (SELECT sample_id, root, sum(cnt) AS corrected FROM tab0 GROUP BY 1, 2),
+a AS (SELECT sample_id, sum(cnt) / count(*) AS depth FROM counts GROUP BY 1), b AS (SELECT sample_id, count(*) AS mol, count(*) FILTER (corrected = 1) AS single FROM k GROUP BY 1), sat AS (SELECT sample_id, mol >= 0.9 * space OR n > 0.05 * space AS saturated FROM b JOIN spaces USING (sample_id) JOIN sizes USING (sample_id))
+ SELECT sample_id, concat_ws(',', CASE WHEN depth < 3 THEN 'few_reads_per_barcode' END, CASE WHEN saturated THEN 'saturated' END, CASE WHEN 2 * single > mol THEN 'singletons' END) AS warnings, round(CASE WHEN clonality > 0 AND clonality <= 0.5 THEN 1 / clonality ELSE 0 END, 4) AS payload_worth FROM a JOIN b USING (sample_id) JOIN sat USING (sample_id) JOIN clonal USING (sample_id)""")
+def correction_warnings(spark, sf_dir):
+    seen, chosen = _refined(spark, sf_dir)
+    merged = correction.roots(chosen)
+    return _rounded(reports.correction_warnings(correction.molecule_estimates(seen, merged), correction.barcode_table(seen, merged), correction.clonality(seen)), 4)
+
+
+@_query(f"""WITH rec AS ({_RECORDS}), u AS ({_SQL['base_usage']}), n AS (SELECT sample_id, count(*) AS g, count(*) FILTER (reads = 1) AS single FROM rec GROUP BY 1)
+SELECT sample_id, concat_ws(',', CASE WHEN 2 * single > g THEN 'singletons' END, CASE WHEN expected_molecules > 1.1 THEN 'mixed_groups' END) AS warnings FROM n JOIN u USING (sample_id)""")
+def consensus_warnings(spark, sf_dir):
+    return reports.consensus_warnings(_records(spark, sf_dir), consensus.base_usage(_plain(spark, sf_dir)))
+
+
+@_query()
+def molecule_contigs(spark, sf_dir):
+    """Pieces of a payload family, put under one barcode, placed again."""
+    r = reads(spark, sf_dir)
+    begin = (F.col("src_index") % 3).cast("int") * 4 + 1
+    pieces = r.select("src_index", "sample_id", F.substring("seq", 17, 16).alias("umi"), F.substring(F.concat("seq", "seq"), begin, F.lit(40)).alias("seq"), F.concat("qual", F.substring("qual", 1, 8)).alias("qual"))
+    return _rounded(contigs.contigs(pieces, cap=200))
+
+
+@_query()
+def merged_pairs(spark, sf_dir):
+    """Mates that overlap in the middle of a doubled payload."""
+    r = reads(spark, sf_dir)
+    whole = F.concat("seq", B.reverse_complement("seq"))
+    pairs = r.select("src_index", "sample_id", F.col("umi_true").alias("umi"), F.substring(whole, 1, 48).alias("seq"), F.concat("qual", F.substring("qual", 1, 16)).alias("qual"), B.reverse_complement(F.substring(whole, 17, 48)).alias("seq2"), F.concat("qual", F.substring("qual", 1, 16)).alias("qual2"))
+    return _rounded(contigs.merged_mates(pairs))
+
+
+@_query()
+def neighbour_nulls(spark, sf_dir):
+    return studies.neighbour_null(_kept_counts(spark, sf_dir))
+
+
+@_query()
+def divergence_nulls(spark, sf_dir):
+    return _rounded(studies.divergence_null(_kept_counts(spark, sf_dir), shuffles=3))
+
+
+@_query()
+def pre_amplification_floor(spark, sf_dir):
+    """Over the molecules of each cell's payloads, which here differ too much for a fit: the reason says so."""
+    return _rounded(consensus.pre_amp_floor(_records(spark, sf_dir)), 9)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_histogram(spark, sf_dir)
 

@@ -102,6 +102,24 @@ def payload_lengths(reads: DataFrame, bins: int = 512) -> DataFrame:
     return lengths.withColumn("at_least", F.sum("reads").over(longer))
 
 
+def trimmed_bases(matched: DataFrame) -> DataFrame:
+    """(reads, trimmed_reads, trimmed_bases): what the layouts take off the reads that have one."""
+    begin = F.when(F.col("match.found"), F.col("match.payload_begin")).otherwise(0)
+    return matched.agg(F.count("*").alias("reads"), F.count_if(begin > 0).alias("trimmed_reads"), F.coalesce(F.sum(begin), F.lit(0)).cast("long").alias("trimmed_bases"))
+
+
+def without_barcode(reads: DataFrame, key: str = "umi") -> DataFrame:
+    """(sample_id, reads, without): reads in all, and those without a barcode, which no table counts."""
+    return reads.groupBy("sample_id").agg(F.count("*").alias("reads"), F.count_if(F.length(F.coalesce(F.col(key), F.lit(""))) == 0).alias("without"))
+
+
+def budget_ratio(budget: DataFrame, rates: DataFrame) -> DataFrame:
+    """(sample_id, predicted, estimated, ratio, agrees): the barcodes' estimated error against the budget; they agree within a factor of about three."""
+    both = budget.join(rates.select("sample_id", F.col("umi_error_rate").alias("estimated")), "sample_id")
+    ratio = F.when(F.col("predicted") > 0, F.col("estimated") / F.col("predicted"))
+    return both.select("sample_id", "predicted", "estimated", ratio.alias("ratio"), ((ratio > 0.3) & (ratio < 3)).alias("agrees"))
+
+
 def error_budget(reads: DataFrame) -> DataFrame:
     """(sample_id, mean_error, polymerase_error, predicted, barcode_error, neighbour_occupancy, unreliable).
 

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import BASES, error_of, phred
+from ..storage import written
 
 EXPECTED_CELLS = 3000
 ORDMAG_SHARE = 0.01
 SNAP_POSTERIOR = 0.975
 DEFAULT_ERROR = 1e-3
+PIECE = 100_000
 
 
 def cell_molecules(reads: DataFrame, umi: str = "umi") -> DataFrame:
@@ -18,10 +20,6 @@ def cell_molecules(reads: DataFrame, umi: str = "umi") -> DataFrame:
     return reads.select("sample_id", "cell", umi).distinct().groupBy("sample_id", "cell").agg(F.count("*").alias("molecules"))
 
 
-def _descending() -> Window:
-    return Window.partitionBy("sample_id").orderBy(F.desc("molecules"), "cell")
-
-
 def call_cells(cells: DataFrame, expected: int = EXPECTED_CELLS) -> DataFrame:
     """(sample_id, cell, molecules, called): at least a tenth of the size at the first per cent of the expected cells.
 
@@ -32,23 +30,45 @@ def call_cells(cells: DataFrame, expected: int = EXPECTED_CELLS) -> DataFrame:
     index = F.floor(ORDMAG_SHARE * F.least(F.lit(expected), F.sum("n").over(Window.partitionBy("sample_id"))))
     at = spectrum.withColumn("_to", F.sum("n").over(down)).withColumn("_index", index).filter(F.col("_to") > F.col("_index"))
     threshold = at.groupBy("sample_id").agg(F.greatest(F.lit(1), F.floor(F.max("molecules") / 10)).alias("_least"))
-    return cells.join(F.broadcast(threshold), "sample_id").select("sample_id", "cell", "molecules", (F.col("molecules") >= F.col("_least")).alias("called"))
+    return cells.join(threshold, "sample_id").select("sample_id", "cell", "molecules", (F.col("molecules") >= F.col("_least")).alias("called"))
+
+
+def cell_spectrum(called: DataFrame) -> DataFrame:
+    """(sample_id, umis, called, cells): how many cells have a size. Cells are called by size, so a size is called or not."""
+    return called.groupBy("sample_id", F.col("molecules").alias("umis"), "called").agg(F.count("*").alias("cells"))
+
+
+def called_totals(called: DataFrame) -> DataFrame:
+    """(sample_id, cells, called_cells, molecules, molecules_in_called)."""
+    return called.groupBy("sample_id").agg(F.count("*").alias("cells"), F.count_if("called").alias("called_cells"), F.sum("molecules").alias("molecules"), F.coalesce(F.sum(F.when(F.col("called"), F.col("molecules"))), F.lit(0)).alias("molecules_in_called"))
 
 
 def cell_rank(called: DataFrame) -> DataFrame:
-    """(sample_id, rank, umis, called, cumulative_umis, cumulative_fraction)."""
-    total = F.sum("molecules").over(Window.partitionBy("sample_id"))
-    upto = F.sum("molecules").over(_descending().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return called.select("sample_id", F.row_number().over(_descending()).cast("long").alias("rank"), F.col("molecules").alias("umis"), "called", upto.alias("cumulative_umis"), (upto / total).alias("cumulative_fraction"))
-
-
-def knee(ranked: DataFrame) -> DataFrame:
-    """(sample_id, knee_rank, knee_umis): farthest above the chord of the log-log curve; 0 unless ten times the mean."""
-    ends = ranked.groupBy("sample_id").agg(F.max("rank").alias("_n"), F.max("umis").alias("_top"), F.min("umis").alias("_low"), F.avg("umis").alias("_mean"))
-    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("umis").cast("double"))
-    slope = F.when(F.col("_n") > 1, (F.log(F.col("_low").cast("double")) - F.log(F.col("_top").cast("double"))) / F.log(F.col("_n").cast("double"))).otherwise(0.0)
-    above = (y - F.log(F.col("_top").cast("double")) - slope * x) / F.sqrt(1 + slope * slope)
-    far = ranked.join(F.broadcast(ends), "sample_id").withColumn("_d", F.round(above, 9))
+    """(sample_id, rank, umis, called, cumulative_umis, cumulative_fraction): every cell's rank, largest first.
+
+    From the spectrum of sizes: cells of one size take the ranks after the larger ones,
+    in pieces that are dealt out, so cells are never sorted in one task.
+    """
+    down = Window.partitionBy("sample_id").orderBy(F.desc("umis")).rowsBetween(Window.unboundedPreceding, -1)
+    each = F.col("umis") * F.col("cells")
+    sizes = cell_spectrum(called).select("sample_id", "umis", "called", "cells", F.coalesce(F.sum("cells").over(down), F.lit(0)).alias("_rank"), F.coalesce(F.sum(each).over(down), F.lit(0)).alias("_upto"), F.sum(each).over(Window.partitionBy("sample_id")).alias("_all"))
+    pieces = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("cells") - 1) / PIECE))).alias("_p")).repartition("sample_id", "umis", "_p")
+    ranks = pieces.select("*", F.explode(F.sequence(F.col("_p") * PIECE + 1, F.least("cells", (F.col("_p") + 1) * PIECE))).alias("_i"))
+    upto = F.col("_upto") + F.col("_i") * F.col("umis")
+    return ranks.select("sample_id", (F.col("_rank") + F.col("_i")).alias("rank"), "umis", "called", upto.alias("cumulative_umis"), (upto / F.col("_all")).alias("cumulative_fraction"))
+
+
+def knee(called: DataFrame) -> DataFrame:
+    """(sample_id, knee_rank, knee_umis): farthest above the chord of the log-log curve; 0 unless ten times the mean.
+
+    Of cells of one size the last is the farthest, so the spectrum of sizes tells.
+    """
+    down = Window.partitionBy("sample_id").orderBy(F.desc("umis")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("sample_id")
+    sizes = cell_spectrum(called).select("sample_id", "umis", F.sum("cells").over(down).alias("rank"), F.sum("cells").over(whole).alias("_n"), F.max("umis").over(whole).alias("_top"), F.min("umis").over(whole).alias("_low"), (F.sum(F.col("umis") * F.col("cells")).over(whole) / F.sum("cells").over(whole)).alias("_mean"))
+    x, y, top = F.log(F.col("rank").cast("double")), F.log(F.col("umis").cast("double")), F.log(F.col("_top").cast("double"))
+    slope = F.when(F.col("_n") > 1, (F.log(F.col("_low").cast("double")) - top) / F.log(F.col("_n").cast("double"))).otherwise(0.0)
+    far = sizes.withColumn("_d", F.round((y - top - slope * x) / F.sqrt(1 + slope * slope), 9))
     best = far.groupBy("sample_id").agg(F.max_by(F.struct("rank", "umis"), F.struct("_d", -F.col("rank"))).alias("k"), F.max("_mean").alias("_mean"))
     clear = F.col("k.umis") >= 10 * F.col("_mean")
     return best.select("sample_id", F.when(clear, F.col("k.rank")).otherwise(0).alias("knee_rank"), F.when(clear, F.col("k.umis")).otherwise(0).alias("knee_umis"))
@@ -68,24 +88,27 @@ def snap(observed: DataFrame, whitelist: DataFrame) -> DataFrame:
     reads on cells with no listed neighbour as its share, spread over the unlisted
     cells.
     """
-    listed = whitelist.select("cell").distinct()
-    n_listed = listed.count()
+    observed = written(observed, "observed")  # read seven times below
+    listed = written(whitelist.select("cell").distinct(), "listed")
     exact = observed.join(listed, "cell", "left_semi")
     off = observed.join(listed, "cell", "left_anti")
     counts = listed.join(exact.select("cell", "reads"), "cell", "left").select(F.col("cell").alias("candidate"), F.coalesce("reads", F.lit(0)).alias("listed_reads"))
-    total = exact.agg(F.coalesce(F.sum("reads"), F.lit(0))).first()[0]
 
     places = F.sequence(F.lit(1), F.length("cell"))
     tried = off.select("cell", "reads", "first_quality", F.explode(places).alias("pos")).select("*", F.explode(F.array(*map(F.lit, BASES))).alias("base"))
     tried = tried.filter(F.col("base") != F.substring(F.col("cell"), F.col("pos"), F.lit(1)))
     tried = tried.withColumn("candidate", F.concat(F.substring("cell", F.lit(1), F.col("pos") - 1), F.col("base"), F.substring(F.col("cell"), F.col("pos") + 1, F.length("cell"))))
-    near = tried.join(counts, "candidate")
+    near = written(tried.join(counts, "candidate"), "near")
 
     have = near.select("cell").distinct()
     far = off.join(have, "cell", "left_anti")
-    far_reads, all_off = far.agg(F.coalesce(F.sum("reads"), F.lit(0))).first()[0], off.count()
-    reads = observed.agg(F.coalesce(F.sum("reads"), F.lit(0))).first()[0]
-    background = far_reads / reads / all_off if all_off and reads else 0.0
+    # One row of sums for all cells.
+    sums = observed.join(listed.withColumn("_l", F.lit(True)), "cell", "left").join(have.withColumn("_h", F.lit(True)), "cell", "left").agg(
+        F.coalesce(F.sum(F.when(F.col("_l"), F.col("reads"))), F.lit(0)).alias("total"), F.count_if(F.col("_l").isNull()).alias("all_off"),
+        F.coalesce(F.sum(F.when(F.col("_l").isNull() & F.col("_h").isNull(), F.col("reads"))), F.lit(0)).alias("far_reads"), F.sum("reads").alias("reads"),
+    ).first()
+    total, n_listed = sums.total, listed.count()
+    background = sums.far_reads / sums.reads / sums.all_off if sums.all_off and sums.reads else 0.0
 
     def error(i):
         known = F.col("first_quality").isNotNull() & (F.length("first_quality") >= i)

@@ -1,24 +1,36 @@
 """One consensus per molecule.
 
-Columns are called by summed log likelihoods of the four bases. Partial sums per
-base and position are an ordinary aggregate, so a molecule of any depth is added up
-by many tasks. Reads beyond ``READ_CAP`` of a molecule, in order of src_index, do
-not vote, though they are counted.
+Reads are dealt by molecule and sorted by it and by src_index; a task goes through its
+molecules in batches and calls all columns of a batch at once, by summed log likelihoods
+of the four bases. Reads beyond ``READ_CAP`` of a molecule, in order of src_index, do not
+vote, though they are counted. A molecule with more reads than that is first cut down by
+many tasks, each keeping the first of its share, so no task reads all of a deep one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.bases import BASES, error_of, phred, size_bin
+from ..functions.bases import PHRED_MAX, PHRED_OFFSET, size_bin
+from ..storage import written
 
 READ_CAP = 10_000
+SHARES = 64
 FLOOR = 1e-4
 LEAST_ERROR, MOST_ERROR = 1e-7, 0.75
 MIN_PHRED = 2
+LETTERS = np.frombuffer(b"ACGTN", np.uint8)
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    _CODE[_c] = _i
+_ERROR = np.clip(10.0 ** (-np.clip(np.arange(256) - PHRED_OFFSET, 0, PHRED_MAX) / 10), LEAST_ERROR, MOST_ERROR)
 
 
 def capped(reads: DataFrame, keys: tuple[str, ...], cap: int = READ_CAP) -> DataFrame:
@@ -27,43 +39,167 @@ def capped(reads: DataFrame, keys: tuple[str, ...], cap: int = READ_CAP) -> Data
     return reads.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def columns(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR) -> DataFrame:
-    """(keys, position, base, p_error, phred, n): the call of each position up to the shortest read's length.
+def _voting(reads: DataFrame, keys: tuple[str, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+    """The reads that vote, and (keys, reads) of the molecules of which some do not."""
+    deep = written(reads.groupBy(*keys).agg(F.count("*").alias("reads")).filter(F.col("reads") > cap), "deep")
+    if deep.isEmpty():
+        return reads, deep
+    known = deep.select(*keys, F.lit(True).alias("_deep"))  # a row per ``cap`` reads at most
+    marked = reads.join(F.broadcast(known), list(keys), "left")
+    share = F.pmod(F.xxhash64("src_index"), F.lit(SHARES)).alias("_share")
+    some = capped(marked.filter("_deep").select("*", share), (*keys, "_share"), cap)
+    return marked.filter("_deep IS NULL").select(*reads.columns).unionByName(capped(some, keys, cap).select(*reads.columns)), deep
 
-    A base's likelihood is 1-e where a read shows it and e/3 where it shows another;
-    other letters do not vote. Ties go to the first of A, C, G, T.
+
+def call_columns(seqs: list[bytes], quals: list[bytes], starts: np.ndarray, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(widths, bases, p_error, phred, votes) of molecules whose reads begin at ``starts``, position after position.
+
+    A molecule is as wide as its shortest read. A base's likelihood is 1-e where a read
+    shows it and e/3 where it shows another; other letters do not vote. Ties go to the
+    first of A, C, G, T.
     """
-    width = reads.groupBy(*keys).agg(F.min(F.length("seq")).alias("_width"))
-    places = reads.join(width, list(keys)).filter("_width > 0").select(*keys, "seq", "qual", F.explode(F.sequence(F.lit(1), F.col("_width"))).alias("position"))
-    e = F.greatest(F.least(error_of(phred("qual", F.col("position"))), F.lit(MOST_ERROR)), F.lit(LEAST_ERROR))
-    votes = places.select(*keys, "position", F.substring(F.col("seq"), F.col("position"), F.lit(1)).alias("b"), F.log(1 - e).alias("_hit"), F.log(e / 3).alias("_miss"))
-    known = F.col("b").isin(*BASES)
-    sums = votes.groupBy(*keys, "position").agg(F.count_if(known).alias("n"), *[F.coalesce(F.sum(F.when(known, F.when(F.col("b") == b, F.col("_hit")).otherwise(F.col("_miss")))), F.lit(0.0)).alias(f"_{b}") for b in BASES])
-    best = F.greatest(*[F.col(f"_{b}") for b in BASES])
-    base = F.when(F.col("n") == 0, "N")
-    for b in BASES:
-        base = base.when(F.col(f"_{b}") == best, b)
-    rest = F.greatest(sum((F.exp(F.col(f"_{b}") - best) for b in BASES), F.lit(0.0)) - 1, F.lit(0.0))
-    p = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(rest / (1 + rest))
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    n_reads = np.diff(np.r_[starts, len(seqs)])
+    widths = np.minimum.reduceat(lengths, starts) if len(starts) else np.empty(0, np.int64)
+    each = np.repeat(widths, n_reads)
+    letters = np.frombuffer(b"".join(seqs), np.uint8)
+    marks = np.frombuffer(b"".join(q[:n].ljust(n, b"!") for q, n in zip(quals, lengths.tolist())), np.uint8)
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)  # position in the molecule
+    cell = np.repeat(np.cumsum(lengths) - lengths, each) + at
+    slot = np.repeat(np.repeat(np.cumsum(widths) - widths, n_reads), each) + at
+    code, e = _CODE[letters[cell]], _ERROR[marks[cell]]
+    size, known = int(widths.sum()), code < 4
+    votes = np.bincount(slot[known], minlength=size)
+    miss, gain = np.log(e / 3), np.log(1 - e) - np.log(e / 3)
+    sums = np.tile(np.bincount(slot[known], miss[known], size), (4, 1))
+    for b in range(4):
+        sums[b] += np.bincount(slot[code == b], gain[code == b], size)
+    best = sums.max(axis=0)
+    rest = np.maximum(np.exp(sums - best).sum(axis=0) - 1, 0)
+    p = np.where(votes == 0, 1.0, rest / (1 + rest))
     most = min(60, math.floor(-10 * math.log10(floor)))
-    q = F.when(F.col("n") == 0, 0).otherwise(F.greatest(F.lit(MIN_PHRED), F.least(F.round(-10 * F.log10(F.col("p_error") + floor)), F.lit(most)))).cast("int")
-    return sums.select(*keys, "position", base.alias("base"), p.alias("p_error"), "n").withColumn("phred", q)
+    q = np.where(votes == 0, 0, np.clip(np.floor(-10 * np.log10(p + floor) + 0.5), MIN_PHRED, most)).astype(np.int32)
+    # Sums that differ by rounding only are ties.
+    bases = np.where(votes == 0, 4, (sums >= best - 1e-9).argmax(axis=0))
+    return widths, bases, p, q, votes
+
+
+def _molecules(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[tuple], list[bytes], list[bytes], np.ndarray]]:
+    """(keys, seqs, quals, starts) of whole molecules, from rows sorted by their keys."""
+    keys: list[tuple] = []
+    seqs: list[bytes] = []
+    quals: list[bytes] = []
+    for batch in batches:
+        keys += zip(*(c.to_pylist() for c in batch.columns[:n_keys]))
+        seqs += [(s or "").encode("latin-1", "replace") for s in batch.column(n_keys).to_pylist()]
+        quals += [(q or "").encode("latin-1", "replace") for q in batch.column(n_keys + 1).to_pylist()]
+        cut = len(keys)
+        while cut and keys[cut - 1] == keys[-1]:  # the last molecule may go on in the next batch
+            cut -= 1
+        if cut:
+            starts = [0, *(i for i in range(1, cut) if keys[i] != keys[i - 1])]
+            yield [keys[i] for i in starts], seqs[:cut], quals[:cut], np.array(starts, np.int64)
+            keys, seqs, quals = keys[cut:], seqs[cut:], quals[cut:]
+    if keys:
+        starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+        yield [keys[i] for i in starts], seqs, quals, np.array(starts, np.int64)
+
+
+def by_molecule(reads: DataFrame, keys: tuple[str, ...], run, schema: str) -> DataFrame:
+    """``run(keys, seqs, quals, starts)`` over batches of whole molecules, their reads in order of src_index; it yields lists of columns after the keys, and which molecule each row is of."""
+    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*keys).schema.fields)
+    full = f"{key_types}, {schema}"
+    names = StructType.fromDDL(full).fieldNames()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[:] = [c.type for c in batch.columns[: len(keys)]]
+                yield batch
+
+        for found, seqs, quals, starts in _molecules(seen(), len(keys)):
+            which, columns = run(seqs, quals, starts)
+            listed = [pa.array([found[i][k] for i in which], kinds[k]) for k in range(len(keys))]
+            if len(which):
+                yield pa.RecordBatch.from_arrays([*listed, *columns], names)
+
+    order = ["src_index"] if "src_index" in reads.columns else []
+    rows = reads.select(*keys, "seq", "qual", *order).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.drop(*order).mapInArrow(go, full)
+
+
+def columns(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, cap: int = READ_CAP) -> DataFrame:
+    """(keys, position, base, p_error, n, phred): the call of each position up to the shortest read's length."""
+
+    def run(seqs, quals, starts):
+        widths, bases, p, q, votes = call_columns(seqs, quals, starts, floor)
+        which = np.repeat(np.arange(len(widths)), widths)
+        position = (np.arange(len(which)) - np.repeat(np.cumsum(widths) - widths, widths) + 1).astype(np.int32)
+        letters = pa.array(list(LETTERS[bases].tobytes().decode()), pa.string())
+        return which.tolist(), [pa.array(position), letters, pa.array(p), pa.array(votes), pa.array(q)]
 
+    voting, _ = _voting(reads, keys, cap)
+    return by_molecule(voting, keys, run, "position int, base string, p_error double, n long, phred int")
 
-def records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, min_reads: int = 1) -> DataFrame:
-    """(keys, reads, seq, qual, mean_error, mean_quality): one row per molecule."""
-    depth = reads.groupBy(*keys).agg(F.count("*").alias("reads")).filter(F.col("reads") >= min_reads)
-    called = columns(reads, keys, floor).withColumn("_c", F.struct("position", "base", F.char(F.col("phred") + 33).alias("q")))
-    joined = called.groupBy(*keys).agg(F.array_sort(F.collect_list("_c")).alias("c"), F.avg("p_error").alias("mean_error"), F.avg("phred").alias("mean_quality"))
-    return depth.join(joined, list(keys)).select(*keys, "reads", F.array_join(F.col("c.base"), "").alias("seq"), F.array_join(F.col("c.q"), "").alias("qual"), "mean_error", "mean_quality")
 
+RECORD = "reads long, seq string, qual string, mean_error double, mean_quality double"
+
+
+def _called_records(floor: float):
+    def run(seqs, quals, starts):
+        widths, bases, p, q, _ = call_columns(seqs, quals, starts, floor)
+        text, marks = LETTERS[bases].tobytes().decode(), (q + PHRED_OFFSET).astype(np.uint8).tobytes().decode()
+        ends = np.cumsum(widths)
+        some = np.flatnonzero(widths > 0)
+        spans = [(int(e - w), int(e)) for e, w in zip(ends[some], widths[some])]
+        means = [np.add.reduceat(x, (ends - widths)[some]) / widths[some] if len(some) else np.empty(0) for x in (p, q.astype(float))]
+        depth = np.diff(np.r_[starts, len(seqs)])[some]
+        return some.tolist(), [pa.array(depth), pa.array([text[a:b] for a, b in spans], pa.string()), pa.array([marks[a:b] for a, b in spans], pa.string()), *map(pa.array, means)]
+
+    return run
+
+
+def _true_depth(found: DataFrame, deep: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``found`` with all reads counted, also those that did not vote."""
+    if deep.isEmpty():
+        return found
+    whole = deep.withColumnRenamed("reads", "_all")
+    return found.join(whole, list(keys), "left").withColumn("reads", F.coalesce("_all", "reads")).drop("_all")
+
+
+def records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, min_reads: int = 1, cap: int = READ_CAP) -> DataFrame:
+    """(keys, reads, seq, qual, mean_error, mean_quality): one row per molecule of ``min_reads`` reads or more."""
+    voting, deep = _voting(reads, keys, cap)
+    found = _true_depth(by_molecule(voting, keys, _called_records(floor), RECORD), deep, keys)
+    return found if min_reads <= 1 else found.filter(F.col("reads") >= min_reads)
+
+
+def fast(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, cap: int = READ_CAP) -> DataFrame:
+    """(keys, reads, support, seq, qual): the commonest whole sequence, ties to the smaller; support is its reads.
+
+    A base's quality is the best of the reads that show the sequence, with the floor added to its error.
+    """
+    most = min(60, math.floor(-10 * math.log10(floor)))
+    lift = np.zeros(256, np.uint8)
+    for q in range(PHRED_MAX + 1):
+        lift[q + PHRED_OFFSET] = min(most, max(MIN_PHRED, math.floor(-10 * math.log10(10 ** (-q / 10) + floor) + 0.5))) + PHRED_OFFSET
+
+    def run(seqs, quals, starts):
+        out = []
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(seqs)]):
+            counts: dict[bytes, list[bytes]] = {}
+            for s, q in zip(seqs[start:end], quals[start:end]):
+                counts.setdefault(s, []).append(q[: len(s)].ljust(len(s), b"!"))
+            seq, votes = min(counts.items(), key=lambda x: (-len(x[1]), x[0]))
+            best = np.frombuffer(b"".join(votes), np.uint8).reshape(len(votes), -1).max(axis=0) if seq else np.empty(0, np.uint8)
+            best = np.clip(best, PHRED_OFFSET, PHRED_OFFSET + PHRED_MAX)
+            out.append((end - start, len(votes), seq.decode(), lift[best].tobytes().decode()))
+        return list(range(len(out))), [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
-def fast(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi")) -> DataFrame:
-    """(keys, reads, support, seq): the commonest whole sequence, ties to the smaller; support is its reads."""
-    votes = reads.groupBy(*keys, "seq").agg(F.count("*").alias("n"))
-    best = Window.partitionBy(*keys).orderBy(F.desc("n"), "seq")
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    return votes.select(*keys, total.alias("reads"), F.col("n").alias("support"), "seq", F.row_number().over(best).alias("_r")).filter("_r = 1").drop("_r")
+    voting, deep = _voting(reads, keys, cap)
+    return _true_depth(by_molecule(voting, keys, run, "reads long, support long, seq string, qual string"), deep, keys)
 
 
 def quality_grid(consensus: DataFrame) -> DataFrame:
@@ -83,3 +219,109 @@ def quality_by_depth(grid: DataFrame) -> DataFrame:
     out = g.groupBy("sample_id", "depth_bin").agg(F.sum("molecules").alias("molecules"), F.min("q").alias("q_min"), quantile(0.25).alias("q_p25"), quantile(0.5).alias("q_median"), quantile(0.75).alias("q_p75"), F.max("q").alias("q_max"), (F.sum(F.col("q") * F.col("molecules")) / F.sum("molecules")).alias("q_mean"))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth_bin"))
     return out.select("sample_id", low.alias("min_reads"), (low * 2 - 1).alias("max_reads"), "molecules", "q_min", "q_p25", "q_median", "q_p75", "q_max", "q_mean")
+
+
+def run_totals(consensus: DataFrame) -> DataFrame:
+    """(sample_id, molecules, reads, bases, mean_quality, mean_consensus_error): quality weighs by base, error by molecule."""
+    n = F.length("seq")
+    return consensus.groupBy("sample_id").agg(
+        F.count("*").alias("molecules"), F.sum("reads").alias("reads"), F.sum(n).cast("long").alias("bases"),
+        (F.sum(F.col("mean_quality") * n) / F.sum(n)).alias("mean_quality"), F.avg("mean_error").alias("mean_consensus_error"),
+    )
+
+
+def named(consensus: DataFrame) -> DataFrame:
+    """``consensus`` (sample_id, umi, reads, perhaps cell, contig, contigs, molecule, molecules) with name and comment.
+
+    The name is sample[.cell].barcode, then .c<k> where there are several contigs and
+    .<m> where there are more molecules than contigs. The comment has the tags RX, BC, CB, MI, cD.
+    """
+    has = set(consensus.columns)
+    part = {c: F.col(c) if c in has else F.lit(1) for c in ("contig", "contigs", "molecule", "molecules")}
+    cell = F.when(F.length("cell") > 0, F.col("cell")) if "cell" in has else F.lit(None).cast("string")
+    suffix = [F.when(part["contigs"] > 1, F.concat(F.lit("c"), part["contig"].cast("string"))), F.when(part["molecules"] > part["contigs"], part["molecule"].cast("string"))]
+    name = F.concat_ws(".", "sample_id", cell, "umi", *suffix)
+    depth = F.col("reads").cast("string")
+    comment = F.concat_ws("\t", F.concat(F.lit("RX:Z:"), "umi"), F.concat(F.lit("BC:Z:"), "sample_id"), F.concat(F.lit("CB:Z:"), cell), F.concat(F.lit("MI:Z:"), name), F.concat(F.lit("cD:i:"), depth))
+    return consensus.withColumns({"name": name, "comment": comment})
+
+
+def base_usage(reads: DataFrame) -> DataFrame:
+    """(sample_id, groups, barcode_space, occupancy, expected_molecules): over distinct (cell, barcode) groups, barcode positions only.
+
+    The expected number of molecules in a group that has one at least; occupancy is taken as 0.99 where the space is full.
+    """
+    from .barcodes import composition, information
+
+    groups = reads.filter(F.length("umi") > 0).select("sample_id", "cell", "umi").distinct()
+    space = information(composition(groups.select("sample_id", F.col("umi").alias("key"), F.lit(1).alias("cnt")))).select("sample_id", F.col("effective_space").alias("barcode_space"))
+    n = groups.groupBy("sample_id").agg(F.count("*").alias("groups"))
+    occupancy = F.least(F.lit(0.99), F.col("groups") / F.col("barcode_space"))
+    rate = -F.log(1 - F.col("occupancy"))
+    return n.join(space, "sample_id").withColumn("occupancy", occupancy).withColumn("expected_molecules", F.when(rate > 0, rate / (1 - F.exp(-rate))).otherwise(1.0))
+
+
+PRE_AMP = {"rt": 1e-4, "medium": 1e-5, "high": 1e-6}
+
+
+def parse_pre_amp(text: str) -> float | None:
+    """An error rate before amplification by name or number; None for ``auto``."""
+    if text == "auto":
+        return None
+    rate = PRE_AMP.get(text)
+    try:
+        rate = float(text) if rate is None else rate
+    except ValueError:
+        raise ValueError(f"pre-amplification error {text!r}: auto, {', '.join(PRE_AMP)} or a number") from None
+    if not 0 < rate < 1:
+        raise ValueError(f"pre-amplification error {text!r}: a number between 0 and 1 is needed")
+    return rate
+
+
+DEEP, LEAST_MOLECULES, LEAST_BASES = 20, 100, 100_000
+MINOR_SHARE, DIVERGENT, RATES = 0.01, 0.05, (1e-7, 1e-2)
+
+
+def pre_amp_floor(consensus: DataFrame, fallback: float = FLOOR) -> DataFrame:
+    """(sample_id, used, rate, ci_lo, ci_hi, mismatches, bases, molecules_scored, molecules_deep, length, positions_scored, positions_polymorphic, fallback, reason).
+
+    Deep molecules of the commonest length are compared with the commonest base of each
+    position. Positions where another base has a hundredth or more are polymorphic and
+    left out; molecules that differ in a twentieth of the rest are strangers. The rate is
+    the upper limit where nothing differs. Without enough evidence the fallback is used, and why.
+    """
+    from ..functions.bases import poisson_interval
+
+    deep = consensus.filter(F.col("reads") >= DEEP).select("sample_id", "seq", F.length("seq").alias("length"), F.monotonically_increasing_id().alias("m"))
+    deep = written(deep, "deep")
+    lengths = deep.groupBy("sample_id", "length").agg(F.count("*").alias("n")).groupBy("sample_id").agg(F.max_by("length", F.struct("n", -F.col("length"))).alias("length"), F.sum("n").alias("molecules_deep"))
+    of_length = deep.join(lengths, ["sample_id", "length"])
+    places = of_length.select("sample_id", "m", "length", F.posexplode(F.split("seq", "")).alias("position", "base")).filter(F.col("base").isin("A", "C", "G", "T"))
+    tally = places.groupBy("sample_id", "position", "base").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("sample_id", "position")
+    major = tally.withColumn("_all", F.sum("n").over(whole)).groupBy("sample_id", "position").agg(F.max_by("base", F.struct("n", -F.ascii("base"))).alias("major"), (1 - F.max("n") / F.max("_all")).alias("minor"))
+    scored = major.filter(F.col("minor") < MINOR_SHARE)
+    kinds = major.groupBy("sample_id").agg(F.count_if(F.col("minor") < MINOR_SHARE).alias("positions_scored"), F.count_if(F.col("minor") >= MINOR_SHARE).alias("positions_polymorphic"))
+    per = places.join(scored, ["sample_id", "position"]).groupBy("sample_id", "m").agg(F.count("*").alias("b"), F.count_if(F.col("base") != F.col("major")).alias("x")).filter(F.col("x") <= DIVERGENT * F.col("b"))
+    sums = per.groupBy("sample_id").agg(F.count("*").alias("molecules_scored"), F.sum("b").alias("bases"), F.sum("x").alias("mismatches"))
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("molecules_deep", "molecules_scored", "bases", "mismatches", "positions_scored", "positions_polymorphic")}
+    out = consensus.select("sample_id").distinct().join(lengths, "sample_id", "left").join(kinds, "sample_id", "left").join(sums, "sample_id", "left").withColumns(zero)
+    low, high = (x / F.col("bases") for x in poisson_interval(F.col("mismatches")))
+    out = out.withColumns({"ci_lo": F.when(F.col("bases") > 0, low), "ci_hi": F.when(F.col("bases") > 0, high)})
+    rate = F.when(F.col("mismatches") > 0, F.col("mismatches") / F.col("bases")).otherwise(F.col("ci_hi"))
+    reason = (
+        F.when(F.col("molecules_deep") < LEAST_MOLECULES, "too few deep molecules").when(2 * F.col("positions_scored") < F.col("length"), "too many polymorphic positions")
+        .when(F.col("molecules_scored") < LEAST_MOLECULES, "too few molecules alike").when(F.col("bases") < LEAST_BASES, "too few bases").when(~rate.between(*RATES), "rate out of range")
+    )
+    out = out.withColumn("reason", reason).withColumn("rate", F.when(F.col("reason").isNull(), rate))
+    return out.select("sample_id", F.coalesce("rate", F.lit(fallback)).alias("used"), "rate", "ci_lo", "ci_hi", "mismatches", "bases", "molecules_scored", "molecules_deep", "length", "positions_scored", "positions_polymorphic", F.col("reason").isNotNull().alias("fallback"), "reason")
+
+
+def check_options(fast_mode: bool = False, contig: bool = False, merge: bool = False, mate2: bool = False, limit: int | None = None, from_counts: bool = False) -> None:
+    """Options of a consensus that exclude each other raise."""
+    if fast_mode and (contig or merge):
+        raise ValueError("the fast consensus knows neither contigs nor merged mates")
+    if mate2 and not merge:
+        raise ValueError("second mates are given but are not to be merged")
+    if limit is not None and from_counts:
+        raise ValueError("a limit holds for reads, not for corrected tables")

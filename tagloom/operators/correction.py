@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import comparable, error_of, folded, hamming, phred
+from ..functions.bases import comparable, error_of, folded, hamming, phred, tags
 from ..storage import written
 from .barcodes import composition, information
 from .neighbours import neighbour_pairs
@@ -30,6 +30,8 @@ MIN_COMPARED = 8
 SAMPLE_KEPT = 8192
 TRIES = 20_000
 SAME_SHARE = 0.05
+#: The walk's multiplier, its stride's divisor and the period of its steps.
+WALK = (7919, 977, 97)
 
 
 @dataclass(frozen=True)
@@ -64,13 +66,13 @@ def clonality(barcodes: DataFrame) -> DataFrame:
     n = barcodes.groupBy("sample_id").agg(F.count("*").alias("_n"))
     # The smallest power of two that keeps fewer than SAMPLE_KEPT.
     stride = F.expr(f"element_at(filter(transform(sequence(0, 40), i -> shiftleft(1L, i)), s -> ceil(_n / s) < {SAMPLE_KEPT}), 1)")
-    kept = numbered.join(F.broadcast(n.withColumn("_s", stride)), "sample_id").filter(F.col("rank") % F.col("_s") == 0)
+    kept = numbered.join(n.withColumn("_s", stride), "sample_id").filter(F.col("rank") % F.col("_s") == 0)
     kept = written(kept.select("sample_id", (F.col("rank") / F.col("_s")).cast("long").alias("i"), "payload"), "drafts")
     sizes = kept.groupBy("sample_id").agg(F.count("*").alias("m"))
     tries = sizes.select("sample_id", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(TRIES).cast("long"), F.col("m") * 4) - 1)).alias("t"))
-    step = F.floor(F.col("m") / 977) + 1
-    a = (F.col("t") * 7919) % F.col("m")
-    tries = tries.select("sample_id", "m", a.alias("a"), ((a + step * (1 + F.col("t") % 97)) % F.col("m")).alias("b")).filter("a <> b AND m >= 3")
+    step = F.floor(F.col("m") / WALK[1]) + 1
+    a = (F.col("t") * WALK[0]) % F.col("m")
+    tries = tries.select("sample_id", "m", a.alias("a"), ((a + step * (1 + F.col("t") % WALK[2])) % F.col("m")).alias("b")).filter("a <> b AND m >= 3")
     left = kept.select("sample_id", F.col("i").alias("a"), F.col("payload").alias("x"))
     right = kept.select("sample_id", F.col("i").alias("b"), F.col("payload").alias("y"))
     both = tries.join(left, ["sample_id", "a"]).join(right, ["sample_id", "b"]).withColumn("cmp", comparable("x", "y")).filter(F.col("cmp") >= MIN_COMPARED)
@@ -103,7 +105,8 @@ def posteriors(barcodes: DataFrame, options: Correction = Correction(), rates: D
     used; ``rates`` (sample_id, umi_error_rate) and ``agreement`` (sample_id,
     clonality) go with it.
     """
-    carry = [c for c in ("cnt", "pos_err", "payload") if c in barcodes.columns]
+    barcodes = written(barcodes, "barcodes")  # read six times below
+    carry = [c for c in ("pos_err", "payload") if c in barcodes.columns]
     n = barcodes.groupBy("sample_id").agg(F.count("*").alias("n"))
     space = information(composition(barcodes)).select("sample_id", "effective_space")
     per_sample = n.join(space, "sample_id")
@@ -120,8 +123,17 @@ def posteriors(barcodes: DataFrame, options: Correction = Correction(), rates: D
     log_factorial = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("c_child")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     sizes = sizes.select("sample_id", "c_child", F.greatest(F.col("_m") / F.col("n"), 1 / (F.col("n") + 1)).alias("p_size"), log_factorial.alias("log_factorial"))
 
-    pairs = neighbour_pairs(barcodes, *carry).select("sample_id", "pos", F.col("a").alias("x"), F.col("b").alias("y"), F.col("a.cnt").alias("c_child"), F.col("b.cnt").alias("c_parent"))
-    pairs = pairs.filter(F.col("c_parent") >= F.col("c_child")).join(F.broadcast(per_sample), "sample_id").join(sizes, ["sample_id", "c_child"])
+    # Neighbours meet by key and count alone; what else a barcode carries is joined to the pairs that are left.
+    pairs = neighbour_pairs(barcodes, "cnt").select("sample_id", "pos", F.col("a").alias("x"), F.col("b").alias("y"), F.col("a.cnt").alias("c_child"), F.col("b.cnt").alias("c_parent"))
+    big, c = F.col("c_parent"), F.col("c_child")
+    pairs = pairs.filter((big > c) | ((big == c) & (F.col("y.key") < F.col("x.key"))))
+    if "payload" not in carry or agreement is None:
+        pairs = pairs.filter((big > c) & (c <= options.max_child_share * big))
+    if carry:
+        for side in ("x", "y") if "payload" in carry else ("x",):
+            more = barcodes.select("sample_id", F.col("key").alias("_k"), F.struct("key", *carry).alias("_s"))
+            pairs = pairs.withColumn("_k", F.col(f"{side}.key")).join(more, ["sample_id", "_k"]).withColumn(side, F.col("_s")).drop("_k", "_s")
+    pairs = pairs.join(per_sample, "sample_id").join(sizes, ["sample_id", "c_child"])
     ratio, decisive = F.lit(1.0), F.lit(False)
     if "payload" in carry and agreement is not None:
         pairs = pairs.withColumn("cmp", comparable("x.payload", "y.payload")).withColumn("mism", hamming("x.payload", "y.payload"))
@@ -130,7 +142,6 @@ def posteriors(barcodes: DataFrame, options: Correction = Correction(), rates: D
         ratio = F.when(F.col("cmp") >= MIN_COMPARED, F.exp(F.greatest(F.least(same - unrelated, F.lit(60.0)), F.lit(-60.0)))).otherwise(1.0)
         pairs = pairs.withColumn("ratio", ratio).filter("ratio >= 0.1")
         ratio, decisive = F.col("ratio"), F.col("ratio") > 10
-    c, big = F.col("c_child"), F.col("c_parent")
     gate = F.when(decisive, (big > c) | (F.col("y.key") < F.col("x.key"))).otherwise((big > c) & (c <= options.max_child_share * big))
     pairs = pairs.filter(gate)
     at = F.greatest(F.least(F.get("x.pos_err", F.col("pos") - 1), F.lit(0.75)), F.lit(1e-6)) if "pos_err" in carry else F.col("eps")
@@ -165,6 +176,14 @@ def roots(chosen: DataFrame) -> DataFrame:
             return now
 
 
+def merges(barcodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(sample_id, child, parent, posterior, c_child, c_parent, by_payload): each merge; by payload where counts alone would not have allowed it."""
+    counts = barcodes.select("sample_id", "key", "cnt")
+    out = chosen.join(counts.withColumnRenamed("key", "child").withColumnRenamed("cnt", "c_child"), ["sample_id", "child"])
+    out = out.join(counts.withColumnRenamed("key", "parent").withColumnRenamed("cnt", "c_parent"), ["sample_id", "parent"])
+    return out.select("sample_id", "child", "parent", "posterior", "c_child", "c_parent", (F.col("c_parent") <= F.col("c_child")).alias("by_payload"))
+
+
 def barcode_table(barcodes: DataFrame, merged: DataFrame) -> DataFrame:
     """(sample_id, key, cnt, corrected, root): corrected sums the reads of a root's tree and is 0 elsewhere."""
     rooted = barcodes.select("sample_id", "key", "cnt").join(merged.select("sample_id", F.col("child").alias("key"), "root"), ["sample_id", "key"], "left")
@@ -180,6 +199,15 @@ def corrected_reads(reads: DataFrame, merged: DataFrame, key: str = "umi") -> Da
     return out.withColumn("corrected_umi", F.coalesce("root", "_k")).withColumn("umi_corrected", F.col("root").isNotNull()).drop("_k", "root")
 
 
+def audited(corrected: DataFrame, key: str = "umi", cell: str | None = None, original_cell: str | None = None) -> DataFrame:
+    """``corrected`` with cell_corrected and a comment: RX and CB as corrected, OX and OC as read where they changed."""
+    cells = F.col(cell) if cell else F.lit(None).cast("string")
+    moved = F.coalesce(F.col(cell) != F.col(original_cell), F.lit(False)) if cell and original_cell else F.lit(False)
+    old = F.col(original_cell) if original_cell else F.lit(None).cast("string")
+    comment = tags(RX=F.col("corrected_umi"), CB=cells, OX=F.when(F.col("umi_corrected"), F.col(key)), OC=F.when(moved, old))
+    return corrected.withColumn("cell_corrected", moved).withColumn("comment", comment)
+
+
 def molecule_estimates(barcodes: DataFrame, merged: DataFrame) -> DataFrame:
     """(sample_id, umis, merged, merged_reads, molecules_observed, molecules_corrected, saturated)."""
     n = barcodes.groupBy("sample_id").agg(F.count("*").alias("umis"))

@@ -83,10 +83,11 @@ def match(reads: DataFrame, layout: Layout | str, max_offset: int = -1, min_marg
     if layout.positional and max_offset != 0:
         raise ValueError(f"layout {layout.text!r} has no scored position, so a scan cannot place it")
     s, q = F.col(seq), F.col(qual)
-    tried = F.array_sort(placements(layout, s, q, max_offset), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["offset"] - b["offset"]))
+    tried = F.transform(placements(layout, s, q, max_offset), lambda p: F.struct(p["score"].alias("score"), (-p["offset"]).alias("back"), p["offset"].alias("offset")))
     # A generator of one row: the optimizer does not copy the scores into each expression that reads them.
-    out = reads.select("*", F.explode(F.array(tried)).alias("_tried"))
-    first, second = F.get("_tried", F.lit(0)), F.get("_tried", F.lit(1))
+    out = reads.select("*", F.explode(F.array(tried)).alias("_tried")).select("*", F.explode(F.array(F.array_max("_tried"))).alias("_best"))
+    first = F.col("_best")
+    second = F.array_max(F.filter("_tried", lambda p: p["offset"] != F.col("_best.offset")))
     margin = first["score"] - F.coalesce(second["score"], F.lit(0.0))
     good = first.isNotNull()
     if not layout.positional:
@@ -94,7 +95,7 @@ def match(reads: DataFrame, layout: Layout | str, max_offset: int = -1, min_marg
     at = first["offset"]
     fields = {"offset": at, "score": first["score"], "margin": margin, "umi": _captured(layout, "umi", s, at), "umi_qual": _captured(layout, "umi", q, at), "cell": _captured(layout, "cell", s, at), "cell_qual": _captured(layout, "cell", q, at), "payload_begin": at + len(layout.positions)}
     found = F.struct(F.coalesce(good, F.lit(False)).alias("found"), *[F.when(good, v).alias(k) for k, v in fields.items()])
-    return out.withColumn(name, found).drop("_tried")
+    return out.withColumn(name, found).drop("_tried", "_best")
 
 
 def assign(reads: DataFrame, sheet: dict[str, str], max_offset: int = -1) -> DataFrame:
@@ -154,14 +155,23 @@ def fit_calibration(tallied: DataFrame) -> DataFrame:
     rates = per_position.filter(F.col("n") >= MIN_BASES).withColumn("rate", F.col("bad") / F.col("n"))
     ordered = rates.agg(F.array_sort(F.collect_list("rate")).alias("r"))
     middle = ordered.select(F.get("r", F.floor(F.size("r") / 2).cast("int")).alias("median"))
-    odd = rates.join(F.broadcast(middle), F.col("rate") > ODD_POSITION * F.col("median")).select("position")
+    odd = rates.join(middle, F.col("rate") > ODD_POSITION * F.col("median")).select("position")  # a row per layout position, and one
     kept = tallied.join(odd, "position", "left_anti").groupBy("phred").agg(F.sum("bases").alias("w"), F.sum("mismatches").alias("bad")).filter(F.col("w") >= MIN_BASES)
     x, y, w = F.pow(F.lit(10.0), -F.col("phred") / 10), F.col("bad") / F.col("w"), F.col("w")
     s = kept.agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.count("*").alias("qualities"))
     d = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when((F.col("qualities") >= 2) & (d > 0), (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / d)
-    slope = F.greatest(slope, F.lit(0.0))
-    return s.select(slope.alias("slope"), F.greatest((F.col("sy") - slope * F.col("sx")) / F.col("sw"), F.lit(0.0)).alias("intercept"), "qualities")
+    slope = F.when(slope.isNotNull(), F.greatest(slope, F.lit(0.0)))  # greatest passes over nulls: no fit stays no fit
+    return s.select(slope.alias("slope"), F.when(slope.isNotNull(), F.greatest((F.col("sy") - slope * F.col("sx")) / F.col("sw"), F.lit(0.0))).alias("intercept"), "qualities")
+
+
+def calibrated(tallied: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(phred, bases, mismatches, observed, nominal, calibrated): each quality with the error that the fit gives it, the nominal one without a fit."""
+    per = tallied.groupBy("phred").agg(F.sum("bases").alias("bases"), F.sum("mismatches").alias("mismatches"))
+    nominal = F.pow(F.lit(10.0), -F.col("phred") / 10)
+    line = F.least(F.greatest(F.col("slope") * nominal + F.col("intercept"), F.lit(1e-7)), F.lit(0.75))
+    one = per.withColumn("_one", F.lit(1)).join(fitted.withColumn("_one", F.lit(1)), "_one")
+    return one.select("phred", "bases", "mismatches", (F.col("mismatches") / F.col("bases")).alias("observed"), nominal.alias("nominal"), F.coalesce(line, nominal).alias("calibrated"))
 
 
 def dual(pairs: DataFrame, master: Layout | str, slave: Layout | str, max_offset: int = -1, min_margin: float = 0.0) -> DataFrame:

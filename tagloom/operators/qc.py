@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import BASES, index_pair, lane_tile, phreds
+from ..storage import written
 
 DECLARED_SHARE = 0.05
 KMER = 8
@@ -51,19 +52,60 @@ def cycle_profile(reads: DataFrame) -> DataFrame:
 def kmer_enrichment(reads: DataFrame, k: int = KMER, top: int = TOP_KMERS) -> DataFrame:
     """(kmer, count, expected, ratio, mean_position, read_fraction): the most enriched k-mers over the reads' own composition.
 
-    The limit is the report's; every k-mer is counted.
+    The limit is the report's; every k-mer is counted. A read's k-mers are added up
+    before they move, and the reads' own sums are one row beside them.
     """
-    starts = F.sequence(F.lit(1), F.length("seq") - (k - 1))
-    mers = reads.filter(F.length("seq") >= k).select("src_index", F.explode(F.transform(starts, lambda i: F.struct(F.substring(F.col("seq"), i, F.lit(k)).alias("kmer"), i.alias("at")))).alias("x")).filter(F.col("x.kmer").rlike("^[ACGT]+$"))
-    once = mers.groupBy("src_index", "x.kmer").agg(F.count("*").alias("n"), F.sum("x.at").alias("s"))
-    counted = once.groupBy("kmer").agg(F.sum("n").alias("count"), (F.sum("s") / F.sum("n") - 1).alias("mean_position"), F.count("*").alias("in_reads"))
-    freq = reads.select(F.explode(F.split("seq", "")).alias("b")).filter(F.col("b").isin(*BASES)).groupBy().agg(*[F.avg((F.col("b") == b).cast("double")).alias(f"f{b}") for b in BASES])
-    row, scanned, mers_total = freq.first(), reads.count(), counted.agg(F.sum("count")).first()[0]
-    if not mers_total:
+    last = F.greatest(F.length("seq") - (k - 1), F.lit(0))
+    starts = F.filter(F.sequence(F.lit(0), last), lambda i: i > 0)
+    listed = F.filter(F.transform(starts, lambda i: F.struct(F.substring(F.col("seq"), i, F.lit(k)).alias("kmer"), i.alias("at"))), lambda x: x["kmer"].rlike("^[ACGT]+$"))
+    # A generator of one row: the list is made once a read.
+    rows = reads.select(F.explode(F.array(F.array_sort(listed))).alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.greatest(F.size("l") - 1, F.lit(0)))).alias("i"))
+    mers = rows.filter(F.size("l") > 0).select(F.get("l", F.col("i")).alias("x"), (F.coalesce(F.get("l", F.col("i") - 1)["kmer"] != F.get("l", F.col("i"))["kmer"], F.lit(True))).cast("long").alias("first"))
+    counted = mers.groupBy("x.kmer").agg(F.count("*").alias("count"), (F.avg("x.at") - 1).alias("mean_position"), F.sum("first").alias("in_reads"))
+    counted = written(counted, "kmers")
+    letters = [F.sum(F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(b), F.lit("")))).alias(b) for b in BASES]
+    sums = reads.agg(F.count("*").alias("scanned"), *letters).first()
+    total, bases = counted.agg(F.sum("count")).first()[0], sum(sums[b] or 0 for b in BASES)
+    if not total:
         return counted.select("kmer", "count", F.lit(0.0).alias("expected"), F.lit(0.0).alias("ratio"), "mean_position", F.lit(0.0).alias("read_fraction"))
-    expected = F.lit(float(mers_total))
+    expected = F.lit(float(total))
     for b in BASES:
-        expected = expected * F.pow(F.lit(float(row[f"f{b}"])), k - F.length(F.replace(F.col("kmer"), F.lit(b), F.lit(""))))
-    least = max(20, scanned // 100_000)
-    out = counted.filter(F.col("count") >= least).select("kmer", "count", expected.alias("expected"), (F.col("count") / expected).alias("ratio"), "mean_position", (F.col("in_reads") / F.lit(scanned)).alias("read_fraction"))
+        expected = expected * F.pow(F.lit(sums[b] / bases), k - F.length(F.replace(F.col("kmer"), F.lit(b), F.lit(""))))
+    least = max(20, sums.scanned // 100_000)
+    out = counted.filter(F.col("count") >= least).select("kmer", "count", expected.alias("expected"), (F.col("count") / expected).alias("ratio"), "mean_position", (F.col("in_reads") / F.lit(sums.scanned)).alias("read_fraction"))
     return out.orderBy(F.desc(F.round("ratio", 9)), "kmer").limit(top)
+
+
+STRONG_RATIO, STRONG_SHARE, STRONG_KMERS = 5.0, 0.01, 10
+STITCH_SHARE, STITCH_STEPS = 0.5, 120
+
+
+def strong_kmers(enriched: DataFrame, top: int = STRONG_KMERS) -> DataFrame:
+    """The k-mers of a synthetic sequence: five times what chance gives and in a hundredth of the reads."""
+    return enriched.filter((F.col("ratio") >= STRONG_RATIO) & (F.col("read_fraction") >= STRONG_SHARE)).orderBy(F.desc(F.round("ratio", 9)), "kmer").limit(top)
+
+
+def stitched(kmers: list[tuple[str, int]]) -> str:
+    """The sequence that overlapping k-mers (with counts, strongest first) come from, followed both ways from the strongest; empty if nothing joins.
+
+    A walk ends where counts fall below half of the first one's. The list has ``TOP_KMERS`` entries at most.
+    """
+    if not kmers:
+        return ""
+    counts, seed = dict(kmers), kmers[0][0]
+    k, least = len(seed), STITCH_SHARE * kmers[0][1]
+
+    def walk(forward: bool) -> str:
+        at, met, out = seed, {seed}, ""
+        for _ in range(STITCH_STEPS):
+            inner = at[1:] if forward else at[:-1]
+            next_ = [m for m, n in counts.items() if n >= least and m not in met and (m[:-1] if forward else m[1:]) == inner]
+            if not next_:
+                break
+            at = max(next_, key=lambda m: counts[m])
+            met.add(at)
+            out += at[-1] if forward else at[0]
+        return out
+
+    whole = walk(False)[::-1] + seed + walk(True)
+    return whole if len(whole) > k else ""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -23,9 +23,11 @@ def packed_hash(packed: np.ndarray) -> np.ndarray:
 @F.pandas_udf(LongType())
 def part_of(barcodes: pd.Series) -> pd.Series:
     """Which of ``PARTS`` equal parts a barcode of up to 32 bases falls in."""
-    code = {"A": 0, "C": 1, "G": 2, "T": 3}
-    packed = [sum(code.get(c, 0) << (62 - 2 * i) for i, c in enumerate(b[:32])) for b in barcodes]
-    return pd.Series((packed_hash(np.array(packed, np.uint64)) % np.uint64(PARTS)).astype(np.int64))
+    code = np.zeros(256, np.uint64)
+    code[list(b"CGT")] = 1, 2, 3
+    letters = np.array([b[:32].ljust(32, "A") for b in barcodes], "S32").view(np.uint8).reshape(-1, 32)
+    packed = (code[letters] << np.arange(62, -2, -2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return pd.Series((packed_hash(packed) % np.uint64(PARTS)).astype(np.int64))
 
 
 def subsample(reads: DataFrame, per_10k: int, key: Column | str | None = None) -> DataFrame:
@@ -41,6 +43,22 @@ def subsample(reads: DataFrame, per_10k: int, key: Column | str | None = None) -
     return reads.filter(F.length(key) > 0).filter(part_of(key) < per_10k)
 
 
+def kept_statistics(reads: DataFrame, key: str = "umi", examples: int = 5) -> DataFrame:
+    """(barcodes, reads, median_reads, max_reads, examples): reads per kept barcode, the upper median, and the first barcodes in key order."""
+    counts = reads.filter(F.length(key) > 0).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    spectrum = counts.groupBy("n").agg(F.count("*").alias("m"))
+    down = Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = spectrum.select("n", "m", F.sum("m").over(down).alias("to"), F.sum("m").over(Window.partitionBy(F.lit(0))).alias("all"))  # a row per distinct count
+    sums = upto.agg(F.max("all").alias("barcodes"), F.sum(F.col("n") * F.col("m")).alias("reads"), F.min(F.when(F.col("to") > F.floor(F.col("all") / 2), F.col("n"))).alias("median_reads"), F.max("n").alias("max_reads"))
+    first = counts.select("key").orderBy("key").limit(examples).agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    return sums.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def hash_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """A sample of n rows: those with the least hashes of their keys, so the same whatever the partitioning."""
+    return rows.orderBy(F.xxhash64(*keys), *keys).limit(n)
+
+
 def first_reads(reads: DataFrame, n: int) -> DataFrame:
     """The first n reads; the filter reaches the scan."""
     return reads.filter(F.col("src_index") < n)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import size_bin
+from ..functions.bases import comparable, hamming, size_bin
 from .neighbours import neighbour_pairs
 
 RANK_STEP = 1.05
 RESIDUAL_RATIO = 20
+CLONAL = 0.5
+MIN_COMPARED = 8
 MIN_PARENT_READS = 10
 
 
@@ -36,18 +38,51 @@ def size_bins(table: DataFrame) -> DataFrame:
     return both.select("sample_id", "_bin", *n.values()).select("sample_id", *_bounds(), "barcodes", "reads", "merged", share, "molecules")
 
 
-def residual_fdr(table: DataFrame) -> DataFrame:
+def residual_fdr(table: DataFrame, drafts: DataFrame | None = None, clonality: DataFrame | None = None) -> DataFrame:
     """(sample_id, min_reads, max_reads, molecules, suspected_residual, residual_fdr).
 
-    A survivor is suspected if a surviving neighbour at distance one has twenty times its corrected reads or more.
+    A survivor is suspected if a surviving neighbour at distance one has twenty times its
+    corrected reads or more. With ``drafts`` (sample_id, key, payload) and ``clonality``
+    (sample_id, clonality) also if a neighbour of as many reads agrees in payload, in a
+    sample where unrelated barcodes seldom do.
     """
     kept = table.filter("corrected > 0").select("sample_id", "key", F.col("corrected").alias("cnt"))
-    pairs = neighbour_pairs(kept, "cnt").filter(F.col("b.cnt") >= RESIDUAL_RATIO * F.col("a.cnt"))
-    suspected = pairs.select("sample_id", F.col("a.key").alias("key")).distinct().withColumn("_bad", F.lit(1))
+    pairs = neighbour_pairs(kept, "cnt").select("sample_id", F.col("a.key").alias("key"), F.col("a.cnt").alias("mine"), F.col("b.key").alias("other"), F.col("b.cnt").alias("theirs"))
+    larger = F.col("theirs") >= RESIDUAL_RATIO * F.col("mine")
+    if drafts is not None and clonality is not None:
+        draft = drafts.select("sample_id", "key", "payload")
+        pairs = pairs.filter(F.col("theirs") >= F.col("mine")).join(draft, ["sample_id", "key"]).join(draft.select("sample_id", F.col("key").alias("other"), F.col("payload").alias("_p")), ["sample_id", "other"]).join(clonality, "sample_id")
+        compared = comparable("payload", "_p")
+        larger = larger | ((F.col("clonality") < CLONAL) & (compared >= MIN_COMPARED) & (hamming("payload", "_p") * RESIDUAL_RATIO <= compared))
+    suspected = pairs.filter(larger).select("sample_id", "key").distinct().withColumn("_bad", F.lit(1))
     marked = kept.join(suspected, ["sample_id", "key"], "left").groupBy("sample_id", size_bin("cnt").alias("_bin")).agg(F.count("*").alias("molecules"), F.count("_bad").alias("suspected_residual"))
     return marked.select("sample_id", *_bounds(), "molecules", "suspected_residual", (F.col("suspected_residual") / F.col("molecules")).alias("residual_fdr"))
 
 
+def size_threshold(residual: DataFrame, target: float = 0.05) -> DataFrame:
+    """(sample_id, threshold, fdr_at_one): the smallest size whose bin has the target rate or less, null without any; reported, never applied."""
+    good = F.when(F.col("residual_fdr") <= target, F.col("min_reads"))
+    return residual.groupBy("sample_id").agg(F.min(good).alias("threshold"), F.coalesce(F.max(F.when(F.col("min_reads") == 1, F.col("residual_fdr"))), F.lit(0.0)).alias("fdr_at_one"))
+
+
+def payload_entropy(barcodes: DataFrame) -> DataFrame:
+    """(sample_id, min_reads, max_reads, payload_entropy_bits): by a barcode's own count, the mean entropy of its payload draft's columns with two bases or more."""
+    places = barcodes.select("sample_id", size_bin("cnt").alias("_bin"), F.posexplode(F.split("payload", "")).alias("at", "base")).filter(F.col("base").isin("A", "C", "G", "T"))
+    n = places.groupBy("sample_id", "_bin", "at", "base").agg(F.count("*").alias("n"))
+    columns = n.groupBy("sample_id", "_bin", "at").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("s")).filter(F.col("all") >= 2)
+    out = columns.groupBy("sample_id", "_bin").agg(F.avg(F.log2("all") - F.col("s") / F.col("all")).alias("payload_entropy_bits"))
+    return out.select("sample_id", *_bounds(), "payload_entropy_bits")
+
+
+def error_at_depth(by_depth: DataFrame, length: int = 12) -> DataFrame:
+    """(sample_id, error_from_children, error_at_depth, error_phred): reads of children per base of their parents' reads, of all and of parents of ten reads or more."""
+    reads = F.col("parent_reads") * F.col("parents")
+    deep = F.col("parent_reads") >= MIN_PARENT_READS
+    sums = by_depth.groupBy("sample_id").agg(F.sum(reads).alias("a"), F.sum("child_reads").alias("b"), F.sum(F.when(deep, reads)).alias("c"), F.sum(F.when(deep, F.col("child_reads"))).alias("d"))
+    at = F.when(F.col("c") > 0, F.col("d") / (F.col("c") * length))
+    return sums.select("sample_id", F.when(F.col("a") > 0, F.col("b") / (F.col("a") * length)).otherwise(0.0).alias("error_from_children"), at.alias("error_at_depth"), F.when(at > 0, -10 * F.log10(at)).alias("error_phred"))
+
+
 def errors_by_depth(table: DataFrame, chosen: DataFrame, length: int = 12) -> DataFrame:
     """(sample_id, parent_reads, parents, child_barcodes, child_reads, children_per_parent, error_from_variants, error_from_reads)."""
     roots = table.filter("corrected > 0").select("sample_id", "key", "cnt")
@@ -88,6 +123,6 @@ def molecule_rank(table: DataFrame) -> DataFrame:
         lambda s: F.array_distinct(F.concat(s["ranks"], F.array(F.col("n")))),
     )
     grids = spectrum.select("sample_id", "n").distinct().select("sample_id", F.explode(grid).alias("rank"))
-    hit = spectrum.join(F.broadcast(grids), "sample_id").filter((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("molecules")))
+    hit = spectrum.join(grids, "sample_id").filter((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("molecules")))
     upto = F.col("reads_to") - (F.col("to") - F.col("rank")) * F.col("size")
     return hit.select("sample_id", "rank", F.col("size").alias("reads"), upto.alias("cumulative_reads"), (upto / F.col("total")).alias("cumulative_fraction"))

@@ -15,12 +15,15 @@ RANK_WIDTH = 4096
 def with_rank(df: DataFrame, first: str, keys: tuple[str, ...], name: str) -> DataFrame:
     """Rows numbered from 0 in the order of ``keys``, whose leading column is the number ``first``.
 
-    Rows are ranked within ranges of ``first``, and ranges are offset by the rows
-    before them, so no single task sees all rows.
+    Rows are ranked within ranges of ``first``, ranges within their thousands, and
+    only these are summed up in one task, so no single task sees all rows or ranges.
     """
     ranged = df.withColumn("_range", F.floor(F.col(first) / RANK_WIDTH))
-    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_group", F.floor(F.col("_range") / RANK_WIDTH))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("_group").agg(F.sum("n").alias("n")).select("_group", F.coalesce(F.sum("n").over(earlier.partitionBy(F.lit(0)).orderBy("_group")), F.lit(0)).alias("_g"))
+    inner = F.coalesce(F.sum("n").over(earlier.partitionBy("_group").orderBy("_range")), F.lit(0))
+    offsets = sizes.withColumn("_r", inner).join(groups, "_group").select("_range", (F.col("_g") + F.col("_r")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
     return ranged.withColumn("_in", inside).join(offsets, "_range").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_range", "_in", "_before")
 
@@ -33,12 +36,13 @@ def _swapped(s: Column, at: Column, to: str) -> Column:
     return F.concat(F.substring(s, F.lit(1), at), F.translate(F.substring(s, at + 1, F.lit(1)), "ACGT", to), F.substring(s, at + 2, F.length(s)))
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src_index, sample_id, cell, umi, umi_true, umi_qual, seq, qual)."""
-    lines = with_rank(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY, "l_quantity"), "l_orderkey", KEY, "src_index")
+def reads(spark: SparkSession, sf_dir: str, index: bool = True) -> DataFrame:
+    """(src_index, sample_id, cell, umi, umi_true, umi_qual, seq, qual); without ``index`` no src_index, which takes a shuffle to number."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY, "l_quantity")
+    lines = with_rank(lines, "l_orderkey", KEY, "src_index") if index else lines
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     base = lines.select(
-        "src_index",
+        *["src_index"] * index,
         F.concat(F.lit("S"), (order % 4 + 1).cast("string")).alias("sample_id"),
         F.substring(_letters("c", order % 97), 1, 16).alias("cell"),
         F.substring(_letters("u", order), 1, 12).alias("umi_true"),
@@ -52,7 +56,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.char(F.lit(33) + F.col("q0"))
     flat = F.expr("repeat(char(33 + q0), 12)")
     return base.select(
-        "src_index", "sample_id", "cell",
+        *["src_index"] * index, "sample_id", "cell",
         F.when(~F.col("ue"), F.col("umi_true")).otherwise(_swapped(F.col("umi_true"), F.col("up"), "CGTA")).alias("umi"),
         "umi_true",
         F.concat(F.substring(flat, F.lit(1), F.col("up")), F.when(~F.col("ue"), q).otherwise(F.lit(")")), F.substring(flat, F.col("up") + 2, F.lit(12))).alias("umi_qual"),

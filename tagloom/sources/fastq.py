@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.bases import reverse_complement
+
 SCHEMA = "src_index long, name string, comment string, seq string, qual string"
 FILE_STEP = 1 << 40
 BATCH = 8192
@@ -103,7 +105,8 @@ def read_pairs(spark: SparkSession, first: list[str], second: list[str]) -> Data
     b = read_fastq(spark, *second).select("src_index", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
     both = a.join(b, "src_index", "full")
     lone = F.raise_error(F.concat(F.lit("read without a mate at "), F.col("src_index").cast("string")))
-    return both.withColumn("seq2", F.when(F.col("seq").isNull() | F.col("seq2").isNull(), lone.cast("string")).otherwise(F.col("seq2")))
+    # A filter is kept whatever columns are read.
+    return both.filter(F.when(F.col("seq").isNull() | F.col("seq2").isNull(), lone.cast("boolean")).otherwise(True))
 
 
 def write_fastq(reads: DataFrame, path: str, compress: bool = True) -> None:
@@ -114,10 +117,24 @@ def write_fastq(reads: DataFrame, path: str, compress: bool = True) -> None:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Unpaired SAM text as reads: (name, flag, seq, qual, tags), tags as a map."""
-    rows = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
-    tags = F.map_from_entries(F.transform(F.slice("f", 12, 1000), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 6, 1 << 20))))
-    return rows.select(F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).cast("int").alias("flag"), F.get("f", F.lit(9)).alias("seq"), F.get("f", F.lit(10)).alias("qual"), tags.alias("tags"))
+    """SAM text as reads as sequenced: (name, flag, seq, qual, tags), tags as a map.
+
+    Records of the reverse strand are turned back; secondary and supplementary ones are
+    no reads and left out. Paired and unpaired records in one file, and a read without
+    RX, are errors.
+    """
+    lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
+    rows = lines.select(F.split("value", "\t").alias("f")).withColumn("flag", F.get("f", F.lit(1)).cast("int")).filter(F.col("flag").bitwiseAND(0x900) == 0)
+    paired = F.col("flag").bitwiseAND(1)
+    low, high = rows.agg(F.min(paired), F.max(paired)).first()
+    if low != high:
+        raise ValueError(f"{path}: paired and unpaired records are mixed")
+    tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
+    turned = F.col("flag").bitwiseAND(0x10) != 0
+    seq, qual = F.get("f", F.lit(9)), F.get("f", F.lit(10))
+    out = rows.select(F.get("f", F.lit(0)).alias("name"), "flag", F.when(turned, reverse_complement(seq)).otherwise(seq).alias("seq"), F.when(turned & (qual != "*"), F.reverse(qual)).otherwise(qual).alias("qual"), tags.alias("tags"))
+    without = F.raise_error(F.concat(F.lit("read without RX: "), F.col("name")))
+    return out.filter(F.when(F.length(F.coalesce(F.col("tags")["RX"], F.lit(""))) == 0, without.cast("boolean")).otherwise(True))
 
 
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="tagloom-")
         return _local[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local one")
+    return warehouse
 
 
 def scratch(spark: SparkSession, name: str) -> str:

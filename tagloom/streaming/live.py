@@ -7,7 +7,8 @@ the number of distinct barcodes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.barcodes import barcode_counts
@@ -19,6 +20,15 @@ def live_matches(reads: DataFrame, layout: str, max_offset: int = 0) -> DataFram
     return match(reads, layout, max_offset).filter("match.found")
 
 
-def live_counts(reads: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Counts per barcode in the table ``name``, updated with every batch."""
-    return barcode_counts(reads).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def live_counts(reads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts per barcode: with every batch, the barcodes it changed go to a folder of their own in ``path``."""
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a batch that is done again replaces itself
+
+    return barcode_counts(reads).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+
+
+def counts_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, key, cnt): each barcode's latest count in the folder that ``live_counts`` writes."""
+    return spark.read.parquet(path).groupBy("sample_id", "key").agg(F.max_by("cnt", "batch").alias("cnt"))

@@ -126,6 +126,38 @@ def test_consensus_rules(spark):
     assert fast["t"].seq == "A" and fast["t"].support == 1 and fast["t"].reads == 2
 
 
+def test_reads_beyond_the_cap_do_not_vote(spark):
+    rows = [(i, "m", "ACGT", "I" * 4) for i in range(10)] + [(100 + i, "m", "TTTT", "I" * 4) for i in range(30)] + [(7, "n", "GG", "II")]
+    df = spark.createDataFrame(rows, "src_index long, key string, seq string, qual string").repartition(3)
+    got = {r.key: (r.seq, r.reads) for r in consensus.records(df, ("key",), cap=10).collect()}
+    assert got == {"m": ("ACGT", 40), "n": ("GG", 1)}
+    assert {r.key: r.seq for r in consensus.records(df, ("key",)).collect()} == {"m": "TTTT", "n": "GG"}
+    fast = {r.key: (r.seq, r.reads, r.support) for r in consensus.fast(df, ("key",), cap=10).collect()}
+    assert fast == {"m": ("ACGT", 40, 10), "n": ("GG", 1, 1)}
+    assert "".join(r.base for r in consensus.columns(df.filter("key = 'm'"), ("key",), cap=10).orderBy("position").collect()) == "ACGT"
+
+
+def test_batches_that_cut_molecules(spark):
+    draw = random.Random(2)
+    rows = [(i, f"m{i % 37}", "".join(draw.choices("ACGT", k=9)), "".join(draw.choices("#5I", k=9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "src_index long, key string, seq string, qual string")
+    whole = sorted(map(tuple, consensus.records(df, ("key",)).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    cut = sorted(map(tuple, consensus.records(df, ("key",)).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r[:4] for r in cut] == [r[:4] for r in whole] and len(cut) == 37
+
+
+def test_calibration_needs_two_qualities(spark):
+    def fit(rows):
+        return match.fit_calibration(spark.createDataFrame(rows, "position int, phred int, bases long, mismatches long")).first()
+
+    assert (fit([(0, 30, 5000, 5)]).slope, fit([(0, 30, 5000, 5)]).intercept) == (None, None)
+    two = fit([(0, 30, 5000, 10), (0, 20, 5000, 100)])
+    assert two.slope == pytest.approx(2.0) and two.intercept == pytest.approx(0.0, abs=1e-9)
+
+
 def test_matching(spark):
     rows = [(0, "GGAAAATACGTCCC", "I" * 14), (1, "AAAATACGTCCCGG", "I" * 14), (2, "TTTTTTTTTTTTTT", "I" * 14), (3, "AA", "II")]
     df = spark.createDataFrame(rows, "src_index long, seq string, qual string")
@@ -218,7 +250,7 @@ def test_suggested_layout(spark):
 
     draw = random.Random(12)
     rows = [(i, "".join(draw.choices("ACGT", k=6)) + "TACGT" + "".join(draw.choices("AAAAAC", k=4)), "I" * 15) for i in range(3000)]
-    assert suggest_layout(cycle_profile(spark.createDataFrame(rows, "src_index long, seq string, qual string")))["layout"] == "NNNNNNTACGT"
+    assert suggest_layout(cycle_profile(spark.createDataFrame(rows, "src_index long, seq string, qual string")))["layout"] == "NNNNNNtacgt"
 
 
 def test_dual_layouts_and_verdicts(spark):

@@ -3,7 +3,7 @@ import gzip
 import pytest
 
 from tagloom.sources.fastq import FastqError, read_fastq, read_pairs, read_sam, read_sheet, read_whitelist, records, write_fastq
-from tagloom.streaming.live import live_counts, live_matches
+from tagloom.streaming.live import counts_so_far, live_counts, live_matches
 
 TEXT = b"@a 1:N:0:AC+GT\nACGT\n+\nIIII\n@b\r\nAC\r\n+\r\nII\r\n@c\tRX:Z:AA\nG\n+\nI"
 
@@ -33,6 +33,24 @@ def test_pairs(spark, tmp_path):
     assert read_pairs(spark, [str(tmp_path / "1.fq")], [str(tmp_path / "2.fq")]).filter("seq = seq2").count() == 3
     with pytest.raises(Exception, match="without a mate"):
         read_pairs(spark, [str(tmp_path / "1.fq")], [str(tmp_path / "3.fq")]).select("seq2").collect()
+    with pytest.raises(Exception, match="without a mate"):
+        read_pairs(spark, [str(tmp_path / "1.fq")], [str(tmp_path / "3.fq")]).count()
+
+
+def test_sam_reads_are_as_sequenced(spark, tmp_path):
+    def sam(*lines):
+        (tmp_path / "y.sam").write_text("".join(f"{name}\t{flag}\t*\t0\t0\t*\t*\t0\t0\t{seq}\t{qual}{tags}\n" for name, flag, seq, qual, tags in lines))
+        return read_sam(spark, str(tmp_path / "y.sam"))
+
+    rx = "\tRX:Z:GG"
+    got = {r.name: (r.seq, r.qual) for r in sam(("a", 0, "AACG", "!#5I", rx), ("b", 16, "AACG", "!#5I", rx), ("c", 256, "TT", "II", rx), ("d", 2064, "TT", "II", rx)).collect()}
+    assert got == {"a": ("AACG", "!#5I"), "b": ("CGTT", "I5#!")}
+    many = "".join(f"\t{chr(65 + i // 10)}{i % 10}:Z:{'v' * 10}" for i in range(100)) + rx
+    assert len(sam(("a", 4, "AC", "II", many)).first().tags) >= 100
+    with pytest.raises(ValueError, match="mixed"):
+        sam(("a", 77, "AC", "II", rx), ("b", 4, "AC", "II", rx))
+    with pytest.raises(Exception, match="without RX"):
+        sam(("a", 4, "AC", "II", "\tNM:i:0"), ("b", 4, "AC", "II", rx)).count()
 
 
 def test_sam_whitelist_and_sheet(spark, tmp_path):
@@ -54,10 +72,13 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "src_index long, sample_id string, umi string, seq string, qual string")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    live_counts(stream, "live", str(tmp_path / "cp")).processAllAvailable()
-    assert {(r.key, r.cnt) for r in spark.table("live").collect()} == {("AAAA", 5), ("CCCC", 5)}
+    live_counts(stream, str(tmp_path / "live"), str(tmp_path / "cp")).processAllAvailable()
+    assert {(r.key, r.cnt) for r in counts_so_far(spark, str(tmp_path / "live")).collect()} == {("AAAA", 5), ("CCCC", 5)}
+    df.limit(3).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.streams.active[0].processAllAvailable()
+    assert sum(r.cnt for r in counts_so_far(spark, str(tmp_path / "live")).collect()) == 13
     q = live_matches(stream, "NNNNTACGT").select("match.umi").writeStream.format("memory").queryName("matched").start()
     q.processAllAvailable()
-    assert spark.table("matched").count() == 10
+    assert spark.table("matched").count() == 13
     for x in spark.streams.active:
         x.stop()
