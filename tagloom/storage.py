@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +38,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tagloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files go as soon as what reads them is written, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, old) if old is not None else spark.conf.unset(CLEANUP)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts the lineage; the files outlive any executor.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
