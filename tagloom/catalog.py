@@ -508,7 +508,7 @@ def quality_calibration(spark, sf_dir):
 
 
 @_query(_TALLY + """ SELECT CAST(phred AS INT) AS phred, CAST(sum(bases) AS BIGINT) AS bases, CAST(sum(mismatches) AS BIGINT) AS mismatches, round(sum(mismatches) / sum(bases), 6) AS observed, round(pow(10, -phred / 10.0), 6) AS nominal,
- round(coalesce(least(greatest(any_value(slope) * pow(10, -phred / 10.0) + any_value(intercept), 1e-7), 0.75), pow(10, -phred / 10.0)), 6) AS calibrated FROM tally, fit GROUP BY phred""")
+ round(coalesce(least(greatest(any_value(slope) * pow(10, -phred / 10.0), 1e-7), 0.75), pow(10, -phred / 10.0)), 6) AS calibrated FROM tally, fit GROUP BY phred""")
 def calibrated_qualities(spark, sf_dir):
     tallied = written(match.calibration(_raw(spark, sf_dir), LAYOUT, 0), "tally")
     return _rounded(match.calibrated(tallied, match.fit_calibration(tallied)))
@@ -960,6 +960,35 @@ def consensus_warnings(spark, sf_dir):
     return reports.consensus_warnings(_records(spark, sf_dir), consensus.base_usage(_plain(spark, sf_dir)))
 
 
+@_query(_READS + " SELECT sample_id, count(*) AS records FROM reads GROUP BY 1")
+def record_count(spark, sf_dir):
+    return _plain(spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("records"))
+
+
+@_query(_READS + " SELECT src_index, row_number() OVER (ORDER BY cell, umi, src_index) - 1 AS place FROM reads")
+def global_order(spark, sf_dir):
+    return sampling.in_order(reads(spark, sf_dir)).select("src_index", "place")
+
+
+@_query(_RAW + f", m AS (SELECT src_index, seq, {_sql_score(LAYOUT)} >= log2(100) AS ok, list_min(list_transform(range(1, 13), lambda i: ascii(substr(qual, i, 1)) - 33)) AS least FROM raw) SELECT src_index, CASE WHEN NOT ok THEN 'unmatched' WHEN least < 15 THEN 'bad_umi' WHEN length(seq) - 19 < 30 THEN 'short_payload' ELSE 'kept' END AS verdict, CASE WHEN ok THEN substr(seq, 20) ELSE seq END AS payload FROM m")
+def read_verdicts(spark, sf_dir):
+    found = match.verdicts(match.match(_raw(spark, sf_dir), LAYOUT, 0), min_umi_quality=15, min_payload=30)
+    return match.trimmed(found).select("src_index", "verdict", F.col("seq").alias("payload"))
+
+
+SLAVE = "NNNNtACGTac"
+
+
+@_query(_RAW + f""", mates AS (SELECT src_index, seq, qual, concat(substr(seq, 5, 4), CASE WHEN src_index % 7 = 0 THEN 'CCCCCCC' ELSE 'TACGTAC' END, substr(seq, 20)) AS seq2, concat(substr(qual, 5, 4), repeat('I', 7), substr(qual, 20)) AS qual2 FROM raw),
+m AS (SELECT src_index, substr(seq, 1, 12) AS a, substr(seq2, 1, 4) AS b, {_sql_score(LAYOUT)} >= log2(100) AS ok, {_sql_score(SLAVE).replace('(seq,', '(seq2,').replace('(qual,', '(qual2,')} >= log2(100) AS ok2 FROM mates)
+ SELECT src_index, ok AND ok2 AS found, CASE WHEN ok AND ok2 THEN concat(a, b) END AS umi FROM m""")
+def dual_match(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    anchor = F.when(F.col("src_index") % 7 == 0, "CCCCCCC").otherwise("TACGTAC")
+    pairs = raw.withColumns({"seq2": F.concat(F.substring("seq", 5, 4), anchor, F.substring("seq", 20, 99)), "qual2": F.concat(F.substring("qual", 5, 4), F.lit("I" * 7), F.substring("qual", 20, 99))})
+    return match.dual(pairs, LAYOUT, SLAVE, 0).select("src_index", "match.found", "match.umi")
+
+
 @_query()
 def molecule_contigs(spark, sf_dir):
     """Pieces of a payload family, put under one barcode, placed again."""

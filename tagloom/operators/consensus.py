@@ -39,7 +39,7 @@ def capped(reads: DataFrame, keys: tuple[str, ...], cap: int = READ_CAP) -> Data
     return reads.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def _voting(reads: DataFrame, keys: tuple[str, ...], cap: int) -> tuple[DataFrame, DataFrame]:
+def voting(reads: DataFrame, keys: tuple[str, ...], cap: int = READ_CAP) -> tuple[DataFrame, DataFrame]:
     """The reads that vote, and (keys, reads) of the molecules of which some do not."""
     deep = written(reads.groupBy(*keys).agg(F.count("*").alias("reads")).filter(F.col("reads") > cap), "deep")
     if deep.isEmpty():
@@ -140,7 +140,7 @@ def columns(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floo
         letters = pa.array(list(LETTERS[bases].tobytes().decode()), pa.string())
         return which.tolist(), [pa.array(position), letters, pa.array(p), pa.array(votes), pa.array(q)]
 
-    voting, _ = _voting(reads, keys, cap)
+    voting, _ = voting(reads, keys, cap)
     return by_molecule(voting, keys, run, "position int, base string, p_error double, n long, phred int")
 
 
@@ -171,7 +171,7 @@ def _true_depth(found: DataFrame, deep: DataFrame, keys: tuple[str, ...]) -> Dat
 
 def records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, min_reads: int = 1, cap: int = READ_CAP) -> DataFrame:
     """(keys, reads, seq, qual, mean_error, mean_quality): one row per molecule of ``min_reads`` reads or more."""
-    voting, deep = _voting(reads, keys, cap)
+    voting, deep = voting(reads, keys, cap)
     found = _true_depth(by_molecule(voting, keys, _called_records(floor), RECORD), deep, keys)
     return found if min_reads <= 1 else found.filter(F.col("reads") >= min_reads)
 
@@ -198,7 +198,7 @@ def fast(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor:
             out.append((end - start, len(votes), seq.decode(), lift[best].tobytes().decode()))
         return list(range(len(out))), [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
-    voting, deep = _voting(reads, keys, cap)
+    voting, deep = voting(reads, keys, cap)
     return _true_depth(by_molecule(voting, keys, run, "reads long, support long, seq string, qual string"), deep, keys)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import reverse_complement
-from .consensus import FLOOR, LETTERS, PHRED_OFFSET, READ_CAP, _voting, by_molecule, call_columns
+from .consensus import FLOOR, LETTERS, PHRED_OFFSET, READ_CAP, by_molecule, call_columns, voting
 
 WORD = 15
 VOTES = 3
@@ -96,7 +96,7 @@ def contigs(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floo
                 out.append((len(c), k, len(found), *_called(some, marks, c, floor)))
         return which, [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES]
 
-    voting, _ = _voting(reads, keys, cap)
+    voting, _ = voting(reads, keys, cap)
     return by_molecule(voting, keys, run, CONTIG)
 
 
@@ -138,5 +138,5 @@ def merged_mates(pairs: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"),
                         which.append(g)
         return which, [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES]
 
-    voting, _ = _voting(joined, keys, cap)
+    voting, _ = voting(joined, keys, cap)
     return by_molecule(voting, keys, run, CONTIG)

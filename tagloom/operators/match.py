@@ -166,10 +166,13 @@ def fit_calibration(tallied: DataFrame) -> DataFrame:
 
 
 def calibrated(tallied: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(phred, bases, mismatches, observed, nominal, calibrated): each quality with the error that the fit gives it, the nominal one without a fit."""
+    """(phred, bases, mismatches, observed, nominal, calibrated): each quality with the error that the fit gives it, the nominal one without a fit.
+
+    The fit's intercept is the primer's own defects, so only its slope applies to reads.
+    """
     per = tallied.groupBy("phred").agg(F.sum("bases").alias("bases"), F.sum("mismatches").alias("mismatches"))
     nominal = F.pow(F.lit(10.0), -F.col("phred") / 10)
-    line = F.least(F.greatest(F.col("slope") * nominal + F.col("intercept"), F.lit(1e-7)), F.lit(0.75))
+    line = F.least(F.greatest(F.col("slope") * nominal, F.lit(1e-7)), F.lit(0.75))
     one = per.withColumn("_one", F.lit(1)).join(fitted.withColumn("_one", F.lit(1)), "_one")
     return one.select("phred", "bases", "mismatches", (F.col("mismatches") / F.col("bases")).alias("observed"), nominal.alias("nominal"), F.coalesce(line, nominal).alias("calibrated"))
 

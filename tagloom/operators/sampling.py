@@ -54,6 +54,18 @@ def kept_statistics(reads: DataFrame, key: str = "umi", examples: int = 5) -> Da
     return sums.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def in_order(reads: DataFrame) -> DataFrame:
+    """``reads`` with place, from 0 in the order of cell, barcode and src_index: ranks within a cell's barcode prefixes, after the reads of those before."""
+    rows = reads.withColumn("_p", F.substring("umi", 1, 3))
+    sizes = rows.groupBy("cell", "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    cells = sizes.groupBy("cell").agg(F.sum("_n").alias("_n")).select("cell", F.coalesce(F.sum("_n").over(earlier.partitionBy(F.lit(0)).orderBy("cell")), F.lit(0)).alias("_c"))  # a row per cell
+    inner = F.coalesce(F.sum("_n").over(earlier.partitionBy("cell").orderBy("_p")), F.lit(0))
+    offsets = sizes.withColumn("_b", inner).join(cells, "cell").select("cell", "_p", (F.col("_b") + F.col("_c")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("cell", "_p").orderBy("umi", "src_index")) - 1
+    return rows.withColumn("_in", inside).join(offsets, ["cell", "_p"]).withColumn("place", (F.col("_before") + F.col("_in")).cast("long")).drop("_p", "_in", "_before")
+
+
 def hash_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """A sample of n rows: those with the least hashes of their keys, so the same whatever the partitioning."""
     return rows.orderBy(F.xxhash64(*keys), *keys).limit(n)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import BASES
 from ..storage import written
-from .consensus import capped, records
+from .consensus import records, voting
 
 MIN_SPLIT_READS = 6
 MIN_MINOR = 2
@@ -84,7 +84,7 @@ def linked(reads: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFram
 
 def molecules(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), threshold: float = THRESHOLD) -> DataFrame:
     """``reads``, as far as they vote, with molecule (1, or 2 for the smaller part) and linkage."""
-    reads = capped(reads, keys)
+    reads, _ = voting(reads, keys)
     marked, best = linked(reads, keys)
     chosen = best.filter(F.col("score") > threshold)
     bits = marked.join(chosen, list(keys)).groupBy(*keys, "src_index").agg(F.count_if(F.col("col") == F.col("x")).alias("_x"), F.count_if(F.col("col") == F.col("y")).alias("_y"), F.first("flip").alias("_flip"))
