@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, scratch
+from .common import discard, scratch, tidy
 
 CONTEXT_BITS = 22
 CONTEXTS = 1 << CONTEXT_BITS
@@ -80,18 +80,21 @@ class Chunk:
         self.train.append(train)
         self.bytes += len(text) + 64
 
-    def pairs(self) -> tuple:
-        """(word hashes, contexts, training counts) of the distinct pairs, and each token's pair."""
+    def pairs(self, buckets: int) -> tuple:
+        """(word hashes, contexts, training counts) of the distinct pairs, by bucket, word and context, and each token's pair."""
         import xxhash
 
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        order = np.lexsort((hashes, hashes % np.uint64(buckets)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))  # words by bucket, so that sorting pairs deals them out
         contexts = context_of(hashes)
         flat, sizes = np.concatenate(self.flat), np.array(self.sizes)
         before = np.r_[0, contexts[flat[:-1]]]
         before[np.cumsum(sizes) - sizes] = 0
-        pairs, at = np.unique(before * len(hashes) + flat, return_inverse=True)
+        pairs, at = np.unique(rank[flat] << CONTEXT_BITS | before, return_inverse=True)
         counts = np.bincount(at[np.repeat(self.train, sizes)], minlength=len(pairs))
-        return hashes[pairs % len(hashes)], (pairs // len(hashes)).astype(np.int32), counts, at
+        return hashes[order][pairs >> CONTEXT_BITS], (pairs & (CONTEXTS - 1)).astype(np.int32), counts, at
 
 
 def context_of(hashes: np.ndarray) -> np.ndarray:
@@ -100,7 +103,16 @@ def context_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+    """Compressed, as shuffles write them."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _array(x: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
 def _starts(words: np.ndarray) -> np.ndarray:
@@ -117,22 +129,16 @@ def _chunks(docs: DataFrame, train: Column, id_col: str, text_col: str, buckets:
     schema = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))))
 
     def told(chunk: Chunk, number: int) -> Iterator[pa.RecordBatch]:
-        words, contexts, counts, at = chunk.pairs()
-        home = (words % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((contexts, words, home))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))  # pairs are numbered by bucket, in the order sent
-        ends = np.cumsum(np.bincount(home, minlength=buckets))
+        words, contexts, counts, at = chunk.pairs(buckets)
+        ends = np.cumsum(np.bincount((words % np.uint64(buckets)).astype(np.int64), minlength=buckets))
         rows = []
         for b, (start, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
             if start < end:
-                o = order[start:end]
-                first = _starts(words[o])
-                runs = np.diff(np.r_[first, len(o)]).astype(np.int32)
-                rows.append(("pairs", number, b, _bytes(words[o][first]), _bytes(runs), _bytes(contexts[o]), _bytes(counts[o].astype(np.int32)), None, None))
+                first = _starts(words[start:end])
+                runs = np.diff(np.r_[first, end - start]).astype(np.int32)
+                rows.append(("pairs", number, b, _bytes(words[start:end][first]), _bytes(runs), _bytes(contexts[start:end]), _bytes(counts[start:end].astype(np.int32)), None, None))
         sizes = np.array(chunk.sizes)
-        at = place[at]
-        at = at[np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))]
+        at = np.sort(np.repeat(np.arange(len(sizes)) << 32, sizes) | at) & ((1 << 32) - 1)
         steps = np.diff(at, prepend=0)
         first = np.cumsum(sizes) - sizes
         steps[first] = at[first]
@@ -260,8 +266,8 @@ class Bucket:
     def read(cls, row: dict) -> Bucket:
         self = cls.__new__(cls)
         for name, kind in SEATED.items():
-            setattr(self, name, np.frombuffer(row[name], kind))
-        self.number, self.kept = row["bucket"], [np.frombuffer(x, np.int32) for x in row["kept"]]
+            setattr(self, name, _array(row[name], kind))
+        self.number, self.kept = row["bucket"], [_array(x, np.int32) for x in row["kept"]]
         self._indexed()
         return self
 
@@ -324,7 +330,7 @@ def _counted(pairs: DataFrame) -> DataFrame:
         parts = []
         for batch in batches:
             for chunk, words, runs, contexts, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
-                parts.append((chunk, np.frombuffer(words, np.uint64), np.frombuffer(runs, np.int32), np.frombuffer(contexts, np.int32), np.frombuffer(counts, np.int32)))
+                parts.append((chunk, _array(words, np.uint64), _array(runs, np.int32), _array(contexts, np.int32), _array(counts, np.int32)))
         words = np.unique(np.concatenate([p[1] for p in parts]))
 
         def codes(part: tuple) -> np.ndarray:
@@ -369,18 +375,18 @@ def _summed_up(sums: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             for at, n in zip(*(batch.column(i).to_pylist() for i in (2, 3))):
                 if at is None:
-                    alone += np.frombuffer(n, np.int64)
+                    alone += _array(n, np.int64)
                 else:
-                    total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int32)
-        n = (alone if key[1].as_py() < 0 else total).tobytes()
+                    total[_array(at, np.uint16)] += _array(n, np.int32)
+        n = _bytes(alone if key[1].as_py() < 0 else total)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([n])], ["name", "block", "n"])
 
     out: dict[str, np.ndarray] = {}
     for row in sums.select("name", "block", "at", "n").groupBy("name", "block").applyInArrow(_grouped(run), "name string, block int, n binary").toLocalIterator():
         if row.block < 0:
-            out[row["name"]] = np.frombuffer(row.n, np.int64)
+            out[row["name"]] = _array(row.n, np.int64)
         else:
-            out.setdefault(row["name"], np.zeros(CONTEXTS, np.int32))[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = np.frombuffer(row.n, np.int32)
+            out.setdefault(row["name"], np.zeros(CONTEXTS, np.int32))[row.block << BLOCK_BITS : (row.block + 1) << BLOCK_BITS] = _array(row.n, np.int32)
     return out
 
 
@@ -410,8 +416,8 @@ def _answered(fixed: DataFrame, state: DataFrame, kept_totals: list[Totals]) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                runs, c, n = (np.frombuffer(row[a], FIXED[a]) for a in ("runs", "contexts", "counts"))
-                own, above = np.frombuffer(row["own"], np.int32), [np.frombuffer(x, np.int32) for x in row["kept"]]
+                runs, c, n = (_array(row[a], FIXED[a]) for a in ("runs", "contexts", "counts"))
+                own, above = _array(row["own"], np.int32), [_array(x, np.int32) for x in row["kept"]]
                 word_of = np.repeat(np.arange(len(runs)), runs)
                 counts = np.bincount(word_of, n, len(runs)).astype(np.int32)
                 mine = np.where(n > 0, n - kept[0].discounts[0], 0.0)
@@ -423,7 +429,7 @@ def _answered(fixed: DataFrame, state: DataFrame, kept_totals: list[Totals]) ->
                     p += (mine + (STRENGTH[0] + k.discounts[0] * k.tables[c]) * shared[word_of]) / (STRENGTH[0] + customers[c])
                 score = np.log10(p / len(kept)).astype(np.float32)
                 for chunk, places in zip(row["chunks"], row["places"]):
-                    at = np.cumsum(np.frombuffer(places, np.int32))
+                    at = np.cumsum(_array(places, np.int32))
                     words = word_of[at]
                     first = _starts(words)
                     told = (chunk, row["bucket"], _bytes(counts[words[first]]), _bytes(np.diff(np.r_[first, len(at)]).astype(np.int32)), _bytes(score[at]))
@@ -443,12 +449,12 @@ def _scored(chunk_docs: DataFrame, answers: DataFrame, t: Totals) -> DataFrame:
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         parts = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        counts = np.concatenate([np.repeat(np.frombuffer(r["counts"], np.int32), np.frombuffer(r["runs"], np.int32)) for r in parts])
-        score = np.concatenate([np.frombuffer(r["score"], np.float32) for r in parts])
+        counts = np.concatenate([np.repeat(_array(r["counts"], np.int32), _array(r["runs"], np.int32)) for r in parts])
+        score = np.concatenate([_array(r["score"], np.float32) for r in parts])
         known, base = (counts > 0).astype(np.int64), np.log10((counts + 1.0) / (tokens + words + 1))
         tables = []
         for row in docs.to_pylist():
-            steps, sizes = np.frombuffer(row["words"], np.int32), np.array(row["sizes"], np.int64)
+            steps, sizes = _array(row["words"], np.int32), np.array(row["sizes"], np.int64)
             first = np.cumsum(sizes) - sizes
             run_to = np.cumsum(steps, dtype=np.int64)
             at = run_to - np.repeat(run_to[first] - steps[first], sizes)
@@ -459,17 +465,11 @@ def _scored(chunk_docs: DataFrame, answers: DataFrame, t: Totals) -> DataFrame:
     return chunk_docs.select("chunk", "words", "ids", "sizes").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def _write(df: DataFrame, name: str, spark: SparkSession) -> str:
-    """The path of ``df`` written by kind; its shuffle files go as soon as it is written."""
-    path, old = scratch(spark, name), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, old) if old is not None else spark.conf.unset(CLEANUP)
+    """The path of ``df`` written by kind."""
+    path = scratch(spark, name)
+    with tidy(spark):
+        df.write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
     return path
 
 
@@ -493,7 +493,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         at = _write(_swept(kind(old, "state", STATE), sent, number, keep), "state", spark)
         totals = _totals(_summed_up(kind(at, "sums", STATE)), totals, dishes)
         kept_totals += [totals] * keep
-        discard(spark, f"{old}/kind=state")
+        discard(spark, f"{old}/kind=state", f"{old}/kind=sums")
         sent.destroy()
-    done = _scored(kind(path, "docs", CHUNKS), _answered(kind(once, "fixed", STATE), kind(at, "state", STATE), kept_totals), totals)
+    told = _write(_answered(kind(once, "fixed", STATE), kind(at, "state", STATE), kept_totals).withColumn("kind", F.lit("answers")), "answers", spark)
+    discard(spark, once, at)
+    done = _scored(kind(path, "docs", CHUNKS), spark.read.schema(ANSWERS).parquet(told), totals)
     return done.withColumn("train_tokens", F.lit(totals.tokens).cast("long"))

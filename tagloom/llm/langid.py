@@ -41,6 +41,7 @@ BITS = 13
 FEATURES = 1 << BITS
 PER_LANG = 600
 PER_FAMILY = 1200
+SPREAD = 256  # rows of the sample spread out at once
 
 #: Families by ISO 639-1 code.
 FAMILY = {
@@ -53,23 +54,29 @@ _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 
 
-def features(text: str, out: np.ndarray) -> None:
-    """Add the square-rooted, scaled n-gram counts of a whole text to the zeroed row ``out``."""
+def counted(text: str) -> np.ndarray:
+    """How often a whole text has n-grams of each bin."""
     a = _KEEP[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)].astype(np.uint32)
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
     a = a[keep]
     two = a[:-1] * np.uint32(257) + a[1:]
     three = two[:-1] * np.uint32(257) + a[2:]
+    out = np.zeros(FEATURES, np.int64)
     for n, grams in enumerate((a, two, three)):
         bins = ((grams + np.uint32(n * 7919)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
         out += np.bincount(bins, minlength=FEATURES)
-    np.sqrt(out, out)
-    out /= np.linalg.norm(out) or 1.0
+    return out
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Square roots of counts, scaled to length one."""
+    out = np.sqrt(counts)
+    return out / (np.linalg.norm(out) or 1.0)
 
 
 class Rows:
-    """Rows of features, only the bins that are not empty: (bins, values) each."""
+    """Rows of features, only the bins that are not empty: (bins, counts) each."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.rows = rows
@@ -79,8 +86,26 @@ class Rows:
         out = np.zeros((len(some), FEATURES + 1))
         out[:, -1] = 1
         for one, i in zip(out, some.tolist()):
-            bins, values = self.rows[i]
-            one[bins] = values
+            bins, counts = self.rows[i]
+            one[bins] = scaled(counts)
+        return out
+
+    def products(self, some: np.ndarray) -> np.ndarray:
+        """Inner products of rows, spread out ``SPREAD`` at a time."""
+        pieces = np.split(np.arange(len(some)), range(SPREAD, len(some), SPREAD))
+        out = np.empty((len(some), len(some)))
+        for i, p in enumerate(pieces):
+            one = self.spread(some[p])
+            for q in pieces[i:]:
+                part = one @ (one if q is p else self.spread(some[q])).T
+                out[np.ix_(p, q)], out[np.ix_(q, p)] = part, part.T
+        return out
+
+    def combined(self, some: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """The sum of rows, each as often as ``parts`` says."""
+        out = np.zeros(FEATURES + 1)
+        for at in range(0, len(some), SPREAD):
+            out += parts[at : at + SPREAD] @ self.spread(some[at : at + SPREAD])
         return out
 
 
@@ -106,8 +131,7 @@ class Hierarchy:
         out = np.zeros((len(pairs), FEATURES + 1))
         for i, (a, b) in enumerate(pairs):
             some = rows[(y[rows] == a) | (y[rows] == b)]
-            one = x.spread(some)
-            out[i] = svm(one @ one.T, np.where(y[some] == a, 1.0, -1.0)) @ one
+            out[i] = x.combined(some, svm(x.products(some), np.where(y[some] == a, 1.0, -1.0)))
         return out
 
     @staticmethod
@@ -144,22 +168,22 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     share = F.coalesce(*[F.when(F.col(lang_col) == r.l, F.lit(per_lang / r["count"])) for r in known])
     chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
     chosen = chosen.select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t")).filter(F.col("t").rlike(r"\p{L}"))
-    sample = chosen.mapInArrow(_counted, "l string, bins binary, counts binary").orderBy("l", F.xxhash64("bins", "counts")).limit(2 * per_lang * len(known)).collect()
-    if not sample:
+    sample = chosen.mapInArrow(_sampled, "l string, bins binary, counts binary").orderBy("l", F.xxhash64("bins", "counts")).limit(2 * per_lang * len(known)).toArrow()
+    if not sample.num_rows:
         return None
-    return Hierarchy(Rows([(np.frombuffer(r.bins, np.uint16), np.frombuffer(r.counts, np.float64)) for r in sample]), [r.l for r in sample])
+    bins, counts = sample.column("bins").to_pylist(), sample.column("counts").to_pylist()
+    return Hierarchy(Rows([(np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint32)) for b, c in zip(bins, counts)]), sample.column("l").to_pylist())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, bins, counts) of (language, whole text): the bins that are not empty."""
     for batch in batches:
         bins, counts = [], []
         for text in batch.column(1):
-            one = np.zeros(FEATURES)
-            features(text.as_py(), one)
+            one = counted(text.as_py())
             some = np.flatnonzero(one)
             bins.append(some.astype(np.uint16).tobytes())
-            counts.append(one[some].tobytes())
+            counts.append(one[some].astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], ["l", "bins", "counts"])
 
 
@@ -187,9 +211,9 @@ def _identified(docs: DataFrame, model: Hierarchy | None, id_col: str, text_col:
                 part = batch.slice(at, 256)
                 texts = part.column(0).to_pylist()
                 x = np.zeros((len(texts), FEATURES))
-                for row, text in zip(x, texts):
+                for i, text in enumerate(texts):
                     if text is not None and model is not None:
-                        features(text, row)
+                        x[i] = scaled(counted(text))
                 langs, scores = model.predict(x) if model is not None else ([None] * len(texts), np.zeros(len(texts)))
                 langs = ["und" if t is None or model is None else lang for t, lang in zip(texts, langs)]
                 scores = np.where([lang == "und" for lang in langs], 0.0, scores)

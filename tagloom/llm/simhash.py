@@ -183,7 +183,7 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int = LINK_BITS) -> np.ndarray:
 
 
 def _walk(fps: np.ndarray, bits: int = LINK_BITS) -> list[tuple[int, int]]:
-    """Spanning forest of the links among fingerprints, breadth first."""
+    """Spanning forest of the links among fingerprints, breadth first from the first: in order of ids, groups agree on where to begin."""
     left, links = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -238,7 +238,7 @@ def _met(keyed: DataFrame, columns: int, bits: int) -> DataFrame:
         if held:
             yield found(held, held[-1].num_rows)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(verify, "a long, b long").distinct()
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -350,6 +350,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     return _spread(marked, classes.join(least, "root"), "component_id").select("doc_id", "fp", "component_id")
 
 
+def _joined(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(id, root): components of the ``edges`` whose texts are alike.
+
+    Each text is compared with its smallest candidate first, then only candidates that
+    this has not joined: many candidates within a group of copies cost no comparison.
+    """
+    first = written(alike(edges.groupBy("a").agg(F.min("b").alias("b")), sets, least), "alike")
+    roots = written(components(first), "roots")
+    at = {x: roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in ("a", "b")}
+    apart = edges.join(at["a"], "a", "left").join(at["b"], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    apart = apart.join(edges.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")  # those have failed
+    return components(first.unionByName(written(alike(apart.select("a", "b"), sets, least), "alike")))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near copies: that with the smallest doc_id, of those the one whose text's hash is least.
 
@@ -369,7 +383,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     ends = edges.select(F.col("a").alias("k0")).unionByName(edges.select(F.col("b").alias("k0"))).distinct()
     texts = keyed.select("k0", "text").join(ends, "k0", "left_semi").groupBy("k0").agg(F.first("text").alias("text"))
     sets = written(shingle_sets(texts.select(F.col("k0").alias("id"), "text"), words), "shingles")
-    roots = components(alike(edges, sets, least))
+    roots = _joined(edges, sets, least)
     best = nodes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("m").alias("m")).select("m.doc_id", "m.k0", "m.k1")
     repeated = marked.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"))
     stays = (F.col("_b.doc_id").eqNullSafe(F.col("_r.doc_id"))) & (F.col("_b.k0") == F.col("_r.k0")) & (F.col("_b.k1") == F.col("_r.k1"))

@@ -49,7 +49,7 @@ REMEMBERED = 200_000  # pieces of text in a worker, and twice as many words
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters at which Python's split parts words but the tokenizers' white space does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Such pieces in Latin-1, whose letters no normal form changes.
+#: Such pieces in Latin-1, whose letters NFC leaves as they are.
 PLAIN_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*$#|]*)")
 
 
@@ -120,7 +120,7 @@ def checked(tokenizer) -> tuple[bool, bool]:
     drops = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and r"[^\s" in pre[0]["pattern"].get("Regex", "")
     added = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"])) for t in d["added_tokens"])
     prefix = any(p.get("add_prefix_space") for p in pre)
-    by_piece = bool(drops and added and not prefix and set(norm) <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"} and not d.get("truncation") and not d.get("padding"))
+    by_piece = bool(drops and added and not prefix and set(norm) <= {"NFC", "Lowercase", "Replace"} and not d.get("truncation") and not d.get("padding"))
     return by_piece, by_piece and pre[0]["pattern"]["Regex"] == WORD_PATTERN and "Lowercase" in norm and [p["type"] for p in pre] == ["Split", "ByteLevel"]
 
 

@@ -8,6 +8,7 @@ RULES = [*URL_RULES, ("block", "a.example.net", "/en/x"), ("allow", "a.example.n
 URLS = [
     None, "", "no scheme", "http://", "http://net", "http://net/", "HTTP://EXAMPLE.NET/en/1?x#y", "http://b.example.net/en", "http://b.example.net/en/", "http://a.example.net/en/xyz", "http://a.example.net/en/y",
     "http://notexample.net/en/", "http://x.org/any/1", "http://same.org/q", "http://p.org/b/cd/e", "http://p.org/b/c", "http://p.org/b/cde", "http://fr.org/fr/?a", "http://x.com?q=/a", "ftp://Ä.NET/x", "a://b://c/d", "http://example.com/de/\n2", "http://user@net:80/",
+    "http://" + "a." * 5_000 + "example.net/en/" + "x/" * 50_000 + "?" + "q" * 200_000, "http://" + "b" * 100_000 + ".net/",
 ]
 
 
