@@ -140,8 +140,8 @@ def columns(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floo
         letters = pa.array(list(LETTERS[bases].tobytes().decode()), pa.string())
         return which.tolist(), [pa.array(position), letters, pa.array(p), pa.array(votes), pa.array(q)]
 
-    voting, _ = voting(reads, keys, cap)
-    return by_molecule(voting, keys, run, "position int, base string, p_error double, n long, phred int")
+    votes, _ = voting(reads, keys, cap)
+    return by_molecule(votes, keys, run, "position int, base string, p_error double, n long, phred int")
 
 
 RECORD = "reads long, seq string, qual string, mean_error double, mean_quality double"
@@ -171,8 +171,8 @@ def _true_depth(found: DataFrame, deep: DataFrame, keys: tuple[str, ...]) -> Dat
 
 def records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, min_reads: int = 1, cap: int = READ_CAP) -> DataFrame:
     """(keys, reads, seq, qual, mean_error, mean_quality): one row per molecule of ``min_reads`` reads or more."""
-    voting, deep = voting(reads, keys, cap)
-    found = _true_depth(by_molecule(voting, keys, _called_records(floor), RECORD), deep, keys)
+    votes, deep = voting(reads, keys, cap)
+    found = _true_depth(by_molecule(votes, keys, _called_records(floor), RECORD), deep, keys)
     return found if min_reads <= 1 else found.filter(F.col("reads") >= min_reads)
 
 
@@ -198,8 +198,8 @@ def fast(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor:
             out.append((end - start, len(votes), seq.decode(), lift[best].tobytes().decode()))
         return list(range(len(out))), [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
-    voting, deep = voting(reads, keys, cap)
-    return _true_depth(by_molecule(voting, keys, run, "reads long, support long, seq string, qual string"), deep, keys)
+    votes, deep = voting(reads, keys, cap)
+    return _true_depth(by_molecule(votes, keys, run, "reads long, support long, seq string, qual string"), deep, keys)
 
 
 def quality_grid(consensus: DataFrame) -> DataFrame:

@@ -96,8 +96,8 @@ def contigs(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floo
                 out.append((len(c), k, len(found), *_called(some, marks, c, floor)))
         return which, [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES]
 
-    voting, _ = voting(reads, keys, cap)
-    return by_molecule(voting, keys, run, CONTIG)
+    votes, _ = voting(reads, keys, cap)
+    return by_molecule(votes, keys, run, CONTIG)
 
 
 def merge_offset(firsts: list[bytes], seconds: list[bytes]) -> int | None:
@@ -138,5 +138,5 @@ def merged_mates(pairs: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"),
                         which.append(g)
         return which, [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES]
 
-    voting, _ = voting(joined, keys, cap)
-    return by_molecule(voting, keys, run, CONTIG)
+    votes, _ = voting(joined, keys, cap)
+    return by_molecule(votes, keys, run, CONTIG)
