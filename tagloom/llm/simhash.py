@@ -183,7 +183,7 @@ def _near(a: np.ndarray, b: np.ndarray, bits: int = LINK_BITS) -> np.ndarray:
 
 
 def _walk(fps: np.ndarray, bits: int = LINK_BITS) -> list[tuple[int, int]]:
-    """Spanning forest of the links among fingerprints, breadth first from the first: in order of ids, groups agree on where to begin."""
+    """Spanning forest of the links among fingerprints, breadth first from the first."""
     left, links = np.arange(len(fps)), []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -197,8 +197,14 @@ def _walk(fps: np.ndarray, bits: int = LINK_BITS) -> list[tuple[int, int]]:
     return links
 
 
+def _central(fps: np.ndarray) -> np.ndarray:
+    """Rows by their distance from the majority of all rows' bits: first what most others are copies of."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    return np.argsort((bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(fps))).sum(axis=1), kind="stable")
+
+
 def group_links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bits: int = LINK_BITS) -> np.ndarray:
-    """Links (id, smaller id) among rows with equal keys; ``keys`` is sorted."""
+    """Links (id, smaller id) among rows with equal keys; ``keys`` is sorted. Large groups are walked from their middle."""
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[start, len(keys)])
     small, links = np.repeat(sizes <= PAIRED, sizes), []
@@ -207,8 +213,9 @@ def group_links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bits: int =
         i = i[_near(fps[i], fps[i + gap], bits)]
         links.append(np.stack([ids[i], ids[i + gap]], axis=1))
     for s, n in zip(start[sizes > PAIRED], sizes[sizes > PAIRED]):
-        if pairs := _walk(fps[s : s + n], bits):
-            links.append(ids[s + np.array(pairs)])
+        order = s + _central(fps[s : s + n])
+        if pairs := _walk(fps[order], bits):
+            links.append(ids[order[np.array(pairs)]])
     out = np.concatenate(links) if links else np.empty((0, 2), np.int64)
     out = out[out[:, 0] != out[:, 1]]
     return np.unique(np.stack([out.max(axis=1), out.min(axis=1)], axis=1), axis=0)
@@ -350,17 +357,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     return _spread(marked, classes.join(least, "root"), "component_id").select("doc_id", "fp", "component_id")
 
 
-def _joined(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _joined(nodes: DataFrame, edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(id, root): components of the ``edges`` whose texts are alike.
 
-    Each text is compared with its smallest candidate first, then only candidates that
-    this has not joined: many candidates within a group of copies cost no comparison.
+    Each text is compared with its nearest candidate by the fingerprints first, then only
+    with candidates that this has not joined: the many within a group of copies cost no comparison.
     """
-    first = written(alike(edges.groupBy("a").agg(F.min("b").alias("b")), sets, least), "alike")
+    fps = {x: nodes.select(F.col("id").alias(x), F.col("fp").alias(f"{x}0"), F.col("fp1").alias(f"{x}1")) for x in ("a", "b")}
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    far = written(edges.join(fps["a"], "a").join(fps["b"], "b").select("a", "b", differ.alias("d")), "distances")
+    ways = far.select(F.col("a").alias("x"), F.struct("d", F.col("b").alias("y")).alias("n")).unionByName(far.select(F.col("b").alias("x"), F.struct("d", F.col("a").alias("y")).alias("n")))
+    tried = ways.groupBy("x").agg(F.min("n").alias("n")).select(F.greatest("x", "n.y").alias("a"), F.least("x", "n.y").alias("b")).distinct()
+    tried = written(tried, "nearest")
+    first = written(alike(tried, sets, least), "alike")
     roots = written(components(first), "roots")
     at = {x: roots.select(F.col("id").alias(x), F.col("root").alias(f"_{x}")) for x in ("a", "b")}
     apart = edges.join(at["a"], "a", "left").join(at["b"], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    apart = apart.join(edges.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti")  # those have failed
+    apart = apart.join(tried, ["a", "b"], "left_anti")  # those have failed
     return components(first.unionByName(written(alike(apart.select("a", "b"), sets, least), "alike")))
 
 
@@ -383,7 +396,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     ends = edges.select(F.col("a").alias("k0")).unionByName(edges.select(F.col("b").alias("k0"))).distinct()
     texts = keyed.select("k0", "text").join(ends, "k0", "left_semi").groupBy("k0").agg(F.first("text").alias("text"))
     sets = written(shingle_sets(texts.select(F.col("k0").alias("id"), "text"), words), "shingles")
-    roots = _joined(edges, sets, least)
+    roots = _joined(nodes, edges, sets, least)
     best = nodes.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("m").alias("m")).select("m.doc_id", "m.k0", "m.k1")
     repeated = marked.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"))
     stays = (F.col("_b.doc_id").eqNullSafe(F.col("_r.doc_id"))) & (F.col("_b.k0") == F.col("_r.k0")) & (F.col("_b.k1") == F.col("_r.k1"))

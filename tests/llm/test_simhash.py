@@ -156,3 +156,19 @@ def test_recall_of_near_copies_by_similarity(spark):
     for low, high, least in ((0.8, 0.86, 0.85), (0.86, 0.92, 0.95), (0.92, 1.01, 0.98)):
         some = [b not in kept for j, _, b in pairs if low <= j < high]
         assert len(some) > 60 and sum(some) >= least * len(some), (low, sum(some), len(some))
+
+
+def test_copies_of_one_text_that_are_less_like_each_other(spark):
+    """A hundred texts at 0.86 to 0.9 from one base, and at about 0.77 from each other: the base joins them all."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(5000)}" for _ in range(400)]
+    made = [(500, " ".join(base))]
+    for i in range(100):
+        other = list(base)
+        for at in draw.sample(range(400), 5):
+            other[at] = f"x{draw.randrange(5000)}"
+        made.append((i, " ".join(other)))
+    assert sum(jaccard(made[i][1], made[i + 1][1]) < 0.8 for i in range(1, 100)) > 50
+    assert all(jaccard(made[0][1], t) >= 0.8 for _, t in made)
+    kept = {r.doc_id for r in one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert len(kept) <= 5
