@@ -225,4 +225,5 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col:
 def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs``, its own columns only, laid out in the mixture's order: by partition, and sorted in each."""
     placed, _ = _placed(docs, weights, source_col, block_rows, FRAME, STEP)
+    placed = written(placed, "placed")  # ranges are found by a pass of their own, and the ranks' shuffle goes first
     return placed.repartitionByRange("slot", "slot_row").sortWithinPartitions("slot", "slot_row").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
