@@ -36,5 +36,30 @@ QUALIFY row_number() OVER w <= 10
 """
 
 
+#: Every document's score for every item, term by term.
+OP11 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), docs AS (
+  SELECT d, doc_id, terms, len(terms) AS n, count(*) OVER () AS docs, CAST(sum(len(terms)) OVER () AS BIGINT) AS total FROM t WHERE len(terms) > 0
+), tf AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf JOIN docs USING (d) GROUP BY term
+), q AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL
+), scored AS (
+  SELECT item_id, q.text, doc_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // total))))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN docs USING (d) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER r AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 WINDOW r AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER r <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3, "op10_url_filter": OP10}
+    return {"op3_exact_topk": OP3, "op10_url_filter": OP10, "op11_block_max": OP11}

@@ -86,5 +86,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_hpylm, op3_exact_topk, op4_language_id, op5_toxicity, op6_simhash, op7_quality, op8_decontaminate, op9_token_files, op10_url_filter)}
+    numbered = (
+        op1_mix_sources, op2_hpylm, op3_exact_topk, op4_language_id, op5_toxicity, op6_simhash, op7_quality, op8_decontaminate, op9_token_files, op10_url_filter,
+        op11_block_max, op12_spelling_variants, op13_jaccard_join,
+    )
+    return {f.__name__: f for f in numbered}
