@@ -61,5 +61,65 @@ QUALIFY row_number() OVER r <= 10
 """
 
 
+#: CRC-32 byte by byte; near words by their deletions and by letters left open; forms followed by recursion.
+OP12 = r"""
+WITH RECURSIVE steps AS (
+  SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR i IN range(256)] AS crc
+), runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), bytes AS (
+  SELECT run, n, [4294967295] || flatten([CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END FOR c IN string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, '')]) AS b
+  FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, crc[1 + CAST(xor(c, x) & 255 AS BIGINT)])), 4294967295) AS h FROM bytes, steps
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, max(m) AS m, first(near ORDER BY m DESC, near) AS near FROM near GROUP BY word
+), forms AS (
+  SELECT word, near AS form, m AS form_n FROM best WHERE m >= 10 * n
+), chain(word, root) AS (
+  SELECT word, form FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word
+), roots AS (
+  SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms)
+)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+"""
+
+
+#: All pairs of documents that share a shingle; components by the smallest doc_id that links reach.
+OP13 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) END AS shingles
+  FROM w
+), one AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id FROM s LEFT JOIN least USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3, "op10_url_filter": OP10, "op11_block_max": OP11}
+    return {"op3_exact_topk": OP3, "op10_url_filter": OP10, "op11_block_max": OP11, "op12_spelling_variants": OP12, "op13_jaccard_join": OP13}
