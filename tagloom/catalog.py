@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases as B
-from .operators import analysis, barcodes, cells, consensus, contigs, correction, match, neighbours, qc, reports, sampling, split, studies, tables
+from .operators import analysis, barcodes, cells, consensus, contigs, correction, match, neighbours, nulls, qc, reports, sampling, split, studies, tables
 from .plans import layout
 from .sources.derived import READS_SQL, reads
 from .storage import written
@@ -697,11 +697,47 @@ def minor_columns(spark, sf_dir):
     return split.minor_columns(reads(spark, sf_dir).withColumn("clone", F.substring("seq", 17, 16)), ("clone",))
 
 
-@_query()
+#: Reads of several orders under one barcode; linked columns by a hypergeometric sum over log gammas.
+_LINKED = _READS + """, r AS (SELECT src_index, sample_id, substr(umi_true, 1, 5) AS umi, seq, qual FROM reads), n AS (SELECT sample_id, umi, count(*) AS n FROM r GROUP BY 1, 2),
+p AS (SELECT sample_id, umi, src_index, i AS position, substr(seq, i, 1) AS b FROM (SELECT *, unnest(range(1, 33)) AS i FROM r JOIN n USING (sample_id, umi) WHERE n >= 6)),
+k AS (SELECT sample_id, umi, position, count(*) FILTER (b = 'A') AS a, count(*) FILTER (b = 'C') AS c, count(*) FILTER (b = 'G') AS g, count(*) FILTER (b = 'T') AS t FROM p GROUP BY 1, 2, 3),
+mm AS (SELECT sample_id, umi, position, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS major, a + c + g + t - greatest(a, c, g, t) AS minor, a + c + g + t AS called FROM k),
+cols AS (SELECT *, row_number() OVER (PARTITION BY sample_id, umi ORDER BY minor DESC, position) AS col FROM mm WHERE minor >= 2 AND 2 * minor <= called QUALIFY col <= 8),
+marks AS (SELECT sample_id, umi, src_index, col FROM p JOIN cols USING (sample_id, umi, position) WHERE b <> major),
+both_ AS (SELECT x.sample_id, x.umi, x.col AS x, y.col AS y, count(*) AS c FROM marks x JOIN marks y USING (sample_id, umi, src_index) WHERE x.col < y.col GROUP BY ALL),
+pairs AS (SELECT x.sample_id, x.umi, x.col AS x, y.col AS y, x.minor AS a, y.minor AS b, coalesce(c, 0) AS c, n, count(*) OVER (PARTITION BY x.sample_id, x.umi) AS tried FROM cols x JOIN cols y USING (sample_id, umi) JOIN n USING (sample_id, umi) LEFT JOIN both_ ON both_.sample_id = x.sample_id AND both_.umi = x.umi AND both_.x = x.col AND both_.y = y.col WHERE x.col < y.col),
+tails AS (SELECT *, CASE WHEN c >= 2 THEN -log10(list_sum([exp(lgamma(b + 1) - lgamma(i + 1) - lgamma(b - i + 1) + lgamma(n - b + 1) - lgamma(a - i + 1) - lgamma(n - b - a + i + 1) - lgamma(n + 1) + lgamma(a + 1) + lgamma(n - a + 1)) FOR i IN range(c, least(a, b) + 1) IF a - i <= n - b])) ELSE 0 END AS same,
+  CASE WHEN a - c >= 2 THEN -log10(list_sum([exp(lgamma(n - b + 1) - lgamma(i + 1) - lgamma(n - b - i + 1) + lgamma(b + 1) - lgamma(a - i + 1) - lgamma(b - a + i + 1) - lgamma(n + 1) + lgamma(a + 1) + lgamma(n - a + 1)) FOR i IN range(a - c, least(a, n - b) + 1) IF a - i <= b])) ELSE 0 END AS opposite FROM pairs),
+scored AS (SELECT *, greatest(same, opposite) - log10(tried) - log10(2) AS score, opposite > same + 1e-9 AS flip FROM tails),
+best AS (SELECT * FROM scored WHERE score > 1e-9 QUALIFY row_number() OVER (PARTITION BY sample_id, umi ORDER BY round(score, 8) DESC, x, y) = 1)"""
+
+
+def _shared_barcodes(spark, sf_dir):
+    return reads(spark, sf_dir).withColumn("umi", F.substring("umi_true", 1, 5))
+
+
+@_query(_LINKED + " SELECT c.sample_id, c.umi, n AS reads, c.columns, round(coalesce(score, 0), 6) AS score FROM (SELECT sample_id, umi, CAST(count(*) AS INT) AS columns FROM cols GROUP BY 1, 2 HAVING count(*) > 1) c JOIN n USING (sample_id, umi) LEFT JOIN best USING (sample_id, umi, n)")
+def molecule_linkage(spark, sf_dir):
+    return _rounded(split.linkage(_shared_barcodes(spark, sf_dir)))
+
+
+_PARTED = _LINKED + """, minor AS (SELECT sample_id, umi, src_index FROM best JOIN marks USING (sample_id, umi) WHERE score > 8.68 GROUP BY sample_id, umi, src_index, x, y, flip HAVING bool_or(col = x) AND bool_or(col = y) <> flip),
+two AS (SELECT sample_id, umi FROM minor JOIN n USING (sample_id, umi) GROUP BY sample_id, umi, n HAVING count(*) >= 2 AND n - count(*) >= 2),
+parted AS (SELECT src_index, sample_id, umi || ':' || CASE WHEN src_index IN (SELECT src_index FROM minor SEMI JOIN two USING (sample_id, umi)) THEN 2 ELSE 1 END AS umi_true, seq, qual FROM r)"""
+
+
+@_query(_PARTED + _COLUMNS.removeprefix(_READS).replace("FROM reads", "FROM parted") + """, d AS (SELECT sample_id, umi_true, count(*) AS reads FROM parted GROUP BY 1, 2)
+ SELECT cons.sample_id, split_part(umi_true, ':', 1) AS umi, CAST(split_part(umi_true, ':', 2) AS INT) AS molecule, reads, string_agg(base, '' ORDER BY position) AS seq, string_agg(chr(33 + phred), '' ORDER BY position) AS qual, round(avg(p), 6) AS mean_error, round(avg(phred), 6) AS mean_quality, round(coalesce(any_value(score), 0), 6) AS linkage
+ FROM cons JOIN d USING (sample_id, umi_true) LEFT JOIN best ON best.sample_id = cons.sample_id AND best.umi = split_part(umi_true, ':', 1) GROUP BY 1, 2, 3, 4""")
 def molecule_split(spark, sf_dir):
-    """Pairs of orders put under one barcode, split again."""
-    r = reads(spark, sf_dir).withColumn("umi", F.concat("sample_id", (F.hash("umi_true") % 900).cast("string")))
-    return _rounded(split.split_records(r))
+    """Several orders put under one barcode, split again."""
+    return _rounded(split.split_records(_shared_barcodes(spark, sf_dir)))
+
+
+@_query()
+def linkage_null(spark, sf_dir):
+    """The linkage of barcodes shared by orders against reads whose minority bases are dealt anew."""
+    return _rounded(nulls.linkage_null(nulls.linkage_scores(_shared_barcodes(spark, sf_dir))))
 
 
 _RECORDS = _SQL["consensus_records"]
@@ -995,7 +1031,7 @@ def molecule_contigs(spark, sf_dir):
     r = reads(spark, sf_dir)
     begin = (F.col("src_index") % 3).cast("int") * 4 + 1
     pieces = r.select("src_index", "sample_id", F.substring("seq", 17, 16).alias("umi"), F.substring(F.concat("seq", "seq"), begin, F.lit(40)).alias("seq"), F.concat("qual", F.substring("qual", 1, 8)).alias("qual"))
-    return _rounded(contigs.contigs(pieces, cap=200))
+    return _rounded(contigs.contigs(pieces))
 
 
 @_query()

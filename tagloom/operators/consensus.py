@@ -27,9 +27,9 @@ FLOOR = 1e-4
 LEAST_ERROR, MOST_ERROR = 1e-7, 0.75
 MIN_PHRED = 2
 LETTERS = np.frombuffer(b"ACGTN", np.uint8)
-_CODE = np.full(256, 4, np.uint8)
+CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
-    _CODE[_c] = _i
+    CODE[_c] = _i
 _ERROR = np.clip(10.0 ** (-np.clip(np.arange(256) - PHRED_OFFSET, 0, PHRED_MAX) / 10), LEAST_ERROR, MOST_ERROR)
 
 
@@ -67,7 +67,7 @@ def call_columns(seqs: list[bytes], quals: list[bytes], starts: np.ndarray, floo
     at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)  # position in the molecule
     cell = np.repeat(np.cumsum(lengths) - lengths, each) + at
     slot = np.repeat(np.repeat(np.cumsum(widths) - widths, n_reads), each) + at
-    code, e = _CODE[letters[cell]], _ERROR[marks[cell]]
+    code, e = CODE[letters[cell]], _ERROR[marks[cell]]
     size, known = int(widths.sum()), code < 4
     votes = np.bincount(slot[known], minlength=size)
     miss, gain = np.log(e / 3), np.log(1 - e) - np.log(e / 3)
@@ -147,7 +147,7 @@ def columns(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floo
 RECORD = "reads long, seq string, qual string, mean_error double, mean_quality double"
 
 
-def _called_records(floor: float):
+def called_records(floor: float):
     def run(seqs, quals, starts):
         widths, bases, p, q, _ = call_columns(seqs, quals, starts, floor)
         text, marks = LETTERS[bases].tobytes().decode(), (q + PHRED_OFFSET).astype(np.uint8).tobytes().decode()
@@ -172,7 +172,7 @@ def _true_depth(found: DataFrame, deep: DataFrame, keys: tuple[str, ...]) -> Dat
 def records(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), floor: float = FLOOR, min_reads: int = 1, cap: int = READ_CAP) -> DataFrame:
     """(keys, reads, seq, qual, mean_error, mean_quality): one row per molecule of ``min_reads`` reads or more."""
     votes, deep = voting(reads, keys, cap)
-    found = _true_depth(by_molecule(votes, keys, _called_records(floor), RECORD), deep, keys)
+    found = _true_depth(by_molecule(votes, keys, called_records(floor), RECORD), deep, keys)
     return found if min_reads <= 1 else found.filter(F.col("reads") >= min_reads)
 
 

@@ -1,6 +1,10 @@
 """Molecules whose reads do not all begin at one place: reads placed by shared words, mates merged.
 
-Each molecule's reads, ``READ_CAP`` at most, are placed within one Arrow function call.
+Each molecule's reads, ``READ_CAP`` at most, are placed within one Arrow function call. An
+index of all reads' words names, for a read, the later ones that share some, so reads
+without a common word are never compared; a word whose reads have all been joined is
+closed, so a pile of like reads costs one look a read. Reads that share words but never
+enough to be joined are still looked at in pairs.
 """
 
 from __future__ import annotations
@@ -30,42 +34,87 @@ def _places(seq: bytes) -> dict[bytes, int]:
     return out
 
 
-def _offset(one: dict[bytes, int], other: dict[bytes, int], n: int, m: int) -> int | None:
-    """Where the other read begins on the one, by the most votes of shared words; ties to the smaller. None if too few or overlapping too little."""
-    few, many = (one, other) if len(one) <= len(other) else (other, one)
-    votes = Counter(one[w] - other[w] for w in few if w in many)
+def _offset(one: bytes, other: bytes) -> int | None:
+    """Where the other read begins on the one: each of its words votes by where the one first has it; ties to the smaller. None if too few vote or too little overlaps."""
+    first = _places(one)
+    votes = Counter(first[w] - j for j in range(len(other) - WORD + 1) if (w := other[j : j + WORD]) in first)
     if not votes:
         return None
     offset, n_votes = min(votes.items(), key=lambda v: (-v[1], v[0]))
-    overlap = min(n, offset + m) - max(0, offset)
+    overlap = min(len(one), offset + len(other)) - max(0, offset)
     return offset if n_votes >= VOTES and overlap >= OVERLAP else None
 
 
-def place(seqs: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Reads as contigs of (read, offset from the first base): joined pair by pair in order, largest contig first, then by smallest sequence."""
-    parent, shift = list(range(len(seqs))), [0] * len(seqs)
+class _Words:
+    """Where every word of a molecule's reads stands, by read and by word."""
+
+    def __init__(self, seqs: list[bytes]):
+        lengths = np.array([max(0, len(s) - WORD + 1) for s in seqs], np.int64)
+        text = np.frombuffer(b"".join(s for s, n in zip(seqs, lengths) if n), np.uint8)
+        whole = np.where(lengths > 0, lengths + WORD - 1, 0)
+        self.read = np.repeat(np.arange(len(seqs)), lengths)
+        self.at = np.arange(len(self.read)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        begins = np.repeat(np.cumsum(whole) - whole, lengths) + self.at
+        windows = np.lib.stride_tricks.sliding_window_view(text, WORD)[begins] if len(begins) else np.empty((0, WORD), np.uint8)
+        _, self.word = np.unique(np.ascontiguousarray(windows).view(f"S{WORD}").ravel(), return_inverse=True)
+        self.end_of_read = np.cumsum(lengths)
+        self.lengths = lengths
+        order = np.argsort(self.word, kind="stable")  # of each word: by read, then by place
+        self.by_word = order
+        counts = np.bincount(self.word, minlength=1) if len(self.word) else np.zeros(1, np.int64)
+        self.begin, self.count = np.cumsum(counts) - counts, counts
+        self.open = counts > 1
+
+    def votes(self, i: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(later read, offset of it on read ``i``) once a vote, of reads in another group than ``i``."""
+        mine = slice(self.end_of_read[i] - self.lengths[i], self.end_of_read[i])
+        words, first = np.unique(self.word[mine], return_index=True)
+        words, first = words[self.open[words]], first[self.open[words]]
+        counts = self.count[words]
+        heads = np.cumsum(counts) - counts
+        hits = self.by_word[np.repeat(self.begin[words] - heads, counts) + np.arange(counts.sum())]
+        apart = group[self.read[hits]] != group[i]
+        if len(words):
+            self.open[words[~np.logical_or.reduceat(apart, heads)]] = False  # groups only grow, so these have nothing to add
+        later = apart & (self.read[hits] > i)
+        place = np.repeat(self.at[mine][first], counts)
+        return self.read[hits[later]], (place - self.at[hits])[later]
 
-    def root(i: int) -> tuple[int, int]:
-        at = 0
-        while parent[i] != i:
-            at += shift[i]
-            i = parent[i]
-        return i, at
 
-    words = [_places(s) for s in seqs]
-    for i in range(len(seqs)):
-        for j in range(i + 1, len(seqs)):
-            (a, x), (b, y) = root(i), root(j)
-            if a != b and (offset := _offset(words[i], words[j], len(seqs[i]), len(seqs[j]))) is not None:
-                parent[b], shift[b] = a, x + offset - y
-    groups: dict[int, list[tuple[int, int]]] = {}
+def place(seqs: list[bytes]) -> list[list[tuple[int, int]]]:
+    """Reads as contigs of (read, offset from the first base): joined pair by pair in order, largest contig first, then by smallest sequence."""
+    group, shift = np.arange(len(seqs)), np.zeros(len(seqs), np.int64)
+    members = [np.array([i]) for i in range(len(seqs))]
+    sizes = np.array([len(s) for s in seqs], np.int64)
+    words = _Words(seqs)
+    wide = int(sizes.max(initial=0)) + 1
     for i in range(len(seqs)):
-        a, x = root(i)
-        groups.setdefault(a, []).append((i, x))
+        if len(members[group[i]]) == len(seqs):
+            break
+        reads, offsets = words.votes(i, group)
+        if len(reads) < VOTES:
+            continue
+        pairs, n = np.unique(reads * (2 * wide) + offsets + wide, return_counts=True)
+        read, offset = pairs // (2 * wide), pairs % (2 * wide) - wide
+        best = np.lexsort((offset, -n, read))
+        best = best[np.r_[True, read[best][1:] != read[best][:-1]]]
+        read, offset, n = read[best], offset[best], n[best]
+        overlap = np.minimum(sizes[i], offset + sizes[read]) - np.maximum(0, offset)
+        for j, x in zip(*(v[(n >= VOTES) & (overlap >= OVERLAP)].tolist() for v in (read, offset))):
+            a, b = group[i], group[j]
+            if a == b:
+                continue
+            by = shift[i] + x - shift[j]  # what moves the other's group onto this one's
+            if len(members[a]) < len(members[b]):
+                a, b, by = b, a, -by
+            shift[members[b]] += by
+            group[members[b]] = a
+            members[a], members[b] = np.concatenate([members[a], members[b]]), members[b][:0]
     out = []
-    for reads in groups.values():
-        least = min(x for _, x in reads)
-        out.append([(i, x - least) for i, x in reads])
+    for reads in members:
+        if len(reads):
+            least = int(shift[reads].min())
+            out.append([(int(i), int(shift[i]) - least) for i in np.sort(reads)])
     return sorted(out, key=lambda g: (-len(g), min(seqs[i] for i, _ in g)))
 
 
@@ -104,7 +153,7 @@ def merge_offset(firsts: list[bytes], seconds: list[bytes]) -> int | None:
     """Where turned second mates begin on first mates: voted by the first pairs, until two agree; ties to the smaller."""
     votes: Counter[int] = Counter()
     for a, b in list(zip(firsts, seconds))[:PAIRS_TRIED]:
-        if (offset := _offset(_places(a), _places(b), len(a), len(b))) is not None:
+        if (offset := _offset(a, b)) is not None:
             votes[offset] += 1
             if votes[offset] == AGREE:
                 break
