@@ -437,7 +437,8 @@ def _sql_score(text: str) -> str:
     for i, p in enumerate(layout.compile_layout(text).positions, 1):
         if p.kind == "scored":
             e = f"pow(10, -(ascii(substr(qual, {i}, 1)) - 33) / 10.0)"
-            terms.append(f"CASE WHEN substr(seq, {i}, 1) = '{p.bases}' THEN log2(4 * (1 - {e})) ELSE {p.weight} * log2(4 * greatest({e}, 1e-6) / 3) END")
+            single = "CAST(CAST(log2({0}) AS FLOAT) AS DOUBLE)"  # scores are kept in single precision and summed in double
+            terms.append(f"CASE WHEN substr(seq, {i}, 1) = '{p.bases}' THEN {single.format(f'4 * (1 - {e})')} ELSE {p.weight} * {single.format(f'4 * greatest({e}, 1e-6) / 3')} END")
     return " + ".join(terms)
 
 
@@ -479,6 +480,36 @@ def assignment_status(spark, sf_dir):
     return _assigned(spark, sf_dir).groupBy("status").agg(F.count("*").alias("reads"))
 
 
+SAMPLES = 96
+
+
+def _tag(i: int) -> str:
+    """Six letters, of which two samples share four at most."""
+    return "".join("ACGT"[d] for d in (i % 4, i // 4 % 4, i // 16 % 4, (i + i // 4) % 4, (i // 4 + i // 16 + i // 64) % 4, (i + i // 16 + 2 * (i // 64)) % 4))
+
+
+_TAGS = ", ".join(f"({i}, '{_tag(i)}')" for i in range(SAMPLES))
+_TAG_SCORE = " + ".join(
+    f"CASE WHEN substr(seq, {i}, 1) = {want} THEN CAST(CAST(log2(4 * (1 - {e})) AS FLOAT) AS DOUBLE) ELSE {m} * CAST(CAST(log2(4 * greatest({e}, 1e-6) / 3) AS FLOAT) AS DOUBLE) END"
+    for i, want, m in [(13, "'T'", 0.5), *((14 + j, f"substr(tag, {j + 1}, 1)", 1.0) for j in range(6)), (20, "'A'", 0.5)]
+    for e in [f"pow(10, -(ascii(substr(qual, {i}, 1)) - 33) / 10.0)"]
+)
+
+
+@_query(_READS + f""", tags(i, tag) AS (VALUES {_TAGS}), raw AS (SELECT src_index, concat(umi, 'T', coalesce(tag, 'NNNNNN'), 'A', seq) AS seq, concat(umi_qual, repeat(substr(qual, 1, 1), 8), qual) AS qual FROM reads LEFT JOIN tags ON i = src_index % {SAMPLES + 1}),
+scored AS (SELECT src_index, i, {_TAG_SCORE} AS s FROM raw, (SELECT i, tag FROM tags) t), ok AS (SELECT * FROM scored WHERE s >= log2({SAMPLES} / 0.01)),
+placed AS (SELECT src_index, i, s, row_number() OVER w AS r, s - lead(s) OVER w AS ahead FROM ok WINDOW w AS (PARTITION BY src_index ORDER BY s DESC, i))
+ SELECT r.src_index, CASE WHEN i IS NULL THEN 'unmatched' WHEN ahead < 5 THEN 'ambiguous' ELSE 'assigned' END AS status, CASE WHEN ahead IS NULL OR ahead >= 5 THEN 'S' || i END AS sample, CASE WHEN i IS NOT NULL AND (ahead IS NULL OR ahead >= 5) THEN substr(seq, 1, 12) END AS umi FROM raw r LEFT JOIN placed p ON p.src_index = r.src_index AND p.r = 1""")
+def many_samples(spark, sf_dir):
+    """A sheet of 96 samples, one of them or none in each read."""
+    tags = F.array(*[F.lit(_tag(i)) for i in range(SAMPLES)], F.lit("NNNNNN"))
+    r = reads(spark, sf_dir)
+    tag = F.get(tags, (F.col("src_index") % (SAMPLES + 1)).cast("int"))
+    raw = r.select("src_index", F.concat("umi", F.lit("T"), tag, F.lit("A"), "seq").alias("seq"), F.concat("umi_qual", *[F.substring("qual", 1, 1)] * 8, "qual").alias("qual"))
+    sheet = {f"S{i}": f"NNNNNNNNNNNNt{_tag(i)}a" for i in range(SAMPLES)}
+    return match.assign(raw, sheet, 0).select("src_index", "status", "sample", "match.umi")
+
+
 _TURN = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
@@ -1025,6 +1056,28 @@ def dual_match(spark, sf_dir):
     return match.dual(pairs, LAYOUT, SLAVE, 0).select("src_index", "match.found", "match.umi")
 
 
+_MATES = _RAW + f""", mates AS (SELECT src_index, seq, qual, concat(substr(seq, 5, 4), CASE WHEN src_index % 7 = 0 THEN 'CCCCCCC' ELSE 'TACGTAC' END, substr(seq, 20)) AS seq2, concat(substr(qual, 5, 4), repeat('I', 7), substr(qual, 20)) AS qual2 FROM raw),
+dealt AS (SELECT src_index, CASE WHEN src_index % 2 = 1 THEN seq2 ELSE seq END AS seq, CASE WHEN src_index % 2 = 1 THEN qual2 ELSE qual END AS qual, CASE WHEN src_index % 2 = 1 THEN seq ELSE seq2 END AS seq2, CASE WHEN src_index % 2 = 1 THEN qual ELSE qual2 END AS qual2 FROM mates),
+tried AS (SELECT *, {_sql_score(LAYOUT)} AS a, {_sql_score(OTHER)} AS b, {_sql_score(LAYOUT).replace('(seq,', '(seq2,').replace('(qual,', '(qual2,')} AS a2, {_sql_score(OTHER).replace('(seq,', '(seq2,').replace('(qual,', '(qual2,')} AS b2 FROM dealt),
+judged AS (SELECT *, CASE WHEN greatest(a, b) < log2(200) THEN 'unmatched' WHEN least(a, b) >= log2(200) AND abs(a - b) < 5 THEN 'ambiguous' ELSE 'assigned' END AS s1, CASE WHEN greatest(a2, b2) < log2(200) THEN 'unmatched' WHEN least(a2, b2) >= log2(200) AND abs(a2 - b2) < 5 THEN 'ambiguous' ELSE 'assigned' END AS s2 FROM tried),
+chosen AS (SELECT src_index, s1 = 'unmatched' AND s2 = 'assigned' AS swap, CASE WHEN s1 = 'unmatched' AND s2 = 'assigned' THEN 'assigned' ELSE s1 END AS status, CASE WHEN s1 = 'unmatched' AND s2 = 'assigned' THEN a2 >= b2 ELSE a >= b END AS is_one,
+  CASE WHEN s1 = 'unmatched' AND s2 = 'assigned' THEN seq2 ELSE seq END AS r1, CASE WHEN s1 = 'unmatched' AND s2 = 'assigned' THEN seq ELSE seq2 END AS seq, CASE WHEN s1 = 'unmatched' AND s2 = 'assigned' THEN qual ELSE qual2 END AS qual FROM judged),
+slaved AS (SELECT *, {_sql_score(SLAVE)} AS s FROM chosen),
+final AS (SELECT src_index, r1, seq AS r2, CASE WHEN status = 'assigned' AND is_one AND s < log2(100) THEN 'unmatched' ELSE status END AS status, is_one, swap FROM slaved)"""
+
+
+@_query(_MATES + """ SELECT src_index, status, CASE WHEN status = 'assigned' THEN CASE WHEN is_one THEN 'one' ELSE 'two' END END AS sample, swap AND status = 'assigned' AS normalised, CASE WHEN status = 'assigned' THEN CASE WHEN is_one THEN concat(substr(r1, 1, 12), substr(r2, 1, 4)) ELSE substr(r1, 1, 12) END END AS umi, r1 AS seq, r2 AS seq2 FROM final""")
+def demultiplexed_pairs(spark, sf_dir):
+    """A sheet of two samples, one with a slave on the other mate, over pairs of which half are swapped."""
+    raw = _raw(spark, sf_dir)
+    anchor = F.when(F.col("src_index") % 7 == 0, "CCCCCCC").otherwise("TACGTAC")
+    pairs = raw.withColumns({"seq2": F.concat(F.substring("seq", 5, 4), anchor, F.substring("seq", 20, 99)), "qual2": F.concat(F.substring("qual", 5, 4), F.lit("I" * 7), F.substring("qual", 20, 99))})
+    swapped = F.col("src_index") % 2 == 1
+    dealt = pairs.select("src_index", *(F.when(swapped, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("seq", "seq2"), ("qual", "qual2"), ("seq2", "seq"), ("qual2", "qual"))))
+    sheet = [{"sample": "one", "pattern": LAYOUT, "slave": SLAVE}, {"sample": "two", "pattern": OTHER, "slave": None}]
+    return match.demultiplex(dealt, sheet, 0).select("src_index", "status", "sample", "normalised", "match.umi", "seq", "seq2")
+
+
 @_query()
 def molecule_contigs(spark, sf_dir):
     """Pieces of a payload family, put under one barcode, placed again."""

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bases import BASES, index_pair, lane_tile, phreds
+from ..functions.bases import BASES, PHRED_MAX, PHRED_OFFSET, index_pair, lane_tile
 from ..storage import written
+from .consensus import CODE
+from .match import Letters
 
 DECLARED_SHARE = 0.05
 KMER = 8
@@ -34,10 +40,25 @@ def tile_yield(reads: DataFrame) -> DataFrame:
     return tiles.withColumn("share_of_lane", F.col("reads") / F.sum("reads").over(Window.partitionBy("lane")))
 
 
+def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cycle, A, C, G, T, other, sum of Phred values, how many): a row a cycle of each batch."""
+    for batch in batches:
+        reads = Letters(batch.column(0), batch.column(1))
+        cycles = int(reads.length.max(initial=0))
+        at = np.arange(len(reads.seq)) - np.repeat(reads.at, reads.length)
+        counts = np.bincount(at * 5 + CODE[reads.seq], minlength=5 * cycles).reshape(-1, 5)
+        q_at = np.arange(len(reads.qual)) - np.repeat(reads.q_at, reads.q_length)
+        q = np.clip(reads.qual.astype(np.int64) - PHRED_OFFSET, 0, PHRED_MAX)
+        inside = q_at < np.repeat(reads.length, reads.q_length)
+        phred = np.bincount(q_at[inside], q[inside], cycles)
+        marked = np.bincount(q_at[inside], minlength=cycles)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, cycles + 1, dtype=np.int32)), *(pa.array(c) for c in counts.T.astype(np.int64)), pa.array(phred), pa.array(marked.astype(np.int64))], ["cycle", *BASES, "other", "phred", "marked"])
+
+
 def cycle_profile(reads: DataFrame) -> DataFrame:
-    """(cycle, A, C, G, T, other, mean_phred, entropy_bits, collision, consensus, deviation), cycles from 1."""
-    places = reads.select(F.explode(F.arrays_zip(F.split("seq", "").alias("b"), phreds("qual").alias("q"), F.sequence(F.lit(1), F.length("seq")).alias("cycle"))).alias("x")).select("x.*")
-    n = places.groupBy("cycle").agg(*[F.count_if(F.col("b") == b).alias(b) for b in BASES], F.count_if(~F.col("b").isin(*BASES)).alias("other"), F.avg("q").alias("mean_phred"))
+    """(cycle, A, C, G, T, other, mean_phred, entropy_bits, collision, consensus, deviation), cycles from 1. Counted in tasks: a row a cycle moves."""
+    parts = reads.select("seq", "qual").mapInArrow(_cycles, "cycle int, A long, C long, G long, T long, other long, phred double, marked long")
+    n = parts.groupBy("cycle").agg(*[F.sum(b).alias(b) for b in (*BASES, "other")], (F.sum("phred") / F.nullif(F.sum("marked"), F.lit(0))).alias("mean_phred"))
     called = sum((F.col(b) for b in BASES), F.lit(0))
     share = [F.when(called > 0, F.col(b) / called).otherwise(0.0) for b in BASES]
     entropy = sum((F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in share), F.lit(0.0))
