@@ -2,17 +2,16 @@
 
 A document is its set of distinct word shingles; two link when ``PERCENT`` of their
 union is in both. Shingles are ordered from rare to common; two sets that link share one
-of the first of that order (the prefix), and at least that many of what both prefixes show
-that the rest can make up for the difference.
+of the first of that order (the prefix).
 
 * Equal sets become one class, classes of equal prefix and size one group. Only groups
   are dealt out by the shingles of their prefixes, and only shingles that two groups share go on.
-* First every group is compared with one other a shingle, that whose prefix is shared most,
-  and every class with one other of its group; links are verified on whole sets. This joins most of what belongs
-  together at a comparison or a few each, however large a group of near copies is.
-* Then, where groups that share a shingle are not yet joined, pairs of groups are filtered by size and
-  by what their prefixes have in common, and what is left is expanded to those members that are
-  not joined and verified. So no link between components is lost and no pair within one is made.
+* First every group is compared with a few others a shingle, that whose prefix is shared most and ``HUBS`` drawn
+  by their hash, and every class with one other of its group; where sizes and bitmaps allow it, links are verified
+  on whole sets. This joins most of what belongs together at a few comparisons each, however large a group of near copies is.
+* Then, where groups that share a shingle are not yet joined, they are expanded to their classes, and pairs of those
+  in different components are filtered by size, by the shingle's place, and by bitmaps of whole sets, which show how
+  much two sets differ at least. What is left is verified. So no link between components is lost and no pair within one is made.
 
 The order comes from counts in ``BUCKETS`` hashed buckets, rounded to powers of two, then the hash: a
 shingle of many documents comes late, so that a passage that is everywhere makes no large group.
@@ -43,8 +42,10 @@ from .simhash import components
 
 WORDS = 3
 PERCENT = 90
-BUCKETS = 1 << 20
+BUCKETS = 1 << 24
 SLICES = 64  # parts of the buckets that are summed apart
+BITS = 1024  # of a set's bitmap
+HUBS = 3  # groups drawn for a shingle, that all others are compared with first
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -78,8 +79,14 @@ def index_length(n):
     return n - least_overlap(n, n) + 1
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as longs: which buckets hold an odd number of the set. Two sets differ in as many shingles as bits, or more."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _slices(counts: np.ndarray) -> pa.RecordBatch:
-    parts = [part.astype(np.uint32).tobytes() for part in np.split(counts, SLICES)]
+    parts = [pa.compress(part.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for part in np.split(counts, SLICES)]
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
 
@@ -90,7 +97,7 @@ def _levels(counted: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                one = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+                one = np.frombuffer(pa.decompress(counts.as_py(), 4 * BUCKETS // SLICES, codec="zstd"), np.uint32).astype(np.int64)
                 sums[i] = sums[i] + one if i in sums else one
         levels = [np.frexp(s.astype(float))[1].astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
@@ -102,12 +109,14 @@ def _levels(counted: DataFrame) -> np.ndarray:
 
 
 def _tallied(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
+    counts, seen = np.zeros(BUCKETS, np.uint32), 0
     for hashes in batches:
-        counts += np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        if counts.max(initial=0) >= 1 << 31:
+        if seen + len(hashes) >= 1 << 32:
             yield _slices(counts)
-            counts[:] = 0
+            counts, seen = np.zeros(BUCKETS, np.uint32), 0
+        bucket, n = np.unique((hashes % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+        counts[bucket] += n.astype(np.uint32)
+        seen += len(hashes)
     yield _slices(counts)
 
 
@@ -126,12 +135,12 @@ def _shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int, levels: Broadcast) -> DataFrame:
-    """Of each document: its set's size and 128-bit hash, its prefix, and the hash of its size and prefix."""
+    """Of each document: its set's size, 128-bit hash and bitmap, its prefix, and the hash of its size and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            sizes, sets, groups, prefixes = [], [], [], []
+            sizes, sets, groups, prefixes, maps = [], [], [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
                 one = shingles(text.as_py(), words)
                 n = len(one)
@@ -141,11 +150,13 @@ def _signatures(docs: DataFrame, words: int, levels: Broadcast) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(one.tobytes()))
                 groups.append(xxhash.xxh3_128_digest(first.tobytes() + n.to_bytes(8, "big")))
                 prefixes.append(first.view(np.int64))
+                maps.append(parities(one))
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), lists], ["doc_id", "k", "n", "set", "grp", "prefix"])
+            words_of = pa.ListArray.from_arrays(pa.array(np.arange(0, len(maps) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(maps) if maps else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(groups, pa.binary()), lists, words_of], ["doc_id", "k", "n", "set", "grp", "prefix", "bits"])
 
-    return docs.select("doc_id", "text", "k").mapInArrow(run, "doc_id long, k long, n long, set binary, grp binary, prefix array<long>")
+    return docs.select("doc_id", "text", "k").mapInArrow(run, "doc_id long, k long, n long, set binary, grp binary, prefix array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -179,8 +190,8 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) whose whole sets link."""
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets link. Only sets that stand in a pair are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +202,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    sets = written(_sets(docs, words, written(classes.select("set", "k").join(ends, "set", "left_semi"), "wanted")), "sets")
     one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
@@ -200,45 +213,42 @@ def _ordered(one: str | Column, other: str | Column) -> list[Column]:
     return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
 
 
-def group_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
-    """Pairs of groups of one shingle that may hold links not known yet.
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sizes and bitmaps let them link."""
+    x, y = (classes.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    least, smaller = least_overlap_of(F.col("a_n"), F.col("b_n")), F.least("a_n", "b_n")
+    sized = pairs.join(x, "a").join(y, "b").filter(smaller - (F.col("a_n") == F.col("b_n")).cast("int") >= least)
+    return sized.filter(differ <= F.col("a_n") + F.col("b_n") - 2 * least).select("a", "b")
+
 
-    ``rows``: (group, size, whether the shingle stands where the smaller set's must, the component of all members or none, prefix), by size.
-    Pairs with a second group among the last ``only_last`` rows (0: all). Up to the earlier end
-    of two prefixes all is seen; behind it everything may be common, as far as sizes allow.
+def class_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
+    """Pairs of classes of one shingle that may hold links not known yet.
+
+    ``rows``: (class, size, whether the shingle stands where the smaller set's must, component, bitmap), by size.
+    Pairs with a second class among the last ``only_last`` rows (0: all).
     """
     sizes = np.array([r[1] for r in rows], np.int64)
     index = np.array([r[2] for r in rows], bool)
-    names = {r: i for i, r in enumerate({r[3] for r in rows} - {None})}
-    roots = np.array([names[r[3]] if r[3] is not None else -1 - i for i, r in enumerate(rows)])
-    lengths = np.array([len(r[4]) for r in rows], np.int64)
-    tokens, places = np.unique(np.concatenate([np.asarray(r[4], np.int64) for r in rows]), return_inverse=True)
-    starts = np.cumsum(lengths) - lengths
-    mine = np.zeros(len(tokens), bool)
+    _, roots = np.unique(np.array([r[3] for r in rows], object), return_inverse=True)
+    bits = np.stack([np.asarray(r[4], np.int64) for r in rows])
     out = []
+    if (roots == roots[0]).all():
+        return out
     for j in range(len(rows) - only_last if only_last else 1, len(rows)):
         lo = int(np.searchsorted(100 * sizes[:j], PERCENT * sizes[j]))
-        some = lo + np.flatnonzero((index[lo:j] | ((sizes[lo:j] == sizes[j]) & index[j])) & (roots[lo:j] != roots[j]))
+        some = lo + np.flatnonzero((roots[lo:j] != roots[j]) & (index[lo:j] | ((sizes[lo:j] == sizes[j]) & index[j])))
         least = least_overlap(sizes[some], sizes[j])
         fit = sizes[some] - (sizes[some] == sizes[j]) >= least  # equal sizes and all in common would be one class
         some, least = some[fit], least[fit]
-        if not len(some):
-            continue
-        heads = np.cumsum(lengths[some]) - lengths[some]
-        flat = places[np.repeat(starts[some] - heads, lengths[some]) + np.arange(lengths[some].sum())]
-        own = places[starts[j] : starts[j] + lengths[j]]
-        mine[own] = True
-        common = np.add.reduceat(mine[flat].astype(np.int64), heads)
-        mine[own] = False
-        theirs = np.add.reduceat((flat <= own[-1]).astype(np.int64), heads)
-        ours = np.searchsorted(own, np.minimum(flat[heads + lengths[some] - 1], own[-1]), "right")
-        most = common + np.minimum(sizes[j] - ours, sizes[some] - theirs)
-        out += [(rows[i][0], rows[j][0]) for i in some[most >= least]]
+        if len(some):
+            differ = np.bitwise_count(bits[some] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            out += [(rows[i][0], rows[j][0]) for i in some[differ <= sizes[some] + sizes[j] - 2 * least]]
     return out
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of groups that share a shingle and pass the filters. A task holds a shingle's groups of similar size at a time."""
+    """(a, b): pairs of classes that share a shingle and pass the filters. A task holds a shingle's groups of similar size at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -246,7 +256,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
         def settle() -> list[tuple]:
             nonlocal held, fresh
-            pairs = group_pairs(held, min(fresh, len(held))) if len(held) > 1 and fresh else []
+            pairs = class_pairs(held, min(fresh, len(held))) if len(held) > 1 and fresh else []
             fresh = 0
             if held:
                 held = [r for r in held if r[1] * 100 >= PERCENT * held[-1][1]]  # rows come by size
@@ -254,19 +264,19 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             pairs = []
-            prefixes = batch.column(5)
+            maps = batch.column(5)
             for i, (k, *row) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
                 if k != key:
                     pairs += settle()
                     held, key = [], k
-                held.append((*row, prefixes[i].values.to_numpy()))
+                held.append((*row, maps[i].values.to_numpy()))
                 fresh += 1
                 if fresh >= 1024:
                     pairs += settle()
             yield _pairs_batch(pairs)
         yield _pairs_batch(settle())
 
-    dealt = rows.select("key", "grp", "n", "index", "root", "prefix").repartition("key").sortWithinPartitions("key", "n", "grp")
+    dealt = rows.select("key", "set", "n", "index", "root", "bits").repartition("key").sortWithinPartitions("key", "n", "set")
     return dealt.mapInArrow(run, "a binary, b binary").select(*_ordered("a", "b")).distinct()
 
 
@@ -280,34 +290,41 @@ def _components(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     keyed = groups.select("grp", "n", F.posexplode("prefix").alias("at", "key")).select("key", "grp", "n", (F.col("at") < index_length_of(F.col("n"))).alias("index"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max("index").alias("any")).filter((F.col("m") > 1) & F.col("any")).select("key", "m")
     meeting = written(keyed.join(shared, "key"), "shared-shingles")
-    central = meeting.join(meeting.groupBy("grp").agg(F.sum("m").alias("s")), "grp").groupBy("key").agg(F.max(F.struct("s", "grp"))["grp"].alias("other"))
-    stars = meeting.join(central, "key").filter(F.col("grp") != F.col("other")).select("grp", "other").distinct()
+    share = meeting.groupBy("grp", "n").agg((F.sum("m") / prefix_length_of(F.col("n"))).alias("s")).drop("n")
+    drawn = [F.max(F.struct(F.xxhash64("grp", F.lit(i)).alias("s"), "grp"))["grp"] for i in range(HUBS)]
+    central = meeting.join(share, "grp").groupBy("key").agg(F.max(F.struct("s", "grp"))["grp"].alias("h"), *(h.alias(f"h{i}") for i, h in enumerate(drawn)))
+    central = central.select("key", F.explode(F.array_distinct(F.array("h", *(f"h{i}" for i in range(HUBS))))).alias("other"))
+    stars = meeting.join(central, "key").filter(F.col("grp") != F.col("other")).select(F.least("grp", "other").alias("grp"), F.greatest("grp", "other").alias("other")).distinct()
     hubs = groups.select(F.col("grp").alias("other"), F.col("hub").alias("_hub"))
     between = stars.join(hubs, "other").join(groups.select("grp", "hub"), "grp").select(*_ordered("hub", "_hub"))
-    within = classes.join(groups.filter("members > 1").select("grp", "hub"), "grp").filter(F.col("set") != F.col("hub")).select(*_ordered("set", "hub"))
-    wanted = classes.join(meeting.select("grp").unionByName(groups.filter("members > 1").select("grp")).distinct(), "grp", "left_semi").select("set", "k")
-    sets = written(_sets(docs, words, wanted), "sets")
-    first = written(_linked(between.unionByName(within), sets), "links")
+    several = groups.filter((F.col("members") > 1) & (F.col("n") - 1 >= least_overlap_of(F.col("n"), F.col("n"))))
+    within = classes.join(several.select("grp", "hub"), "grp").filter(F.col("set") != F.col("hub")).select(*_ordered("set", "hub"))
+    first = written(_linked(written(_plausible(between.unionByName(within), classes), "first-pairs"), classes, docs, words), "links")
     named = written(classes.select("set", "grp").join(components(first).withColumnRenamed("id", "set"), "set", "left").select("set", "grp", F.coalesce("root", "set").alias("root")), "joined")
 
-    inside = written(named.groupBy("grp").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed")), "group-roots")
+    # What is left: shingles of classes not all joined, and groups of one class that are not.
+    inside = named.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     placed = meeting.join(inside, "grp")
-    open_keys = placed.groupBy("key").agg(((F.min("root") != F.max("root")) | F.max("mixed")).alias("open")).filter("open").select("key")
-    rows = placed.join(open_keys, "key").join(groups.select("grp", "prefix"), "grp").select("key", "grp", "n", "index", F.when(~F.col("mixed"), F.col("root")).alias("root"), "prefix")
-    alone = inside.filter("mixed").join(groups.filter(F.col("n") - 1 >= least_overlap_of(F.col("n"))), "grp").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    pairs = written(_candidates(rows).unionByName(alone), "group-pairs")
-    x, y = (named.select(F.col("grp").alias(g), F.col("set").alias(f"{g}_set"), F.col("root").alias(f"{g}_root")) for g in ("a", "b"))
-    more = pairs.join(x, "a").join(y, "b").filter(F.col("a_root") != F.col("b_root")).select(*_ordered("a_set", "b_set")).distinct()
-    return components(first.unionByName(written(_linked(more, sets), "links")))
+    open_keys = placed.groupBy("key").agg((F.min("least") != F.max("most")).alias("open")).filter("open").select("key")
+    members = named.join(classes.select("set", "bits"), "set")
+    more = placed.join(open_keys, "key").join(members, "grp").select("key", "set", "n", "index", "root", "bits")
+    apart = classes.join(several.select("grp"), "grp", "left_semi").join(inside.filter(F.col("least") != F.col("most")).select("grp"), "grp", "left_semi")
+    same = apart.select(F.hash("grp").cast("long").alias("key"), "set", "n", F.lit(True).alias("index"), "bits").join(named.select("set", "root"), "set").select("key", "set", "n", "index", "root", "bits")
+    pairs = written(_candidates(more.unionByName(same)), "more-pairs")
+    return components(first.unionByName(written(_linked(pairs, classes, docs, words), "links")))
+
+
+def least_overlap_of(n: Column, m: Column) -> Column:
+    """``least_overlap``, as a column."""
+    return F.floor((PERCENT * (n + m) + 99 + PERCENT) / (100 + PERCENT))
 
 
-def least_overlap_of(n: Column) -> Column:
-    """``least_overlap`` of two sets of size ``n``, as a column."""
-    return F.floor((2 * PERCENT * n + 99 + PERCENT) / (100 + PERCENT))
+def prefix_length_of(n: Column) -> Column:
+    return n - F.floor((PERCENT * n + 99) / 100) + 1
 
 
 def index_length_of(n: Column) -> Column:
-    return n - least_overlap_of(n) + 1
+    return n - least_overlap_of(n, n) + 1
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,7 +333,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("k"))
     levels = spark.sparkContext.broadcast(_shingle_levels(one, words).tobytes())
     marked = written(_signatures(one, words, levels), "signatures")
-    classes = written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix")), "classes")
+    classes = written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     roots = _components(classes, one, words)
     named = classes.select("set", "id").join(roots.withColumnRenamed("id", "set"), "set", "left").select("set", "id", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

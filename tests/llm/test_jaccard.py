@@ -78,9 +78,9 @@ def test_no_link_is_lost_without_the_first_comparisons(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKETS", 64)
     real, calls = jaccard._linked, []
 
-    def second_only(pairs, sets):
+    def second_only(pairs, *rest):
         calls.append(1)
-        return real(pairs, sets) if len(calls) > 1 else real(pairs, sets).limit(0)
+        return real(pairs, *rest) if len(calls) > 1 else real(pairs, *rest).limit(0)
 
     monkeypatch.setattr(jaccard, "_linked", second_only)
     assert result(jaccard.jaccard_components(df)) == by_hand(docs)
@@ -97,10 +97,21 @@ def test_prefix_lengths_lose_no_pair():
 
 def test_pairs_of_a_shared_passage_are_filtered():
     draw = np.random.default_rng(4)
-    prefixes = [np.sort(np.r_[draw.integers(0, 2**40, 30), 2**41]) for _ in range(300)]
-    rows = [(bytes([i // 256, i % 256]), 300, True, None, p) for i, p in enumerate(prefixes)]
-    assert jaccard.group_pairs(rows) == []
-    assert len(jaccard.group_pairs([*rows, (b"x", 300, True, None, prefixes[0])])) == 1
+    passage = draw.integers(0, 2**63, 50, np.uint64)
+    sets = [np.r_[draw.integers(0, 2**63, 250, np.uint64), passage] for _ in range(300)]
+    rows = [(bytes([i // 256, i % 256]), 300, True, bytes([i // 256, i % 256]), jaccard.parities(s)) for i, s in enumerate(sets)]
+    assert jaccard.class_pairs(rows) == []
+    near = (b"x", 301, True, b"x", jaccard.parities(np.r_[sets[0], np.uint64(5)]))
+    assert jaccard.class_pairs([*rows, near]) == [(rows[0][0], b"x")] == jaccard.class_pairs([*rows, near], 1)
+    assert jaccard.class_pairs([*rows, (*near[:3], rows[0][3], near[4])]) == []
+
+
+def test_bitmaps_never_show_more_than_differs():
+    draw = np.random.default_rng(6)
+    for n in (1, 20, 300, 4000):
+        one = draw.integers(0, 2**63, n, np.uint64)
+        other = np.unique(np.r_[one[draw.random(n) < 0.8], draw.integers(0, 2**63, n // 5, np.uint64)])
+        assert np.bitwise_count(jaccard.parities(one) ^ jaccard.parities(other)).sum() <= len(np.setxor1d(one, other))
 
 
 def test_query_against_sql(spark, small, duck):
