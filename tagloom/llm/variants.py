@@ -39,7 +39,8 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 FORM_TIMES = 10  # a form is so many times as frequent
 DELETE_EVERY = 31
-HOT = 100  # words of one half
+HOT = 1024  # words of one half
+LONG = 40  # what is left of a word beyond that is compared word by word
 COUNTED = 200_000  # words a task counts before it hands them on
 CHUNK = 20_000  # words in an automaton at once
 
@@ -118,31 +119,66 @@ def one_edit(a: str, b: str) -> bool:
     return longer == 1
 
 
+class Rests:
+    """What is left of the words that own one half at one place: looked up whole, or with one place open."""
+
+    def __init__(self) -> None:
+        self.whole: dict[str, tuple[str, int]] = {}
+        self.open: dict[str, list[tuple[str, int]]] = {}
+        self.long: list[tuple[str, int]] = []
+
+    def add(self, rest: str, word: str, n: int) -> None:
+        if len(rest) > LONG:
+            self.long.append((word, n))
+            return
+        self.whole[rest] = (word, n)
+        for i in range(len(rest)):
+            self.open.setdefault(f"{rest[:i]}*{rest[i + 1 :]}", []).append((word, n))
+
+    def near(self, rest: str) -> Iterator[tuple[str, int]]:
+        """Words that may be near one with this rest."""
+        if len(rest) <= LONG + 1:
+            for i in range(len(rest)):
+                if found := self.whole.get(rest[:i] + rest[i + 1 :]):
+                    yield found
+                if found := self.open.get(f"{rest[:i]}*{rest[i + 1 :]}"):
+                    yield from found
+        yield from self.long
+
+
 class Shard:
-    """An automaton over halves; of each the words it belongs to, and where it stands in them."""
+    """An automaton over halves; of each the words it belongs to, by what stands before a first half's end or from a second half's beginning."""
 
     def __init__(self, owners: list[tuple[str, str, int, int, int, int]]):
         """``owners``: key, word, n, what is left of the word (lo and hi), the half's length."""
         self.automaton = ahocorasick.Automaton()
-        held: dict[str, list[tuple[bool, int, int, str, int]]] = {}
+        held: dict[str, dict[tuple[bool, str], Rests]] = {}
         for key, word, n, lo, hi, size in owners:
             front = key[-size - 1] == "<"
-            held.setdefault(key[-size:], []).append((front, lo if front else len(word) - hi, size, word, n))
-        for half, words in held.items():
-            self.automaton.add_word(half, words)
+            fixed, rest = (word[:lo], word[lo:]) if front else (word[hi:], word[:hi])
+            held.setdefault(key[-size:], {}).setdefault((front, fixed), Rests()).add(rest, word, n)
+        for half, places in held.items():
+            self.automaton.add_word(half, (len(half), list(places.items())))
         self.automaton.make_automaton()
 
     def near(self, words: dict[str, int]) -> Iterator[tuple[str, int, str, int]]:
         """(word, its n, a near word, its n) of all ``words`` scanned: the first is the shorter, or if equally long the smaller."""
         for word, n in words.items() if len(self.automaton) else ():
             length = len(word)
-            for end, owners in self.automaton.iter(word):
-                for front, place, size, other, m in owners:
-                    if place != (end + 1 if front else length - end - 1 + size):
-                        continue
-                    longer = length - len(other)
-                    if (longer == 1 or (longer == 0 and other < word)) and one_edit(other, word):
-                        yield other, m, word, n
+            for end, (size, places) in self.automaton.iter(word):
+                for (front, fixed), rests in places:
+                    if front:
+                        if len(fixed) != end + 1 or not word.startswith(fixed):
+                            continue
+                        rest = word[end + 1 :]
+                    else:
+                        if len(fixed) != length - end - 1 + size or not word.endswith(fixed):
+                            continue
+                        rest = word[: length - len(fixed)]
+                    for other, m in rests.near(rest):
+                        longer = length - len(other)
+                        if (longer == 1 or (longer == 0 and other < word)) and one_edit(other, word):
+                            yield other, m, word, n
 
 
 def _pairs(keyed: DataFrame) -> DataFrame:

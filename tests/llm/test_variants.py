@@ -72,6 +72,7 @@ def texts(seed, letters="abÿé", words=60):
 def test_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(variants, "HOT", hot)
     monkeypatch.setattr(variants, "CHUNK", 150)
+    monkeypatch.setattr(variants, "LONG", 4 if hot == 2 else 40)
     docs = texts(hot)
     want = grouped(counted(docs))
     assert any(r[1] != r[2] and r[1] for r in want) or hot == 100  # chains of forms
