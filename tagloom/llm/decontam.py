@@ -19,7 +19,7 @@ As a Spark job. The benchmark's tokens and seeds are made in tasks and written.
 table of ``2^FILTER_BITS`` bits at most, set where a seed's hash falls, tells texts
 which of their seeds to send to the join. Texts are told apart by two 64-bit hashes,
 so copies are verified once. The smaller side of a join is broadcast up to
-``MAX_BROADCAST`` rows, else dealt out ``SALTS`` times, so that a seed, item or text
+``MAX_BROADCAST`` bytes, else dealt out ``SALTS`` times, so that a seed, item or text
 that is very common goes to many tasks.
 
 Tokens are lower-cased words without punctuation at their ends.
@@ -50,7 +50,7 @@ MIN_SIMILARITY = 0.8
 MIN_MATCHES = 10
 MIN_TOKENS = 5
 FILTER_BITS = 28
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 64 << 20  # bytes
 SALTS = 16
 ITEMS_AT_ONCE = 64
 PAIRS_AT_ONCE = 1 << 21
@@ -102,36 +102,48 @@ def overlap(same: np.ndarray) -> int:
 
 
 def best_overlap(text: np.ndarray, item: np.ndarray) -> int:
-    """Equal tokens of the best overlap that makes a text contaminated, 0 without one."""
+    """Equal tokens of the best overlap that makes a text contaminated, 0 without one.
+
+    Equal pairs are counted by diagonal, ``PAIRS_AT_ONCE`` at a time, so memory grows with the lengths and not with their product.
+    """
     n, m = len(text), len(item)
     least = min(MIN_MATCHES, -(-4 * m // 5))
     order = np.argsort(item, kind="stable")
     ordered, best = item[order], 0
-    step = max(m, PAIRS_AT_ONCE // max(1, m))
-    for start in range(0, n, step):  # diagonals by where they begin: a piece and the item's length after it
-        part = text[max(0, start - m) : start + step + m]
-        base = max(0, start - m)
-        low, high = np.searchsorted(ordered, part, "left"), np.searchsorted(ordered, part, "right")
-        counts = high - low
-        places = np.repeat(np.arange(len(part)), counts)
-        inside = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
-        diagonals = places - order[np.repeat(low, counts) + inside] + m - 1
-        totals = np.bincount(diagonals, minlength=len(part) + m)
-        some = np.flatnonzero(totals >= max(least, best + 1))
-        for diagonal in some[np.argsort(-totals[some], kind="stable")]:
-            if totals[diagonal] <= best:
-                break
-            at = int(diagonal) - m + 1
-            low_, high_ = max(0, at), min(len(part), at + m)
-            best = max(best, overlap(part[low_:high_] == item[low_ - at : high_ - at]))
-        if best == m or base + len(part) >= n:
+    low, high = np.searchsorted(ordered, text, "left"), np.searchsorted(ordered, text, "right")
+    counts = high - low
+    hit = np.flatnonzero(counts)
+    ends = np.cumsum(counts[hit])
+    totals, at = np.zeros(n + m, np.int64), 0  # of each diagonal: where the item would begin, counted from 1 - m
+    while at < len(hit):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+        some, each = hit[at:to], counts[hit[at:to]]
+        inside = np.arange(ends[to - 1] - done) - np.repeat(ends[at:to] - each - done, each)
+        diagonals = np.repeat(some, each) - order[np.repeat(low[some], each) + inside] + m - 1
+        first = int(diagonals.min())
+        found = np.bincount(diagonals - first)
+        totals[first : first + len(found)] += found
+        at = to
+    some = np.flatnonzero(totals >= max(1, least))
+    for diagonal in some[np.argsort(-totals[some], kind="stable")]:
+        if totals[diagonal] <= best or best == m:
             break
+        begin = int(diagonal) - m + 1
+        low_, high_ = max(0, begin), min(n, begin + m)
+        best = max(best, overlap(text[low_:high_] == item[low_ - begin : high_ - begin]))
     return best if best >= least else 0
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of the rows, about."""
+    each = [F.size(c) * 8 if t.startswith("array") else F.octet_length(c) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes]
+    return df.agg(F.sum(sum((F.coalesce(e, F.lit(0)).cast("long") for e in each), F.lit(0)))).first()[0] or 0
+
+
 def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``left`` joined with the written table ``right``, whatever key is common in ``left``."""
-    if right.count() <= MAX_BROADCAST:
+    if _size(right) <= MAX_BROADCAST:
         return left.join(F.broadcast(right), keys, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")

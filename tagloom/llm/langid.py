@@ -9,8 +9,8 @@ to find the winner. The score is the family's probability against its closest
 opponent times the language's against its closest in the family: it can reach 1
 however many languages there are, and is about 0.25 at most for a guess among both.
 
-The machines are fitted on the driver on at most about ``PER_LANG`` labelled rows
-a language (chosen by a hash of doc_id), those of families on ``PER_FAMILY`` rows a
+The machines are fitted on the driver on at most ``PER_LANG`` labelled rows
+a language (chosen by a hash of doc_id and text), those of families on ``PER_FAMILY`` rows a
 family: that sample is the only bounded part. The whole texts of the sample are
 counted in Spark tasks; the driver gets the bins that are not empty and their counts,
 and spreads them out for one machine at a time.
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import shipped, unpacked
 from .linear import svm
@@ -160,15 +161,19 @@ class Hierarchy:
 
 
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Hierarchy | None:
-    """Fit on about ``per_lang`` rows of each language among those with ``train``; None without any."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = rows.groupBy(F.col(lang_col).alias("l")).count().collect()
+    """Fit on ``per_lang`` rows at most of each language among those with ``train``; None without any.
+
+    Rows are drawn by a hash of their id and text, so rows without an id are told apart, and repeated rows count once.
+    """
+    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, F.col(text_col).cast("string")).alias("h"))
+    known = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # a row per language
     if not known:
         return None
-    share = F.coalesce(*[F.when(F.col(lang_col) == r.l, F.lit(per_lang / r["count"])) for r in known])
-    chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
-    chosen = chosen.select(F.col(lang_col).alias("l"), F.col(text_col).cast("string").alias("t")).filter(F.col("t").rlike(r"\p{L}"))
-    sample = chosen.mapInArrow(_sampled, "l string, bins binary, counts binary").orderBy("l", F.xxhash64("bins", "counts")).limit(2 * per_lang * len(known)).toArrow()
+    share = F.coalesce(*[F.when(F.col("l") == r.l, F.lit(1.5 * per_lang / max(r.n, 1))) for r in known])
+    chosen = rows.filter((F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) & F.col("t").rlike(r"\p{L}"))
+    counts = chosen.mapInArrow(_sampled, "l string, bins binary, counts binary, h long").groupBy("l", "h").agg(F.first("bins").alias("bins"), F.first("counts").alias("counts"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h"))  # of about 1.5 times as many rows as stay
+    sample = counts.withColumn("_n", first).filter(F.col("_n") <= per_lang).orderBy("l", "h").select("l", "bins", "counts").toArrow()
     if not sample.num_rows:
         return None
     bins, counts = sample.column("bins").to_pylist(), sample.column("counts").to_pylist()
@@ -176,7 +181,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language, bins, counts) of (language, whole text): the bins that are not empty."""
+    """(language, bins, counts, h) of (language, whole text, h): the bins that are not empty."""
     for batch in batches:
         bins, counts = [], []
         for text in batch.column(1):
@@ -184,7 +189,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.flatnonzero(one)
             bins.append(some.astype(np.uint16).tobytes())
             counts.append(one[some].astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary())], ["l", "bins", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(bins, pa.binary()), pa.array(counts, pa.binary()), batch.column(2)], ["l", "bins", "counts", "h"])
 
 
 def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

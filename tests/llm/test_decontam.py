@@ -141,3 +141,14 @@ def test_texts_of_one_id_are_told_apart(spark):
     docs, benchmark, truth = planted(spark)
     found = contaminated(docs.selectExpr("7L AS doc_id", "text"), benchmark).collect()
     assert sum(r.contaminated for r in found) == sum(truth.values()) and len(found) == 240
+
+
+def test_long_repetitive_texts_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert decontam.best_overlap(np.full(20_000, 7, np.uint64), np.full(20_000, 7, np.uint64)) == 20_000
+    assert decontam.best_overlap(np.full(20_000, 7, np.uint64), np.r_[np.full(5_000, 7, np.uint64), np.full(15_000, 9, np.uint64)]) >= 5_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
