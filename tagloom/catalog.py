@@ -337,6 +337,13 @@ def cell_rank(spark, sf_dir):
     return _rounded(cells.cell_rank(cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir)))))
 
 
+@_query(_CALLED.replace("WITH reads", "WITH RECURSIVE reads", 1) + """, grid AS (SELECT CAST(1 AS BIGINT) AS g UNION ALL SELECT greatest(g + 1, (g * 105) // 100) FROM grid WHERE g < 100000000),
+r AS (SELECT sample_id, rank, n, molecules AS umis, called, sum(molecules) OVER (PARTITION BY sample_id ORDER BY rank) AS upto, sum(molecules) OVER (PARTITION BY sample_id) AS total FROM called JOIN (SELECT sample_id, count(*) AS n FROM cells GROUP BY 1) USING (sample_id))
+ SELECT sample_id, rank, umis, called, CAST(upto AS BIGINT) AS cumulative_umis, round(upto / total, 6) AS cumulative_fraction FROM r WHERE rank IN (SELECT g FROM grid) OR rank = n""")
+def cell_rank_spaced(spark, sf_dir):
+    return _rounded(cells.cell_rank_spaced(cells.call_cells(cells.cell_molecules(_plain(spark, sf_dir)))))
+
+
 @_query(_CALLED + """, ends AS (SELECT sample_id, count(*) AS n, max(molecules) AS top, min(molecules) AS low, avg(molecules) AS mean FROM called GROUP BY 1),
 far AS (SELECT c.sample_id, rank, molecules, mean, (ln(molecules) - ln(top) - ((ln(low) - ln(top)) / ln(n)) * ln(rank)) / sqrt(1 + pow((ln(low) - ln(top)) / ln(n), 2)) AS d FROM called c JOIN ends e ON c.sample_id = e.sample_id)
  SELECT sample_id, CASE WHEN molecules >= 10 * mean THEN rank ELSE 0 END AS knee_rank, CASE WHEN molecules >= 10 * mean THEN molecules ELSE 0 END AS knee_umis FROM far QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(d, 9) DESC, rank) = 1""")
@@ -691,6 +698,24 @@ def limit_of_detection(spark, sf_dir):
     return _rounded(studies.limits_of_detection(molecules_per_target(spark, sf_dir)))
 
 
+@_query(f"""WITH RECURSIVE per AS (SELECT s_suppkey % 3 AS c, molecules FROM ({_TARGETS}) t JOIN supplier ON s_suppkey = target), halving AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(200 AS DOUBLE) AS high
+  UNION ALL SELECT step + 1, CASE WHEN 1 - exp(-(low + high) / 2) * (1 + (low + high) / 2) < 0.95 THEN (low + high) / 2 ELSE low END, CASE WHEN 1 - exp(-(low + high) / 2) * (1 + (low + high) / 2) < 0.95 THEN high ELSE (low + high) / 2 END FROM halving WHERE step < 100),
+sums AS (SELECT concat('chr', c) AS chrom, count(*) AS sites, avg(molecules) AS molecules, CAST(sum(molecules) AS BIGINT) AS pooled FROM per GROUP BY 1)
+SELECT chrom, sites, round(molecules, 6) AS molecules, CASE WHEN molecules > 0 THEN round(least(1, high / molecules), 6) END AS lod, round(molecules * 1e-4 / 3, 6) AS background, pooled AS pooled_molecules, CASE WHEN pooled > 0 THEN round(least(1, high / pooled), 6) END AS lod_pooled, round(pooled * 1e-4 / 3, 6) AS background_pooled FROM sums, halving WHERE step = 100""")
+def pooled_detection(spark, sf_dir):
+    chrom = F.concat(F.lit("chr"), (F.col("target") % 3).cast("string")).alias("chrom")
+    return _rounded(studies.pooled_limits(molecules_per_target(spark, sf_dir).select(chrom, "molecules"), "chrom"))
+
+
+@_query(_COUNTS + """, n AS (SELECT sample_id, count(*) AS n FROM counts GROUP BY 1), w AS (SELECT sample_id, k, j, substr(key, CAST(j AS INT), CAST(k AS INT)) AS word, count(*) AS c FROM counts, range(1, 9) x(k), range(1, 13) y(j) WHERE j + k <= 13 GROUP BY ALL),
+p AS (SELECT sample_id, k, j, sum(CAST(c AS DOUBLE) * (c - 1)) / (sum(CAST(c AS DOUBLE)) * (sum(c) - 1)) AS p FROM w JOIN n USING (sample_id) WHERE k = 1 OR pow(4, k) <= n / 100.0 GROUP BY 1, 2, 3),
+e AS (SELECT a.sample_id, a.k, a.j, log10(a.p) - sum(log10(nullif(b.p, 0))) AS x, min(b.p) AS least, any_value(a.p) AS p FROM p a JOIN p b ON b.sample_id = a.sample_id AND b.k = 1 AND b.j >= a.j AND b.j < a.j + a.k WHERE a.p > 0 GROUP BY a.sample_id, a.k, a.j, a.p),
+r AS (SELECT sample_id, CAST(k AS INT) AS k, count(*) AS windows, avg(x) AS x FROM e WHERE least > 0 GROUP BY 1, 2)
+ SELECT sample_id, k, windows, round(x, 6) AS log10_excess, round(coalesce(avg(CASE WHEN k > 1 THEN x / (k - 1) END) OVER (PARTITION BY sample_id), 0), 6) AS slope FROM r""")
+def independence_widths(spark, sf_dir):
+    return _rounded(studies.independence_by_width(_counts(spark, sf_dir)))
+
+
 @_query(_COUNTS + """, seen AS (SELECT sample_id, count(*) AS barcodes, sum(CAST(cnt AS DOUBLE) * (cnt - 1)) / (sum(cnt) * (sum(cnt) - 1)) AS observed FROM counts GROUP BY 1),
 places AS (SELECT sample_id, i, sum(cnt) FILTER (substr(key, i, 1) = 'A') AS a, sum(cnt) FILTER (substr(key, i, 1) = 'C') AS c, sum(cnt) FILTER (substr(key, i, 1) = 'G') AS g, sum(cnt) FILTER (substr(key, i, 1) = 'T') AS t, CAST(sum(cnt) AS DOUBLE) AS n FROM (SELECT *, unnest(range(1, 13)) AS i FROM counts) GROUP BY 1, 2),
 product AS (SELECT sample_id, exp(sum(ln(pow(coalesce(a, 0) / n, 2) + pow(coalesce(c, 0) / n, 2) + pow(coalesce(g, 0) / n, 2) + pow(coalesce(t, 0) / n, 2)))) AS expected FROM places GROUP BY 1)
@@ -765,6 +790,14 @@ def molecule_split(spark, sf_dir):
     return _rounded(split.split_records(_shared_barcodes(spark, sf_dir)))
 
 
+@_query(_PARTED + """, held AS (SELECT sample_id, substr(umi_true, 1, 5) AS umi, count(*) AS reads, count(DISTINCT umi_true) AS true_parts FROM reads GROUP BY 1, 2), found AS (SELECT sample_id, split_part(umi_true, ':', 1) AS umi, count(DISTINCT umi_true) AS parts FROM parted GROUP BY 1, 2)
+ SELECT CAST(floor(log2(reads) + 1e-9) AS INT) AS depth_bin, count(*) AS mixed, count(*) FILTER (parts > 1) AS split, round(count(*) FILTER (parts > 1) / count(*), 6) AS power FROM held JOIN found USING (sample_id, umi) WHERE true_parts > 1 GROUP BY 1""")
+def split_power(spark, sf_dir):
+    """Of barcodes that several orders share, how many were split, by depth."""
+    r = _shared_barcodes(spark, sf_dir)
+    return _rounded(studies.split_power(split.split_records(r), r.select("sample_id", "umi", F.col("umi_true").alias("molecule"))))
+
+
 @_query()
 def linkage_null(spark, sf_dir):
     """The linkage of barcodes shared by orders against reads whose minority bases are dealt anew."""
@@ -1096,6 +1129,26 @@ def merged_pairs(spark, sf_dir):
     return _rounded(contigs.merged_mates(pairs))
 
 
+@_query()
+def count_ratio_null(spark, sf_dir):
+    return _rounded(studies.count_ratios(_kept_counts(spark, sf_dir)))
+
+
+@_query(_COUNTS + """, e AS (SELECT a.sample_id, greatest(a.cnt, b.cnt) / least(a.cnt, b.cnt) AS times FROM (SELECT sample_id, key, cnt, substr(key, 1, CAST(i AS INT) - 1) || c || substr(key, CAST(i AS INT) + 1) AS near FROM counts, range(1, 13) y(i), (SELECT unnest(['A', 'C', 'G', 'T']) AS c)) a JOIN counts b ON a.sample_id = b.sample_id AND a.near = b.key AND a.key < b.key)
+ SELECT sample_id, CAST(r AS INT) AS ratio, count(*) AS pairs, count(*) FILTER (times >= r) AS observed FROM e, (SELECT unnest([2, 3, 5, 10, 20]) AS r) GROUP BY 1, 2""")
+def count_ratios(spark, sf_dir):
+    """The seen half of ``count_ratio_null``."""
+    return studies.count_ratios(_kept_counts(spark, sf_dir), shuffles=1).select("sample_id", "ratio", "pairs", "observed")
+
+
+@_query()
+def template_collisions(spark, sf_dir):
+    """Barcodes shared by orders, their reads clustered by template, against the birthday's share."""
+    r = _shared_barcodes(spark, sf_dir)
+    space = barcodes.barcode_space(barcodes.barcode_counts(r))
+    return _rounded(studies.template_collisions(studies.template_clusters(r), space))
+
+
 @_query()
 def neighbour_nulls(spark, sf_dir):
     return studies.neighbour_null(_kept_counts(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import BASES, error_of, phred
 from ..storage import written
+from .tables import spaced_ranks
 
 EXPECTED_CELLS = 3000
 ORDMAG_SHARE = 0.01
@@ -58,6 +59,17 @@ def cell_rank(called: DataFrame) -> DataFrame:
     return ranks.select("sample_id", (F.col("_rank") + F.col("_i")).alias("rank"), "umis", "called", upto.alias("cumulative_umis"), (upto / F.col("_all")).alias("cumulative_fraction"))
 
 
+def cell_rank_spaced(called: DataFrame) -> DataFrame:
+    """(sample_id, rank, umis, called, cumulative_umis, cumulative_fraction) at spaced ranks, largest cells first: a few hundred rows however many cells there are."""
+    down = Window.partitionBy("sample_id").orderBy(F.desc("umis")).rowsBetween(Window.unboundedPreceding, -1)
+    each, whole = F.col("umis") * F.col("cells"), Window.partitionBy("sample_id")
+    sizes = cell_spectrum(called).select("sample_id", "umis", "called", "cells", F.coalesce(F.sum("cells").over(down), F.lit(0)).alias("_rank"), F.coalesce(F.sum(each).over(down), F.lit(0)).alias("_upto"), F.sum(each).over(whole).alias("_all"), F.sum("cells").over(whole).alias("_n"))
+    grid = sizes.select("sample_id", "_n").distinct().select("sample_id", F.explode(spaced_ranks(F.col("_n"))).alias("rank"))
+    hit = sizes.join(grid, "sample_id").filter((F.col("rank") > F.col("_rank")) & (F.col("rank") <= F.col("_rank") + F.col("cells")))
+    upto = F.col("_upto") + (F.col("rank") - F.col("_rank")) * F.col("umis")
+    return hit.select("sample_id", "rank", "umis", "called", upto.alias("cumulative_umis"), (upto / F.col("_all")).alias("cumulative_fraction"))
+
+
 def knee(called: DataFrame) -> DataFrame:
     """(sample_id, knee_rank, knee_umis): farthest above the chord of the log-log curve; 0 unless ten times the mean.
 

@@ -98,6 +98,16 @@ def _log_binomial(d: Column, n: Column, p: float) -> Column:
     return F.get(table, n) - F.get(table, d) - F.get(table, n - d) + d * math.log(p) + (n - d) * math.log1p(-p)
 
 
+_SMALL = [math.lgamma(k + 1) for k in range(256)]
+
+
+def log_factorial(n: Column) -> Column:
+    """log(n!): from a table, and by Stirling's series beyond it, where that is exact to double precision."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n < len(_SMALL), F.get(F.array(*map(F.lit, _SMALL)), F.least(n, F.lit(len(_SMALL) - 1)).cast("int"))).otherwise(series)
+
+
 def posteriors(barcodes: DataFrame, options: Correction = Correction(), rates: DataFrame | None = None, agreement: DataFrame | None = None) -> DataFrame:
     """(sample_id, child, parent, c_child, c_parent, pos, posterior) of all pairs that pass the gates.
 
@@ -120,8 +130,7 @@ def posteriors(barcodes: DataFrame, options: Correction = Correction(), rates: D
         per_sample = per_sample.join(agreement, "sample_id")
     # One row per distinct count: its share of barcodes, and log(count!).
     sizes = barcodes.groupBy("sample_id", F.col("cnt").alias("c_child")).agg(F.count("*").alias("_m")).join(n, "sample_id")
-    log_factorial = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("c_child")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
-    sizes = sizes.select("sample_id", "c_child", F.greatest(F.col("_m") / F.col("n"), 1 / (F.col("n") + 1)).alias("p_size"), log_factorial.alias("log_factorial"))
+    sizes = sizes.select("sample_id", "c_child", F.greatest(F.col("_m") / F.col("n"), 1 / (F.col("n") + 1)).alias("p_size"), log_factorial(F.col("c_child")).alias("log_factorial"))
 
     # Neighbours meet by key and count alone; what else a barcode carries is joined to the pairs that are left.
     pairs = neighbour_pairs(barcodes, "cnt").select("sample_id", "pos", F.col("a").alias("x"), F.col("b").alias("y"), F.col("a.cnt").alias("c_child"), F.col("b.cnt").alias("c_parent"))

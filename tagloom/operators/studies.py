@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,6 +281,19 @@ def divergence_null(barcodes: DataFrame, shuffles: int = 5) -> DataFrame:
     return _divergence(barcodes).join(stats, "sample_id").select("sample_id", "js", "null_mean", "null_sd", F.when(F.col("null_sd") > 0, (F.col("js") - F.col("null_mean")) / F.col("null_sd")).alias("z"))
 
 
+def counts_dealt_anew(barcodes: DataFrame, seed: int) -> DataFrame:
+    """(sample_id, key, cnt): every barcode with the count of the next one of its sample in an order of hashes, the last with the first's.
+
+    An exact permutation of the counts. Ranges of hashes are gone through apart; the first count of each is handed to the range before it.
+    """
+    rows = barcodes.select("sample_id", "key", "cnt", F.xxhash64(F.lit(seed), "key").alias("_h")).withColumn("_r", F.shiftrightunsigned("_h", 52))
+    within = F.lead("cnt", 1).over(Window.partitionBy("sample_id", "_r").orderBy("_h", "key"))
+    ranges = rows.groupBy("sample_id", "_r").agg(F.min_by("cnt", F.struct("_h", "key")).alias("first"))
+    order = Window.partitionBy("sample_id").orderBy("_r")  # 4,096 rows a sample at most
+    after = F.coalesce(F.lead("first", 1).over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.withColumn("_n", within).join(ranges.select("sample_id", "_r", after.alias("_after")), ["sample_id", "_r"]).select("sample_id", "key", F.coalesce("_n", "_after").alias("cnt"))
+
+
 def neighbour_null(barcodes: DataFrame, seed: int = 0) -> DataFrame:
     """(sample_id, pairs, chance_pairs, ratio_pairs, permuted_ratio_pairs): distance-one pairs seen and in shuffled columns; pairs with counts twice apart or more, seen and with the counts dealt anew."""
     shuffled = column_shuffled(barcodes, seed).distinct()
@@ -285,21 +301,137 @@ def neighbour_null(barcodes: DataFrame, seed: int = 0) -> DataFrame:
     def count(pairs: DataFrame, name: str) -> DataFrame:
         return pairs.filter(F.col("a.key") < F.col("b.key")).groupBy("sample_id").agg(F.count("*").alias(name))
 
-    order = Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "key"), "key")
-    dealt = barcodes.select("sample_id", "key", F.lead("cnt", 1).over(order).alias("cnt")).filter("cnt IS NOT NULL")
-
     def apart(rows: DataFrame, name: str) -> DataFrame:
         low, high = F.least("a.cnt", "b.cnt"), F.greatest("a.cnt", "b.cnt")
         return count(neighbour_pairs(rows, "cnt").filter(high >= 2 * low), name)
 
     rows = barcodes.select("sample_id").distinct()
-    parts = (count(neighbour_pairs(barcodes), "pairs"), count(neighbour_pairs(shuffled), "chance_pairs"), apart(barcodes.select("sample_id", "key", "cnt"), "ratio_pairs"), apart(dealt, "permuted_ratio_pairs"))
+    parts = (count(neighbour_pairs(barcodes), "pairs"), count(neighbour_pairs(shuffled), "chance_pairs"), apart(barcodes.select("sample_id", "key", "cnt"), "ratio_pairs"), apart(counts_dealt_anew(barcodes, seed), "permuted_ratio_pairs"))
     for p in parts:
         rows = rows.join(p, "sample_id", "left")
     names = ("pairs", "chance_pairs", "ratio_pairs", "permuted_ratio_pairs")
     return rows.select("sample_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
+RATIOS = (2, 3, 5, 10, 20)
+
+
+def count_ratios(barcodes: DataFrame, ratios: tuple[int, ...] = RATIOS, shuffles: int = 5) -> DataFrame:
+    """(sample_id, ratio, pairs, observed, null_mean, null_sd, excess, z): distance-one pairs whose counts are so many times apart or more, against the same pairs with the counts dealt anew.
+
+    The graph stays; only the link between a barcode and its count goes. Excess pairs are parents and their errors.
+    """
+    from functools import reduce
+
+    from ..storage import written
+
+    edges = neighbour_pairs(barcodes, "cnt").filter(F.col("a.key") < F.col("b.key"))
+    edges = written(edges.select("sample_id", F.col("a.key").alias("x"), F.col("b.key").alias("y"), F.col("a.cnt").alias("c"), F.col("b.cnt").alias("d")), "neighbours")
+
+    def tally(rows: DataFrame, *by: str) -> DataFrame:
+        times = F.greatest("c", "d") / F.least("c", "d")
+        counts = rows.groupBy("sample_id", *by).agg(F.count("*").alias("pairs"), *(F.count_if(times >= r).alias(f"r{r}") for r in ratios))
+        return counts.select("sample_id", *by, "pairs", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(f"r{r}").alias("n")) for r in ratios))).alias("t")).select("sample_id", *by, "pairs", "t.ratio", "t.n")
+
+    def dealt(seed: int) -> DataFrame:
+        new = written(counts_dealt_anew(barcodes, seed), "dealt")
+        sides = [new.select("sample_id", F.col("key").alias(k), F.col("cnt").alias(c)) for k, c in (("x", "c"), ("y", "d"))]
+        return edges.select("sample_id", "x", "y").join(sides[0], ["sample_id", "x"]).join(sides[1], ["sample_id", "y"]).select("sample_id", "c", "d", F.lit(seed).alias("seed"))
+
+    null = tally(reduce(DataFrame.unionByName, map(dealt, range(shuffles))), "seed").groupBy("sample_id", "ratio").agg(F.avg("n").alias("null_mean"), F.stddev_samp("n").alias("null_sd"))
+    excess = F.col("n") - F.col("null_mean")
+    return tally(edges).join(null, ["sample_id", "ratio"]).select("sample_id", "ratio", "pairs", F.col("n").alias("observed"), "null_mean", "null_sd", excess.alias("excess"), F.when(F.col("null_sd") > 0, excess / F.col("null_sd")).alias("z"))
+
+
+MAX_WIDTH = 8
+
+
+def independence_by_width(barcodes: DataFrame) -> DataFrame:
+    """(sample_id, k, windows, log10_excess, slope): the collision of k adjacent positions of distinct barcodes against the product of each position's, by unbiased estimates, averaged over windows.
+
+    Widths go as far as a sample has a hundred barcodes for each word of one more. ``slope`` is the mean excess
+    an added position brings. Words are counted in tasks before they move.
+    """
+    n = barcodes.groupBy("sample_id").agg(F.count("*").alias("n"), F.min(F.length("key")).alias("l"))
+    most = F.least(F.greatest(F.floor(F.log(F.col("n") / 100 + 1e-9) / math.log(4)), F.lit(1)), F.col("l"), F.lit(MAX_WIDTH)).cast("int")
+    rows = barcodes.select("sample_id", "key").join(F.broadcast(n.select("sample_id", "l", most.alias("most"))), "sample_id")  # a row per sample
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), "most"), lambda k: F.transform(F.sequence(F.lit(1), F.col("l") - k + 1), lambda j: F.struct(k.alias("k"), j.alias("j")))))
+    words = rows.select("sample_id", "key", F.explode(windows).alias("w")).groupBy("sample_id", "w.k", "w.j", F.substring(F.col("key"), F.col("w.j"), F.col("w.k")).alias("word")).agg(F.count("*").alias("c"))
+    c = F.col("c").cast("double")
+    seen = words.groupBy("sample_id", "k", "j").agg((F.sum(c * (c - 1)) / (F.sum(c) * (F.sum(c) - 1))).alias("p"))
+    single = seen.filter("k = 1").select("sample_id", F.col("j").alias("at"), F.col("p").alias("q"))
+    product = seen.join(single, "sample_id").filter((F.col("at") >= F.col("j")) & (F.col("at") < F.col("j") + F.col("k"))).groupBy("sample_id", "k", "j", "p").agg(F.sum(F.log10(F.when(F.col("q") > 0, F.col("q")))).alias("log"), F.min("q").alias("least"))
+    usable = product.filter((F.col("p") > 0) & (F.col("least") > 0))
+    rates = usable.groupBy("sample_id", "k").agg(F.count("*").alias("windows"), F.avg(F.log10("p") - F.col("log")).alias("log10_excess"))
+    whole = Window.partitionBy("sample_id")
+    slope = F.coalesce(F.avg(F.when(F.col("k") > 1, F.col("log10_excess") / (F.col("k") - 1))).over(whole), F.lit(0.0))
+    return rates.select("sample_id", "k", "windows", "log10_excess", slope.alias("slope"))
+
+
+def template_clusters(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "umi"), divergence: float = 0.05, min_share: float = 0.2, min_reads: int = 4) -> DataFrame:
+    """(keys, reads, templates, first): molecules of ``min_reads`` reads or more, and how many templates hold ``min_share`` of their reads.
+
+    Reads join the first leader, in order of src_index, from which at most ``divergence`` of the
+    positions both have differ, or lead themselves. ``first`` is the first read.
+    """
+    from .consensus import by_molecule, voting
+
+    def run(seqs, quals, starts):
+        which, out = [], []
+        for g, (start, end) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(seqs)])):
+            if end - start >= min_reads:
+                sizes = leaders(seqs[start:end], divergence)
+                which.append(g)
+                out.append((end - start, sum(n >= min_share * (end - start) for n in sizes), seqs[start].decode()))
+        return which, [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.string()))]
+
+    votes, _ = voting(reads, keys)
+    return by_molecule(votes, keys, run, "reads long, templates int, first string")
+
+
+def leaders(seqs: list[bytes], divergence: float) -> list[int]:
+    """Reads of each greedy cluster, by its leader in order."""
+    lengths = np.array([len(s) for s in seqs])
+    letters = np.zeros((len(seqs), int(lengths.max(initial=0))), np.uint8)
+    for row, s in zip(letters, seqs):
+        row[: len(s)] = np.frombuffer(s, np.uint8)
+    left, out = np.arange(len(seqs)), []
+    while len(left):
+        lead = letters[left[0]]
+        differ = ((letters[left] != lead) & (letters[left] != 0) & (lead != 0)).sum(axis=1)
+        apart = differ > divergence * np.minimum(lengths[left], lengths[left[0]])
+        out.append(int((~apart).sum()))
+        left = left[apart]
+    return out
+
+
+TRIALS = 20_000
+
+
+def template_collisions(clusters: DataFrame, space: DataFrame, divergence: float = 0.05, trials: int = TRIALS) -> DataFrame:
+    """(sample_id, groups, split, observed, trials, detectable, corrected, expected, ratio) of ``template_clusters``.
+
+    Only molecules of different templates are seen to collide: ``detectable`` is the share of random pairs of
+    groups that differ (neighbours in an order of hashes, ``trials`` of them at most), and ``corrected``
+    is what is observed over that. ``expected`` is the birthday's share of barcodes with two molecules.
+    """
+    n = clusters.groupBy("sample_id").agg(F.count("*").alias("groups"), F.count_if(F.col("templates") > 1).alias("split"))
+    share = F.least(F.lit(1.0), 1.5 * (trials + 1) / F.col("groups"))
+    h = F.xxhash64("umi")
+    drawn = clusters.select("sample_id", "umi", "first", h.alias("h")).join(F.broadcast(n.select("sample_id", "groups")), "sample_id").filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))  # a row per sample
+    order = Window.partitionBy("sample_id").orderBy("h", "umi")  # of 1.5 times the trials at most, about
+    pairs = drawn.select("sample_id", "first", F.lead("first", 1).over(order).alias("other"), F.row_number().over(order).alias("i")).filter((F.col("i") <= trials) & F.col("other").isNotNull())
+    both = F.least(F.length("first"), F.length("other"))
+    unlike = F.size(F.filter(F.sequence(F.lit(0), both), lambda i: (i > 0) & (F.substring(F.col("first"), i, F.lit(1)) != F.substring(F.col("other"), i, F.lit(1)))))
+    tried = pairs.groupBy("sample_id").agg(F.count("*").alias("trials"), F.avg((unlike > divergence * both).cast("double")).alias("detectable"))
+    rate = F.col("lambda")
+    chance = F.when(rate > 0, (1 - F.exp(-rate) - rate * F.exp(-rate)) / (1 - F.exp(-rate))).otherwise(0.0)
+    observed = F.col("split") / F.col("groups")
+    corrected = F.when(F.col("detectable") > 0, observed / F.col("detectable"))
+    out = n.join(tried, "sample_id", "left").join(space.select("sample_id", "lambda"), "sample_id")
+    return out.select("sample_id", "groups", "split", observed.alias("observed"), F.coalesce("trials", F.lit(0)).alias("trials"), F.coalesce("detectable", F.lit(0.0)).alias("detectable"), corrected.alias("corrected"), chance.alias("expected"), F.when(chance > 0, corrected / chance).alias("ratio"))
+
+
 def collisions(molecules: DataFrame, space: DataFrame) -> DataFrame:
     """(sample_id, groups, mixed, observed, expected) of (sample_id, umi, template, reads): barcodes under which a second template has a fifth of the reads or more, against the birthday's share."""
     share = F.col("reads") / F.sum("reads").over(Window.partitionBy("sample_id", "umi"))
@@ -336,6 +468,14 @@ def limits_of_detection(targets: DataFrame, needed: int = 2, floor: float = 1e-4
     return targets.withColumns({"background": F.col("molecules") * F.lit(floor / 3), "lod": F.when(F.col("molecules") > 0, F.least(share, F.lit(1.0)))})
 
 
+def pooled_limits(targets: DataFrame, by: str, needed: int = 2, floor: float = 1e-4, power: float = 0.95) -> DataFrame:
+    """(by, sites, molecules, lod, background, pooled_molecules, lod_pooled, background_pooled): limits at the mean site, and over all sites together, where evidence adds up."""
+    sums = targets.groupBy(by).agg(F.count("*").alias("sites"), F.avg("molecules").alias("molecules"), F.sum("molecules").alias("pooled"))
+    one = limits_of_detection(sums, needed, floor, power)
+    pooled = limits_of_detection(one.select(by, "sites", F.col("molecules").alias("_m"), F.col("lod").alias("_l"), F.col("background").alias("_b"), F.col("pooled").alias("molecules")), needed, floor, power)
+    return pooled.select(by, "sites", F.col("_m").alias("molecules"), F.col("_l").alias("lod"), F.col("_b").alias("background"), F.col("molecules").alias("pooled_molecules"), F.col("lod").alias("lod_pooled"), F.col("background").alias("background_pooled"))
+
+
 def read_starts(blocks: DataFrame) -> DataFrame:
     """(grp, reads, starts, range, coterminal): distinct starts of a group's reads, how far apart, and whether all end or begin at one place."""
     n = blocks.groupBy("grp").agg(F.count("*").alias("reads"), F.count_distinct("start").alias("starts"), (F.max("start") - F.min("start")).alias("range"), F.count_distinct("end").alias("_ends"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import comparable, hamming, size_bin
@@ -106,6 +106,16 @@ def rank_grid(n: int) -> list[int]:
     return out if not out or out[-1] == n else [*out, n]
 
 
+def spaced_ranks(n: Column) -> Column:
+    """``rank_grid`` as an expression: about 20 ranks per factor of e."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(900)),
+        F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("ranks")),
+        lambda s, _: F.when(s["at"] > n, s).otherwise(F.struct(F.greatest(s["at"] + 1, F.floor(F.round(s["at"] * 105) / 100)).cast("long").alias("at"), F.concat(s["ranks"], F.array(s["at"])).alias("ranks"))),
+        lambda s: F.array_distinct(F.concat(s["ranks"], F.array(n))),
+    )
+
+
 def molecule_rank(table: DataFrame) -> DataFrame:
     """(sample_id, rank, reads, cumulative_reads, cumulative_fraction) at spaced ranks, largest molecules first.
 
@@ -115,14 +125,7 @@ def molecule_rank(table: DataFrame) -> DataFrame:
     down = Window.partitionBy("sample_id").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("sample_id")
     spectrum = spectrum.select("sample_id", "size", "molecules", F.sum("molecules").over(down).alias("to"), F.sum("reads").over(down).alias("reads_to"), F.sum("molecules").over(whole).alias("n"), F.sum("reads").over(whole).alias("total"))
-    # The spaced ranks as an expression: about 20 per factor of e.
-    grid = F.aggregate(
-        F.sequence(F.lit(1), F.lit(900)),
-        F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("ranks")),
-        lambda s, _: F.when(s["at"] > F.col("n"), s).otherwise(F.struct(F.greatest(s["at"] + 1, F.floor(F.round(s["at"] * 105) / 100)).cast("long").alias("at"), F.concat(s["ranks"], F.array(s["at"])).alias("ranks"))),
-        lambda s: F.array_distinct(F.concat(s["ranks"], F.array(F.col("n")))),
-    )
-    grids = spectrum.select("sample_id", "n").distinct().select("sample_id", F.explode(grid).alias("rank"))
+    grids = spectrum.select("sample_id", "n").distinct().select("sample_id", F.explode(spaced_ranks(F.col("n"))).alias("rank"))
     hit = spectrum.join(grids, "sample_id").filter((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("molecules")))
     upto = F.col("reads_to") - (F.col("to") - F.col("rank")) * F.col("size")
     return hit.select("sample_id", "rank", F.col("size").alias("reads"), upto.alias("cumulative_reads"), (upto / F.col("total")).alias("cumulative_fraction"))
