@@ -18,13 +18,13 @@ def turned(s):
 
 
 def test_presets():
-    assert presets.preset("10x")[0].count("X") == 16 and presets.assay("cfDNA")[0] == "ctdna"
+    assert presets.preset("10x")[0].count("X") == 16 and presets.recipe(" cfDNA")["assay"] == "ctdna"
     assert presets.recipe("vdj") == {"assay": "10x-vdj", "layout": presets.PRESETS["10x-v2"][0], "slave": None, "also": ("10x",), "min_reads": 1, "pre_amp": "rt", "use_payload": True, "fast": False, "contig": True}
     for name, (master, slave) in presets.PRESETS.items():
         assert presets.describe([{"sample": name, "pattern": master, "slave": slave}])[0]["umi"] + master.count("X") > 0
     assert presets.describe([{"sample": "d", "pattern": presets.PRESETS["duplex"][0], "slave": presets.PRESETS["duplex"][1]}])[0]["umi"] == 24
     assert presets.inline_sheet("^XXXXNNNN", "S1")[0]["sample"] == "S1"
-    for bad in (lambda: presets.preset("none"), lambda: presets.assay("none"), lambda: presets.inline_sheet("CCCCCCNNNN", "S"), lambda: presets.describe([{"sample": "s", "pattern": "ACGT", "slave": None}])):
+    for bad in (lambda: presets.preset("none"), lambda: presets.recipe("none"), lambda: presets.inline_sheet("CCCCCCNNNN", "S"), lambda: presets.describe([{"sample": "s", "pattern": "ACGT", "slave": None}])):
         with pytest.raises(ValueError):
             bad()
 
