@@ -45,7 +45,7 @@ PERCENT = 90
 BUCKETS = 1 << 24
 SLICES = 64  # parts of the buckets that are summed apart
 BITS = 1024  # of a set's bitmap
-HUBS = 3  # groups drawn for a shingle, that all others are compared with first
+HUBS = 2  # groups drawn for a shingle, that all others are compared with first
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -231,7 +231,7 @@ def class_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
     sizes = np.array([r[1] for r in rows], np.int64)
     index = np.array([r[2] for r in rows], bool)
     _, roots = np.unique(np.array([r[3] for r in rows], object), return_inverse=True)
-    bits = np.stack([np.asarray(r[4], np.int64) for r in rows])
+    bits = np.stack([np.asarray(r[4], np.int64) for r in rows]).view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
     out = []
     if (roots == roots[0]).all():
         return out
@@ -284,32 +284,37 @@ def _pairs_batch(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in set(pairs)], pa.binary()) for i in range(2)] if pairs else [pa.array([], pa.binary())] * 2, ["a", "b"])
 
 
-def _components(classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(set, root) of the classes that link with others."""
-    groups = written(classes.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("set").alias("hub"), F.count("*").alias("members")), "groups")
-    keyed = groups.select("grp", "n", F.posexplode("prefix").alias("at", "key")).select("key", "grp", "n", (F.col("at") < index_length_of(F.col("n"))).alias("index"))
+def _components(marked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(set, root) of the classes that link with others.
+
+    Where shingles meet, groups go by 64 bits of their hash: two that share them are both looked at.
+    """
+    hubs = classes.groupBy("grp").agg(F.min("set").alias("hub"), F.count("*").alias("members"))
+    prefixes = marked.filter("n > 0").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keyed = prefixes.select(F.xxhash64("grp").alias("g"), "n", F.posexplode("prefix").alias("at", "key")).select("key", "g", "n", (F.col("at") < index_length_of(F.col("n"))).alias("index"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max("index").alias("any")).filter((F.col("m") > 1) & F.col("any")).select("key", "m")
     meeting = written(keyed.join(shared, "key"), "shared-shingles")
-    share = meeting.groupBy("grp", "n").agg((F.sum("m") / prefix_length_of(F.col("n"))).alias("s")).drop("n")
-    drawn = [F.max(F.struct(F.xxhash64("grp", F.lit(i)).alias("s"), "grp"))["grp"] for i in range(HUBS)]
-    central = meeting.join(share, "grp").groupBy("key").agg(F.max(F.struct("s", "grp"))["grp"].alias("h"), *(h.alias(f"h{i}") for i, h in enumerate(drawn)))
+    groups = written(hubs.join(classes.select(F.col("set").alias("hub"), "n"), "hub").withColumn("g", F.xxhash64("grp")), "groups")
+    share = meeting.groupBy("g", "n").agg((F.sum("m") / prefix_length_of(F.col("n"))).alias("s")).drop("n")
+    drawn = [F.max(F.struct(F.xxhash64("g", F.lit(i)).alias("s"), "g"))["g"] for i in range(HUBS)]
+    central = meeting.select("key", "g").join(share, "g").groupBy("key").agg(F.max(F.struct("s", "g"))["g"].alias("h"), *(h.alias(f"h{i}") for i, h in enumerate(drawn)))
     central = central.select("key", F.explode(F.array_distinct(F.array("h", *(f"h{i}" for i in range(HUBS))))).alias("other"))
-    stars = meeting.join(central, "key").filter(F.col("grp") != F.col("other")).select(F.least("grp", "other").alias("grp"), F.greatest("grp", "other").alias("other")).distinct()
-    hubs = groups.select(F.col("grp").alias("other"), F.col("hub").alias("_hub"))
-    between = stars.join(hubs, "other").join(groups.select("grp", "hub"), "grp").select(*_ordered("hub", "_hub"))
+    stars = meeting.select("key", "g").join(central, "key").filter(F.col("g") != F.col("other")).select(F.least("g", "other").alias("g"), F.greatest("g", "other").alias("other")).distinct()
+    ends = groups.select(F.col("g").alias("other"), F.col("hub").alias("_hub"))
+    between = stars.join(ends, "other").join(groups.select("g", "hub"), "g").select(*_ordered("hub", "_hub"))
     several = groups.filter((F.col("members") > 1) & (F.col("n") - 1 >= least_overlap_of(F.col("n"), F.col("n"))))
     within = classes.join(several.select("grp", "hub"), "grp").filter(F.col("set") != F.col("hub")).select(*_ordered("set", "hub"))
     first = written(_linked(written(_plausible(between.unionByName(within), classes), "first-pairs"), classes, docs, words), "links")
-    named = written(classes.select("set", "grp").join(components(first).withColumnRenamed("id", "set"), "set", "left").select("set", "grp", F.coalesce("root", "set").alias("root")), "joined")
+    named = written(classes.select("set", F.xxhash64("grp").alias("g"), "n", "bits").join(components(first).withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "joined")
 
     # What is left: shingles of classes not all joined, and groups of one class that are not.
-    inside = named.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    placed = meeting.join(inside, "grp")
+    inside = named.groupBy("g").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    placed = meeting.select("key", "g", "index").join(inside, "g")
     open_keys = placed.groupBy("key").agg((F.min("least") != F.max("most")).alias("open")).filter("open").select("key")
-    members = named.join(classes.select("set", "bits"), "set")
-    more = placed.join(open_keys, "key").join(members, "grp").select("key", "set", "n", "index", "root", "bits")
-    apart = classes.join(several.select("grp"), "grp", "left_semi").join(inside.filter(F.col("least") != F.col("most")).select("grp"), "grp", "left_semi")
-    same = apart.select(F.hash("grp").cast("long").alias("key"), "set", "n", F.lit(True).alias("index"), "bits").join(named.select("set", "root"), "set").select("key", "set", "n", "index", "root", "bits")
+    members = named.select("g", "set", "n", "root", "bits")
+    more = placed.join(open_keys, "key").select("key", "g", "index").join(members, "g").select("key", "set", "n", "index", "root", "bits")
+    apart = several.join(inside.filter(F.col("least") != F.col("most")), "g", "left_semi").select("g")
+    same = members.join(apart, "g", "left_semi").select(F.col("g").alias("key"), "set", "n", F.lit(True).alias("index"), "root", "bits")
     pairs = written(_candidates(more.unionByName(same)), "more-pairs")
     return components(first.unionByName(written(_linked(pairs, classes, docs, words), "links")))
 
@@ -333,8 +338,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_i
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("k"))
     levels = spark.sparkContext.broadcast(_shingle_levels(one, words).tobytes())
     marked = written(_signatures(one, words, levels), "signatures")
-    classes = written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
-    roots = _components(classes, one, words)
+    classes = written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")), "classes")
+    roots = _components(marked, classes, one, words)
     named = classes.select("set", "id").join(roots.withColumnRenamed("id", "set"), "set", "left").select("set", "id", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     found = marked.select("doc_id", "n", "set").join(named.join(least, "root").select("set", "component_id"), "set", "left")

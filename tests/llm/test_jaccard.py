@@ -108,10 +108,10 @@ def test_pairs_of_a_shared_passage_are_filtered():
 
 def test_bitmaps_never_show_more_than_differs():
     draw = np.random.default_rng(6)
-    for n in (1, 20, 300, 4000):
+    for n in (1, 20, 300, 4000) * 20:
         one = draw.integers(0, 2**63, n, np.uint64)
         other = np.unique(np.r_[one[draw.random(n) < 0.8], draw.integers(0, 2**63, n // 5, np.uint64)])
-        assert np.bitwise_count(jaccard.parities(one) ^ jaccard.parities(other)).sum() <= len(np.setxor1d(one, other))
+        assert np.bitwise_count((jaccard.parities(one) ^ jaccard.parities(other)).view(np.uint64)).sum() <= len(np.setxor1d(one, other))
 
 
 def test_query_against_sql(spark, small, duck):
