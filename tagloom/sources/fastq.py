@@ -120,9 +120,9 @@ def _plain(raw, part: Range) -> Iterator[tuple[bytes, bool]]:
         yield data, True
 
 
-def _inflated(raw, part: Range) -> Iterator[tuple[bytes, bool]]:
-    """The same of BGZF: text of the blocks that begin in the range, then of those behind it."""
-    raw.seek(part.begin)
+def inflated(raw, path: str, begin: int) -> Iterator[tuple[int, bytes]]:
+    """(where it begins, text) of the BGZF blocks of a file from byte ``begin`` on."""
+    raw.seek(begin)
     held, at = raw.read(CHUNK), 0
 
     def more(n: int) -> None:
@@ -130,8 +130,8 @@ def _inflated(raw, part: Range) -> Iterator[tuple[bytes, bool]]:
         while len(held) - at < n and (data := raw.read(CHUNK)):
             held, at = held[at:] + data, 0
 
-    place = part.begin  # of held[at]
-    while part.begin:  # the first block that another, or the end, follows where it says
+    place = begin  # of held[at]
+    while begin:  # the first block that another, or the end, follows where it says
         found = held.find(b"\x1f\x8b\x08\x04", at)
         if found < 0:
             keep = max(at, len(held) - 3)
@@ -150,14 +150,19 @@ def _inflated(raw, part: Range) -> Iterator[tuple[bytes, bool]]:
         size = _block_size(held[at : at + 1024])
         if not size:
             if len(held) > at:
-                raise FastqError(f"{part.path}: no block at byte {place}")
+                raise FastqError(f"{path}: no block at byte {place}")
             return
         if len(held) - at < size:
-            raise FastqError(f"{part.path}: the block at byte {place} is cut off")
-        yield zlib.decompress(held[at : at + size], 31), 0 <= part.end <= place
+            raise FastqError(f"{path}: the block at byte {place} is cut off")
+        yield place, zlib.decompress(held[at : at + size], 31)
         at, place = at + size, place + size
 
 
+def _inflated(raw, part: Range) -> Iterator[tuple[bytes, bool]]:
+    """The same of BGZF: text of the blocks that begin in the range, then of those behind it."""
+    return ((text, 0 <= part.end <= place) for place, text in inflated(raw, part.path, part.begin))
+
+
 def _owned(pieces: Iterator[tuple[bytes, bool]], first: bool) -> Iterator[bytes]:
     """Lines of the records that a range owns."""
     limit, at, rest = None, 0, b""  # where the text behind the range begins; where the next line does
@@ -294,22 +299,28 @@ def write_fastq(reads: DataFrame, path: str, compress: bool = True) -> None:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text as reads as sequenced: (name, flag, seq, qual, tags), tags as a map.
+    """SAM text as reads as sequenced: (name, flag, seq, qual, tags), tags as a map (see ``as_sequenced``)."""
+    lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
+    fields = lines.select(F.split("value", "\t").alias("f"))
+    tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
+    rows = fields.select(F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(1)).cast("int").alias("flag"), F.get("f", F.lit(9)).alias("seq"), F.get("f", F.lit(10)).alias("qual"), tags.alias("tags"))
+    return as_sequenced(rows, path)
+
+
+def as_sequenced(rows: DataFrame, path: str) -> DataFrame:
+    """Alignment records (name, flag, seq, qual, tags) as reads.
 
     Records of the reverse strand are turned back; secondary and supplementary ones are
     no reads and left out. Paired and unpaired records in one file, and a read without
     RX, are errors.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
-    rows = lines.select(F.split("value", "\t").alias("f")).withColumn("flag", F.get("f", F.lit(1)).cast("int")).filter(F.col("flag").bitwiseAND(0x900) == 0)
+    rows = rows.filter(F.col("flag").bitwiseAND(0x900) == 0)
     paired = F.col("flag").bitwiseAND(1)
     low, high = rows.agg(F.min(paired), F.max(paired)).first()
     if low != high:
         raise ValueError(f"{path}: paired and unpaired records are mixed")
-    tags = F.map_from_entries(F.transform(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
     turned = F.col("flag").bitwiseAND(0x10) != 0
-    seq, qual = F.get("f", F.lit(9)), F.get("f", F.lit(10))
-    out = rows.select(F.get("f", F.lit(0)).alias("name"), "flag", F.when(turned, reverse_complement(seq)).otherwise(seq).alias("seq"), F.when(turned & (qual != "*"), F.reverse(qual)).otherwise(qual).alias("qual"), tags.alias("tags"))
+    out = rows.select("name", "flag", F.when(turned, reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"), F.when(turned & (F.col("qual") != "*"), F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), "tags")
     without = F.raise_error(F.concat(F.lit("read without RX: "), F.col("name")))
     return out.filter(F.when(F.length(F.coalesce(F.col("tags")["RX"], F.lit(""))) == 0, without.cast("boolean")).otherwise(True))
 
