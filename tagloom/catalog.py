@@ -1149,6 +1149,25 @@ def template_collisions(spark, sf_dir):
     return _rounded(studies.template_collisions(studies.template_clusters(r), space))
 
 
+@_query(f"""WITH rec AS ({_RECORDS}), templates AS (SELECT DISTINCT concat('S', CAST(o_orderkey % 4 + 1 AS VARCHAR)) AS sample_id, translate(md5(concat('p', CAST(o_orderkey % 500 AS VARCHAR))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM orders)
+ SELECT r.sample_id, count(*) AS consensuses, count(*) FILTER (t.seq IS NOT NULL) AS exact, round(count(*) FILTER (t.seq IS NOT NULL) / count(*), 6) AS "precision", round(count(DISTINCT t.seq) / any_value(a.n), 6) AS recall
+ FROM rec r LEFT JOIN templates t ON t.sample_id = r.sample_id AND t.seq = r.seq JOIN (SELECT sample_id, count(*) AS n FROM templates GROUP BY 1) a ON a.sample_id = r.sample_id GROUP BY 1""")
+def consensus_exactness(spark, sf_dir):
+    """Consensuses of all molecules against the payloads that the orders had before errors."""
+    order = F.col("o_orderkey")
+    sample = F.concat(F.lit("S"), (order % 4 + 1).cast("string")).alias("sample_id")
+    payload = F.translate(F.md5(F.concat(F.lit("p"), (order % 500).cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq")
+    return _rounded(analysis.exactness(_records(spark, sf_dir), spark.read.parquet(f"{sf_dir}/orders.parquet").select(sample, payload)))
+
+
+@_query(f"""WITH rec AS ({_RECORDS}), owner AS (SELECT DISTINCT sample_id, umi_true, cell FROM ({READS_SQL}) reads), votes AS (SELECT cell, substr(seq, 1, 1) AS locus, substr(seq, 10, 3) AS junction, count(*) AS n FROM rec JOIN owner USING (sample_id, umi_true) GROUP BY ALL)
+ SELECT cell, locus, arg_max(junction, (n, junction)) AS junction, max(n) AS votes, CAST(sum(n) AS BIGINT) AS molecules FROM votes GROUP BY 1, 2 HAVING sum(n) >= 3""")
+def modal_chains(spark, sf_dir):
+    """Of each cell the commonest piece of its molecules' consensuses, by their first base."""
+    found = consensus.records(reads(spark, sf_dir), ("sample_id", "cell", "umi_true"))
+    return analysis.modal_chains(found.select("cell", F.substring("seq", 1, 1).alias("locus"), F.substring("seq", 10, 3).alias("junction")), 3)
+
+
 @_query()
 def neighbour_nulls(spark, sf_dir):
     return studies.neighbour_null(_kept_counts(spark, sf_dir))

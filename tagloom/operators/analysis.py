@@ -127,3 +127,28 @@ def independence(counts: DataFrame) -> DataFrame:
 
     expected = composition(counts, by_reads=True).groupBy("sample_id").agg(F.exp(F.sum(F.log("collision"))).alias("collision_expected"))
     return observed.join(expected, "sample_id").select("sample_id", "barcodes", "collision_observed", "collision_expected", (F.col("collision_observed") / F.col("collision_expected")).alias("ratio"))
+
+
+def exactness(consensus: DataFrame, truth: DataFrame) -> DataFrame:
+    """(sample_id, consensuses, exact, precision, recall): consensuses (sample_id, seq) that are a template of the truth to the letter, and templates that one of them is.
+
+    One base off is as wrong as any other sequence. Case does not count.
+    """
+    seqs = consensus.select("sample_id", F.upper("seq").alias("seq")).groupBy("sample_id", "seq").agg(F.count("*").alias("n"))
+    templates = truth.select("sample_id", F.upper("seq").alias("seq")).distinct().withColumn("template", F.lit(True))
+    both = seqs.join(templates, ["sample_id", "seq"], "full")
+    hit = F.col("n").isNotNull() & F.col("template")
+    sums = both.groupBy("sample_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("consensuses"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("exact"), F.count_if(hit).alias("_found"), F.count("template").alias("_all"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.select("sample_id", "consensuses", "exact", share("exact", "consensuses").alias("precision"), share("_found", "_all").alias("recall"))
+
+
+def modal_chains(molecules: DataFrame, min_molecules: int = 1) -> DataFrame:
+    """(cell, locus, junction, votes, molecules): the junction most molecules (cell, locus, junction) of a cell's locus carry, ties to the last in order.
+
+    Molecules without a cell, locus or junction do not vote; a locus with fewer than ``min_molecules`` has no call.
+    """
+    named = molecules.filter((F.length("cell") > 0) & (F.length("locus") > 0) & (F.length(F.trim("junction")) > 0))
+    votes = named.groupBy("cell", "locus", F.trim("junction").alias("junction")).agg(F.count("*").alias("n"))
+    called = votes.groupBy("cell", "locus").agg(F.max(F.struct("n", "junction")).alias("best"), F.sum("n").alias("molecules"))
+    return called.filter(F.col("molecules") >= min_molecules).select("cell", "locus", "best.junction", F.col("best.n").alias("votes"), "molecules")

@@ -107,3 +107,16 @@ def test_dependent_positions_show(spark):
     got = {(r.sample_id, r.k): r for r in studies.independence_by_width(spark.createDataFrame(rows, COUNTS)).collect()}
     assert abs(got["free", 2].log10_excess) < 0.003 < 0.01 < got["tied", 2].log10_excess and got["tied", 3].slope > got["free", 3].slope
     assert got["free", 1].log10_excess == pytest.approx(0, abs=1e-12) and got["free", 3].windows == 4 and ("free", 4) not in got
+
+
+def test_exactness_and_chain_votes(spark):
+    from tagloom.operators import analysis
+
+    called = spark.createDataFrame([("S", "ACGT"), ("S", "acgt"), ("S", "ACGA"), ("T", "AC"), (None, "AC")], "sample_id string, seq string")
+    truth = spark.createDataFrame([("S", "ACGT"), ("S", "TTTT"), ("S", "TTTT"), ("U", "GG")], "sample_id string, seq string")
+    got = {r.sample_id: tuple(r)[1:] for r in analysis.exactness(called, truth).collect()}
+    assert got["S"] == (3, 2, pytest.approx(2 / 3), 0.5) and got["T"] == (1, 0, 0.0, 0.0) and got["U"] == (0, 0, 0.0, 0.0)
+    rows = [("c", "A", "x"), ("c", "A", "y"), ("c", "A", " y"), ("c", "A", "x"), ("c", "B", "z"), ("", "A", "x"), (None, "A", "x"), ("d", "A", None), ("d", "A", " ")]
+    df = spark.createDataFrame(rows, "cell string, locus string, junction string")
+    assert {tuple(r) for r in analysis.modal_chains(df).collect()} == {("c", "A", "y", 2, 4), ("c", "B", "z", 1, 1)}
+    assert {tuple(r) for r in analysis.modal_chains(df, 2).collect()} == {("c", "A", "y", 2, 4)}
