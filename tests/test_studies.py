@@ -120,3 +120,13 @@ def test_exactness_and_chain_votes(spark):
     df = spark.createDataFrame(rows, "cell string, locus string, junction string")
     assert {tuple(r) for r in analysis.modal_chains(df).collect()} == {("c", "A", "y", 2, 4), ("c", "B", "z", 1, 1)}
     assert {tuple(r) for r in analysis.modal_chains(df, 2).collect()} == {("c", "A", "y", 2, 4)}
+
+
+def test_a_barcode_that_two_cells_share_votes_in_both(spark, monkeypatch):
+    """Its reads make one consensus, as in the query's SQL; by cell, y would have three votes for CCC."""
+    from tagloom import catalog
+
+    rows = [("S1", c, u, s, "IIIIIIIIIIII") for c, u, s in [("x", "shared", "AAAAAAAAAGGG"), ("x", "shared", "AAAAAAAAAGGG"), ("y", "shared", "AAAAAAAAACCC"), ("y", "one", "AAAAAAAAACCC"), ("y", "two", "AAAAAAAAACCC"), ("x", "three", "AAAAAAAAAGGG"), ("x", "four", "AAAAAAAAAGGG")]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "src_index long, sample_id string, cell string, umi_true string, seq string, qual string")
+    monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir, index=True: df if index else df.drop("src_index"))
+    assert {tuple(r) for r in catalog.modal_chains(spark, "").collect()} == {("x", "A", "GGG", 3, 3), ("y", "A", "CCC", 2, 3)}
