@@ -89,3 +89,17 @@ def test_random_hamming(spark):
     pairs = [("".join(draw.choices("ACGTN", k=12)), "".join(draw.choices("ACGTN", k=12))) for _ in range(200)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", B.hamming("a", "b").alias("h"))
     assert all(r.h == sum(x != y and "N" not in (x, y) for x, y in zip(r.a, r.b)) for r in df.collect())
+
+
+def test_bit_planes_compare_as_the_strings_do(spark):
+    draw = random.Random(3)
+    rows = [tuple("".join(draw.choices("ACGTN", k=draw.choice((1, 5, 8, 31, 32)))) for _ in "ab") for _ in range(300)] + [(None, "ACGT")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"x": B.planes("a"), "y": B.planes("b")})
+    got = df.select(B.planes_comparable("x", "y"), B.comparable("a", "b"), B.planes_hamming("x", "y"), B.hamming("a", "b"), B.plain("a")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got) and all(r[4] for r in got[:300])
+    assert not any(r[0] for r in spark.createDataFrame([("acgt",), ("ACGR",), ("A" * 33,)], "s string").select(B.plain("s")).collect())
+
+
+def test_folded_barcodes(spark):
+    got = spark.createDataFrame([("acgt",), ("ACGN",), ("x-",), ("",), (None,)], "s string").select(B.folded("s")).collect()
+    assert [r[0] for r in got] == ["ACGT", "ACGA", "AA", "", None]
