@@ -64,19 +64,19 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def least_overlap(n, m):
+def least_overlap(n, m, percent: int = PERCENT):
     """Of sets of these sizes, so that they link: the least whole number."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n):
+def prefix_length(n, percent: int = PERCENT):
     """Shingles of the prefix: sets that link share one of them, whichever is larger."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def index_length(n):
+def index_length(n, percent: int = PERCENT):
     """As ``prefix_length``, for the smaller set of a pair."""
-    return n - least_overlap(n, n) + 1
+    return n - least_overlap(n, n, percent) + 1
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def _shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
     return _levels(docs.select("text").mapInArrow(run, "slice int, counts binary"))
 
 
-def _signatures(docs: DataFrame, words: int, levels: Broadcast) -> DataFrame:
+def _signatures(docs: DataFrame, words: int, levels: Broadcast, percent: int = PERCENT) -> DataFrame:
     """Of each document: its set's size, 128-bit hash and bitmap, its prefix, and the hash of its size and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def _signatures(docs: DataFrame, words: int, levels: Broadcast) -> DataFrame:
                 one = shingles(text.as_py(), words)
                 n = len(one)
                 order = level[(one % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | one >> np.uint64(8)
-                first = np.sort(order)[: prefix_length(n) if n else 0]
+                first = np.sort(order)[: prefix_length(n, percent) if n else 0]
                 sizes.append(n)
                 sets.append(xxhash.xxh3_128_digest(one.tobytes()))
                 groups.append(xxhash.xxh3_128_digest(first.tobytes() + n.to_bytes(8, "big")))
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets link. Only sets that stand in a pair are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
@@ -213,16 +213,16 @@ def _ordered(one: str | Column, other: str | Column) -> list[Column]:
     return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b) of ``pairs`` whose sizes and bitmaps let them link."""
     x, y = (classes.select(F.col("set").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
     differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
-    least, smaller = least_overlap_of(F.col("a_n"), F.col("b_n")), F.least("a_n", "b_n")
+    least, smaller = least_overlap_of(F.col("a_n"), F.col("b_n"), percent), F.least("a_n", "b_n")
     sized = pairs.join(x, "a").join(y, "b").filter(smaller - (F.col("a_n") == F.col("b_n")).cast("int") >= least)
     return sized.filter(differ <= F.col("a_n") + F.col("b_n") - 2 * least).select("a", "b")
 
 
-def class_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
+def class_pairs(rows: list[tuple], only_last: int = 0, percent: int = PERCENT) -> list[tuple]:
     """Pairs of classes of one shingle that may hold links not known yet.
 
     ``rows``: (class, size, whether the shingle stands where the smaller set's must, component, bitmap), by size.
@@ -236,9 +236,9 @@ def class_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
     if (roots == roots[0]).all():
         return out
     for j in range(len(rows) - only_last if only_last else 1, len(rows)):
-        lo = int(np.searchsorted(100 * sizes[:j], PERCENT * sizes[j]))
+        lo = int(np.searchsorted(100 * sizes[:j], percent * sizes[j]))
         some = lo + np.flatnonzero((roots[lo:j] != roots[j]) & (index[lo:j] | ((sizes[lo:j] == sizes[j]) & index[j])))
-        least = least_overlap(sizes[some], sizes[j])
+        least = least_overlap(sizes[some], sizes[j], percent)
         fit = sizes[some] - (sizes[some] == sizes[j]) >= least  # equal sizes and all in common would be one class
         some, least = some[fit], least[fit]
         if len(some):
@@ -247,7 +247,7 @@ def class_pairs(rows: list[tuple], only_last: int = 0) -> list[tuple]:
     return out
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of classes that share a shingle and pass the filters. A task holds a shingle's groups of similar size at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,10 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
         def settle() -> list[tuple]:
             nonlocal held, fresh
-            pairs = class_pairs(held, min(fresh, len(held))) if len(held) > 1 and fresh else []
+            pairs = class_pairs(held, min(fresh, len(held)), percent) if len(held) > 1 and fresh else []
             fresh = 0
             if held:
-                held = [r for r in held if r[1] * 100 >= PERCENT * held[-1][1]]  # rows come by size
+                held = [r for r in held if r[1] * 100 >= percent * held[-1][1]]  # rows come by size
             return pairs
 
         for batch in batches:
@@ -284,27 +284,28 @@ def _pairs_batch(pairs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in set(pairs)], pa.binary()) for i in range(2)] if pairs else [pa.array([], pa.binary())] * 2, ["a", "b"])
 
 
-def _components(marked: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(set, root) of the classes that link with others.
+def _components(marked: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT, near: DataFrame | None = None) -> DataFrame:
+    """(set, root) of the classes that link with others. ``near`` (a, b): further pairs of classes to compare first.
 
     Where shingles meet, groups go by 64 bits of their hash: two that share them are both looked at.
     """
     hubs = classes.groupBy("grp").agg(F.min("set").alias("hub"), F.count("*").alias("members"))
     prefixes = marked.filter("n > 0").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = prefixes.select(F.xxhash64("grp").alias("g"), "n", F.posexplode("prefix").alias("at", "key")).select("key", "g", "n", (F.col("at") < index_length_of(F.col("n"))).alias("index"))
+    keyed = prefixes.select(F.xxhash64("grp").alias("g"), "n", F.posexplode("prefix").alias("at", "key")).select("key", "g", "n", (F.col("at") < index_length_of(F.col("n"), percent)).alias("index"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.max("index").alias("any")).filter((F.col("m") > 1) & F.col("any")).select("key", "m")
     meeting = written(keyed.join(shared, "key"), "shared-shingles")
     groups = written(hubs.join(classes.select(F.col("set").alias("hub"), "n"), "hub").withColumn("g", F.xxhash64("grp")), "groups")
-    share = meeting.groupBy("g", "n").agg((F.sum("m") / prefix_length_of(F.col("n"))).alias("s")).drop("n")
+    share = meeting.groupBy("g", "n").agg((F.sum("m") / prefix_length_of(F.col("n"), percent)).alias("s")).drop("n")
     drawn = [F.max(F.struct(F.xxhash64("g", F.lit(i)).alias("s"), "g"))["g"] for i in range(HUBS)]
     central = meeting.select("key", "g").join(share, "g").groupBy("key").agg(F.max(F.struct("s", "g"))["g"].alias("h"), *(h.alias(f"h{i}") for i, h in enumerate(drawn)))
     central = central.select("key", F.explode(F.array_distinct(F.array("h", *(f"h{i}" for i in range(HUBS))))).alias("other"))
     stars = meeting.select("key", "g").join(central, "key").filter(F.col("g") != F.col("other")).select(F.least("g", "other").alias("g"), F.greatest("g", "other").alias("other")).distinct()
     ends = groups.select(F.col("g").alias("other"), F.col("hub").alias("_hub"))
     between = stars.join(ends, "other").join(groups.select("g", "hub"), "g").select(*_ordered("hub", "_hub"))
-    several = groups.filter((F.col("members") > 1) & (F.col("n") - 1 >= least_overlap_of(F.col("n"), F.col("n"))))
+    several = groups.filter((F.col("members") > 1) & (F.col("n") - 1 >= least_overlap_of(F.col("n"), F.col("n"), percent)))
     within = classes.join(several.select("grp", "hub"), "grp").filter(F.col("set") != F.col("hub")).select(*_ordered("set", "hub"))
-    first = written(_linked(written(_plausible(between.unionByName(within), classes), "first-pairs"), classes, docs, words), "links")
+    tried = between.unionByName(within) if near is None else between.unionByName(within).unionByName(near).distinct()
+    first = written(_linked(written(_plausible(tried, classes, percent), "first-pairs"), classes, docs, words, percent), "links")
     named = written(classes.select("set", F.xxhash64("grp").alias("g"), "n", "bits").join(components(first).withColumnRenamed("id", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "joined")
 
     # What is left: shingles of classes not all joined, and groups of one class that are not.
@@ -315,30 +316,48 @@ def _components(marked: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     more = placed.join(open_keys, "key").select("key", "g", "index").join(members, "g").select("key", "set", "n", "index", "root", "bits")
     apart = several.join(inside.filter(F.col("least") != F.col("most")), "g", "left_semi").select("g")
     same = members.join(apart, "g", "left_semi").select(F.col("g").alias("key"), "set", "n", F.lit(True).alias("index"), "root", "bits")
-    pairs = written(_candidates(more.unionByName(same)), "more-pairs")
-    return components(first.unionByName(written(_linked(pairs, classes, docs, words), "links")))
+    pairs = written(_candidates(more.unionByName(same), percent), "more-pairs")
+    return components(first.unionByName(written(_linked(pairs, classes, docs, words, percent), "links")))
 
 
-def least_overlap_of(n: Column, m: Column) -> Column:
+def least_overlap_of(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """``least_overlap``, as a column."""
-    return F.floor((PERCENT * (n + m) + 99 + PERCENT) / (100 + PERCENT))
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
 
 
-def prefix_length_of(n: Column) -> Column:
-    return n - F.floor((PERCENT * n + 99) / 100) + 1
+def prefix_length_of(n: Column, percent: int = PERCENT) -> Column:
+    return n - F.floor((percent * n + 99) / 100) + 1
 
 
-def index_length_of(n: Column) -> Column:
-    return n - least_overlap_of(n, n) + 1
+def index_length_of(n: Column, percent: int = PERCENT) -> Column:
+    return n - least_overlap_of(n, n, percent) + 1
+
+
+def _marked(one: DataFrame, words: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Signatures of documents (doc_id, text, k), and the classes of those that have a word."""
+    levels = one.sparkSession.sparkContext.broadcast(_shingle_levels(one, words).tobytes())
+    marked = written(_signatures(one, words, levels, percent), "signatures")
+    return marked, written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")), "classes")
+
+
+def text_components(one: DataFrame, words: int, percent: int, near: DataFrame) -> DataFrame:
+    """(k, root) of the texts of ``one`` (doc_id, text, k), k being the text's hash: texts of one root link, or by way of others.
+
+    ``near`` (x, y): pairs of k to compare first. They save comparisons; every link is found without them.
+    Here texts without a word are one class.
+    """
+    marked, classes = _marked(one, words, percent)
+    of = written(marked.groupBy("k").agg(F.first("set").alias("set")), "sets-of-texts")
+    x, y = (of.select(F.col("k").alias(c), F.col("set").alias(f"_{c}")) for c in ("x", "y"))
+    first = near.join(x, "x").join(y, "y").filter(F.col("_x") != F.col("_y")).select(*_ordered("_x", "_y"))
+    roots = _components(marked, classes, one, words, percent, first)
+    return of.join(roots.withColumnRenamed("id", "set"), "set", "left").select("k", F.coalesce("root", "set").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("k"))
-    levels = spark.sparkContext.broadcast(_shingle_levels(one, words).tobytes())
-    marked = written(_signatures(one, words, levels), "signatures")
-    classes = written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")), "classes")
+    marked, classes = _marked(one, words)
     roots = _components(marked, classes, one, words)
     named = classes.select("set", "id").join(roots.withColumnRenamed("id", "set"), "set", "left").select("set", "id", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -172,3 +172,22 @@ def test_copies_of_one_text_that_are_less_like_each_other(spark):
     assert all(jaccard(made[0][1], t) >= 0.8 for _, t in made)
     kept = {r.doc_id for r in one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()}
     assert len(kept) <= 5
+
+
+def test_every_link_is_found(spark, monkeypatch):
+    """Pairs from 0.8 on whose fingerprints are far apart, also within a hundred texts that all look alike: no link is lost, and nothing below 0.8 goes."""
+    draw = random.Random(14)
+    made, pairs = [], []
+    shared = [f"s{draw.randrange(5000)}" for _ in range(200)]
+    for i in range(300):
+        one = (list(shared) if i % 3 == 0 else []) + [f"w{draw.randrange(5000)}" for _ in range(70)]
+        other = list(one)
+        for at in draw.sample(range(len(one)), max(1, round(len(one) * 0.022))):
+            other[at] = f"x{draw.randrange(5000)}"
+        pairs.append((jaccard(" ".join(one), " ".join(other)), 2 * i, 2 * i + 1))
+        made += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    assert sum(0.8 <= j < 0.83 for j, _, _ in pairs) > 20
+    for far in (15, 0):
+        monkeypatch.setattr("tagloom.llm.simhash.NEAR_BITS", far)
+        kept = {r.doc_id for r in one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+        assert kept == {a for _, a, _ in pairs} | {b for j, _, b in pairs if j < 0.8}
