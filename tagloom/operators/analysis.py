@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def grouping_agreement(reads: DataFrame, truth: str, found: str) -> DataFrame:
     """(reads, adjusted_rand, split_share, merged_share): two groupings of the same reads.
@@ -32,22 +34,52 @@ def grouping_agreement(reads: DataFrame, truth: str, found: str) -> DataFrame:
     return reads.sparkSession.createDataFrame(out, "reads long, adjusted_rand double, split_share double, merged_share double")
 
 
-def per_target(molecules: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, molecules): distinct molecules whose half-open interval overlaps a target's.
+BIN = 10_000
 
-    Intervals are listed under the bins they touch, so overlaps meet by equality and
-    no side needs to be small; an overlap is counted once, at its first common bin.
-    """
-    width = 10_000
+
+def _overlaps(molecules: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, molecule) that overlap, each once: intervals meet by the bins they touch, an overlap at its first common one."""
 
     def bins(start: str, end: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / width)))
+        return F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / BIN)))
 
     m = molecules.select("chrom", "start", "end", "molecule", bins("start", "end").alias("bin"))
     t = targets.select("chrom", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "target", bins("start", "end").alias("bin"))
     hit = m.join(t, ["chrom", "bin"]).filter((F.col("start") < F.col("t_end")) & (F.col("end") > F.col("t_start")))
-    hit = hit.filter(F.col("bin") == F.floor(F.greatest("start", "t_start") / width))
-    counted = hit.select("target", "molecule").distinct().groupBy("target").agg(F.count("*").alias("n"))
+    return hit.filter(F.col("bin") == F.floor(F.greatest("start", "t_start") / BIN)).select("target", "molecule").distinct()
+
+
+def _below(points: DataFrame, asked: DataFrame, equal: bool) -> DataFrame:
+    """(chrom, pos, n): for the positions ``asked`` (chrom, pos) how many of ``points`` lie below, or at them too if ``equal``. Summed within bins, then over bins."""
+    have = points.groupBy("chrom", "pos").agg(F.count("*").alias("k")).withColumn("ask", F.lit(False))
+    both = have.unionByName(asked.distinct().withColumns({"k": F.lit(0).cast("long"), "ask": F.lit(True)})).withColumn("bin", F.floor(F.col("pos") / BIN))
+    earlier = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = both.groupBy("chrom", "bin").agg(F.sum("k").alias("k")).select("chrom", "bin", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("_b"))
+    upto = Window.partitionBy("chrom", "bin").orderBy("pos", F.col("ask") if equal else ~F.col("ask")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("_in", F.sum("k").over(upto)).filter("ask").join(offsets, ["chrom", "bin"]).select("chrom", "pos", (F.col("_in") + F.col("_b")).alias("n"))
+
+
+def per_target(molecules: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, molecules): distinct molecules whose half-open interval overlaps a target's.
+
+    Of molecules and targets with one interval each, those that start before a target's end
+    less those that end by its start are counted, without a pair being made. Molecules and targets
+    with several intervals, or with none of a length above 0, meet in pairs.
+    """
+    regular = F.coalesce((F.col("start") < F.col("end")) & F.col("chrom").isNotNull(), F.lit(False))
+
+    def split(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        odd = df.groupBy(key).agg(F.count("*").alias("_n"), F.max(~regular).alias("_odd")).filter("_n > 1 OR _odd").select(F.col(key).alias("_k"))
+        odd = written(odd, "several")
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        return df.join(odd, same, "left_anti"), df.join(odd, same, "left_semi")
+
+    (m, m_odd), (t, t_odd) = split(molecules, "molecule"), split(targets, "target")
+    begun = _below(m.select("chrom", F.col("start").alias("pos")), t.select("chrom", F.col("end").alias("pos")), False)
+    over = _below(m.select("chrom", F.col("end").alias("pos")), t.select("chrom", F.col("start").alias("pos")), True)
+    one = t.join(begun.withColumnsRenamed({"pos": "end", "n": "_s"}), ["chrom", "end"]).join(over.withColumnsRenamed({"pos": "start", "n": "_e"}), ["chrom", "start"])
+    pairs = _overlaps(m_odd, targets).unionByName(_overlaps(m, t_odd)).groupBy("target").agg(F.count("*").alias("n"))
+    counted = one.select("target", (F.col("_s") - F.col("_e")).alias("n")).unionByName(pairs).groupBy("target").agg(F.sum("n").alias("n"))
     return targets.select("target").distinct().join(counted, "target", "left").select("target", F.coalesce("n", F.lit(0)).alias("molecules"))
 
 

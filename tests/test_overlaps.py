@@ -3,7 +3,7 @@ import random
 import pyarrow.parquet as pq
 
 from tagloom import catalog
-from tagloom.operators.analysis import overlap_components
+from tagloom.operators.analysis import overlap_components, per_target
 
 
 def slow(blocks):
@@ -40,3 +40,21 @@ def test_islands_over_many_bins(spark):
     assert want["far"] == 2 and want["hot"] > 50
     for width in (7, 50, 10_000):
         assert found(overlap_components(df, width)) == want
+
+
+def test_molecules_of_targets_without_pairs(spark, monkeypatch):
+    """Against all pairs, with repeated ids and empty intervals; of single intervals no pair is made."""
+    from tagloom.operators import analysis
+
+    draw = random.Random(6)
+
+    def made(n, size):
+        return [(draw.choice(["a", "b", None]), s, s + draw.choice([0, 1, 5, size]), draw.choice([i, i, i % 7])) for i, s in ((i, draw.randrange(-300, 25_000)) for i in range(n))]
+
+    m, t = made(400, 3000), made(60, 900)
+    frames = lambda m, t: (spark.createDataFrame(m, "chrom string, start long, end long, molecule long"), spark.createDataFrame(t, "chrom string, start long, end long, target long"))
+    want = lambda m, t: {k: len({x[3] for x in m for y in t if y[3] == k and x[0] is not None and x[0] == y[0] and x[1] < y[2] and x[2] > y[1]}) for k in {y[3] for y in t}}
+    assert {r.target: r.molecules for r in per_target(*frames(m, t)).collect()} == want(m, t)
+    m, t = ([(c, s, s + 40, i) for i, (c, s, _, _) in enumerate(rows) if c] for rows in (m, t))
+    monkeypatch.setattr(analysis, "_overlaps", lambda m, t: spark.createDataFrame([], "target long, molecule long"))
+    assert {r.target: r.molecules for r in per_target(*frames(m, t)).collect()} == want(m, t)
