@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import genome_equivalents, hamming, poisson_interval, poisson_tail, reverse_complement
-from .neighbours import neighbour_pairs
+from ..storage import written
+from .neighbours import Side, census, pair_counts
 
 KEEP_RATIO = 0.5
 
@@ -237,28 +239,39 @@ def placed(reads: DataFrame, reference: str) -> DataFrame:
     return reads.withColumn("_p", best("seq")).select("*", "_p.strand", "_p.offset", "_p.mismatches").drop("_p")
 
 
-def column_shuffled(barcodes: DataFrame, seed: int) -> DataFrame:
+PIECE = 4096  # ranks that are put together at a time
+
+
+def column_shuffled(barcodes: DataFrame, seed: int, columns: int | None = None) -> DataFrame:
     """(sample_id, key): barcodes whose columns are shuffled against each other: what independent positions would give.
 
-    Each column's letters are put in an order of hashes; ranks are taken in hash ranges and offset, so no task sorts all.
+    Each column's letters are put in an order of hashes, of which ranges are sorted apart; from there on they go as
+    strings, cut at every ``PIECE`` ranks, where columns meet. ``columns``: so many of the first.
     """
     rows = barcodes.select("sample_id", "key")
-    letters = rows.select("sample_id", "key", F.posexplode(F.split("key", "")).alias("at", "base"))
-    h = F.xxhash64(F.lit(seed), "at", "key")
-    ranged = letters.withColumn("_h", h).withColumn("_r", F.shiftrightunsigned("_h", 52))
-    before = F.sum("n").over(Window.partitionBy("sample_id", "at").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = ranged.groupBy("sample_id", "at", "_r").agg(F.count("*").alias("n")).select("sample_id", "at", "_r", F.coalesce(before, F.lit(0)).alias("_b"))
-    inside = F.row_number().over(Window.partitionBy("sample_id", "at", "_r").orderBy("_h", "key"))
-    ranked = ranged.withColumn("_i", inside).join(sizes, ["sample_id", "at", "_r"]).withColumn("_rank", F.col("_i") + F.col("_b"))
-    return ranked.groupBy("sample_id", "_rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "base"))), lambda x: x["base"]), "").alias("key")).select("sample_id", "key")
+    last = F.length("key") if columns is None else F.least(F.length("key"), F.lit(columns))
+    letters = rows.filter(F.length("key") > 0).select("sample_id", "key", F.explode(F.sequence(F.lit(0), last - 1)).alias("at"))
+    letters = letters.select("sample_id", "at", F.substring(F.col("key"), F.col("at") + 1, F.lit(1)).alias("base"), F.xxhash64(F.lit(seed), "at", "key").alias("h"))
+    ordered = F.array_sort(F.collect_list(F.struct("h", "base")))
+    ranges = letters.groupBy("sample_id", "at", F.shiftrightunsigned("h", 52).alias("_r")).agg(F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("s"))
+    ranges = written(ranges, "ranges")
+    before = F.sum("n").over(Window.partitionBy("sample_id", "at").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))  # 4,096 rows a column at most
+    sizes = ranges.select("sample_id", "at", "_r", F.length("s").alias("n")).select("sample_id", "at", "_r", F.coalesce(before, F.lit(0)).alias("_b"))
+    placed_ = ranges.join(sizes, ["sample_id", "at", "_r"]).withColumn("p", F.explode(F.sequence(F.floor(F.col("_b") / PIECE), F.floor((F.col("_b") + F.length("s") - 1) / PIECE))))
+    first = F.greatest(F.col("p") * PIECE, F.col("_b"))
+    cut = F.substring(F.col("s"), (first - F.col("_b") + 1).cast("int"), ((F.col("p") + 1) * PIECE - first).cast("int"))
+    pieces = placed_.select("sample_id", "p", "at", first.alias("first"), cut.alias("s")).groupBy("sample_id", "p", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "s"))), lambda x: x["s"]), "").alias("s"))
+    whole = pieces.groupBy("sample_id", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("m"))
+    whole = whole.select("sample_id", "m", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("m", F.length)))).alias("i"))
+    return whole.select("sample_id", F.array_join(F.transform("m", lambda s: F.substring(s, F.col("i"), F.lit(1))), "").alias("key"))
 
 
 def _divergence(keys: DataFrame) -> DataFrame:
     """(sample_id, js): Jensen-Shannon divergence, in bits, of first k-mers from the product of their columns; k = 4."""
     head = keys.select("sample_id", F.substring("key", 1, 4).alias("k"))
-    n = head.groupBy("sample_id", "k").agg(F.count("*").alias("n"))
+    n = written(head.groupBy("sample_id", "k").agg(F.count("*").alias("n")), "words")
     whole = Window.partitionBy("sample_id")
-    columns = head.select("sample_id", F.posexplode(F.split("k", "")).alias("at", "b")).groupBy("sample_id", "at", "b").agg(F.count("*").alias("c"))
+    columns = n.select("sample_id", "n", F.posexplode(F.split("k", "")).alias("at", "b")).groupBy("sample_id", "at", "b").agg(F.sum("n").alias("c"))
     columns = columns.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("sample_id", "at")))
     side = columns.groupBy("sample_id", "at").agg(F.map_from_entries(F.collect_list(F.struct("b", "share"))).alias("m")).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("m"))
     every = F.explode(F.expr("transform(sequence(0, 255), i -> concat(substring('ACGT', i % 4 + 1, 1), substring('ACGT', i div 4 % 4 + 1, 1), substring('ACGT', i div 16 % 4 + 1, 1), substring('ACGT', i div 64 + 1, 1)))"))
@@ -276,41 +289,46 @@ def divergence_null(barcodes: DataFrame, shuffles: int = 5) -> DataFrame:
     """(sample_id, js, null_mean, null_sd, z): the barcodes' divergence from independent columns against that of shuffled columns."""
     from functools import reduce
 
-    null = reduce(DataFrame.unionByName, [_divergence(column_shuffled(barcodes, s)) for s in range(shuffles)])
+    null = reduce(DataFrame.unionByName, [_divergence(column_shuffled(barcodes, s, 4)) for s in range(shuffles)])
     stats = null.groupBy("sample_id").agg(F.avg("js").alias("null_mean"), F.stddev_samp("js").alias("null_sd"))
     return _divergence(barcodes).join(stats, "sample_id").select("sample_id", "js", "null_mean", "null_sd", F.when(F.col("null_sd") > 0, (F.col("js") - F.col("null_mean")) / F.col("null_sd")).alias("z"))
 
 
 def counts_dealt_anew(barcodes: DataFrame, seed: int) -> DataFrame:
-    """(sample_id, key, cnt): every barcode with the count of the next one of its sample in an order of hashes, the last with the first's.
+    """(sample_id, key, cnt): every barcode with another's count, as in ``dealt_beside``."""
+    return dealt_beside(barcodes.select("sample_id", "key", "cnt"), seed).select("sample_id", "key", F.col(f"dealt_{seed}").alias("cnt"))
+
+
+def dealt_beside(barcodes: DataFrame, *seeds: int) -> DataFrame:
+    """``barcodes`` with a column ``dealt_<seed>`` a seed: the count of the next barcode of the sample in an order of hashes, for the last the first's.
 
     An exact permutation of the counts. Ranges of hashes are gone through apart; the first count of each is handed to the range before it.
     """
-    rows = barcodes.select("sample_id", "key", "cnt", F.xxhash64(F.lit(seed), "key").alias("_h")).withColumn("_r", F.shiftrightunsigned("_h", 52))
-    within = F.lead("cnt", 1).over(Window.partitionBy("sample_id", "_r").orderBy("_h", "key"))
-    ranges = rows.groupBy("sample_id", "_r").agg(F.min_by("cnt", F.struct("_h", "key")).alias("first"))
+    out = barcodes
     order = Window.partitionBy("sample_id").orderBy("_r")  # 4,096 rows a sample at most
     after = F.coalesce(F.lead("first", 1).over(order), F.first("first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return rows.withColumn("_n", within).join(ranges.select("sample_id", "_r", after.alias("_after")), ["sample_id", "_r"]).select("sample_id", "key", F.coalesce("_n", "_after").alias("cnt"))
-
+    for seed in seeds:
+        h = F.xxhash64(F.lit(seed), "key")
+        r = F.shiftrightunsigned("_h", 52)
+        within = F.lead("cnt", 1).over(Window.partitionBy("sample_id", "_r").orderBy("_h", "key"))
+        ranges = barcodes.select("sample_id", "key", "cnt", h.alias("_h")).groupBy("sample_id", r.alias("_r")).agg(F.min_by("cnt", F.struct("_h", "key")).alias("first"))
+        out = out.withColumn("_h", h).withColumn("_r", r).withColumn("_n", within).join(ranges.select("sample_id", "_r", after.alias("_after")), ["sample_id", "_r"])
+        out = out.withColumn(f"dealt_{seed}", F.coalesce("_n", "_after")).drop("_h", "_r", "_n", "_after")
+    return out
 
-def neighbour_null(barcodes: DataFrame, seed: int = 0) -> DataFrame:
-    """(sample_id, pairs, chance_pairs, ratio_pairs, permuted_ratio_pairs): distance-one pairs seen and in shuffled columns; pairs with counts twice apart or more, seen and with the counts dealt anew."""
-    shuffled = column_shuffled(barcodes, seed).distinct()
 
-    def count(pairs: DataFrame, name: str) -> DataFrame:
-        return pairs.filter(F.col("a.key") < F.col("b.key")).groupBy("sample_id").agg(F.count("*").alias(name))
+def _apart(name: str, times: int) -> Callable[[Side, Side], np.ndarray]:
+    """Pairs whose counts in a column are so many times apart or more."""
+    return lambda a, b: np.maximum(a[name], b[name]) >= times * np.minimum(a[name], b[name])
 
-    def apart(rows: DataFrame, name: str) -> DataFrame:
-        low, high = F.least("a.cnt", "b.cnt"), F.greatest("a.cnt", "b.cnt")
-        return count(neighbour_pairs(rows, "cnt").filter(high >= 2 * low), name)
 
-    rows = barcodes.select("sample_id").distinct()
-    parts = (count(neighbour_pairs(barcodes), "pairs"), count(neighbour_pairs(shuffled), "chance_pairs"), apart(barcodes.select("sample_id", "key", "cnt"), "ratio_pairs"), apart(counts_dealt_anew(barcodes, seed), "permuted_ratio_pairs"))
-    for p in parts:
-        rows = rows.join(p, "sample_id", "left")
-    names = ("pairs", "chance_pairs", "ratio_pairs", "permuted_ratio_pairs")
-    return rows.select("sample_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+def neighbour_null(barcodes: DataFrame, seed: int = 0) -> DataFrame:
+    """(sample_id, pairs, chance_pairs, ratio_pairs, permuted_ratio_pairs): distance-one pairs seen and in shuffled columns; pairs with counts twice apart or more, seen and with the counts dealt anew."""
+    dealt = dealt_beside(barcodes.select("sample_id", "key", "cnt"), seed)
+    seen = pair_counts(dealt, "cnt", f"dealt_{seed}", ratio_pairs=_apart("cnt", 2), permuted_ratio_pairs=_apart(f"dealt_{seed}", 2))
+    chance = census(column_shuffled(barcodes, seed).distinct()).withColumnRenamed("pairs", "chance_pairs")
+    rows = barcodes.select("sample_id").distinct().join(seen, "sample_id", "left").join(chance, "sample_id", "left")
+    return rows.select("sample_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("pairs", "chance_pairs", "ratio_pairs", "permuted_ratio_pairs")))
 
 
 RATIOS = (2, 3, 5, 10, 20)
@@ -320,27 +338,16 @@ def count_ratios(barcodes: DataFrame, ratios: tuple[int, ...] = RATIOS, shuffles
     """(sample_id, ratio, pairs, observed, null_mean, null_sd, excess, z): distance-one pairs whose counts are so many times apart or more, against the same pairs with the counts dealt anew.
 
     The graph stays; only the link between a barcode and its count goes. Excess pairs are parents and their errors.
+    All dealings go with a barcode to where its pairs are counted, so no pair is kept.
     """
-    from functools import reduce
-
-    from ..storage import written
-
-    edges = neighbour_pairs(barcodes, "cnt").filter(F.col("a.key") < F.col("b.key"))
-    edges = written(edges.select("sample_id", F.col("a.key").alias("x"), F.col("b.key").alias("y"), F.col("a.cnt").alias("c"), F.col("b.cnt").alias("d")), "neighbours")
-
-    def tally(rows: DataFrame, *by: str) -> DataFrame:
-        times = F.greatest("c", "d") / F.least("c", "d")
-        counts = rows.groupBy("sample_id", *by).agg(F.count("*").alias("pairs"), *(F.count_if(times >= r).alias(f"r{r}") for r in ratios))
-        return counts.select("sample_id", *by, "pairs", F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(f"r{r}").alias("n")) for r in ratios))).alias("t")).select("sample_id", *by, "pairs", "t.ratio", "t.n")
-
-    def dealt(seed: int) -> DataFrame:
-        new = written(counts_dealt_anew(barcodes, seed), "dealt")
-        sides = [new.select("sample_id", F.col("key").alias(k), F.col("cnt").alias(c)) for k, c in (("x", "c"), ("y", "d"))]
-        return edges.select("sample_id", "x", "y").join(sides[0], ["sample_id", "x"]).join(sides[1], ["sample_id", "y"]).select("sample_id", "c", "d", F.lit(seed).alias("seed"))
-
-    null = tally(reduce(DataFrame.unionByName, map(dealt, range(shuffles))), "seed").groupBy("sample_id", "ratio").agg(F.avg("n").alias("null_mean"), F.stddev_samp("n").alias("null_sd"))
+    names = ("cnt", *(f"dealt_{seed}" for seed in range(shuffles)))
+    dealt = dealt_beside(barcodes.select("sample_id", "key", "cnt"), *range(shuffles))
+    counts = written(pair_counts(dealt, *names, **{f"{c}_{r}": _apart(c, r) for c in names for r in ratios}), "tallies")
+    listed = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(f"cnt_{r}").alias("n"), F.array(*(F.col(f"{c}_{r}") for c in names[1:])).alias("null")) for r in ratios)))
+    rows = counts.select("sample_id", "pairs", listed.alias("t")).select("sample_id", "pairs", "t.*")
+    null = rows.select("sample_id", "ratio", F.explode("null").alias("n")).groupBy("sample_id", "ratio").agg(F.avg("n").alias("null_mean"), F.stddev_samp("n").alias("null_sd"))
     excess = F.col("n") - F.col("null_mean")
-    return tally(edges).join(null, ["sample_id", "ratio"]).select("sample_id", "ratio", "pairs", F.col("n").alias("observed"), "null_mean", "null_sd", excess.alias("excess"), F.when(F.col("null_sd") > 0, excess / F.col("null_sd")).alias("z"))
+    return rows.join(null, ["sample_id", "ratio"]).select("sample_id", "ratio", "pairs", F.col("n").alias("observed"), "null_mean", "null_sd", excess.alias("excess"), F.when(F.col("null_sd") > 0, excess / F.col("null_sd")).alias("z"))
 
 
 MAX_WIDTH = 8
