@@ -239,7 +239,7 @@ def placed(reads: DataFrame, reference: str) -> DataFrame:
     return reads.withColumn("_p", best("seq")).select("*", "_p.strand", "_p.offset", "_p.mismatches").drop("_p")
 
 
-PIECE = 4096  # ranks that are put together at a time
+PIECE = 256  # ranks that are put together at a time
 
 
 def column_shuffled(barcodes: DataFrame, seed: int, columns: int | None = None) -> DataFrame:
