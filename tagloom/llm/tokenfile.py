@@ -48,8 +48,9 @@ REMEMBERED = 200_000  # pieces of text in a worker, and twice as many words
 #: Fixed value: a pattern of words under which a run of letters is one word, and a run of these marks after it another.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters at which Python's split parts words but the tokenizers' white space does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Such pieces in Latin-1, whose letters NFC leaves as they are.
+MARKS = ".,;:!?%&*$#|"
 PLAIN_PIECE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*$#|]*)")
 
 
@@ -88,6 +89,15 @@ class SplitTokenizer(dict):
         return ids
 
     def __missing__(self, piece: str) -> bytes:
+        if self.plain:
+            word = piece.rstrip(MARKS)
+            if word.isascii() and word.isalpha():  # most are: ``PLAIN_PIECE`` without its search
+                size, word = len(word), word.lower()
+                ids = self.words.get(word) or self._word(word)
+                if size != len(piece):
+                    ids += self._word(piece[size:])
+                self[piece] = ids
+                return ids
         if self.plain and (found := PLAIN_PIECE.fullmatch(piece)):
             word, marks = found.groups()
             word = word.lower()
@@ -101,15 +111,18 @@ class SplitTokenizer(dict):
         self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, end: bytes = b"") -> np.ndarray:
+        """The text's ids, followed by those of ``end``."""
         if not self.by_piece:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+            return np.frombuffer(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + end, self.kind)
         if len(self) > REMEMBERED:
             self.clear()
         if len(self.words) > 2 * REMEMBERED:
             self.words.clear()
-        pieces = text.split() if SEPARATORS.search(text) is None else re.split("[ \t\n\r]+", text)
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), self.kind)
+        pieces = re.split("[ \t\n\r]+", text) if any(c in text for c in SEPARATORS) else text.split()
+        ids = list(map(self.__getitem__, pieces))
+        ids.append(end)
+        return np.frombuffer(b"".join(ids), self.kind)
 
 
 def checked(tokenizer) -> tuple[bool, bool]:
@@ -190,8 +203,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, order: list
                 if writer is None:
                     words = SplitTokenizer(tokenizer)
                     writer = ShardWriter(folder, task.partitionId(), width, words.kind, f"{task.taskAttemptId()}.tmp")
-                    end = np.array([end_id], words.kind)
-                writer.add(part.column(0), [np.r_[words.encode(t.as_py() or ""), end] for t in part.column(1)])
+                    end = np.array([end_id], words.kind).tobytes()
+                writer.add(part.column(0), [words.encode(t or "", end) for t in part.column(1).to_pylist()])
         if writer is not None:
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n": [writer.close()]}, pa.schema([("shard", pa.int32()), ("n", pa.int64())]))
 

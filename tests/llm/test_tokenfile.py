@@ -60,3 +60,10 @@ def test_odd_rows(odd, none):
     want = by_hand([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
     assert got == want
     assert token_files(none, PATH).count() == 0
+
+
+def test_plain_pieces_and_the_end():
+    """Pieces of ASCII letters and marks skip the pattern; the end comes with the text's ids."""
+    s, t = SplitTokenizer(PATH), Tokenizer.from_file(PATH)
+    for text in ("Word", "word.", "WORD!?*", "a", ".", "&", "x|y", "|", "Word,word", "wordé.", "it's;", "q1.", ""):
+        assert s.encode(text, np.array([1], s.kind).tobytes()).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
