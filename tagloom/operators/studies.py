@@ -50,11 +50,20 @@ def correction_accuracy(reads: DataFrame, merged: DataFrame, key: str = "umi", t
 
 def majority(reads: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, reads, position, base): the commonest base of each position up to the shortest read, N where two are as common."""
-    width = reads.groupBy(*keys).agg(F.min(F.length("seq")).alias("_w"), F.count("*").alias("reads"))
-    places = reads.join(width, list(keys)).filter("_w > 0").select(*keys, "reads", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("position"), "seq")
-    votes = places.groupBy(*keys, "reads", "position", F.substring(F.col("seq"), F.col("position"), F.lit(1)).alias("b")).agg(F.count("*").alias("n"))
-    top = votes.groupBy(*keys, "reads", "position").agg(F.max("n").alias("_n"), F.max_by("b", "n").alias("_b"), F.sort_array(F.collect_list("n"), asc=False).alias("_all"))
-    return top.select(*keys, "reads", "position", F.when(F.get("_all", F.lit(1)) == F.col("_n"), "N").otherwise(F.col("_b")).alias("base"))
+    seen = reads.groupBy(*keys, "seq").agg(F.count("*").alias("n"))  # most reads of a molecule are alike
+    molecules = seen.groupBy(*keys).agg(F.collect_list(F.struct("seq", "n")).alias("_v"), F.sum("n").alias("reads"), F.min(F.length("seq")).alias("_w")).filter("_w > 0")
+    places = molecules.select(*keys, "reads", "_v", F.explode(F.sequence(F.lit(1), F.col("_w"))).alias("position"))
+
+    def letter(x: Column) -> Column:
+        return F.substring(x["seq"], F.col("position"), F.lit(1))
+
+    letters = F.array_distinct(F.transform("_v", letter))
+    votes = F.transform("_l", lambda b: F.aggregate("_v", F.lit(0).cast("long"), lambda s, x: s + F.when(letter(x).eqNullSafe(b), x["n"]).otherwise(0)))
+    top = F.array_max("_n")
+    called = F.when(F.size(F.filter("_n", lambda n: n == top)) > 1, "N").otherwise(F.element_at("_l", F.array_position("_n", top).cast("int")))
+    alone = F.when(F.size("_v") == 1, letter(F.get("_v", F.lit(0))))  # whose other columns are not worked out
+    base = F.coalesce(alone, F.transform(F.array(letters), lambda ls: F.when(F.size(ls) == 1, F.get(ls, F.lit(0))))[0])
+    return places.withColumn("_one", base).withColumn("_l", F.when(F.col("_one").isNull(), letters)).withColumn("_n", F.when(F.col("_one").isNull(), votes)).select(*keys, "reads", "position", F.coalesce("_one", called).alias("base"))
 
 
 def minor_spectrum(called: DataFrame, group: str) -> DataFrame:
@@ -216,25 +225,34 @@ def run_label(label: Column | str) -> Column:
     return F.struct(number(r"(?i)(\d+(?:\.\d+)?)\s*ng", "double").alias("input_ng"), number(r"(?i)(\d+(?:\.\d+)?)x(?:_|$)", "double").alias("depth"), number(r"(?i)rep(?:licate)?[_-]?(\d+)", "int").alias("replicate"))
 
 
+TOGETHER = 1024  # reads placed at a time
+
+
+def best_places(seqs: list[str], reference: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(strand, offset, mismatches) of each sequence, None where it is empty or longer than the reference."""
+    ref, turn = np.frombuffer(reference.encode(), np.uint8), str.maketrans("ACGTN", "TGCAN")
+    out = np.full((3, len(seqs)), None, object)
+    for strand, texts in (("+", [s.encode() for s in seqs]), ("-", [s[::-1].translate(turn).encode() for s in seqs])):
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        for size in np.unique(sizes[(sizes > 0) & (sizes <= len(ref))]).tolist():
+            windows, rows = np.lib.stride_tricks.sliding_window_view(ref, size), np.flatnonzero(sizes == size)
+            for some in np.split(rows, range(TOGETHER, len(rows), TOGETHER)):
+                letters = np.frombuffer(b"".join([texts[i] for i in some]), np.uint8).reshape(len(some), 1, size)
+                off = (letters != windows).sum(axis=2)
+                at = off.argmin(axis=1)
+                least = off[np.arange(len(some)), at]
+                better = np.array([out[2, i] is None or n < out[2, i] for i, n in zip(some, least.tolist())], bool)
+                out[:, some[better]] = np.array([[strand] * int(better.sum()), at[better].tolist(), least[better].tolist()], object)
+    return out[0], out[1], out[2]
+
+
 def placed(reads: DataFrame, reference: str) -> DataFrame:
     """``reads`` with strand, offset and mismatches of their best ungapped place on a short reference; ties to the forward strand, then the smaller offset."""
-    ref = np.frombuffer(reference.encode(), np.uint8)
-
     @F.pandas_udf("struct<strand:string,offset:int,mismatches:int>")
     def best(seqs: pd.Series) -> pd.DataFrame:
-        turn = str.maketrans("ACGTN", "TGCAN")
-        out = []
-        for s in seqs:
-            found = (None, None, None)
-            for strand, text in (("+", s), ("-", s[::-1].translate(turn))) if s else ():
-                read = np.frombuffer(text.encode(), np.uint8)
-                if 0 < len(read) <= len(ref):
-                    off = (np.lib.stride_tricks.sliding_window_view(ref, len(read)) != read).sum(axis=1)
-                    at = int(off.argmin())
-                    if found[2] is None or off[at] < found[2]:
-                        found = (strand, at, int(off[at]))
-            out.append(found)
-        return pd.DataFrame(out, columns=["strand", "offset", "mismatches"]).astype({"offset": "Int32", "mismatches": "Int32"})
+        which, known = pd.factorize(seqs)  # equal reads are placed once; -1: null
+        strand, offset, mismatches = best_places([*known, ""], reference)
+        return pd.DataFrame({"strand": strand[which], "offset": pd.array(offset[which], "Int32"), "mismatches": pd.array(mismatches[which], "Int32")})
 
     return reads.withColumn("_p", best("seq")).select("*", "_p.strand", "_p.offset", "_p.mismatches").drop("_p")
 

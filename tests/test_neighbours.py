@@ -58,3 +58,35 @@ def test_groups_that_cross_batches(spark):
 
 def _words(n):
     return [()] if not n else [(c, *w) for c in "ACGT" for w in _words(n - 1)]
+
+
+def test_reads_are_placed_as_one_by_one():
+    from tagloom.operators.studies import best_places
+
+    draw, ref = random.Random(3), "ACGTTGCAAGCTTACGGATCC"
+    turn = str.maketrans("ACGTN", "TGCAN")
+    seqs = ["".join(draw.choices("ACGTN", k=draw.choice((0, 3, 8, 21, 22)))) for _ in range(300)]
+
+    def by_hand(s):
+        found = (None, None, None)
+        for strand, text in (("+", s), ("-", s[::-1].translate(turn))):
+            for at in range(len(ref) - len(s) + 1) if s else ():
+                n = sum(a != b for a, b in zip(text, ref[at:]))
+                if found[2] is None or n < found[2]:
+                    found = (strand, at, n)
+        return found
+
+    assert list(zip(*best_places(seqs, ref))) == [by_hand(s) for s in seqs]
+
+
+def test_majority_moves_no_row_a_position(spark):
+    from tagloom.operators.studies import majority
+
+    rows = [("a", "ACGT"), ("a", "ACGT"), ("a", "ACTTA"), ("b", "AC"), ("b", "AG"), ("c", "GATTACA"), ("d", ""), ("e", "NA"), ("e", "NC"), ("e", "TC")]
+    called = majority(spark.createDataFrame(rows, "m string, seq string"), ("m",))
+    assert {(r.m, r.position): (r.reads, r.base) for r in called.collect()} == {
+        **{("a", i + 1): (3, c) for i, c in enumerate("ACGT")}, ("b", 1): (2, "A"), ("b", 2): (2, "N"), **{("c", i + 1): (1, c) for i, c in enumerate("GATTACA")}, ("e", 1): (3, "N"), ("e", 2): (3, "C"),
+    }
+    plan = called._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generate = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert not any("Aggregate" in line for line in plan[:generate])
