@@ -90,8 +90,8 @@ def _slices(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
 
-def _levels(counted: DataFrame) -> np.ndarray:
-    """Bit lengths of the buckets' sums over all tasks, a byte each."""
+def _levels(counted: DataFrame) -> Broadcast:
+    """Bit lengths of the buckets' sums over all tasks, a byte each, sent out compressed; ``_unpacked`` gives them. Whoever asks for them destroys them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -99,13 +99,18 @@ def _levels(counted: DataFrame) -> np.ndarray:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 one = np.frombuffer(pa.decompress(counts.as_py(), 4 * BUCKETS // SLICES, codec="zstd"), np.uint32).astype(np.int64)
                 sums[i] = sums[i] + one if i in sums else one
-        levels = [np.frexp(s.astype(float))[1].astype(np.uint8).tobytes() for s in sums.values()]
+        levels = [pa.compress(np.frexp(s.astype(float))[1].astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
 
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
-    for row in counted.repartition(SLICES, "slice").mapInArrow(run, "slice int, levels binary").collect():  # BUCKETS bytes
-        out[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
-    return out.ravel()
+    out = {r["slice"]: bytes(r["levels"]) for r in counted.repartition(SLICES, "slice").mapInArrow(run, "slice int, levels binary").collect()}  # BUCKETS bytes at most
+    return counted.sparkSession.sparkContext.broadcast(out)
+
+
+def _unpacked(levels: Broadcast) -> np.ndarray:
+    size, out = BUCKETS // SLICES, np.zeros(BUCKETS, np.uint8)
+    for i, part in levels.value.items():
+        out[i * size : (i + 1) * size] = np.frombuffer(pa.decompress(part, size, codec="zstd"), np.uint8)
+    return out
 
 
 def _tallied(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def _whole(texts: list[bytes], words: int) -> np.ndarray:
     return np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
-def _shingle_levels(docs: DataFrame, words: int) -> np.ndarray:
+def _shingle_levels(docs: DataFrame, words: int) -> Broadcast:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = (batch.column(0).cast(pa.large_binary()) for batch in batches)
         parts = (column.slice(i, 256) for column in texts for i in range(0, len(column), 256))
@@ -138,7 +143,7 @@ def _signatures(docs: DataFrame, words: int, levels: Broadcast, percent: int = P
     """Of each document: its set's size, 128-bit hash and bitmap, its prefix, and the hash of its size and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
+        level = _unpacked(levels)
         for batch in batches:
             sizes, sets, groups, prefixes, maps = [], [], [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
@@ -168,10 +173,10 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _tallied(batch.column(0).to_numpy().view(np.uint64) for batch in batches)
 
-    some = docs.sparkSession.sparkContext.broadcast(_levels(wanted.select("k").mapInArrow(tally, "slice int, counts binary")).tobytes())
+    some = _levels(wanted.select("k").mapInArrow(tally, "slice int, counts binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, done = np.frombuffer(some.value, np.uint8), set()
+        level, done = _unpacked(some), set()
         for batch in batches:
             k = batch.column(1).to_numpy().view(np.uint64)
             sets, hashes = [], []
@@ -187,7 +192,9 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(hashes, pa.binary())], ["set", "shingles"])
 
     found = docs.select("text", "k").mapInArrow(run, "set binary, shingles binary")
-    return found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
+    sets = written(found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "sets")
+    some.destroy()
+    return sets
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int = PERCENT) -> DataFrame:
@@ -203,7 +210,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, p
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    sets = written(_sets(docs, words, written(classes.select("set", "k").join(ends, "set", "left_semi"), "wanted")), "sets")
+    sets = _sets(docs, words, written(classes.select("set", "k").join(ends, "set", "left_semi"), "wanted"))
     one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
@@ -335,8 +342,9 @@ def index_length_of(n: Column, percent: int = PERCENT) -> Column:
 
 def _marked(one: DataFrame, words: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Signatures of documents (doc_id, text, k), and the classes of those that have a word."""
-    levels = one.sparkSession.sparkContext.broadcast(_shingle_levels(one, words).tobytes())
+    levels = _shingle_levels(one, words)
     marked = written(_signatures(one, words, levels, percent), "signatures")
+    levels.destroy()
     return marked, written(marked.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits")), "classes")
 
 

@@ -126,3 +126,15 @@ def test_odd_rows_and_empty_tables(spark, odd, none):
     assert result(jaccard.jaccard_components(odd)) == by_hand(docs)
     got = jaccard.jaccard_components(none)
     assert result(got) == [] and got.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_levels_go_out_compressed(spark):
+    """Few shingles take little of the driver's memory, however many buckets there are."""
+    from tagloom.llm import jaccard
+
+    docs = spark.createDataFrame([("one two three four",)] * 5 + [("five six seven",)], "text string")
+    sent = jaccard._shingle_levels(docs, 3)
+    level = jaccard._unpacked(sent)
+    assert sum(map(len, sent.value.values())) < jaccard.BUCKETS // 100
+    assert len(level) == jaccard.BUCKETS and sorted(level[level > 0].tolist()) == [1, 3, 3]
+    sent.destroy()
