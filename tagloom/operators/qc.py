@@ -70,30 +70,99 @@ def cycle_profile(reads: DataFrame) -> DataFrame:
     return n.select("cycle", *BASES, "other", "mean_phred", entropy.alias("entropy_bits"), sum((p * p for p in share), F.lit(0.0)).alias("collision"), consensus.alias("consensus"), deviation.alias("deviation"))
 
 
+_TALLY = [("kmer", pa.string()), ("letter", pa.string()), ("count", pa.int64()), ("at", pa.int64()), ("in_reads", pa.int64())]
+DENSE = 1 << 20  # k-mers that are counted in arrays of a place each
+AT_ONCE = 1 << 22  # bytes of reads looked at together
+
+
+def _tallied(k: int):
+    """Rows of ``_TALLY``: each k-mer's occurrences, sum of their places from 1 and reads; each letter's occurrences; the reads, without k-mer and letter.
+
+    K-mers are numbers of two bits a letter. Where there are few, their sums are held for a whole
+    task, else they go out batch by batch; k-mers too long for a number stay letters.
+    """
+    schema = pa.schema(_TALLY)
+    dense = 4**k <= DENSE
+
+    def named(codes: np.ndarray) -> pa.Array:
+        if codes.dtype.kind == "S":
+            return pa.array(codes.astype(str), pa.string())
+        letters = np.frombuffer(BASES.encode(), np.uint8)[codes[:, None] >> np.arange(2 * k - 2, -1, -2) & 3]
+        return pa.array(np.ascontiguousarray(letters).view(f"S{k}").ravel().astype(str), pa.string())
+
+    def rows(codes: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([named(codes), pa.nulls(len(codes), pa.string()), *(pa.array(x.astype(np.int64)) for x in sums)], schema=schema)
+
+    def parts(seqs: pa.Array) -> Iterator[pa.Array]:
+        step = max(1, len(seqs) * AT_ONCE // max(1, seqs.nbytes))
+        return (seqs.slice(i, step) for i in range(0, len(seqs), step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanned, letters = 0, np.zeros(4, np.int64)
+        held = np.zeros((3, 4**k), np.int64) if dense else None
+        for seqs in (p for batch in batches for p in parts(batch.column(0))):
+            reads = Letters(seqs, seqs)
+            scanned += len(seqs)
+            code = CODE[reads.seq]
+            letters += np.bincount(code, minlength=5)[:4]
+            n = len(code) - k + 1
+            if n < 1:
+                continue
+            read = np.repeat(np.arange(len(seqs), dtype=np.int32), reads.length)
+            other = np.r_[0, np.cumsum(code == 4)]
+            whole = np.flatnonzero((read[:n] == read[k - 1 :]) & (other[k:] == other[:n]))
+            if not len(whole):
+                continue
+            if k <= 31:
+                number = np.zeros(n, np.int64)
+                for i in range(k):
+                    number <<= 2
+                    number |= code[i : i + n]
+                number = number[whole]
+            else:
+                number = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(reads.seq, k)[whole]).view(f"S{k}").ravel()
+            read = read[whole]
+            at = whole - reads.at[read] + 1
+            if not dense:
+                found, number = np.unique(number, return_inverse=True)
+            # A read's repeats of a k-mer stand together once sorted by k-mer, as reads already ascend.
+            order = np.argsort(number.astype(np.uint16 if 4**k <= 1 << 16 else np.int64), kind="stable")
+            number, read, at = number[order], read[order], at[order]
+            head = np.r_[True, number[1:] != number[:-1]]
+            new = head | np.r_[True, read[1:] != read[:-1]]
+            begin = np.flatnonzero(head)
+            sums = np.diff(np.r_[begin, len(number)]), np.add.reduceat(at, begin), np.add.reduceat(new.astype(np.int64), begin)
+            if dense:
+                held[:, number[begin]] += np.stack(sums)
+            else:
+                yield rows(found, *sums)
+        if dense:
+            found = np.flatnonzero(held[0])
+            yield rows(found, *held[:, found])
+        none = pa.nulls(5, pa.string())
+        yield pa.RecordBatch.from_arrays([none, pa.array([*BASES, None], pa.string()), pa.array([*letters.tolist(), scanned]), pa.array([0] * 5), pa.array([0] * 5)], schema=schema)
+
+    return run
+
+
 def kmer_enrichment(reads: DataFrame, k: int = KMER, top: int = TOP_KMERS) -> DataFrame:
     """(kmer, count, expected, ratio, mean_position, read_fraction): the most enriched k-mers over the reads' own composition.
 
-    The limit is the report's; every k-mer is counted. A read's k-mers are added up
-    before they move, and the reads' own sums are one row beside them.
+    The limit is the report's; every k-mer is counted. K-mers, letters and reads are counted in
+    one pass over the reads, in tasks: a row a k-mer of a task moves.
     """
-    last = F.greatest(F.length("seq") - (k - 1), F.lit(0))
-    starts = F.filter(F.sequence(F.lit(0), last), lambda i: i > 0)
-    listed = F.filter(F.transform(starts, lambda i: F.struct(F.substring(F.col("seq"), i, F.lit(k)).alias("kmer"), i.alias("at"))), lambda x: x["kmer"].rlike("^[ACGT]+$"))
-    # A generator of one row: the list is made once a read.
-    rows = reads.select(F.explode(F.array(F.array_sort(listed))).alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.greatest(F.size("l") - 1, F.lit(0)))).alias("i"))
-    mers = rows.filter(F.size("l") > 0).select(F.get("l", F.col("i")).alias("x"), (F.coalesce(F.get("l", F.col("i") - 1)["kmer"] != F.get("l", F.col("i"))["kmer"], F.lit(True))).cast("long").alias("first"))
-    counted = mers.groupBy("x.kmer").agg(F.count("*").alias("count"), (F.avg("x.at") - 1).alias("mean_position"), F.sum("first").alias("in_reads"))
-    counted = written(counted, "kmers")
-    letters = [F.sum(F.length("seq") - F.length(F.replace(F.col("seq"), F.lit(b), F.lit("")))).alias(b) for b in BASES]
-    sums = reads.agg(F.count("*").alias("scanned"), *letters).first()
-    total, bases = counted.agg(F.sum("count")).first()[0], sum(sums[b] or 0 for b in BASES)
+    tallied = reads.select("seq").mapInArrow(_tallied(k), "kmer string, letter string, count long, at long, in_reads long")
+    tallied = written(tallied.groupBy("kmer", "letter").agg(*[F.sum(c).alias(c) for c in ("count", "at", "in_reads")]), "kmers")
+    counted = tallied.filter("kmer IS NOT NULL").select("kmer", "count", (F.col("at") / F.col("count") - 1).alias("mean_position"), "in_reads")
+    sums = {r.letter: r["count"] for r in tallied.filter("kmer IS NULL").select("letter", "count").collect()}  # five rows
+    scanned, total, bases = sums.get(None, 0), counted.agg(F.sum("count")).first()[0], sum(sums.get(b, 0) for b in BASES)
     if not total:
         return counted.select("kmer", "count", F.lit(0.0).alias("expected"), F.lit(0.0).alias("ratio"), "mean_position", F.lit(0.0).alias("read_fraction"))
     expected = F.lit(float(total))
     for b in BASES:
         expected = expected * F.pow(F.lit(sums[b] / bases), k - F.length(F.replace(F.col("kmer"), F.lit(b), F.lit(""))))
-    least = max(20, sums.scanned // 100_000)
-    out = counted.filter(F.col("count") >= least).select("kmer", "count", expected.alias("expected"), (F.col("count") / expected).alias("ratio"), "mean_position", (F.col("in_reads") / F.lit(sums.scanned)).alias("read_fraction"))
+    least = max(20, scanned // 100_000)
+    out = counted.filter(F.col("count") >= least).select("kmer", "count", expected.alias("expected"), (F.col("count") / expected).alias("ratio"), "mean_position", (F.col("in_reads") / F.lit(scanned)).alias("read_fraction"))
     return out.orderBy(F.desc(F.round("ratio", 9)), "kmer").limit(top)
 
 
