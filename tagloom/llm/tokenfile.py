@@ -12,8 +12,8 @@ A shard is a range of doc_ids, sorted and written by one task; it appears under
 its final name by a rename after it is complete, so a repeated task only writes
 the same bytes again. Nothing but one line per shard reaches the driver.
 
-Each worker tokenizes a piece of text between spaces once and remembers it, for a
-bounded number of pieces. That is exact where no token crosses a space, which
+Each worker tokenizes a piece of text between spaces once and remembers it from task
+to task, for a bounded number of pieces. That is exact where no token crosses a space, which
 ``checked`` verifies on the tokenizer's own description; others encode whole texts.
 
 Defined cases: a null or empty text is just the end id; rows with equal doc_ids
@@ -28,6 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .common import scratch
 END_ID = 1
 WIDTH = 2048
 BATCH_ROWS = 64
-REMEMBERED = 200_000  # pieces of text in a worker, and twice as many words
+REMEMBERED = 400_000  # pieces of text in a worker, and twice as many words
 
 
 #: Fixed value: a pattern of words under which a run of letters is one word, and a run of these marks after it another.
@@ -137,6 +138,17 @@ def checked(tokenizer) -> tuple[bool, bool]:
     return by_piece, by_piece and pre[0]["pattern"]["Regex"] == WORD_PATTERN and "Lowercase" in norm and [p["type"] for p in pre] == ["Split", "ByteLevel"]
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, changed: int, size: int) -> SplitTokenizer:
+    return SplitTokenizer(path)
+
+
+def kept(path: str) -> SplitTokenizer:
+    """The tokenizer in a file, with the pieces that this worker met in earlier tasks; read anew if the file has changed."""
+    at = os.stat(path)
+    return _kept(str(path), at.st_mtime_ns, at.st_size)
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
@@ -201,7 +213,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, order: list
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 if writer is None:
-                    words = SplitTokenizer(tokenizer)
+                    words = kept(tokenizer)
                     writer = ShardWriter(folder, task.partitionId(), width, words.kind, f"{task.taskAttemptId()}.tmp")
                     end = np.array([end_id], words.kind).tobytes()
                 writer.add(part.column(0), [words.encode(t or "", end) for t in part.column(1).to_pylist()])

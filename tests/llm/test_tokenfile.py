@@ -67,3 +67,17 @@ def test_plain_pieces_and_the_end():
     s, t = SplitTokenizer(PATH), Tokenizer.from_file(PATH)
     for text in ("Word", "word.", "WORD!?*", "a", ".", "&", "x|y", "|", "Word,word", "wordé.", "it's;", "q1.", ""):
         assert s.encode(text, np.array([1], s.kind).tobytes()).tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_a_tokenizer_is_kept_until_its_file_changes(tmp_path):
+    import os
+    import shutil
+
+    from tagloom.llm.tokenfile import kept
+
+    path = shutil.copy(PATH, tmp_path / "t.json")
+    one = kept(path)
+    one.encode("word word.")
+    assert kept(path) is one and "word." in one
+    os.utime(path, (1, 1))
+    assert kept(path) is not one
