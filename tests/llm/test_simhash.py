@@ -191,3 +191,15 @@ def test_every_link_is_found(spark, monkeypatch):
         monkeypatch.setattr("tagloom.llm.simhash.NEAR_BITS", far)
         kept = {r.doc_id for r in one_of_each(spark.createDataFrame(made, "doc_id long, text string")).collect()}
         assert kept == {a for _, a, _ in pairs} | {b for j, _, b in pairs if j < 0.8}
+
+
+def test_only_the_verdict_stays_on_disk(spark, docs):
+    from pathlib import Path
+
+    from tagloom.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    one = one_of_each(docs)
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before}
+    assert left == {"judged"} and 0 < one.count() < docs.count()
