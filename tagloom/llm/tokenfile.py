@@ -26,9 +26,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -138,15 +139,18 @@ def checked(tokenizer) -> tuple[bool, bool]:
     return by_piece, by_piece and pre[0]["pattern"]["Regex"] == WORD_PATTERN and "Lowercase" in norm and [p["type"] for p in pre] == ["Split", "ByteLevel"]
 
 
-@lru_cache(maxsize=1)
-def _kept(path: str, changed: int, size: int) -> SplitTokenizer:
-    return SplitTokenizer(path)
-
-
 def kept(path: str) -> SplitTokenizer:
-    """The tokenizer in a file, with the pieces that this worker met in earlier tasks; read anew if the file has changed."""
+    """The tokenizer in a file, with the pieces that this worker met in earlier tasks; read anew if the file has changed.
+
+    Functions travel with each task, and this module's own globals with them, so it is kept in a module made in the worker.
+    """
+    worker = sys.modules.setdefault("_tagloom_worker", ModuleType("_tagloom_worker"))
     at = os.stat(path)
-    return _kept(str(path), at.st_mtime_ns, at.st_size)
+    key = (str(path), at.st_mtime_ns, at.st_size)
+    if getattr(worker, "key", None) != key:
+        worker.key, worker.tokenizer = None, None
+        worker.tokenizer, worker.key = SplitTokenizer(path), key
+    return worker.tokenizer
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:

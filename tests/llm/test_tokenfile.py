@@ -75,9 +75,23 @@ def test_a_tokenizer_is_kept_until_its_file_changes(tmp_path):
 
     from tagloom.llm.tokenfile import kept
 
-    path = shutil.copy(PATH, tmp_path / "t.json")
+    path = str(shutil.copy(PATH, tmp_path / "t.json"))
     one = kept(path)
     one.encode("word word.")
     assert kept(path) is one and "word." in one
     os.utime(path, (1, 1))
     assert kept(path) is not one
+
+
+def test_it_is_kept_where_the_package_is_not(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tagloom.llm.tokenfile import kept
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(kept))
+    code = "import pickle, sys; a, b = (pickle.load(open('f', 'rb')) for _ in range(2)); print(a is not b and a(sys.argv[1]) is b(sys.argv[1]), 'tagloom' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code, PATH], cwd=tmp_path, env={}, capture_output=True, text=True, timeout=60)
+    assert done.stdout.split() == ["True", "False"], done.stderr
