@@ -125,3 +125,51 @@ def test_split_power(spark):
     records = spark.createDataFrame([("S", "a", 1, 5), ("S", "a", 2, 4), ("S", "b", 1, 9), ("S", "c", 1, 3)], "sample_id string, umi string, molecule int, reads long")
     truth = spark.createDataFrame([("S", "a", 1), ("S", "a", 2), ("S", "b", 3), ("S", "b", 4), ("S", "c", 5)], "sample_id string, umi string, molecule int")
     assert [(r.depth_bin, r.mixed, r.split, r.power) for r in studies.split_power(records, truth).collect()] == [(3, 2, 1, 0.5)]
+
+
+def test_all_contigs_of_a_batch_are_called_at_once(spark, monkeypatch):
+    """Mates of many molecules, some without overlap, some empty: the calls of each molecule by itself, in one call a batch."""
+    draw, made = random.Random(8), []
+    for g in range(30):
+        whole = "".join(draw.choices("ACGT", k=90))
+        a, b = [(whole[:60], whole[30:]), (whole[:50], whole[60:]), ("", whole[:40]), ("", ""), (whole[40:80], whole[20:70])][g % 5]
+        for _ in range(draw.randint(1, 12)):
+            one, two = ("".join(draw.choice("ACGTN") if draw.random() < 0.03 else c for c in x) for x in (a, b))
+            made.append((g, one, "".join(draw.choices("!+5?I", k=len(one))), two, "".join(draw.choices("!+5?I", k=len(two)))))
+    calls = []
+    plain = contigs.call_columns
+    monkeypatch.setattr(contigs, "call_columns", lambda *a: calls.append(1) or plain(*a))
+    want = []
+    for g in range(30):
+        own = [m[1:] for m in made if m[0] == g]
+        offset = contigs.merge_offset([m[0] for m in own], [m[2] for m in own])
+        firsts, seconds = [(m[0].encode(), m[1].encode()) for m in own], [(m[2].encode(), m[3].encode()) for m in own]
+        low = min(0, offset or 0)
+        parts = [[(m, -low) for m in firsts] + [(m, offset - low) for m in seconds]] if offset is not None else [[(m, 0) for m in x] for x in (firsts, seconds)]
+        for part in parts:
+            if any(m[0] for m, _ in part):
+                seq, qual, error, quality = contigs._called([m[0] for m, _ in part], [m[1] for m, _ in part], [(i, x) for i, (_, x) in enumerate(part)], contigs.FLOOR)
+                want.append((g, len(own), len(parts), seq, qual, round(error, 9), round(quality, 9)))
+    calls.clear()
+    ran = []
+    monkeypatch.setattr(contigs, "by_molecule", lambda votes, keys, run, schema: ran.append(run) or votes)
+    contigs.merged_mates(spark.createDataFrame([(0, "k", "A", "I", "A", "I")], SEQ + ", seq2 string, qual2 string"), ("key",))
+    starts = [i for i, m in enumerate(made) if not i or m[0] != made[i - 1][0]]
+    which, columns = ran[0]([f"{m[1]}|{m[3]}".encode() for m in made], [f"{m[2]}!{m[4]}".encode() for m in made], contigs.np.array(starts))
+    reads, _, n, seq, qual, error, quality = (c.to_pylist() for c in columns)
+    assert [(g, r, k, s, q, round(e, 9), round(m, 9)) for g, r, k, s, q, e, m in zip(which, reads, n, seq, qual, error, quality)] == want
+    assert len(calls) == 1
+
+
+def test_pre_amplification_floor_goes_through_molecules_once(spark, tmp_path):
+    """Molecules are made by a task that notes each run; those alike are one row and a number."""
+    rows = [("S", 25, "ACGT" * 15)] * 400 + [("S", 2, "ACGT")] * 400 + [("T", 1, "A")] * 5 + [(None, 30, "AC")]
+
+    def noted(batches):
+        (tmp_path / str(random.random())).touch()
+        yield from batches
+
+    df = spark.createDataFrame(rows, "sample_id string, reads long, seq string").coalesce(1)
+    got = {r.sample_id: r for r in consensus.pre_amp_floor(df.mapInArrow(noted, df.schema)).collect()}
+    assert (got["S"].molecules_deep, got["S"].molecules_scored, got["S"].bases, got["S"].mismatches, got["T"].molecules_deep) == (400, 400, 24_000, 0, 0)
+    assert len(list(tmp_path.iterdir())) == 1
