@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -415,17 +416,18 @@ def template_clusters(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "u
 
 
 def leaders(seqs: list[bytes], divergence: float) -> list[int]:
-    """Reads of each greedy cluster, by its leader in order."""
+    """Reads of each greedy cluster, by its leader in order. Equal reads are compared once, where the first of them stands."""
+    counts = Counter(seqs)  # in order of first reads
+    seqs, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
     lengths = np.array([len(s) for s in seqs])
-    letters = np.zeros((len(seqs), int(lengths.max(initial=0))), np.uint8)
-    for row, s in zip(letters, seqs):
-        row[: len(s)] = np.frombuffer(s, np.uint8)
+    width = int(lengths.max(initial=0))
+    letters = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in seqs), np.uint8).reshape(len(seqs), width)
     left, out = np.arange(len(seqs)), []
     while len(left):
         lead = letters[left[0]]
         differ = ((letters[left] != lead) & (letters[left] != 0) & (lead != 0)).sum(axis=1)
         apart = differ > divergence * np.minimum(lengths[left], lengths[left[0]])
-        out.append(int((~apart).sum()))
+        out.append(int(n[left[~apart]].sum()))
         left = left[apart]
     return out
 
@@ -440,6 +442,7 @@ def template_collisions(clusters: DataFrame, space: DataFrame, divergence: float
     groups that differ (neighbours in an order of hashes, ``trials`` of them at most), and ``corrected``
     is what is observed over that. ``expected`` is the birthday's share of barcodes with two molecules.
     """
+    clusters = written(clusters.select("sample_id", "umi", "templates", "first"), "clusters")  # a row a molecule, read twice
     n = clusters.groupBy("sample_id").agg(F.count("*").alias("groups"), F.count_if(F.col("templates") > 1).alias("split"))
     share = F.least(F.lit(1.0), 1.5 * (trials + 1) / F.col("groups"))
     h = F.xxhash64("umi")

@@ -130,3 +130,25 @@ def test_a_barcode_that_two_cells_share_votes_in_both(spark, monkeypatch):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "src_index long, sample_id string, cell string, umi_true string, seq string, qual string")
     monkeypatch.setattr(catalog, "reads", lambda spark, sf_dir, index=True: df if index else df.drop("src_index"))
     assert {tuple(r) for r in catalog.modal_chains(spark, "").collect()} == {("x", "A", "GGG", 3, 3), ("y", "A", "CCC", 2, 3)}
+
+
+def test_equal_reads_are_compared_once(monkeypatch):
+    """As plain clustering finds them, from rows of distinct reads only."""
+    draw, widest = random.Random(5), []
+    kept = studies.np.arange
+    monkeypatch.setattr(studies.np, "arange", lambda n, *a: widest.append(n) or kept(n, *a))
+    seqs = ["".join(draw.choices("ACGT", k=30)) for _ in range(5)]
+    some = [draw.choice([*seqs, seqs[0][:20], seqs[1][:-1] + "N", ""]) for _ in range(600)]
+    assert studies.leaders([s.encode() for s in some], 0.05) == greedy(some, 0.05)
+    assert widest == [len(set(some))]
+    assert studies.leaders([b""] * 3, 0.05) == [3] and studies.leaders([], 0.05) == []
+
+
+def test_clusters_are_made_once(spark, tmp_path):
+    def noted(batches):
+        (tmp_path / str(random.random())).touch()
+        yield from batches
+
+    clusters = spark.createDataFrame([("S", f"u{i}", 1, "ACGT" * 5) for i in range(50)], "sample_id string, umi string, templates int, first string").coalesce(1)
+    r = studies.template_collisions(clusters.mapInArrow(noted, clusters.schema), spark.createDataFrame([("S", 0.5)], "sample_id string, lambda double")).first()
+    assert (r.groups, r.split, r.trials, r.detectable) == (50, 0, 49, 0.0) and len(list(tmp_path.iterdir())) == 1
