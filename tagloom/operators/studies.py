@@ -204,14 +204,25 @@ def caller_table(calls: DataFrame, chrom: str, pos: int) -> DataFrame:
 
 
 def kmer_coverage(contigs: DataFrame, molecules: DataFrame, k: int = 21) -> DataFrame:
-    """(cell, contig, kmers, covered, share): distinct k-mers of a contig that some molecule of its cell has."""
+    """(cell, contig, kmers, covered, share): distinct k-mers of a contig that some molecule of its cell has.
+
+    Sequences that are alike in a cell are cut into k-mers once. A contig of one sequence has that
+    sequence's sums; only contigs of several meet k-mer by k-mer.
+    """
 
     def mers(df: DataFrame, *keep: str) -> DataFrame:
         starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length("seq") - (k - 1), F.lit(0))), lambda i: i > 0)
         return df.select("cell", *keep, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("seq"), i, F.lit(k))))).alias("kmer"))
 
-    have = mers(molecules).distinct().withColumn("_in", F.lit(1))
-    n = mers(contigs, "contig").distinct().join(have, ["cell", "kmer"], "left").groupBy("cell", "contig").agg(F.count("*").alias("kmers"), F.count("_in").alias("covered"))
+    def sums(of: DataFrame, *keys: str) -> DataFrame:
+        return mers(of, *keys).distinct().join(have, ["cell", "kmer"], "left").groupBy("cell", *keys).agg(F.count("*").alias("kmers"), F.count("_in").alias("covered"))
+
+    have = written(mers(molecules.select("cell", "seq").distinct()).distinct().withColumn("_in", F.lit(1)), "kmers")
+    count = F.count("*").over(Window.partitionBy("cell", "contig"))
+    parts = written(contigs.select("cell", "contig", "seq").distinct().withColumn("_alone", (count == 1) & F.col("cell").isNotNull()), "contigs")
+    alone = parts.filter("_alone")
+    one = alone.join(sums(alone.select("cell", "seq").distinct(), "seq"), ["cell", "seq"]).select("cell", "contig", "kmers", "covered")
+    n = one.unionByName(sums(parts.filter("NOT _alone"), "contig"))
     return n.withColumn("share", F.col("covered") / F.col("kmers"))
 
 

@@ -152,3 +152,28 @@ def test_clusters_are_made_once(spark, tmp_path):
     clusters = spark.createDataFrame([("S", f"u{i}", 1, "ACGT" * 5) for i in range(50)], "sample_id string, umi string, templates int, first string").coalesce(1)
     r = studies.template_collisions(clusters.mapInArrow(noted, clusters.schema), spark.createDataFrame([("S", 0.5)], "sample_id string, lambda double")).first()
     assert (r.groups, r.split, r.trials, r.detectable) == (50, 0, 49, 0.0) and len(list(tmp_path.iterdir())) == 1
+
+
+def test_kmers_of_a_contig_of_one_sequence_are_not_joined_again(spark, monkeypatch):
+    draw, written, rows = random.Random(7), studies.written, {}
+    seqs = ["".join(draw.choices("AC", k=draw.randint(2, 9))) for _ in range(8)] + [None, ""]
+    contigs = [(draw.choice(["x", "y", None]), draw.choice(["a", "b", "c", "d", "e", "f", "g", None]), draw.choice(seqs)) for _ in range(25)] + [("x", f"n{i}", seqs[0]) for i in range(40)]
+    molecules = [(draw.choice(["x", "y", None]), draw.choice(seqs)) for _ in range(6)]
+
+    def seen(df, name):
+        out = written(df, name)
+        rows[name] = out
+        return out
+
+    monkeypatch.setattr(studies, "written", seen)
+    found = studies.kmer_coverage(spark.createDataFrame(contigs, "cell string, contig string, seq string"), spark.createDataFrame(molecules, "cell string, seq string"), 4)
+
+    def mers(s):
+        return {s[i : i + 4] for i in range(len(s or "") - 3)}
+
+    want = {}
+    for cell, contig, s in contigs:
+        want.setdefault((cell, contig), set()).update(mers(s))
+    have = {(cell, m) for cell, s in molecules if cell for m in mers(s)}
+    assert {(r.cell, r.contig, r.kmers, r.covered) for r in found.collect()} == {(c, g, len(m), sum((c, x) in have for x in m)) for (c, g), m in want.items() if m}
+    assert rows["contigs"].filter("_alone").count() >= 40
