@@ -9,9 +9,9 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, passing, scratch, shared_dir, tidy, written
+from ..storage import discard, narrow, passing, scratch, shared_dir, tidy, written
 
-__all__ = ["discard", "fold", "passing", "scratch", "shared_dir", "shipped", "table", "tidy", "unpacked", "written"]
+__all__ = ["discard", "fold", "narrow", "passing", "scratch", "shared_dir", "shipped", "table", "tidy", "unpacked", "written"]
 
 
 def fold(key: str | Column, folds: int, which: int) -> Column:

@@ -44,6 +44,7 @@ WORDS = 3
 PERCENT = 90
 BUCKETS = 1 << 24
 SLICES = 64  # parts of the buckets that are summed apart
+HELD = 1 << 22  # bucket numbers that a task holds before it counts them
 BITS = 1024  # of a set's bitmap
 HUBS = 2  # groups drawn for a shingle, that all others are compared with first
 
@@ -85,9 +86,16 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _slices(counts: np.ndarray) -> pa.RecordBatch:
-    parts = [pa.compress(part.astype(np.uint32).tobytes(), codec="zstd", asbytes=True) for part in np.split(counts, SLICES)]
-    return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
+def _slices(buckets: np.ndarray) -> pa.RecordBatch:
+    """How often each bucket occurs: a row a slice that has any, made one at a time. Sorts ``buckets``."""
+    buckets.sort()
+    size, rows, parts = BUCKETS // SLICES, [], []
+    ends = np.searchsorted(buckets, np.arange(SLICES + 1) * size)
+    for i in np.flatnonzero(np.diff(ends)):
+        counts = np.bincount(buckets[ends[i] : ends[i + 1]] - np.uint32(i * size), minlength=size).astype(np.uint32)
+        rows.append(i)
+        parts.append(pa.compress(counts.tobytes(), codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
 
 def _levels(counted: DataFrame) -> Broadcast:
@@ -114,15 +122,17 @@ def _unpacked(levels: Broadcast) -> np.ndarray:
 
 
 def _tallied(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    counts, seen = np.zeros(BUCKETS, np.uint32), 0
+    """Counts by bucket. A task holds ``HELD`` bucket numbers at most, not a count for each of ``BUCKETS``."""
+    held, n = np.empty(HELD, np.uint32), 0
     for hashes in batches:
-        if seen + len(hashes) >= 1 << 32:
-            yield _slices(counts)
-            counts, seen = np.zeros(BUCKETS, np.uint32), 0
-        bucket, n = np.unique((hashes % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-        counts[bucket] += n.astype(np.uint32)
-        seen += len(hashes)
-    yield _slices(counts)
+        for part in (hashes[i : i + HELD] for i in range(0, len(hashes), HELD)):
+            if n + len(part) > HELD:
+                yield _slices(held[:n])
+                n = 0
+            held[n : n + len(part)] = part % np.uint64(BUCKETS)
+            n += len(part)
+    if n:
+        yield _slices(held[:n])
 
 
 def _whole(texts: list[bytes], words: int) -> np.ndarray:

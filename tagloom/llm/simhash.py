@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passing, written
+from .common import narrow, passing, written
 
 LINK_BITS = 4
 SEED = 42  # of XXH64
@@ -306,6 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
     round only aggregates by node and joins by node, and ends as stars.
     """
     edges = written(edges.select("a", "b"), "links")
+    before = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -314,9 +315,9 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
         after = written(small.filter(F.col("a") != F.col("b")).distinct(), "stars")
-        if _digest(after) == _digest(edges):
+        if (now := _digest(after)) == before:
             return after.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-        edges = after
+        edges, before = after, now
 
 
 def _classes(marked: DataFrame) -> DataFrame:
@@ -356,7 +357,7 @@ def one_of_each(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
     hashes = [F.xxhash64(F.lit(i), F.col(text_col).cast("string")) for i in (1, 2)]
     keyed = docs.select(F.struct(*(F.col(c).alias(f"h{i}") for i, c in enumerate(docs.columns))).alias("_row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(h.alias(f"k{i}") for i, h in enumerate(hashes)))
-    with passing(docs.sparkSession):  # what follows reads the verdict only
+    with narrow(docs.sparkSession), passing(docs.sparkSession):  # what follows reads the verdict only
         marked = written(fingerprints(keyed, words, carry=("k0", "k1")), "fingerprints")
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")
         nodes = written(marked.groupBy(F.col("k0").alias("id")).agg(F.min("fp").alias("fp"), F.min(order).alias("m")), "nodes")

@@ -138,3 +138,28 @@ def test_levels_go_out_compressed(spark):
     assert sum(map(len, sent.value.values())) < jaccard.BUCKETS // 100
     assert len(level) == jaccard.BUCKETS and sorted(level[level > 0].tolist()) == [1, 3, 3]
     sent.destroy()
+
+
+def test_a_tally_holds_no_count_for_each_bucket(monkeypatch):
+    """A task's memory goes by what it counts; however often it hands on, the sums are those of all."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    parts = [draw.integers(0, 1 << 63, n, np.uint64) for n in (300, 0, 5, 900)] + [np.full(40, 17, np.uint64), np.array([jaccard.BUCKETS - 1], np.uint64)]
+    want = np.bincount((np.concatenate(parts) % np.uint64(jaccard.BUCKETS)).astype(np.int64), minlength=jaccard.BUCKETS)
+    tracemalloc.start()
+    batches = list(jaccard._tallied(iter(parts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * jaccard.BUCKETS  # a count of 32 bits for each takes twice that
+    monkeypatch.setattr(jaccard, "HELD", 70)
+    many = list(jaccard._tallied(iter(parts)))
+    assert len(batches) == 1 and len(many) > 10 and list(jaccard._tallied(iter([]))) == []
+    size = jaccard.BUCKETS // jaccard.SLICES
+    for found in (batches, many):
+        got = np.zeros(jaccard.BUCKETS, np.int64)
+        for i, part in ((i, p) for b in found for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            got[i * size : (i + 1) * size] += np.frombuffer(pa.decompress(part, 4 * size, codec="zstd"), np.uint32)
+        assert (got == want).all()

@@ -203,3 +203,25 @@ def test_only_the_verdict_stays_on_disk(spark, docs):
     one = one_of_each(docs)
     left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before}
     assert left == {"judged"} and 0 < one.count() < docs.count()
+
+
+def test_texts_of_near_copies_go_to_python_in_batches_of_few_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tagloom import storage
+    from tagloom.llm import simhash
+
+    def sizes(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"mb": [batch.nbytes / 2**20]})
+
+    before = spark.conf.get(storage.BATCH, None)
+    long = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    with storage.narrow(spark):
+        assert max(r.mb for r in long.mapInArrow(sizes, "mb double").collect()) <= 6
+    assert spark.conf.get(storage.BATCH, None) == before
+    asked, kept = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, *a, **b: asked.append(df.sparkSession.conf.get(storage.BATCH)) or kept(df, *a, **b))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3]
+    assert asked and set(asked) == {str(storage.BATCH_BYTES)} and spark.conf.get(storage.BATCH, None) == before
