@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -409,27 +408,34 @@ def template_clusters(reads: DataFrame, keys: tuple[str, ...] = ("sample_id", "u
     """(keys, reads, templates, first): molecules of ``min_reads`` reads or more, and how many templates hold ``min_share`` of their reads.
 
     Reads join the first leader, in order of src_index, from which at most ``divergence`` of the
-    positions both have differ, or lead themselves. ``first`` is the first read.
+    positions both have differ, or lead themselves. ``first`` is the first read. Equal reads are
+    counted before they move: one row and their number comes to a molecule's task, where the first of them stands.
     """
-    from .consensus import by_molecule, voting
+    from .consensus import by_molecule
 
-    def run(seqs, quals, starts):
+    seq = F.coalesce("seq", F.lit(""))
+    alike = reads.groupBy(*keys, seq.alias("seq")).agg(F.count("*").cast("string").alias("qual"), F.min("src_index").alias("src_index"))
+
+    def run(seqs, counts, starts):
         which, out = [], []
         for g, (start, end) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(seqs)])):
-            if end - start >= min_reads:
-                sizes = leaders(seqs[start:end], divergence)
+            n = np.array(counts[start:end]).astype(np.int64)  # what stands for the qualities
+            reads = int(n.sum())
+            if reads >= min_reads:
+                sizes = leaders(seqs[start:end], divergence, n)
                 which.append(g)
-                out.append((end - start, sum(n >= min_share * (end - start) for n in sizes), seqs[start].decode()))
+                out.append((reads, sum(n >= min_share * reads for n in sizes), seqs[start].decode()))
         return which, [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.string()))]
 
-    votes, _ = voting(reads, keys)
-    return by_molecule(votes, keys, run, "reads long, templates int, first string")
+    return by_molecule(alike, keys, run, "reads long, templates int, first string")
 
 
-def leaders(seqs: list[bytes], divergence: float) -> list[int]:
-    """Reads of each greedy cluster, by its leader in order. Equal reads are compared once, where the first of them stands."""
-    counts = Counter(seqs)  # in order of first reads
-    seqs, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+def leaders(seqs: list[bytes], divergence: float, counts: np.ndarray | None = None) -> list[int]:
+    """Reads of each greedy cluster, by its leader in order. Equal reads are compared once, where the first of them stands; ``counts``: how many each one is."""
+    numbers: dict[bytes, int] = {}  # in order of first reads
+    for s, c in zip(seqs, counts.tolist() if counts is not None else [1] * len(seqs)):
+        numbers[s] = numbers.get(s, 0) + c
+    seqs, n = list(numbers), np.fromiter(numbers.values(), np.int64, len(numbers))
     lengths = np.array([len(s) for s in seqs])
     width = int(lengths.max(initial=0))
     letters = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in seqs), np.uint8).reshape(len(seqs), width)

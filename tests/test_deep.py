@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tagloom.operators import consensus
+from tagloom.operators import consensus, studies
 
 READS = "src_index long, key string, seq string, qual string"
 
@@ -40,3 +40,12 @@ def test_deep_molecules_are_called_as_others(spark, monkeypatch):
     for mine, theirs in zip(got[:2], want[:2]):
         assert mine.keys() == theirs.keys() and len(mine) > 20
         assert all(x == pytest.approx(y, abs=1e-9) if isinstance(x, float) else x == y for k in mine for x, y in zip(mine[k], theirs[k]))
+
+
+def test_templates_of_all_reads(spark):
+    draw = random.Random(8)
+    one, two = ("".join(draw.choices("ACGT", k=60)) for _ in range(2))
+    rows = [(i, "S", "m", one, "I" * 60) for i in range(10_000)] + [(10_000 + i, "S", "m", two, "I" * 60) for i in range(5_000)] + [(20_000 + i, "S", "n", two if i else one, "I" * 60) for i in range(4)]
+    df = spark.createDataFrame(rows, "src_index long, sample_id string, umi string, seq string, qual string").repartition(3)
+    clusters = studies.template_clusters(df)
+    assert sorted(map(tuple, clusters.collect())) == [("S", "m", 15_000, 2, one), ("S", "n", 4, 2, one)]
